@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
+from .packing import op6_packing
 from .quality import op2_quality_rules
+from .tokens import op7_token_counts
 from .warc import op1_warc
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op5_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op5_decontaminate, op6_packing, op7_token_counts)}
 SQL: dict[str, str] = {}
