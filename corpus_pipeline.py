@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near duplicates, decontamination, secret scans, packing."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, secret scans, packing.
+
+Each stage takes the documents that the one before it kept, written as Parquet and read again,
+and returns documents; the last returns the pieces of packed sequences. Documents without
+doc_id can't be named in a verdict and stay.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvox.llm.common import stored, table
 from corvox.llm.decontaminate import cleaned
+from corvox.llm.neardups import deduplicated
+from corvox.llm.packing import packed
 from corvox.llm.quality import filtered
+from corvox.llm.secrets import redacted
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return filtered(docs).select(COLUMNS)
+    return filtered(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that with the smallest doc_id."""
+    return deduplicated(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that the benchmark contaminates."""
-    return cleaned(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
+    return cleaned(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).select(COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    return redacted(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    import public_tokenizers as files
+
+    return packed(docs, files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
 
 
-STAGES = [("quality_rules", quality), ("decontaminate", decontaminate)]
+STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secret_scan", secrets), ("packing", packing)]
 
-#: SQL can't express the sketches, signatures and tokenizer; the stages are tested against brute force.
+#: SQL can't express the tokenizer; every stage is tested against a brute-force version.
 ORACLE_SQL = None
 
 

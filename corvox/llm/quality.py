@@ -158,7 +158,7 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = stored(measured(docs), "quality")
     limits = fences(sketches(rows))
     on = rows["lang"].eqNullSafe(limits["lang"]) & rows["source"].eqNullSafe(limits["source"])
-    both = rows.join(limits.withColumnsRenamed({}), on, "left").drop(limits["lang"]).drop(limits["source"])
+    both = rows.join(limits, on, "left").drop(limits["lang"]).drop(limits["source"])
     bad = F.lit(False)
     for m in MEASURES:
         beyond = ratio(m) < F.col(f"fence_{m}") if m.endswith("_low") else ratio(m) > F.col(f"fence_{m}")
@@ -168,8 +168,8 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """docs without the documents that the rules reject."""
-    kept = judged(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    gone = judged(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
