@@ -12,13 +12,13 @@ def paths(t) -> DataFrame:
     return t("pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
 
 
-TREE = """(select case_id, n, 'n' || n as id, case when n > 0 then 'n' || ((n - 1) // 2) end as parent, generation, radius, (n % 7) + price / 1000 as x, (n % 11) - 5.0 as y, size * 0.1 - generation * 10.0 as z, generation * 10.0 as dist
- from (select (p_partkey - 1) % 4 as case_id, (p_partkey - 1) // 4 as n, 1 + p_size / 10 as radius, p_size as size, p_retailprice as price, cast(length(bin((p_partkey - 1) // 4 + 1)) - 1 as bigint) as generation from part))"""
+TREE = """(select case_id, n, 'n' || n as id, case when n > 0 then 'n' || ((n - 1) // 2) end as parent, generation, radius, (n % 7) + price / 1000 as x, (n % 11) - 5.0::double as y, size * 0.1::double - generation * 10.0::double as z, generation * 10.0::double as dist
+ from (select p_partkey % 4 as case_id, p_partkey // 4 as n, 1 + p_size / 10 as radius, p_size as size, p_retailprice as price, cast(length(bin(p_partkey // 4 + 1)) - 1 as bigint) as generation from part))"""
 
 
 def tree(t) -> DataFrame:
     """The parts as four heap-shaped trees of nodes."""
-    p = t("part").selectExpr("(p_partkey - 1) % 4 as case_id", "(p_partkey - 1) div 4 as n", "1 + p_size / 10 as radius", "p_size as size", "p_retailprice as price")
+    p = t("part").selectExpr("p_partkey % 4 as case_id", "p_partkey div 4 as n", "1 + p_size / 10 as radius", "p_size as size", "p_retailprice as price")
     p = p.withColumn("generation", (F.length(F.bin(F.col("n") + 1)) - 1).cast("long"))
     return p.select(
         "case_id", "n", F.concat(F.lit("n"), "n").alias("id"), F.when(F.col("n") > 0, F.concat(F.lit("n"), F.expr("(n - 1) div 2"))).alias("parent"), "generation", "radius",
