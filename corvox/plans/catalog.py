@@ -1,4 +1,4 @@
 """Imports every module of queries, so that the registry is complete."""
 
-from . import catalogs, records, scalars  # noqa: F401
+from . import catalogs, records, scalars, volumes  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
