@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from corvox.operators import loops
 
 #: Text bytes handled at a time inside a task; a single longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -118,26 +119,6 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFrame:
-    """Connected components of edges(a, b): columns node, component (the smallest node that links reach).
-
-    Hash-to-min on a table: every round joins labels to edges, takes the smallest label on
-    either side, then jumps labels of labels (so chains shorten by powers). Each round is a
-    written table, and only a count of changes comes to the driver. Hot nodes: each round
-    aggregates with a map-side combine, and the label join is one row per node on its side.
-    """
-    spark = edges.sparkSession
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{tag}-edges")
-    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")), f"{tag}-labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("n"))
-        got = labels.join(near, "a").select("a", F.col("l").alias("old"), F.least("l", "n").alias("l"))
-        up = got.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        got = got.join(up, "l").select("a", "old", F.least("l", "ll").alias("l"))
-        got = stored(got, f"{tag}-labels")
-        labels = got.select("a", "l")
-        if got.where("l <> old").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return labels.select(F.col("a").alias("node"), F.col("l").alias("component"))
+def components(edges: DataFrame, tag: str) -> DataFrame:
+    """Connected components of edges(a, b): columns node, component (the smallest node that links reach)."""
+    return loops.components(edges, tag, by=())
