@@ -11,8 +11,9 @@ have their anchors at the same place in them and only suffixes at anchors need s
    right of the anchor, and by that left of it read backwards: multikey quicksort on 8-byte
    words to a shallow depth, then a blind trie for each group with a long common prefix. The
    common prefixes of two runs to both sides tell which of their windows are equal.
-4. Runs that share a k-gram with more than GROUP others, which no task should hold, are split
-   into windows that Spark counts by their hash; the result is the same.
+4. Runs that share a k-gram with more than GROUP others, which no task should hold, are cut
+   into steps of windows that Spark counts by hash, wide steps first and smaller ones where
+   these leave it open; the result is the same.
 5. Each document loses the bytes that its repeated windows cover.
 
 Cases: null text is empty and loses nothing. Texts shorter than LENGTH lose nothing. Rows that
@@ -279,34 +280,70 @@ def edges(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("kh", "n", "id", "th", "a", "s", "e", "text").repartition(n, "kh").sortWithinPartitions("kh").mapInArrow(run, FOUND)
 
 
-def counted_windows(rows: DataFrame, length: int) -> DataFrame:
-    """As edges(), for k-grams with many runs: every window is counted by its hash."""
-    ddl = "kh long, d int, wh long, id long, th long, i int, n int"
-    schema = arrow_schema(ddl)
+PIECES = "kh long, c int, lo int, hi int, core long, whole long, id long, th long, a int, s int, n int"
+#: Distances of windows from their anchor that are looked at together, wide ones first.
+WIDTHS = (25, 5, 1)
+
+
+def pieces(rows: DataFrame, width: int, before: int, length: int) -> DataFrame:
+    """Rows of PIECES: the windows of a run in steps of `width` distances. core: hash of the bytes that all windows of a step hold; whole: of those that any holds, if the run has the full step. want: steps of width `before` that are open, null for all."""
+    schema = arrow_schema(PIECES)
 
     def split(batches):
         for part in slices(batches, "text", 1 << 19):
             out = []
-            for kh, n, id_, th, a, s, e, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                at = np.arange(e - s + 1)
-                wh = Rolling(text).of(at, length).view(np.int64)
-                out += [(kh, a - s - int(x), int(h), id_, th, s + int(x), min(n, 2)) for x, h in zip(at, wh, strict=True)]
+            for kh, n, id_, th, a, s, e, text, want in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                near, far = a - e, a - s
+                spans = [(x["c"] * before, x["c"] * before + before - 1, x["n"]) for x in want] if want is not None else [(near, far, min(n, 2))]
+                steps = [(d // width, k) for low, high, k in spans for d in range(max(low, near) // width * width, min(high, far) + 1, width)]
+                if not steps:
+                    continue
+                roll, c = Rolling(text), np.array([x for x, _ in steps])
+                first, last = c * width, c * width + width - 1
+                core = roll.of(far - first, length - width + 1).view(np.int64).tolist()
+                full = (first >= near) & (last <= far)
+                whole = np.zeros(len(c), np.int64)
+                whole[full] = roll.of(far - last[full], length + width - 1).view(np.int64)
+                out += [(kh, x, max(int(p), near), min(int(q), far), g, int(w) if f else None, id_, th, a, s, k) for (x, k), p, q, g, w, f in zip(steps, first, last, core, whole, full, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    each = stored(rows.select("kh", "n", "id", "th", "a", "s", "e", "text").mapInArrow(split, ddl), "windows")
-    often = each.groupBy("kh", "d", "wh").agg(F.sum("n").alias("all")).where("all > 1")
-    return each.where("n = 1").join(often, ["kh", "d", "wh"], "left_semi").select("id", "th", F.col("i").alias("i0"), F.col("i").alias("i1"))
+    return rows.select("kh", "n", "id", "th", "a", "s", "e", "text", "want").mapInArrow(split, PIECES)
+
+
+def counted_windows(rows: DataFrame, length: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """As edges(), for k-grams with many runs: windows are counted by hash, in steps.
+
+    A step whose whole stretch another run has too is repeated; one whose core no other run
+    has is not; the others go on with a smaller width, beside one run of each repeated stretch
+    that they may share a part with.
+    """
+    run = ["kh", "id", "th", "a", "s"]
+    open_, out, before = rows.withColumn("want", F.lit(None).cast("array<struct<c:int,n:int>>")), None, 1
+    for width in widths:
+        each = stored(pieces(open_, width, before, length), "pieces")
+        whole = stored(each.where("whole is not null").groupBy("kh", "c", "whole").agg(F.sum("n").alias("all"), F.min(F.struct("id", "th", "a", "s")).alias("one")).where("all > 1"), "whole")
+        part = each.where("n = 1").join(whole.select("kh", "c", "whole"), ["kh", "c", "whole"], "left_semi").select("id", "th", (F.col("a") - F.col("hi")).alias("i0"), (F.col("a") - F.col("lo")).alias("i1"))
+        out = part if out is None else out.union(part)
+        if width == widths[-1]:
+            return out
+        core = stored(each.groupBy("kh", "c", "core").agg(F.sum("n").alias("all")).where("all > 1").select("kh", "c", "core"), "core")
+        left = each.where("n = 1").join(whole.select("kh", "c", "whole"), ["kh", "c", "whole"], "left_anti").join(core, ["kh", "c", "core"], "left_semi").select(*run, "c", "n")
+        clipped = each.where("n > 1 and whole is null").select(*run, "c", "n")
+        keep = left.union(clipped).union(whole.select("kh", "one.*", "c").select(*run, "c", F.lit(2).alias("n")))
+        want = stored(keep.groupBy(*run).agg(F.collect_list(F.struct("c", "n")).alias("want")), "open")  # the steps of one run
+        open_, before = rows.join(want, run), width
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, grams: int = GRAMS, group: int = GROUP) -> DataFrame:
     """Ranges of repeated windows (FOUND) of docs(id, th, text)."""
     all_ = stored(run_rows(docs, length, grams), "runs")
-    often = all_.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
+    often = stored(all_.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), "often")
     some = stored(all_.join(often, "kh"), "repeated")
     kinds = some.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a", "s", "e")).alias("x"))
     kinds = stored(kinds, "kinds")
     whole = some.join(kinds.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi").select("id", "th", F.col("s").alias("i0"), F.col("e").alias("i1"))
     several = kinds.groupBy("kh").agg(F.count("*").alias("m"), F.min("n").alias("low")).where("m > 1 and low = 1").select("kh", "m")
+    several = stored(several, "several")
     open_ = kinds.join(several, "kh").select("kh", "n", "m", "x.*")
     texts = cut_texts(docs, open_, length)
     small, large = texts.where(f"m <= {group}"), texts.where(f"m > {group}")
