@@ -22,7 +22,7 @@ SPAN = 1 << 14
 
 
 def number(i: str = "i", j: str = "j", k: str = "k") -> Column:
-    return (F.col(i) * SPAN + F.col(j)) * SPAN + F.col(k)
+    return (F.col(i).cast("long") * SPAN + F.col(j)) * SPAN + F.col(k)
 
 
 def moved(voxels: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:

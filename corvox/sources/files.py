@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvox.functions.columns import png_size, suffix
 
@@ -93,7 +94,7 @@ def report_lines(totals: DataFrame, formats: dict[str, int]) -> DataFrame:
     return totals.select(F.explode(F.array(*cells)).alias("x")).select("x.name", "x.value")
 
 
-@F.pandas_udf("struct<width int, height int>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def jpeg_size(content: pd.Series) -> pd.DataFrame:
     """Width and height of JPEG bytes, from the first start-of-frame segment."""
 

@@ -1,0 +1,102 @@
+"""Small fixtures with known results."""
+
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from corvox.functions import columns as c
+from corvox.operators import audit, frames, graphs, series, voxels
+from corvox.sources import files
+
+
+def rows(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_neighbours_and_time(spark):
+    f = spark.createDataFrame([("s", i, f"f{i}") for i in range(3)], "s string, i int, id string")
+    assert frames.neighbours(f, "s", "i", "id", 1).where("i = 1").first()["neighbours"] == ["f0", "f2"]
+    assert f.select(c.frame_time(F.col("i"), 10.0)).collect()[1][0] == 0.1
+    with pytest.raises(ValueError):
+        c.frame_time(F.col("i"), 0)
+
+
+def test_condition_falls_back_to_suffix(spark):
+    rgb = spark.createDataFrame([("a/1.png",), ("a.b.png",)], "path string")
+    other = spark.createDataFrame([("pps", "a/1.npy"), ("pps", "a.tif")], "modality string, file string")
+    assert rows(frames.conditions(rgb, other), "path", "file") == [("a.b.png", "a.tif"), ("a/1.png", "a/1.npy")]
+
+
+def test_flicker(spark):
+    flat = [("u", i, [float(v)] * 4) for i, v in enumerate((20, 40, 60, 80))]
+    stripes = [("v", i, [0.0, 9.0] * 2 if i % 2 else [9.0, 0.0] * 2) for i in range(3)]
+    s = frames.consistency(spark.createDataFrame(flat + stripes, "video_id string, frame_index int, gray array<float>"))
+    got = {r["video_id"]: r["flicker_mean"] for r in s.collect()}
+    assert got["u"] < 1e-6 < 0.05 < got["v"]
+
+
+def test_split(spark):
+    r = spark.createDataFrame([("one", f"p{i}", 1) for i in range(6)], "category string, patient string, image_count int")
+    a = audit.group_split(r, 0.5, 0.25, 0.25, "unit-test-split")
+    assert rows(a.groupBy("split").count(), "split", "count") == [("test", 2), ("train", 2), ("validation", 2)]
+    assert audit.leaks(a).isEmpty()
+    with pytest.raises(ValueError):
+        audit.check_fractions(0.5, 0.5, 0.5, "x")
+
+
+def test_overlap(spark):
+    v = lambda ks: spark.createDataFrame([("x", 0, 0, k) for k in ks], "case_id string, i int, j int, k int")
+    o = voxels.overlap(v([0, 1]), v([1, 2])).first()
+    assert (o["dice"], o["precision"], o["recall"]) == (0.5, 0.5, 0.5)
+
+
+def test_depth_codes_and_aperture(spark):
+    d = spark.createDataFrame([(0.0,), (47.5,), (95.0,), (120.0,)], "d double")
+    assert [r[0] for r in d.select(c.depth_code(F.col("d"), 95.0)).collect()] == [0, 32768, 65535, 65535]
+    assert spark.range(1).select(c.focal_length(F.lit(640), F.lit(480), F.lit(90.0))).first()[0] == pytest.approx(400.0)
+
+
+def test_bridge(spark):
+    v = spark.createDataFrame([("x", i, 3, 3) for i in (2, 3, 4, 5, 9, 10, 11, 12)], "case_id string, i int, j int, k int")
+    marked = voxels.labelled(v)
+    assert voxels.topology(marked, 3).first()["components"] == 2
+    grown = voxels.bridged(marked, 3, 6.0)
+    assert (7, 3, 3) in rows(grown, "i", "j", "k")
+    assert voxels.topology(voxels.labelled(grown), 3).first()["components"] == 1
+
+
+def test_cap(spark):
+    v = spark.createDataFrame([("x", i, j, k) for i in (3, 4) for j in (3, 4) for k in (1, 2, 3, 4, 8, 9)], "case_id string, i int, j int, k int")
+    r = voxels.capped(voxels.labelled(v)).first()
+    assert (r["size"], r["cap"]) == (8, 4)
+
+
+def test_access_by_depth(spark):
+    n = spark.createDataFrame([("x", "a", 5.0, 0.0), ("x", "b", 5.0, 1.0), ("x", "c", 5.0, 2.0)], "case_id string, id string, radius double, dist double")
+    e = spark.createDataFrame([("x", "a", "b"), ("x", "b", "c")], "case_id string, src string, dst string")
+    a = graphs.accessible(n, e, n.where("id = 'a'").select("case_id", "id"), 3.0, 1.5)
+    assert rows(a, "id", "accessible") == [("a", True), ("b", True), ("c", False)]
+
+
+def test_series_filter(spark):
+    s = spark.createDataFrame([("p2", "s", "u1", "CT", "chest"), ("p1", "s", "u2", None, "CHEST"), ("p3", "s", "u3", "MR", "CHEST")], "patient_id string, study_uid string, series_uid string, modality string, body_part string")
+    assert [r["series_uid"] for r in series.listed(s, "CT", "CHEST").collect()] == ["u2", "u1"]
+
+
+def test_image_sizes(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 7, 5) + b"\0" * 8
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HH", 9, 11) + b"\0" * 12
+    for name, data in (("a.png", png), ("b.jpg", jpeg), ("c.jpg", b"\xff\xd8\xff"), ("d.txt", b"x")):
+        (tmp_path / name).write_bytes(data)
+    got = files.image_sizes(spark.read.format("binaryFile").load(str(tmp_path)).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content"))
+    assert rows(got, "path", "width", "height") == [("a.png", 7, 5), ("b.jpg", 11, 9), ("c.jpg", None, None), ("d.txt", None, None)]
+    assert [r["path"].rsplit("/")[-1] for r in files.catalogue(spark, str(tmp_path), [".png", ".jpg"]).collect()] == ["a.png", "b.jpg", "c.jpg"]
+
+
+def test_sinks(spark, tmp_path):
+    n = spark.createDataFrame([("x", "a", 1.0, 2.0)], "case_id string, id string, dist double, radius double")
+    files.write_radius_profile(n, str(tmp_path / "p"), 4)
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 1
+    files.write_report(n, str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).first()[0] == '{"case_id":"x","dist":1.0,"id":"a","radius":2.0}'
