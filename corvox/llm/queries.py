@@ -9,9 +9,9 @@ from .neardups import op3_jaccard_join
 from .packing import op6_packing
 from .quality import op2_quality_rules
 from .secrets import op9_secret_scan
+from .sql import SQL  # noqa: F401
 from .suffixes import op8_suffix_dedup
 from .tokens import op7_token_counts
 from .warc import op1_warc
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_jaccard_join, op4_html_extract, op5_decontaminate, op6_packing, op7_token_counts, op8_suffix_dedup, op9_secret_scan, op10_license_scan)}
-SQL: dict[str, str] = {}
