@@ -167,6 +167,17 @@ def texts(node: Node):
             stack.pop()
 
 
+#: Elements that can be the container of an article; rows, items and paragraphs count for the one around them.
+HOLDS = set("# html body main article section div center".split())
+
+
+def holder(node: Node | None) -> Node | None:
+    """The nearest container at or above a node: HOLDS, or a table cell with blocks of its own."""
+    while node is not None and node.tag not in HOLDS and not (node.tag == "td" and any(isinstance(x, Node) for x in node.children)):
+        node = node.parent
+    return node
+
+
 def score(root: Node) -> list[Node]:
     """Containers with their points, and sizes of all nodes."""
     order, stack = [], [root]
@@ -179,10 +190,10 @@ def score(root: Node) -> list[Node]:
             if isinstance(x, tuple):
                 line, linked = x
                 gain = (1 + line.count(",") + min(len(line) / 100, 30)) * (1 - linked / len(line))
-                up, level = node if node.tag not in ("p", "pre", "td", "th", "li", "dd", "dt", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") else node.parent, 0
+                up, level = holder(node), 0
                 while up is not None and level < 5:
                     up.points += gain / (1, 2, 6, 9, 12)[level]
-                    up, level = up.parent, level + 1
+                    up, level = holder(up.parent), level + 1
     for node in reversed(order):
         for x in node.children:
             a, b = (len(x[0]), x[1]) if isinstance(x, tuple) else (x.size, x.linked)
