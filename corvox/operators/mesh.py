@@ -25,10 +25,15 @@ def exposed_faces(voxels: DataFrame) -> DataFrame:
     v = voxels.select(*KEY)
     sides = moved(v.withColumn("v", number()), SIDES)
     open_ = sides.join(v, KEY, "left_anti").select("case_id", "v", (F.col("i") - F.col("di")).alias("i"), (F.col("j") - F.col("dj")).alias("j"), (F.col("k") - F.col("dk")).alias("k"), "di", "dj", "dk")
-    corner = lambda o: ((F.col("i").cast("long") + o[0]) * SPAN + F.col("j") + o[1]) * SPAN + F.col("k") + o[2]
-    tri = F.array(*(F.struct(F.lit(n * 2 + t).alias("t"), *(F.lit(d).alias(c) for d, c in zip(side, ("ti", "tj", "tk"), strict=True)), *(corner(o).alias(c) for o, c in zip(corners, "abc", strict=True))) for n, side, t, corners in TRIANGLES))
-    mine = F.filter(tri, lambda x: (x["ti"] == F.col("di")) & (x["tj"] == F.col("dj")) & (x["tk"] == F.col("dk")))
-    return open_.select("case_id", "v", F.explode(mine).alias("x")).select("case_id", (F.col("v") * 12 + F.col("x.t")).alias("fid"), "x.a", "x.b", "x.c")
+    names = ["di", "dj", "dk", "t", *(f"{c}{x}" for c in "abc" for x in range(3))]
+    table = faces_table(voxels, names)
+    corner = lambda c: ((F.col("i").cast("long") + F.col(f"{c}0")) * SPAN + F.col("j") + F.col(f"{c}1")) * SPAN + F.col("k") + F.col(f"{c}2")
+    return open_.join(F.broadcast(table), ["di", "dj", "dk"]).select("case_id", (F.col("v") * 12 + F.col("t")).alias("fid"), *(corner(c).alias(c) for c in "abc"))
+
+
+def faces_table(df: DataFrame, names: list[str]) -> DataFrame:
+    """The twelve triangles as a table."""
+    return df.sparkSession.createDataFrame([(*side, n * 2 + t, *(x for o in corners for x in o)) for n, side, t, corners in TRIANGLES], ", ".join(f"{x} int" for x in names))
 
 
 def lattice(faces: DataFrame) -> DataFrame:
