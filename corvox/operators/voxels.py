@@ -215,3 +215,39 @@ def bridged(marked: DataFrame, least: int, limit: float, spacing: tuple[float, f
         line = link.withColumn("n", steps).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long")))).select("case_id", *(F.bround(F.col(f"p.{a}") + (F.col(f"q.{a}") - F.col(f"p.{a}")) * F.col("s") / F.col("n"), 0).cast("long").alias(a) for a in "ijk"))
         grown = stored(grown.union(line).union(part.join(link.select("case_id"), "case_id", "left_semi").select(*KEY)).distinct(), "grown")
     return grown
+
+
+def registered(points: DataFrame, affine: list[Column], reference: list[Column], most_delta: float = 1e-3, most_error: float = 1e-6) -> DataFrame:
+    """points(case_id, x, y, z): for each case the largest difference of two affines, the largest round-trip error, and whether both are small and all points finite."""
+    from corvox.functions.columns import affine as through
+    from corvox.functions.columns import inverse_affine
+
+    delta = F.greatest(*(F.abs(a - b) for a, b in zip(affine, reference, strict=True)))
+    there = points.withColumn("delta", delta).withColumns({f"t{a}": c for a, c in zip("xyz", through(affine, F.col("x"), F.col("y"), F.col("z")), strict=True)})
+    back = through(inverse_affine(affine), F.col("tx"), F.col("ty"), F.col("tz"))
+    error = F.greatest(*(F.abs(b - F.col(a)) for a, b in zip("xyz", back, strict=True)))
+    odd = F.isnan("x") | F.isnan("y") | F.isnan("z") | (F.greatest(F.abs("x"), F.abs("y"), F.abs("z")) == float("inf"))
+    g = there.withColumn("error", error).groupBy("case_id").agg(F.max("delta").alias("affine_delta"), F.max("error").alias("round_trip"), F.count_if(odd).alias("unfinished"), F.count("*").alias("points"))
+    return g.withColumn("passed", (F.col("affine_delta") <= most_delta) & (F.col("round_trip") <= most_error) & (F.col("unfinished") == 0))
+
+
+def inside_bounds(points: DataFrame, cases: DataFrame, pad: float = 0.15) -> DataFrame:
+    """points(case_id, x, y, z): whether all of a case's points lie in its bounds(min_x, max_x, ...), padded by a share of the extent."""
+    j = points.join(cases, "case_id")
+    ok = F.lit(True)
+    for a in "xyz":
+        room = pad * (F.col(f"max_{a}") - F.col(f"min_{a}"))
+        ok = ok & F.col(a).between(F.col(f"min_{a}") - room, F.col(f"max_{a}") + room)
+    return j.groupBy("case_id").agg(F.bool_and(ok).alias("in_frame"), F.count_if(~ok).alias("outside"))
+
+
+def surface_fidelity(vertices: DataFrame, mask: DataFrame, size: int) -> DataFrame:
+    """Distances from the voxel of each vertex (rounded half to even, clipped to the grid) to the nearest surface voxel: median, 95 % point and largest of each case."""
+    cell = lambda a: F.least(F.greatest(F.bround(a, 0), F.lit(0.0)), F.lit(float(size - 1)))
+    v = vertices.select("case_id", "vid", *(cell(a).alias(a) for a in "xyz"))
+    places = v.select("case_id", "x", "y", "z").distinct().withColumn("p", F.concat_ws(",", *(F.col(a).cast("int").cast("string") for a in "xyz")))
+    skin = surface(mask).select("case_id", number().alias("node_ord"), *(F.col(a).cast("double").alias(b) for a, b in zip("ijk", "xyz", strict=True)))
+    near = places.join(nearest(places, skin, ["p"], 2.0), ["case_id", "p"]).select("case_id", "x", "y", "z", "distance")
+    d = v.join(near, ["case_id", "x", "y", "z"])
+    p = F.percentile("distance", F.array(F.lit(0.5), F.lit(0.95)))
+    return d.groupBy("case_id").agg(p[0].alias("p50"), p[1].alias("p95"), F.max("distance").alias("largest"))

@@ -386,3 +386,43 @@ def j14_overlay(t):
     p = material_points(t).withColumn("channel", F.least(F.greatest(F.col("radius") / 6, F.lit(0.0)), F.lit(1.0)))
     entries = [{"region": 1, "opacity": 0.5, "add": 0.2}, {"spot": (0.5, 0.5), "sigma": 0.2, "opacity": 0.8, "multiply": 0.5}]
     return materials.overlaid(p, "channel", entries).select("case_id", "n", r6("channel").alias("channel"))
+
+
+# Gates and fidelity
+
+
+@query("select l_returnflag as case_id, count(*) as points, 0.0005::double as affine_delta, 0::bigint as unfinished, true as passed from lineitem group by 1")
+def f13_registration(t):
+    m = [float(v) for v in (2, 0.5, 0, -3, 0, 1.5, 0, 7, 0, 0, -3, 1)]
+    p = t("lineitem").selectExpr("l_returnflag as case_id", "cast(l_orderkey % 40 as double) as x", "cast(l_partkey % 40 as double) as y", "cast(l_suppkey % 40 as double) as z")
+    r = voxels.registered(p, [F.lit(v) for v in m], [F.lit(v + 0.0005) for v in m])
+    return r.select("case_id", "points", r6("affine_delta").alias("affine_delta"), "unfinished", "passed")
+
+
+@query("with b as (select l_returnflag as case_id, min(l_quantity) as low, max(l_quantity) as high from lineitem where l_linenumber = 1 group by 1) select case_id, bool_and(l_quantity * 1.1 between low - 0.15 * (high - low) and high + 0.15 * (high - low)) as in_frame, count(*) filter (not l_quantity * 1.1 between low - 0.15 * (high - low) and high + 0.15 * (high - low)) as outside from lineitem join b on l_returnflag = case_id group by 1")
+def f16_in_bounds(t):
+    li = t("lineitem")
+    b = li.where("l_linenumber = 1").groupBy(F.col("l_returnflag").alias("case_id")).agg(*(f("l_quantity").alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))))
+    p = li.select(F.col("l_returnflag").alias("case_id"), *((F.col("l_quantity") * 1.1).alias(a) for a in "xyz"))
+    return voxels.inside_bounds(p, b)
+
+
+@query(f"with v as (select case_id, least(greatest(round_even((vid // 268435456) - 0.5::double, 0), 0), 85)::bigint as x, least(greatest(round_even((vid // 16384) % 16384 - 0.5::double, 0), 0), 85)::bigint as y, least(greatest(round_even(vid % 16384 - 0.5::double, 0), 0), 85)::bigint as z from (select distinct case_id, vid from {ENDS})), s as (select * from {SPARSE}), p as (select distinct * from v), d as (select p.case_id, x, y, z, min(sqrt((i - x)^2 + (j - y)^2 + (k - z)^2)) as distance from p join s on s.case_id = p.case_id and abs(i - x) <= 2 and abs(j - y) <= 2 and abs(k - z) <= 2 group by 1, 2, 3, 4) select case_id, round(median(distance), 6) as p50, round(quantile_cont(distance, 0.95), 6) as p95, round(max(distance), 6) as largest from v join d using (case_id, x, y, z) group by 1")
+def j13_surface_fidelity(t):
+    s = sparse(t)
+    f = voxels.surface_fidelity(mesh.lattice(mesh.exposed_faces(s)), s, 86)
+    return f.select("case_id", *(r6(x).alias(x) for x in ("p50", "p95", "largest")))
+
+
+@query(f"with recursive e as (select case_id, p as a, q as b from {OPEN} union all select case_id, q, p from {OPEN}), r as (select distinct case_id, a as node, a as root from e union select e.case_id, e.b, r.root from r join e on e.case_id = r.case_id and e.a = r.node), l as (select case_id, node as vid, min(root) as loop from r group by 1, 2), p as (select *, (vid // 268435456) - 0.5::double as x, (vid // 16384) % 16384 - 0.5::double as y, vid % 16384 - 0.5::double as z from l), c as (select case_id, loop, avg(x) as cx, avg(y) as cy, avg(z) as cz, count(*) as vertices from p group by 1, 2), m as (select case_id, loop, any_value(cx) as cx, any_value(cy) as cy, any_value(cz) as cz, any_value(vertices) as vertices, avg(sqrt((x - cx)^2 + (y - cy)^2 + (z - cz)^2)) as mean_radius from p join c using (case_id, loop) group by 1, 2) select case_id, loop, vertices, round(cx, 5) as cx, round(mean_radius, 5) as mean_radius, sqrt((cx - 20.3)^2 + (cy - 20.3)^2 + (cz - 20.3)^2) <= 15 and mean_radius <= 18 as approved from m")
+def a20_openings(t):
+    f = faces_of(t, False)
+    expected = f.select("case_id").distinct().select("case_id", F.lit(20.3).alias("x"), F.lit(20.3).alias("y"), F.lit(20.3).alias("z"), F.lit(6.0).alias("radius"))
+    o = mesh.openings(mesh.boundary_loops(f), mesh.lattice(f), expected)
+    return o.select("case_id", "loop", "vertices", F.round("cx", 5).alias("cx"), F.round("mean_radius", 5).alias("mean_radius"), "approved")
+
+
+@query()
+def g10_bridged(t):
+    """No SQL: each round's lines change what the next one is measured against. Tested on fixtures."""
+    return voxels.bridged(voxels.labelled(sparse(t)), 12, 4.0)
