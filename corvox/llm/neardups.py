@@ -42,7 +42,7 @@ from .common import WordHash, components, grams, raw, slices, stored, table
 
 SHINGLE = 5
 #: Shingles in a chunk and in a bucket, and documents in a chunk.
-CHUNK, BUCKET, CHUNK_DOCS = 1_500_000, 2_000_000, 60_000
+CHUNK, BUCKET, CHUNK_DOCS = 1_000_000, 1_250_000, 60_000
 #: Documents and shingles in a block of signatures.
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 FANOUT = 8

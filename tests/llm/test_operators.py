@@ -124,7 +124,7 @@ def families(seed):
     return out
 
 
-@pytest.mark.parametrize(("seed", "block", "chunk"), [(1, 256, 1_500_000), (2, 3, 500), (3, 2, 60)])
+@pytest.mark.parametrize(("seed", "block", "chunk"), [(1, 256, 1_000_000), (2, 3, 500), (3, 2, 60)])
 def test_near_duplicates(spark, monkeypatch, seed, block, chunk):
     t = families(seed)
     monkeypatch.setattr(neardups, "CHUNK", chunk)
