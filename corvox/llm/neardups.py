@@ -11,7 +11,7 @@ sequence). Two documents link when 100 * common >= 80 * joint shingles.
    among the first n - ceil(0.8 n) + 1 of each (prefix principle), so documents that meet on
    such a shingle, directly or in a chain, form clusters that no link leaves.
 3. Signature trees. Clusters are cut into blocks of bounded size, ordered by set size. Each
-   block, and each pair of blocks of a cluster whose size ranges allow a link, is one task: a
+   block, and each pair of blocks of a cluster that may still link, is one task: a
    tree whose nodes hold the OR of their documents' bitmaps, their range of set sizes and the
    largest number of shingles that share bits. Both trees are traversed together; a pair of
    nodes is left when the common bits, with the shared ones, cannot reach the overlap that
@@ -313,7 +313,8 @@ def linked(task: pa.Table) -> pa.Table:
     own = [np.sort(np.frombuffer(x, np.uint64)) for x in task.column("shared").to_pylist()]
     typical = int(np.median([len(x) for x in own])) if own else 1
     bits = 1 << min(max((4 * max(typical, 1) - 1).bit_length(), 10), 16)
-    up = np.arange(len(docs))
+    _, first, back = np.unique(task.column("label").to_numpy(), return_index=True, return_inverse=True)
+    up = first[back].tolist()  # documents that links found before join start together
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -344,12 +345,40 @@ def links(all_sets: DataFrame) -> DataFrame:
     some = stored(some.join(lead, ["digest", "doc_id"]), "candidates")
     rows = some.join(clusters(some).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster"), "doc_id")
     dealt = stored(blocks(rows), "blocks")
+    found = stored(within(dealt), "within")
     ranges = dealt.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     p, q = ranges.alias("p"), ranges.alias("q")
-    cross = p.join(q, F.expr("p.cluster = q.cluster and p.block < q.block and 5 * p.high >= 4 * q.low and 5 * q.high >= 4 * p.low")).select(F.concat_ws(":", "p.cluster", "p.block", "q.block").alias("task"), "p.cluster", F.explode(F.array(F.struct(F.col("p.block").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q.block").alias("block"), F.lit(1).alias("side")))).alias("x")).select("task", "cluster", "x.*")
-    within = dealt.select(F.col("block").cast("string").alias("task"), F.lit(0).alias("side"), "doc_id", "n", "shared")
-    between = dealt.join(cross, ["cluster", "block"]).select("task", "side", "doc_id", "n", "shared")
-    return within.union(between).groupBy("task").applyInArrow(linked, "a long, b long")
+    cross = stored(p.join(q, F.expr("p.cluster = q.cluster and p.block < q.block and 5 * p.high >= 4 * q.low and 5 * q.high >= 4 * p.low")).select("p.cluster", F.col("p.block").alias("p"), F.col("q.block").alias("q")), "cross")
+    return found if cross.isEmpty() else found.union(between(dealt, found, cross))
+
+
+def within(dealt: DataFrame) -> DataFrame:
+    """Links inside each block."""
+    return dealt.select(F.col("block").cast("string").alias("task"), F.lit(0).alias("side"), "doc_id", "n", "shared", F.col("doc_id").alias("label")).groupBy("task").applyInArrow(linked, "a long, b long")
+
+
+def labelled(rows: DataFrame, found: DataFrame, tag: str) -> DataFrame:
+    """rows with the component of their document as label."""
+    return rows.join(components(found, tag).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+
+
+def between(dealt: DataFrame, found: DataFrame, cross: DataFrame) -> DataFrame:
+    """Links between the blocks of clusters of several, cross(cluster, p, q).
+
+    One document of every block and component is compared with the others first, which joins
+    the blocks of a large family. Two blocks then meet only if one of them holds a document
+    outside the component that most of the cluster is in.
+    """
+    many = dealt.join(cross.select("cluster").distinct(), "cluster", "left_semi")
+    one = labelled(many, found, "inner").groupBy("cluster", "block", "label").agg(F.min("doc_id").alias("doc_id"))
+    again = stored(within(blocks(many.join(one.select("cluster", "block", "doc_id"), ["cluster", "block", "doc_id"]))), "again")
+    marks = stored(labelled(many.select("cluster", "block", "doc_id"), found.union(again), "outer"), "marks")
+    main = marks.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"))
+    open_ = stored(marks.join(main, "cluster").where("label <> main").select("cluster", "block").distinct(), "open")
+    need = cross.join(open_.withColumnRenamed("block", "p"), ["cluster", "p"], "left_semi").union(cross.join(open_.withColumnRenamed("block", "q"), ["cluster", "q"], "left_semi").select("cluster", "p", "q")).distinct()
+    sides = need.select("cluster", F.concat_ws(":", "cluster", "p", "q").alias("task"), F.explode(F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q").alias("block"), F.lit(1).alias("side")))).alias("x")).select("cluster", "task", "x.*")
+    rows = dealt.join(sides, ["cluster", "block"]).join(marks.select("doc_id", "label").distinct(), "doc_id")
+    return again.union(rows.select("task", "side", "doc_id", "n", "shared", "label").groupBy("task").applyInArrow(linked, "a long, b long"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
