@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from corvox.functions.columns import valid_case_id
 
-SOURCES = ["dicom", "nifti", "tcia", "generated"]
-REQUIRED = ["rgb", "depth", "normal", "mask", "pose"]
-KINDS = {"volume": ["file", "command"], "segmentation": ["file", "command", "threshold"]}
+# Kinds, renderers and modalities that documents may name.
+SOURCES = ["local_nifti", "local_dicom", "tcia", "maisi"]
+VOLUMES = ["local_ct", "local_dicom", "maisi", "mask_conditioned_maisi"]
+MASKS = ["maisi_label", "mask_conditioned_maisi", "monai_segmenter", "external_segmenter", "precomputed", "ct_threshold"]
+RENDERERS = ["omniverse_rtx", "learnable_renderer", "software_preview"]
+REQUIRED = ["rgb", "depth", "normal", "pps", "mask"]
 
 
 def blank(c: Column) -> Column:
@@ -31,11 +34,14 @@ def volume_manifest(rows: DataFrame, key: str) -> DataFrame:
 
 
 def case_recipe(rows: DataFrame, key: str) -> DataFrame:
-    """rows(volume_kind, volume_path, volume_command, renderer, modalities)."""
-    kind = F.col("volume_kind")
+    """rows(volume_kind, volume_path, volume_config, mask_kind, mask_path, mask_command, renderer, modalities); renderer and modalities have defaults."""
+    kind, mask = F.col("volume_kind"), F.col("mask_kind")
+    unknown = lambda c, known: ~F.coalesce(c.isin(known), F.lit(False))
+    local = kind.isin("local_ct", "local_dicom")
     return violations(rows, key, {
-        "volume_kind": ~F.coalesce(kind.isin(KINDS["volume"]), F.lit(False)), "volume_path": (kind == "file") & blank(F.col("volume_path")), "volume_command": (kind == "command") & blank(F.col("volume_command")),
-        "modalities": F.size(missing_members(F.col("modalities"), REQUIRED)) > 0, "renderer": ~F.coalesce(F.col("renderer").isin("preview", "path"), F.lit(False)),
+        "volume_kind": unknown(kind, VOLUMES), "volume_path": (local & blank(F.col("volume_path"))) | (kind.isin(VOLUMES) & ~local & blank(F.col("volume_config"))),
+        "mask_kind": unknown(mask, MASKS), "mask_path": mask.isin("precomputed", "mask_conditioned_maisi", "maisi_label") & blank(F.col("mask_path")), "mask_command": mask.isin("monai_segmenter", "external_segmenter") & blank(F.col("mask_command")),
+        "modalities": F.size(missing_members(F.coalesce("modalities", F.array(*map(F.lit, REQUIRED))), REQUIRED)) > 0, "renderer": unknown(F.coalesce("renderer", F.lit(RENDERERS[0])), RENDERERS),
     })
 
 

@@ -128,7 +128,7 @@ def a30_provenance(t):
 
 def manifests(t):
     o = t("orders")
-    kind = F.when(F.col("o_orderstatus") == "O", "dicom").when(F.col("o_orderstatus") == "F", "spreadsheet")
+    kind = F.when(F.col("o_orderstatus") == "O", "local_dicom").when(F.col("o_orderstatus") == "F", "spreadsheet")
     name = F.when(F.col("o_orderkey") % 9 == 0, F.concat(F.lit("../"), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_orderkey").cast("string"))
     doc = F.to_json(F.struct(name.alias("case_id"), kind.alias("type"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderpriority")).alias("path")))
     return o.select("o_orderkey", files.parsed(doc, "case_id string, source_type string, type string, uri string, path string, input_path string, version string").alias("d")).select("o_orderkey", "d.*")
@@ -139,22 +139,23 @@ def f8_volume_manifest(t):
     return rules.volume_manifest(manifests(t), "o_orderkey")
 
 
-GIVEN = "case when o_orderstatus = 'O' then ['rgb', 'depth', 'normal', 'mask', 'pose'] else ['rgb', 'depth', 'pose', 'extra'] end"
-
-
 def recipes(t):
     o = t("orders")
-    kind = F.when(F.col("o_orderkey") % 3 == 0, "file").when(F.col("o_orderkey") % 3 == 1, "command").otherwise("magic")
-    given = F.when(F.col("o_orderstatus") == "O", F.array(*map(F.lit, rules.REQUIRED))).otherwise(F.array(*map(F.lit, ("rgb", "depth", "pose", "extra"))))
-    return o.select("o_orderkey", kind.alias("volume_kind"), F.when(F.col("o_custkey") % 2 == 0, "a/b").alias("volume_path"), F.lit(" ").alias("volume_command"), F.lit("preview").alias("renderer"), given.alias("modalities"))
+    third = F.col("o_orderkey") % 3
+    kind = F.when(third == 0, "local_ct").when(third == 1, "maisi").otherwise("magic")
+    mask = F.when(third == 0, "precomputed").when(third == 1, "external_segmenter").otherwise("ct_threshold")
+    even = F.when(F.col("o_custkey") % 2 == 0, "a/b")
+    given = F.when(F.col("o_orderstatus") == "O", F.array(*map(F.lit, rules.REQUIRED))).when(F.col("o_orderstatus") == "F", F.array(*map(F.lit, ("rgb", "depth", "pps", "extra"))))
+    renderer = F.when(F.col("o_orderpriority") == "1-URGENT", "pencil").when(F.col("o_orderpriority") == "2-HIGH", "software_preview")
+    return o.select("o_orderkey", kind.alias("volume_kind"), even.alias("volume_path"), F.lit(" ").alias("volume_config"), mask.alias("mask_kind"), even.alias("mask_path"), even.alias("mask_command"), renderer.alias("renderer"), given.alias("modalities"))
 
 
-@query("select o_orderkey, r as rule from (select o_orderkey, unnest(list_filter([case when o_orderkey % 3 = 2 then 'volume_kind' end, case when o_orderkey % 3 = 0 and o_custkey % 2 = 1 then 'volume_path' end, case when o_orderkey % 3 = 1 then 'volume_command' end, case when o_orderstatus <> 'O' then 'modalities' end], lambda x: x is not null)) as r from orders)")
+@query("select o_orderkey, r as rule from (select o_orderkey, unnest(list_filter([case when o_orderkey % 3 = 2 then 'volume_kind' end, case when o_orderkey % 3 = 1 or (o_orderkey % 3 = 0 and o_custkey % 2 = 1) then 'volume_path' end, case when o_orderkey % 3 = 0 and o_custkey % 2 = 1 then 'mask_path' end, case when o_orderkey % 3 = 1 and o_custkey % 2 = 1 then 'mask_command' end, case when o_orderstatus = 'F' then 'modalities' end, case when o_orderpriority = '1-URGENT' then 'renderer' end], lambda x: x is not null)) as r from orders)")
 def f9_case_recipe(t):
     return rules.case_recipe(recipes(t), "o_orderkey")
 
 
-@query("select o_orderkey, case when o_orderstatus = 'O' then '' else 'mask,normal' end as missing from orders")
+@query("select o_orderkey, case when o_orderstatus = 'O' then '' when o_orderstatus = 'F' then 'mask,normal' else 'depth,mask,normal,pps,rgb' end as missing from orders")
 def u3_missing_members(t):
     return recipes(t).select("o_orderkey", F.array_join(F.array_sort(rules.missing_members(F.col("modalities"), rules.REQUIRED)), ",").alias("missing"))
 
