@@ -8,7 +8,8 @@ decimal logarithm of its guesses; a value whose cheapest cut still needs GUESSES
 secret. The program takes time in proportion to the value's length.
 
 Cases: null or empty texts have no spans. Spans are in code points. Repeated documents get a
-row each. An added span never overlaps a pattern's span.
+row each. An added span never overlaps a pattern's span: of a value that patterns cover in part,
+the whole is judged and what they leave is added.
 """
 
 from __future__ import annotations
@@ -105,6 +106,18 @@ def kinds(value: str) -> int:
     return any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
 
 
+def uncovered(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches of a..b that no span of base covers; base is in order of start."""
+    out = []
+    for x, y, _ in base:
+        if x >= b:
+            break
+        if y > a:
+            out += [(a, x)] if a < x else []
+            a = y
+    return out + ([(a, b)] if a < b else [])
+
+
 def spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of all secrets, in order of start, then kind."""
     low = text.lower()
@@ -121,8 +134,8 @@ def spans(text: str) -> list[tuple[int, int, int]]:
             a, b = m.span(1) if m[1] is not None else m.span(2)
             value = text[a:b].rstrip(".!?:")
             b = a + len(value)
-            if not any(x < b and a < y for x, y, _ in base) and kinds(value) > 1 and guess_cost(value) >= GUESSES:
-                found.append((a, b, 3))
+            if (rest := uncovered(a, b, base)) and kinds(value) > 1 and guess_cost(value) >= GUESSES:
+                found += [(x, y, 3) for x, y in rest]
     return sorted(found)
 
 
@@ -157,8 +170,8 @@ def masked(text: str | None) -> str | None:
     out, at = [], 0
     end = -1
     for a, b, _ in found:
-        if a >= end:
-            out += [text[at:a] if at <= a else "", MASK]
+        if a > end:
+            out += [text[at:a], MASK]
         end = max(end, b)
         at = end
     return "".join([*out, text[at:]])

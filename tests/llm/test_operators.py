@@ -374,6 +374,19 @@ def test_secret_scan(spark):
     assert secrets.masked("") == "" and secrets.masked(None) is None
 
 
+@pytest.mark.parametrize(
+    ("text", "want", "safe"),
+    [
+        ("password: abcdef$kQz!9mB%f7 x", "assign:0:16,guess:16:27", "[SECRET] x"),
+        ("token: $kQz!" + "0123456789abcdef" * 2 + "%fT7&w ok", "hex:12:44,guess:7:12,guess:44:50", "token: [SECRET] ok"),
+        ("secret=abcdef!!! x", "assign:0:13", "[SECRET]!!! x"),
+    ],
+)
+def test_values_that_patterns_cover_in_part(text, want, safe):
+    assert sorted(secrets.joined(secrets.spans(text)).split(",")) == sorted(want.split(","))
+    assert secrets.masked(text) == safe
+
+
 def test_licenses(spark):
     mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0-notice"]
     changed = mit.replace("free of charge", "without charge")
