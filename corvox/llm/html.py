@@ -2,10 +2,10 @@
 
 A page is read into a light tree in which only block elements, their text and their links
 count. Paragraphs pass points for their length and commas to their ancestors, less with each
-level; a container's points are discounted by its link density. The best container is kept,
-with those siblings that score well beside it or read as paragraphs. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments are left out by their element,
-role, class or id wherever they stand.
+level; a container's points are discounted by its link density. The best container, or the
+article or main that it stands in, is kept whole, with all blocks around it that score well or
+have few links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+comments are left out by their element, role, class or id wherever they stand.
 
 Cases: null or empty html, or no text outside what is left out, gives an empty text. Unclosed
 and misnested elements are closed as the next block element demands. Repeated pages get a row
@@ -207,24 +207,39 @@ def score(root: Node) -> list[Node]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = tree(page)
+    return chosen(tree(page))
+
+
+def chosen(root: Node) -> str:
+    """Main text of a tree."""
     best = max(score(root), key=lambda x: x.points)
     if not best.size:
         return ""
-    if best.parent is None:
-        return "\n".join(texts(best))
-    least, keep = max(10.0, 0.2 * best.points), []
-    for x in best.parent.children:
-        if isinstance(x, tuple):
-            density, size, line = x[1] / len(x[0]), len(x[0]), x[0]
-            ok = density < 0.25 and size > 80
-            keep += [line] if ok else []
-        elif x is best:
-            keep += texts(x)
-        elif x.size:
-            density = x.linked / x.size
-            if x.points >= least and x.tag not in ("ul", "ol", "table") or x.tag == "p" and density < 0.25 and (x.size > 80 or density == 0) or x.tag in ("h1", "h2", "h3") and best.tag not in ("article", "main"):
-                keep += texts(x)
+    least = max(10.0, 0.2 * best.points)
+    line = [best]
+    while line[-1].parent is not None:
+        line.append(line[-1].parent)
+    article = max((i for i, x in enumerate(line) if x.tag == "article"), default=None)
+    main = max((i for i, x in enumerate(line) if x.tag == "main"), default=None)
+    # what is kept whole, and the ancestor below which its surroundings are looked at
+    if article is not None:
+        at, end = article, main if main is not None and main > article else article + 1
+    elif main is not None:
+        at, end = main, main
+    else:
+        at, end = 0, len(line) - 1
+    keep = list(texts(line[at]))
+    for inner, outer in zip(line[at:end], line[at + 1 : end + 1], strict=True):
+        before, after = [], []
+        side = before
+        for x in outer.children:
+            if x is inner:
+                side = after
+            elif isinstance(x, tuple):
+                side += [x[0]] if 4 * x[1] < len(x[0]) else []
+            elif x.size and (4 * x.linked < x.size or x.points >= least and x.tag not in ("ul", "ol", "table")):
+                side += texts(x)
+        keep = before + keep + after
     return "\n".join(keep)
 
 

@@ -181,6 +181,24 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+LONG = "<p>" + "Words of an article, and more. " * 70 + "</p>"
+TEXT = ("Words of an article, and more. " * 70).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><header><h1>Title</h1></header><section>{LONG}</section><section><p>Short.</p></section><ul><li>one</ul><blockquote>said</blockquote><dl><dt>a<dd>b</dl><pre>c</pre></article>", f"Title\n{TEXT}\nShort.\none\nsaid\na\nb\nc"),
+        (f"<main><div><section>{LONG}</section></div><h4>Notes</h4><table><tr><td>a</table></main>", f"{TEXT}\nNotes\na"),
+        (f"<main><h1>T</h1><article>{LONG}</article><p>Note.</p><ul><li><a href=x>next</a></ul></main>", f"T\n{TEXT}\nNote."),
+        (f"<div><div><p>Intro.</p></div><div><div>{LONG}</div><ol><li>one</ol></div><ul><li><a href=x>elsewhere</a></ul></div>", f"Intro.\n{TEXT}\none"),
+        (f"<table><tr><td><p>Head</p></td></tr><tr><td>{LONG}</td><td><ul><li><a href=x>menu</a></ul></td></tr></table>", f"Head\n{TEXT}"),
+    ],
+)
+def test_all_of_an_article_is_kept(page, want):
+    assert html.main_text(page) == want
+
+
 def test_extracted(spark):
     d = spark.read.parquet(str(SF / "pages.parquet"))
     got = {r["page_id"]: r["text"] for r in html.extracted(d.withColumn("text", F.lit(1))).collect()}
