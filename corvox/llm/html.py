@@ -5,7 +5,8 @@ count. Paragraphs pass points for their length and commas to their ancestors, le
 level; a container's points are discounted by its link density. The best container, or the
 article or main that it stands in, is kept whole, with all blocks around it that score well or
 have few links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments are left out by their element, role, class or id wherever they stand.
+comments are left out by their element, role, class or id wherever they stand, but not by a class
+or id alone where the page's article would go with them.
 
 Cases: null or empty html, or no text outside what is left out, gives an empty text. Unclosed
 and misnested elements are closed as the next block element demands. Repeated pages get a row
@@ -34,6 +35,8 @@ BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl
 #: Words of a class or id that tell what is left out.
 UNLIKELY = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidenav comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices banner popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended share sharing social subscribe newsletter signup login search widget pagination pager tags byline print hidden".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Words that go with those of UNLIKELY in one class or id: parts of a page, not what a page has or lacks.
+PARTS = set("site page main primary secondary global mobile desktop article articles post posts entry blog story content body text header head title area box wrap wrapper container inner outer block list item items link links bar section slot unit left right top bottom module panel button buttons group row col column form count is".split())
 LIKELY = set("article content main body text entry post story hentry blog".split())
 CLOSES_P = BLOCK - {"html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -42,35 +45,45 @@ NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "children", "bonus", "points", "size", "linked", "kept")
+    __slots__ = ("tag", "parent", "out", "soft", "children", "bonus", "points", "size", "linked", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, bonus: float = 0.0):
-        self.tag, self.parent, self.out, self.bonus = tag, parent, out, bonus
+    def __init__(self, tag: str, parent: Node | None, out: bool, bonus: float = 0.0, soft: bool = False):
+        self.tag, self.parent, self.out, self.bonus, self.soft = tag, parent, out, bonus, soft
         self.children: list = []  # nodes, and block texts as (text, characters in links)
         self.points = 0.0
         self.size = self.linked = 0
         self.kept = False
 
 
-def left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
-    """Whether an element is left out with all it holds, and its bonus as a container. inside: it stands in an article."""
+def unlikely(name: str) -> bool:
+    """Whether one class or id tells what is left out: all its words are of UNLIKELY or PARTS. has-sidebar, no-nav and hidden-print do not."""
+    parts = [w.lower() for w in NAME.findall(name)]
+    return any(w in UNLIKELY for w in parts) and all(w in UNLIKELY or w in PARTS for w in parts) and (len(parts) == 1 or "print" not in parts)
+
+
+def left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool]:
+    """Whether an element is left out with all it holds, its bonus as a container, and whether its class or id would leave it out. inside: it stands in an article."""
     if tag in OUT or tag == "header" and not inside:
-        return True, 0.0
+        return True, 0.0, False
     bonus = 25.0 if tag in ("article", "main") else 5.0 if tag in ("section", "div") else 0.0
     if not attributes.strip():
-        return False, bonus
+        return False, bonus, False
     own = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").replace(" ", "").lower() or own.get("role", "").lower() in ROLES:
-        return tag not in ("html", "body"), bonus
-    names = {w.lower() for w in NAME.findall(own.get("class", "") + " " + own.get("id", ""))}
-    if names & UNLIKELY and tag not in ("html", "body", "main") and not (tag == "article" and not names & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related"}):
-        return True, 0.0
+        return tag not in ("html", "body"), bonus, False
+    whole = (own.get("class", "") + " " + own.get("id", "")).split()
+    names = {w.lower() for x in whole for w in NAME.findall(x)}
+    bad = [x for x in whole if unlikely(x)] if names & UNLIKELY else []
+    if bad and tag not in ("html", "body", "main") and not any((w := {y.lower() for y in NAME.findall(x)}) and w <= LIKELY for x in whole):
+        if tag != "article" or {w.lower() for x in bad for w in NAME.findall(x)} & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related"}:
+            return False, 0.0, True
     if names & LIKELY or own.get("role", "").lower() in ("main", "article") or own.get("itemprop", "").lower() == "articlebody":
         bonus += 15.0
-    return False, bonus
+    return False, bonus, False
 
 
-def tree(page: str) -> Node:
+def tree(page: str, classes: bool = True) -> Node:
+    """The page's tree. classes: soft marks what classes and ids would leave out; inline elements of that kind are not in the tree."""
     root = Node("#", None, False)
     at, open_, text, links, depth = root, 0, [], 0, 0
 
@@ -139,12 +152,12 @@ def tree(page: str) -> Node:
             inside, node = False, at
             while node is not None and not inside:
                 inside, node = node.tag == "article", node.parent
-            out, bonus = left_out(tag, attributes, inside)
-            child = Node(tag, at, at.out or out, bonus)
+            out, bonus, soft = left_out(tag, attributes, inside)
+            child = Node(tag, at, at.out or out, bonus, soft and classes)
             if not child.out:
                 at.children.append(child)
             at = child
-        elif not at.out and not text and left_out(tag, attributes, True)[0]:
+        elif not at.out and not text and ((got := left_out(tag, attributes, True))[0] or got[2] and classes):
             stop = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, open_)  # an inline advert or the like
             open_ = stop.end() if stop else open_
     while at is not None and at.parent is not None:
@@ -204,14 +217,51 @@ def score(root: Node) -> list[Node]:
     return order
 
 
+def below(root: Node, soft: bool) -> list[Node]:
+    """The nodes at and below root, parents first; soft: those below soft ones too."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        if soft or not node.soft:
+            stack += [x for x in node.children if isinstance(x, Node)]
+    return order
+
+
+def pruned(root: Node) -> None:
+    """Takes soft nodes out of the tree, but not one that holds the page's article: its only article or main, else its only h1, else most of its text where nothing else reads as the article."""
+
+    def seen(nodes: list[Node]) -> tuple[bool, bool, bool, int]:
+        full = [x for x in nodes if x.tag in ("article", "main", "h1") and not x.soft and any(True for _ in texts(x))]
+        size = sum(len(y[0]) for x in nodes for y in x.children if isinstance(y, tuple))
+        return any(x.tag != "h1" for x in full), any(x.tag == "h1" for x in full), any(x.bonus >= 15 for x in nodes), size
+
+    while True:
+        top = below(root, False)
+        soft = [x for x in top if x.soft]
+        if not soft:
+            return
+        article, h1, likely, size = seen([x for x in top if not x.soft])
+        inner = [seen(below(x, True)) for x in soft]
+        total = size + sum(x[3] for x in inner)
+        held = [x for x, (a, h, _, n) in zip(soft, inner, strict=True) if not article and (a or h and not h1 or not h1 and not likely and 2 * n > total)]
+        if not held:
+            for up in {id(x.parent): x.parent for x in soft}.values():
+                up.children = [x for x in up.children if isinstance(x, tuple) or not x.soft]
+            return
+        for x in held:
+            x.soft = False
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return chosen(tree(page))
+    return chosen(tree(page)) or chosen(tree(page, False))
 
 
 def chosen(root: Node) -> str:
     """Main text of a tree."""
+    pruned(root)
     best = max(score(root), key=lambda x: x.points)
     if not best.size:
         return ""

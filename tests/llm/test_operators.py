@@ -199,6 +199,19 @@ def test_all_of_an_article_is_kept(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("tag", ["div class='container has-sidebar'", "div id='page-with-nav'", "div class='content no-sidebar'", "section class='entry hidden-print'", "div class=sidebar", "div class='related comments'", "span class=widget"])
+@pytest.mark.parametrize("inner", [LONG, f"<article>{LONG}</article>", f"<div class=nav><main>{LONG}</main></div>"])
+def test_classes_of_a_wrapper_keep_the_article(tag, inner):
+    assert html.main_text(f"<body><nav>menu</nav><{tag}>{inner}<div class='cookie-notice'>ok</div></{tag.split()[0]}></body>").split("\nok")[0] == TEXT
+
+
+def test_classes_beside_the_article_leave_out():
+    for name in ("sidebar", "comments-area", "main-nav", "site-footer", "related-posts", "adSlot"):
+        assert html.main_text(f"<div class=post><h1>T</h1><p>One, two.</p></div><div class={name}><article class=comment-body>{LONG}</article>{LONG}</div>") == "T\nOne, two."
+    for name in ("ad-hoc", "related-work", "share-price"):
+        assert html.main_text(f"<article><p>One.</p><div class={name}><p>Two.</p></div></article>") == "One.\nTwo."
+
+
 def test_extracted(spark):
     d = spark.read.parquet(str(SF / "pages.parquet"))
     got = {r["page_id"]: r["text"] for r in html.extracted(d.withColumn("text", F.lit(1))).collect()}
