@@ -3,7 +3,8 @@
 Blocks of a text around license cues are compressed alone and with each template as raw
 dictionary. The reduction in size, relative to what the template saves on itself, ranks the
 templates; in that order a template is confirmed when its words, aligned with the block's,
-differ in few enough places. A confirmed passage is taken out of the block, and the rest
+differ in few enough places; where the longest common run leads nowhere, every place of the block
+that holds enough of its words is tried. A confirmed passage is taken out of the block, and the rest
 goes on to the next templates, so that one block can hold several licenses.
 
 Cases: null or empty texts have no rows. Repeated documents have rows each. Case, punctuation
@@ -13,6 +14,8 @@ and spacing do not count as wording.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -66,6 +69,20 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def starts(want: list[str], block: list[str]) -> Iterator[int]:
+    """Where a passage with want's wording could start: its words, in any order, hold enough of want's."""
+    need, have, size, n, end = Counter(want), Counter(), int((1 + OTHER) * len(want)), 0, 0
+    for i, first in enumerate(block):
+        for w in block[end : i + size]:
+            have[w] += 1
+            n += have[w] <= need[w]
+        end = i + size
+        if n >= MATCHED * len(want) and first in need:
+            yield i
+        n -= have[first] <= need[first]
+        have[first] -= 1
+
+
 class Templates:
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         import zstandard as z
@@ -85,7 +102,21 @@ class Templates:
 
     def aligned(self, name: str, block: list[str]) -> tuple[int, int, int] | None:
         """(first word, last word + 1, matched words) of the passage of the block that has the template's wording."""
-        want = self.words[name]
+        want, best = self.words[name], None
+        if got := self.placed(want, block):
+            return got
+        for i in starts(want, block):
+            if best and i >= best[1]:
+                break
+            if got := self.placed(want, block[i : i + int((1 + OTHER) * len(want))]):
+                a, b, n = got
+                if not best or (n, a - b) > (best[2], best[0] - best[1]):
+                    best = i + a, i + b, n
+        return best
+
+    @staticmethod
+    def placed(want: list[str], block: list[str]) -> tuple[int, int, int] | None:
+        """The same at the place of the longest common run."""
         same = [m for m in SequenceMatcher(None, want, block, autojunk=False).get_matching_blocks() if m.size]
         if not same:
             return None

@@ -429,3 +429,13 @@ def test_licenses(spark):
     a, _, _, b = got[4][0] if got[4][0][1].startswith("Apache") else got[4][1]
     assert t[4][a:b] == apache.rstrip(".")
     assert licenses.scanned(spark.createDataFrame([], DOCS)).isEmpty()
+
+
+@pytest.mark.parametrize(("quoted", "changed"), [(0.5, 0.49), (0.45, 0.3), (0.9, 0.5), (0.2, 0.15)])
+def test_license_after_a_quote_of_it(quoted, changed):
+    w = licenses.TEMPLATES["MIT"].split()
+    full = " ".join("changedword" if i == int(changed * len(w)) else x for i, x in enumerate(w))
+    quote = " ".join(w[: int(quoted * len(w))]) if quoted < 0.9 else " ".join(w[5 : int(0.8 * len(w))])
+    for text in (f"{quote} and so on. {full} End", f"{full} End. {quote}", f"{quote} x. {full} y. {quote} z. {full}"):
+        got = [(x[0], text[x[1] : x[2]]) for x in licenses.Templates().found(text)]
+        assert got == [("MIT", full.rstrip("."))] * text.count(full)
