@@ -30,22 +30,27 @@ def s3_flattened_cases(t):
     return files.flattened_cases(cases).select(F.col("case_id").cast("long").alias("event_id"), "vertices", F.col("spacing")[0].alias("spacing"), "voxels", "checks_all")
 
 
+#: Nodes of one graph document; larger cases have several.
+PART = 4096
+
+
 def graphs(t):
-    n, e = tree(t), edges(tree(t))
-    nodes = n.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.struct("id", F.array("x", "y", "z").alias("point_mm"), F.col("radius").alias("radius_mm"), F.lit("b").alias("branch_id"), "generation", F.col("dist").alias("distance_mm"), (F.col("radius") > 1.5).alias("accessible")).alias("v")))), lambda x: x["v"]).alias("nodes"))
-    links = e.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(10.0).alias("length_mm"), F.lit("b").alias("branch_id"), "generation", F.lit(True).alias("accessible")).alias("v")))), lambda x: x["v"]).alias("edges"))
-    return nodes.join(links, "case_id", "left").select("case_id", F.to_json(F.struct("nodes", "edges")).alias("value"))
+    """JSON documents of at most PART nodes and the edges to them, with the places of their first node and edge in the case."""
+    n, e = tree(t).withColumn("part", F.expr(f"n div {PART}")), edges(tree(t)).withColumn("part", F.expr(f"edge_ord div {PART}"))
+    nodes = n.groupBy("case_id", "part").agg(F.min("n").alias("first_node"), F.transform(F.array_sort(F.collect_list(F.struct("n", F.struct("id", F.array("x", "y", "z").alias("point_mm"), F.col("radius").alias("radius_mm"), F.lit("b").alias("branch_id"), "generation", F.col("dist").alias("distance_mm"), (F.col("radius") > 1.5).alias("accessible")).alias("v")))), lambda x: x["v"]).alias("nodes"))
+    links = e.groupBy("case_id", "part").agg((F.min("edge_ord") - 1).alias("first_edge"), F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(10.0).alias("length_mm"), F.lit("b").alias("branch_id"), "generation", F.lit(True).alias("accessible")).alias("v")))), lambda x: x["v"]).alias("edges"))
+    return nodes.join(links, ["case_id", "part"], "left").select("case_id", "first_node", "first_edge", F.to_json(F.struct("nodes", "edges")).alias("value"))
 
 
 @query(f"select case_id, n as node_ord, id, round(x, 6) as x, round(radius, 6) as radius, generation, radius > 1.5 as accessible from {TREE}")
 def s5_graph_nodes(t):
-    g = graphs(t).select("case_id", files.parsed(F.col("value"), files.GRAPH).alias("g")).select("case_id", "g.nodes", "g.edges")
+    g = graphs(t).select("case_id", "first_node", "first_edge", files.parsed(F.col("value"), files.GRAPH).alias("g")).select("case_id", "first_node", "first_edge", "g.nodes", "g.edges")
     return files.graph_nodes(g).select("case_id", F.col("node_ord").cast("long").alias("node_ord"), "id", r6("x").alias("x"), r6("radius").alias("radius"), "generation", "accessible")
 
 
 @query(f"select case_id, n - 1 as edge_ord, parent as src, id as dst, generation from {TREE} where parent is not null")
 def s5_graph_edges(t):
-    g = graphs(t).select("case_id", files.parsed(F.col("value"), files.GRAPH).alias("g")).select("case_id", "g.nodes", "g.edges")
+    g = graphs(t).select("case_id", "first_node", "first_edge", files.parsed(F.col("value"), files.GRAPH).alias("g")).select("case_id", "first_node", "first_edge", "g.nodes", "g.edges")
     return files.graph_edges(g).select("case_id", F.col("edge_ord").cast("long").alias("edge_ord"), "src", "dst", "generation")
 
 

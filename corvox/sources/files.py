@@ -47,14 +47,15 @@ def episodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def graph_nodes(graphs: DataFrame) -> DataFrame:
-    """graphs(case_id, nodes, ...): a row per node with its place in the list."""
-    n = graphs.select("case_id", F.posexplode("nodes").alias("node_ord", "n"))
-    return n.select("case_id", "node_ord", F.col("n.id").alias("id"), *(F.col("n.point_mm")[i].alias(a) for i, a in enumerate("xyz")), F.col("n.radius_mm").alias("radius"), "n.branch_id", "n.generation", F.col("n.distance_mm").alias("dist"), "n.accessible")
+    """graphs(case_id, nodes, ...): a row per node with its place in the list, after first_node others where a case has several documents."""
+    n = graphs.select("case_id", F.col("first_node") if "first_node" in graphs.columns else F.lit(0).alias("first_node"), F.posexplode("nodes").alias("node_ord", "n"))
+    return n.select("case_id", (F.col("first_node") + F.col("node_ord")).alias("node_ord"), F.col("n.id").alias("id"), *(F.col("n.point_mm")[i].alias(a) for i, a in enumerate("xyz")), F.col("n.radius_mm").alias("radius"), "n.branch_id", "n.generation", F.col("n.distance_mm").alias("dist"), "n.accessible")
 
 
 def graph_edges(graphs: DataFrame) -> DataFrame:
-    e = graphs.select("case_id", F.posexplode("edges").alias("edge_ord", "e"))
-    return e.select("case_id", "edge_ord", F.col("e.source").alias("src"), F.col("e.target").alias("dst"), F.col("e.length_mm").alias("length"), "e.branch_id", "e.generation", "e.accessible")
+    """The same of edges and first_edge."""
+    e = graphs.select("case_id", F.col("first_edge") if "first_edge" in graphs.columns else F.lit(0).alias("first_edge"), F.posexplode("edges").alias("edge_ord", "e"))
+    return e.select("case_id", (F.col("first_edge") + F.col("edge_ord")).alias("edge_ord"), F.col("e.source").alias("src"), F.col("e.target").alias("dst"), F.col("e.length_mm").alias("length"), "e.branch_id", "e.generation", "e.accessible")
 
 
 def path_frames(documents: DataFrame, path_id: str | None = None) -> DataFrame:

@@ -100,3 +100,16 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
     files.write_report(n, str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).first()[0] == '{"case_id":"x","dist":1.0,"id":"a","radius":2.0}'
+
+
+def test_graph_documents_are_bounded(spark, monkeypatch):
+    from corvox.plans import records
+
+    monkeypatch.setattr(records, "PART", 7)
+    part = spark.createDataFrame([(k, k % 9, 900.0 + k) for k in range(101)], "p_partkey long, p_size int, p_retailprice double")
+    docs = records.graphs({"part": part}.get).selectExpr("case_id", "json_array_length(get_json_object(value, '$.nodes')) as n").collect()
+    assert len(docs) == 16 and max(r["n"] for r in docs) == 7 and sum(r["n"] for r in docs) == 101
+    nodes = rows(records.s5_graph_nodes({"part": part}.get), "case_id", "node_ord", "id")
+    assert nodes == sorted((k % 4, k // 4, f"n{k // 4}") for k in range(101))
+    edges = rows(records.s5_graph_edges({"part": part}.get), "case_id", "edge_ord", "src", "dst")
+    assert edges == sorted((k % 4, k // 4 - 1, f"n{(k // 4 - 1) // 2}", f"n{k // 4}") for k in range(4, 101))
