@@ -11,13 +11,15 @@ have their anchors at the same place in them and only suffixes at anchors need s
    right of the anchor, and by that left of it read backwards: multikey quicksort on 8-byte
    words to a shallow depth, then a blind trie for each group with a long common prefix. The
    common prefixes of two runs to both sides tell which of their windows are equal.
-4. Runs that share a k-gram with more than GROUP others, which no task should hold, are cut
-   into steps of windows that Spark counts by hash, wide steps first and smaller ones where
-   these leave it open; the result is the same.
+4. Runs that share a k-gram with more than GROUP others, which no task should hold, are split by
+   more of their context: windows are cut into steps by distance from the anchor, steps with the
+   same core form smaller groups, and these are sorted as above or split again.
 5. Each document loses the bytes that its repeated windows cover.
 
 Cases: null text is empty and loses nothing. Texts shorter than LENGTH lose nothing. Rows that
 repeat a document are copies like any others. Rows that share a doc_id are told apart by text.
+Texts of any length are cut into segments for hashing only. Ties of anchors go to the last
+place. An empty table gives an empty result; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from .common import arrow_schema, mix, raw, slices, stored, table
 
 LENGTH, GRAMS = 400, 200
 SHALLOW = 16
-#: Most runs with one k-gram that a task compares.
+#: Most runs that a task sorts together; more are split.
 GROUP = 512
 SEGMENT = 8 << 20
 PLACE = np.uint64((1 << 24) - 1)
@@ -281,8 +283,17 @@ def edges(rows: DataFrame, length: int) -> DataFrame:
 
 
 PIECES = "kh long, c int, lo int, hi int, core long, whole long, id long, th long, a int, s int, n int"
-#: Distances of windows from their anchor that are looked at together, wide ones first.
-WIDTHS = (25, 5, 1)
+#: Distances of windows from their anchor that are looked at together where a group is too large for a task, wide ones first.
+WIDTHS = (64, 16, 4, 1)
+#: Tasks that the rows of one key are dealt to in joins.
+SALTS = 16
+
+
+def met(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows with their row of keys (unique in `on`); the rows of one key, however many, are dealt to SALTS tasks."""
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("id", "th", "s"), F.lit(SALTS)))
+    right = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.join(right, [*on, "salt"], how).drop("salt")
 
 
 def pieces(rows: DataFrame, width: int, before: int, length: int) -> DataFrame:
@@ -310,44 +321,59 @@ def pieces(rows: DataFrame, width: int, before: int, length: int) -> DataFrame:
     return rows.select("kh", "n", "id", "th", "a", "s", "e", "text", "want").mapInArrow(split, PIECES)
 
 
-def counted_windows(rows: DataFrame, length: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """As edges(), for k-grams with many runs: windows are counted by hash, in steps.
+def hot_windows(rows: DataFrame, length: int, grams: int, group: int) -> DataFrame:
+    """As edges(), for k-grams with more than `group` runs, which are split by more context until each part is sorted in a task.
 
-    A step whose whole stretch another run has too is repeated; one whose core no other run
-    has is not; the others go on with a smaller width, beside one run of each repeated stretch
-    that they may share a part with.
+    The windows of a run are cut into steps of `width` distances from the anchor. Equal windows
+    of one step share its core, so runs are grouped by core anew. Equal whole steps are
+    repeated and go on as one; groups of at most `group` different steps are sorted; larger
+    ones are cut into smaller steps. A step of one window is its own core, so all end.
     """
-    run = ["kh", "id", "th", "a", "s"]
+    run, widths = ["kh", "id", "th", "a", "s"], [w for w in WIDTHS if w < grams or w == 1]
     open_, out, before = rows.withColumn("want", F.lit(None).cast("array<struct<c:int,n:int>>")), None, 1
     for width in widths:
         each = stored(pieces(open_, width, before, length), "pieces")
-        whole = stored(each.where("whole is not null").groupBy("kh", "c", "whole").agg(F.sum("n").alias("all"), F.min(F.struct("id", "th", "a", "s")).alias("one")).where("all > 1"), "whole")
-        part = each.where("n = 1").join(whole.select("kh", "c", "whole"), ["kh", "c", "whole"], "left_semi").select("id", "th", (F.col("a") - F.col("hi")).alias("i0"), (F.col("a") - F.col("lo")).alias("i1"))
+        whole = each.where("whole is not null").groupBy("kh", "c", "core", "whole").agg(F.sum("n").cast("int").alias("n"), F.min(F.struct("id", "th", "a", "s", "lo", "hi")).alias("x"))
+        whole = stored(whole, "whole")
+        part = met(each.where("n = 1"), whole.where("n > 1").select("kh", "c", "whole"), ["kh", "c", "whole"], "left_semi").select("id", "th", (F.col("a") - F.col("hi")).alias("i0"), (F.col("a") - F.col("lo")).alias("i1"))
         out = part if out is None else out.union(part)
         if width == widths[-1]:
             return out
-        core = stored(each.groupBy("kh", "c", "core").agg(F.sum("n").alias("all")).where("all > 1").select("kh", "c", "core"), "core")
-        left = each.where("n = 1").join(whole.select("kh", "c", "whole"), ["kh", "c", "whole"], "left_anti").join(core, ["kh", "c", "core"], "left_semi").select(*run, "c", "n")
-        clipped = each.where("n > 1 and whole is null").select(*run, "c", "n")
-        keep = left.union(clipped).union(whole.select("kh", "one.*", "c").select(*run, "c", F.lit(2).alias("n")))
-        want = stored(keep.groupBy(*run).agg(F.collect_list(F.struct("c", "n")).alias("want")), "open")  # the steps of one run
-        open_, before = rows.join(want, run), width
+        kinds = whole.select("kh", "c", "core", "n", "x.*").union(each.where("whole is null").select("kh", "c", "core", "n", "id", "th", "a", "s", "lo", "hi"))
+        several = kinds.groupBy("kh", "c", "core").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("kh", "c", "core", "m")
+        left = stored(met(kinds, several, ["kh", "c", "core"]), "kinds")
+        few = left.where(f"m <= {group}").groupBy(*run).agg(F.collect_list(F.struct(F.xxhash64("kh", "c", "core").alias("kh"), F.least("n", F.lit(2)).cast("long").alias("n"), "a", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo")).alias("e"))).alias("want"))  # the steps of one run
+        out = out.union(edges(steps(rows.select(*run, "text").join(few, run), length), length))
+        want = left.where(f"m > {group}").groupBy(*run).agg(F.collect_list(F.struct("c", F.least("n", F.lit(2)).alias("n"))).alias("want"))
+        open_, before = rows.join(stored(want, "open"), run), width
+
+
+def steps(rows: DataFrame, length: int) -> DataFrame:
+    """Runs of their own, with their bytes, of the wanted steps of rows(kh, id, th, a, s, text, want)."""
+    ddl = "kh long, n long, id long, th long, a int, s int, e int, text binary"
+    schema = arrow_schema(ddl)
+
+    def cut(batches):
+        for part in slices(batches, "text", 1 << 20):
+            out = []
+            for id_, th, s, text, want in zip(*(part.column(c).to_pylist() for c in ("id", "th", "s", "text", "want")), strict=True):
+                out += [(w["kh"], w["n"], id_, th, w["a"], w["s"], w["e"], text[w["s"] - s : w["e"] - s + length]) for w in want]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [[]] * len(schema), schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(cut, ddl)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, grams: int = GRAMS, group: int = GROUP) -> DataFrame:
     """Ranges of repeated windows (FOUND) of docs(id, th, text)."""
     all_ = stored(run_rows(docs, length, grams), "runs")
     often = stored(all_.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), "often")
-    some = stored(all_.join(often, "kh"), "repeated")
-    kinds = some.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a", "s", "e")).alias("x"))
-    kinds = stored(kinds, "kinds")
-    whole = some.join(kinds.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi").select("id", "th", F.col("s").alias("i0"), F.col("e").alias("i1"))
-    several = kinds.groupBy("kh").agg(F.count("*").alias("m"), F.min("n").alias("low")).where("m > 1 and low = 1").select("kh", "m")
-    several = stored(several, "several")
-    open_ = kinds.join(several, "kh").select("kh", "n", "m", "x.*")
-    texts = cut_texts(docs, open_, length)
+    some = stored(met(all_, often, ["kh"]), "repeated")
+    kinds = stored(some.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a", "s", "e")).alias("x")), "kinds")
+    whole = met(some, kinds.where("n > 1").select("kh", "sh"), ["kh", "sh"], "left_semi").select("id", "th", F.col("s").alias("i0"), F.col("e").alias("i1"))
+    several = stored(kinds.groupBy("kh").agg(F.count("*").alias("m"), F.min("n").alias("low")).where("m > 1 and low = 1").select("kh", "m"), "several")
+    texts = cut_texts(docs, met(kinds.select("kh", "n", "x.*"), several, ["kh"]), length)
     small, large = texts.where(f"m <= {group}"), texts.where(f"m > {group}")
-    return whole.union(edges(small, length)).union(counted_windows(large, length))
+    return whole.union(edges(small, length)).union(hot_windows(large, length, grams, group))
 
 
 def cut_texts(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
@@ -408,6 +434,5 @@ def pruned(docs: DataFrame, length: int = LENGTH, grams: int = GRAMS, group: int
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pruned(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
+    """The contract's columns, and the text that is kept (characters cut in part are replaced)."""
+    return pruned(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

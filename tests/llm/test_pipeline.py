@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import documents
-from test_operators import ODD, classes_of, contamination
+from test_llm_operators import ODD, classes_of, contamination
 
 import corpus_pipeline as pipeline
 from corvox.llm import queries, secrets
