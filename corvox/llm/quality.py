@@ -1,15 +1,20 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
 Every text is measured once (words, symbols, repeated lines, repeated word windows). The
-ratios go into histogram sketches per language and source: a value is put in one of a fixed
-set of buckets whose width is at most 1/16 of the value, and a sketch is the count of each
-bucket. Sketches are merged by adding counts, whatever the order, so the same sketches serve
-a source, its language and the whole corpus. A source with too few rows is judged by its
-language's sketch, a language with too few by the corpus's. Thresholds are quartile fences of
-the sketch; documents are then joined with their group's thresholds and filtered.
+rates go into histogram sketches per language and source: a value is put in one of a fixed
+set of buckets whose width is at most 1/128 of the value, and a sketch is the count of each
+bucket, so sketches are merged by adding counts, whatever the order. Each source's sketch is
+merged with its language's and the corpus's, both weighted as PRIOR rows: a source of few rows
+leans on them, one of many goes its own way, by one rule at every size. The quartile fences of
+the merged sketch are the rates that a group allows. A document is rejected where its count
+lies beyond the allowed rate by more than SIGMAS standard deviations of a count of its length
+(control limits), so short texts are not judged by chance. Documents are joined with their
+group's thresholds and filtered.
 
 Cases: null text counts as empty (no words; base_failed). Null lang or source form groups of
-their own. Repeated rows are measured and kept or rejected alike, one result row each.
+their own. Repeated rows and ties are measured and kept or rejected alike, one result row each.
+Texts of any length are measured whole. An empty table gives an empty result. Only doc_id,
+text, lang and source are read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_slices, raw, stored, table
@@ -27,11 +32,13 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WINDOW = 5
 #: Words a document needs, and percent of its words that may stand in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 10, 20
-#: Rows a group needs for thresholds of its own.
-LEAST_ROWS = 200
-#: Fences lie FENCE quartile distances beyond the quartiles, but at least `slack` (per thousand words or lines) beyond.
-FENCE = 3
-MEASURES = {"symbols": 100, "lines": 400, "chars_low": 1500, "chars_high": 3000}
+#: Rows that the language's and the corpus's sketch weigh in a source's; weights are whole numbers of 1 / UNIT rows.
+PRIOR, UNIT = 50, 1000
+#: Fences lie FENCE quartile distances beyond the quartiles; a count may pass them by SIGMAS standard deviations.
+FENCE, SIGMAS = 3, 3
+#: Counted things and what they are counted against; `low` ones are too few below a fence.
+MEASURES = {"symbols": ("n_symbols", "n_words"), "lines": ("n_dup_lines", "n_lines"), "chars": ("word_chars", "n_words")}
+LIMITS = [("symbols", "high"), ("lines", "high"), ("chars", "high"), ("chars", "low")]
 SCHEMA = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
@@ -106,47 +113,53 @@ def measured(docs: DataFrame) -> DataFrame:
     return map_slices(keep, measure_slice, SCHEMA).withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
 
 
-def ratio(name: str) -> Column:
-    """A measure as a whole number per thousand words or lines."""
-    return F.expr({
-        "symbols": "1000 * n_symbols div greatest(n_words, 1)",
-        "lines": "1000 * n_dup_lines div greatest(n_lines, 1)",
-        "chars_low": "1000 * word_chars div greatest(n_words, 1)",
-        "chars_high": "1000 * word_chars div greatest(n_words, 1)",
-    }[name])
+def rate(measure: str) -> str:
+    """A count as a whole number per thousand."""
+    count, of = MEASURES[measure]
+    return f"(1000 * {count} div greatest({of}, 1))"
 
 
-#: The lower edge of a value's bucket: values below 32 stand for themselves, others keep their five leading bits.
 def bucket(x: str) -> str:
-    return f"(case when {x} < 32 then {x} else ({x} div cast(pow(2, length(bin({x})) - 5) as bigint)) * cast(pow(2, length(bin({x})) - 5) as bigint) end)"
+    """The lower edge of a value's bucket: values below 256 stand for themselves, others keep their eight leading bits."""
+    return f"(case when {x} < 256 then {x} else ({x} div shiftleft(1L, length(bin({x})) - 8)) * shiftleft(1L, length(bin({x})) - 8) end)"
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Sketch rows (measure, lang, source, bucket, n) at three levels: source, language (source null, level 1) and corpus (level 2)."""
-    each = rows.where("not base_failed").select("lang", "source", F.explode(F.create_map(*(y for m in MEASURES for y in (F.lit(m), ratio(m))))).alias("measure", "x"))
-    fine = each.groupBy("measure", "lang", "source", F.expr(bucket("x")).alias("bucket")).agg(F.count("*").alias("n"))
-    return fine
+    """Sketch rows (measure, lang, source, bucket, n) of every language and source."""
+    each = rows.where("not base_failed").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.expr(rate(m)).alias("x")) for m in MEASURES))).alias("m")).select("lang", "source", "m.*")
+    return each.groupBy("measure", "lang", "source", F.expr(bucket("x")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """25 % and 75 % points of the sketches merged by keys: lower edge of the bucket in which each falls. A sketch has at most some 1,200 buckets, so these windows are small."""
-    merged = sketch.groupBy("measure", *keys, "bucket").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("measure", *keys)
-    run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
-    return run.groupBy("measure", *keys).agg(at(25).alias("q1"), at(75).alias("q3"), F.max("all").alias("rows"))
+def merged(sketch: DataFrame) -> DataFrame:
+    """Each source's sketch with its language's and the corpus's, each of these weighted as PRIOR rows: rows (measure, lang, source, bucket, n)."""
+    groups = sketch.select("measure", "lang", "source").distinct()
+    by = lambda *keys: sketch.groupBy("measure", *keys, "bucket").agg(F.sum("n").alias("n"))
+    share = lambda part, *keys: part.withColumn("total", F.sum("n").over(Window.partitionBy("measure", *keys))).withColumn("n", F.expr(f"n * {PRIOR * UNIT} div total"))
+    language, corpus = share(by("lang"), "lang"), share(by())
+    g = groups.alias("g")
+    same = (F.col("g.measure") == F.col("p.measure")) & F.col("g.lang").eqNullSafe(F.col("p.lang"))
+    parts = sketch.select("measure", "lang", "source", "bucket", (F.col("n") * UNIT).alias("n"))
+    parts = parts.union(g.join(language.alias("p"), same).select("g.*", "p.bucket", "p.n"))
+    parts = parts.union(g.join(corpus.alias("p"), F.col("g.measure") == F.col("p.measure")).select("g.*", "p.bucket", "p.n"))
+    return parts.groupBy("measure", "lang", "source", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """Thresholds (lang, source, a column per measure) of every group, from the smallest level with LEAST_ROWS rows."""
-    s, g, c = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    pick = lambda k: F.when(F.col("s.rows") >= LEAST_ROWS, F.col(f"s.{k}")).when(F.col("g.rows") >= LEAST_ROWS, F.col(f"g.{k}")).otherwise(F.col(f"c.{k}"))
-    on = (F.col("s.measure") == F.col("g.measure")) & F.col("s.lang").eqNullSafe(F.col("g.lang"))
-    rows = s.alias("s").join(g.alias("g"), on).join(c.alias("c"), F.col("s.measure") == F.col("c.measure")).select("s.measure", "s.lang", "s.source", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    slack = F.create_map(*(F.lit(y) for x in MEASURES.items() for y in x))[F.col("measure")]
-    beyond = F.greatest(FENCE * (F.col("q3") - F.col("q1")), slack)
-    rows = rows.withColumn("fence", F.when(F.col("measure").endswith("_low"), F.col("q1") - beyond).otherwise(F.col("q3") + beyond))
-    return rows.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"fence_{m}") for m in MEASURES))
+    """Allowed rates (lang, source, a column per measure and side) of every group. A sketch has at most some 5,000 buckets, so the windows are small."""
+    w = Window.partitionBy("measure", "lang", "source")
+    run = merged(sketch).withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
+    q = run.groupBy("measure", "lang", "source").agg(at(25).alias("q1"), at(75).alias("q3"))
+    q = q.withColumns({"low": F.col("q1") - FENCE * (F.col("q3") - F.col("q1")), "high": F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))})
+    return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m, side in LIMITS))
+
+
+def beyond(measure: str, side: str) -> str:
+    """Whether a document's count lies beyond its group's allowed rate by more than SIGMAS standard deviations; all in thousandths."""
+    count, of = MEASURES[measure]
+    allowed = f"({measure}_{side} * {of})"
+    gap = f"(1000 * {count} - {allowed})" if side == "high" else f"({allowed} - 1000 * {count})"
+    return f"coalesce({gap} > 0 and cast({gap} as double) * cast({gap} as double) > {SIGMAS * SIGMAS * 1000} * cast({allowed} + 1000 as double), false)"
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -159,11 +172,7 @@ def judged(docs: DataFrame) -> DataFrame:
     limits = fences(sketches(rows))
     on = rows["lang"].eqNullSafe(limits["lang"]) & rows["source"].eqNullSafe(limits["source"])
     both = rows.join(limits, on, "left").drop(limits["lang"]).drop(limits["source"])
-    bad = F.lit(False)
-    for m in MEASURES:
-        beyond = ratio(m) < F.col(f"fence_{m}") if m.endswith("_low") else ratio(m) > F.col(f"fence_{m}")
-        bad = bad | F.coalesce(beyond, F.lit(False))
-    return both.withColumn("kept", ~F.col("base_failed") & ~bad)
+    return both.withColumn("kept", F.expr("not base_failed and not (" + " or ".join(beyond(*x) for x in LIMITS) + ")"))
 
 
 def filtered(docs: DataFrame) -> DataFrame:

@@ -2,36 +2,30 @@
 
 from __future__ import annotations
 
-from .quality import FENCE, LEAST_ROWS, LEAST_WORDS, MEASURES, MOST_REPEATED
+from .quality import FENCE, LEAST_WORDS, LIMITS, MEASURES, MOST_REPEATED, PRIOR, UNIT, beyond
 
 OP1 = """with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n from pages), m as (select *, min(page_id) over (partition by h) as first from p)
 select page_id, n as payload_bytes, sha256(h) as payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id <> first then first end as refers_to from m"""
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-POW = "(1::bigint << (length(bin(x)) - 5))"
-BUCKET = f"(case when x < 32 then x else (x // {POW}) * {POW} end)"
-RATIOS = {"symbols": "1000 * n_symbols // greatest(n_words, 1)", "lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "chars_low": "1000 * word_chars // greatest(n_words, 1)", "chars_high": "1000 * word_chars // greatest(n_words, 1)"}
-
-
-def _quartiles(name: str, keys: str) -> str:
-    by = f"measure{keys}"
-    return f"""{name} as (select {by}, min(bucket) filter (upto * 100 >= total * 25) as q1, min(bucket) filter (upto * 100 >= total * 75) as q3, max(total) as rows from (select *, sum(n) over (partition by {by} order by bucket) as upto, sum(n) over (partition by {by}) as total from (select {by}, bucket, sum(n) as n from sketch group by all)) group by {by})"""
-
-
-SLACK = "case s.measure " + " ".join(f"when '{m}' then {v}" for m, v in MEASURES.items()) + " end"
-PICK = "case when s.rows >= {0} then s.{1} when g.rows >= {0} then g.{1} else c.{1} end"
-BEYOND = " or ".join(f"coalesce({RATIOS[m]} {'<' if m.endswith('_low') else '>'} fence_{m}, false)" for m in MEASURES)
+POW = "(1::bigint << (length(bin(x)) - 8))"
+BUCKET = f"(case when x < 256 then x else (x // {POW}) * {POW} end)"
+RATES = {m: f"1000 * {count} // greatest({of}, 1)" for m, (count, of) in MEASURES.items()}
+SHARE = f"n * {PRIOR * UNIT} // total"
+BEYOND = " or ".join(beyond(*x) for x in LIMITS)
 
 OP2 = rf"""with w as (select doc_id, lang, source, text, {WORDS} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines, row_number() over () as r from documents),
 v as (select r, i, w[i:i + 4] as win from w, lateral (select unnest(range(1, len(w) - 3)) as i)), t as (select r, i from (select r, i, count(*) over (partition by r, win) as c from v) where c > 1),
 k as (select r, count(distinct i + j) as n from t, (values (0), (1), (2), (3), (4)) o(j) group by 1),
 b as (select doc_id, lang, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(k.n, 0)::bigint as n_repeat_words from w left join k using (r)),
 m as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words as base_failed from b),
-x as ({" union all ".join(f"select '{m}' as measure, lang, source, {RATIOS[m]} as x from m where not base_failed" for m in MEASURES)}),
-sketch as (select measure, lang, source, {BUCKET} as bucket, count(*) as n from x group by all),
-{_quartiles('s', ', lang, source')}, {_quartiles('g', ', lang')}, {_quartiles('c', '')},
-q as (select s.measure, s.lang, s.source, {PICK.format(LEAST_ROWS, 'q1')} as q1, {PICK.format(LEAST_ROWS, 'q3')} as q3, {SLACK} as slack from s join g on s.measure = g.measure and s.lang is not distinct from g.lang join c on s.measure = c.measure),
-f as (select lang, source, {", ".join(f"max(case when measure = '{m}' then {'q1 - greatest' if m.endswith('_low') else 'q3 + greatest'}({FENCE} * (q3 - q1), slack) end) as fence_{m}" for m in MEASURES)} from q group by 1, 2)
+x as ({" union all ".join(f"select '{m}' as measure, lang, source, {RATES[m]} as x from m where not base_failed" for m in MEASURES)}),
+sketch as (select measure, lang, source, {BUCKET} as bucket, count(*) as n from x group by all), g as (select distinct measure, lang, source from sketch),
+l as (select *, sum(n) over (partition by measure, lang) as total from (select measure, lang, bucket, sum(n) as n from sketch group by all)), c as (select *, sum(n) over (partition by measure) as total from (select measure, bucket, sum(n) as n from sketch group by all)),
+parts as (select measure, lang, source, bucket, n * {UNIT} as n from sketch union all select g.measure, g.lang, g.source, bucket, {SHARE} from g join l on g.measure = l.measure and g.lang is not distinct from l.lang union all select g.measure, g.lang, g.source, bucket, {SHARE} from g join c on g.measure = c.measure),
+run as (select measure, lang, source, bucket, sum(n) over (partition by measure, lang, source order by bucket) as upto, sum(n) over (partition by measure, lang, source) as total from (select measure, lang, source, bucket, sum(n) as n from parts group by all)),
+q as (select measure, lang, source, min(bucket) filter (upto * 100 >= total * 25) as q1, min(bucket) filter (upto * 100 >= total * 75) as q3 from run group by all),
+f as (select lang, source, {", ".join(f"max(case when measure = '{m}' then {'q1 -' if side == 'low' else 'q3 +'} {FENCE} * (q3 - q1) end) as {m}_{side}" for m, side in LIMITS)} from q group by 1, 2)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({BEYOND}) as kept from m left join f on m.lang is not distinct from f.lang and m.source is not distinct from f.source"""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
