@@ -1,21 +1,25 @@
 """Harmonic packing of token sequences.
 
-Each worker cuts its documents into pieces: whole sequences, then pieces of capacity / 2, / 4
-and so on down to SMALL tokens, then a tail below SMALL. The pieces of a length class fill
-bins with a fixed number of pieces: capacity // length of them, which is exact for the powers
-of two. A worker holds one open bin a class and needs nothing from other workers, so there is
-no shuffle; what its open bins hold at the end is filled up largest first, tails being cut to
-fit, and what remains becomes sequences of power-of-two length, which need no padding. Padding
-is left only in full bins of tails (under SMALL tokens of a sequence).
-
-Cases: null or empty text is the end id alone. Repeated documents are packed each.
-sequence_id is the partition's number times 2^40 plus a running number in it.
+Documents that fit a sequence fall in reciprocal-capacity classes: class k holds lengths above
+capacity / (k + 1), up to capacity / k, and a bin of it is complete with k documents. A worker
+holds one open bin a class and needs nothing from other workers, so there is no shuffle. Longer
+documents have to be cut anyway: their ids are the filling. A complete bin whose documents
+leave room waits for filling of just that length; filling that no bin waits for becomes whole
+sequences. If too many bins wait, the one with most room is taken apart and fills the others.
+What a worker holds at its end becomes sequences of power-of-two length, which need no padding.
+
+Cases: null or empty text is the end id alone. Repeated documents are packed each. Documents of
+equal length tie and stay in the order read. Texts of any length are cut into as many pieces as
+it takes. An empty table gives an empty result; extra columns, whatever their names, are not
+read. sequence_id is the partition's number times 2^40 plus a running number in it.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import insort
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, slices, table
 
-CAPACITY, SMALL, END = 2048, 64, 1
+CAPACITY, END = 2048, 1
+#: Bins that wait for filling, and sequences of filling kept for them, in a worker.
+WAITING, RESERVE = 512, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Characters whose class no version of the Unicode tables disputes.
 PLAIN = re.compile("[\t\n\r -~\xa0-\u024f\u2010-\u2027\u20ac]*+")
@@ -62,68 +68,81 @@ class Encoder:
         return [self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() if f else np.array(next(rest).ids, "<u4").tobytes() for t, f in zip(texts, fast, strict=True)]
 
 
-def cut(n: int, capacity: int = CAPACITY, small: int = SMALL) -> list[int]:
-    """Lengths of the pieces of a document of n tokens."""
-    out, size = [capacity] * (n // capacity), capacity // 2
-    rest = n % capacity
-    while size >= small:
-        if rest & size:
-            out.append(size)
-        size //= 2
-    tail = rest % small
-    return out + [tail] if tail else out
-
-
 class Bins:
-    """A worker's open bins. A piece is (doc, start, length, crc, doc tokens, ids of tails)."""
+    """A worker's open bins, waiting bins and filling. A piece is (doc, start, ids, doc tokens)."""
 
-    def __init__(self, base: int, capacity: int = CAPACITY, small: int = SMALL):
-        self.base, self.capacity, self.small = base, capacity, small
+    def __init__(self, base: int, capacity: int = CAPACITY, waiting: int = WAITING, reserve: int = RESERVE):
+        self.base, self.capacity, self.most, self.reserve = base, capacity, waiting, reserve * capacity
         self.open: dict[int, list] = {}
+        self.waiting: list[tuple[int, list]] = []  # (room, pieces), least room first
+        self.filling: deque = deque()
+        self.have = 0  # tokens of filling
         self.out: list[tuple] = []
 
     def close(self, pieces: list) -> None:
         offset = 0
-        for doc, start, length, crc, total, _ in pieces:
-            self.out.append((doc, start, length, crc, total, self.base, offset))
-            offset += length
+        for doc, start, ids, total in pieces:
+            n = len(ids) // 4
+            self.out.append((doc, start, n, zlib.crc32(ids), total, self.base, offset))
+            offset += n
         self.base += 1
 
-    def add(self, piece: tuple) -> None:
-        length = piece[2]
-        bin_ = self.open.setdefault(length, [])
-        bin_.append(piece)
-        if len(bin_) == self.capacity // length:
-            self.close(bin_)
-            del self.open[length]
+    def add(self, doc: int | None, ids: bytes) -> None:
+        n = len(ids) // 4
+        if n > self.capacity:
+            self.fill([(doc, 0, ids, n)])
+            return
+        k = self.capacity // n
+        bin_ = self.open.setdefault(k, [])
+        bin_.append((doc, 0, ids, n))
+        if len(bin_) == k:
+            del self.open[k]
+            self.wait(bin_)
+
+    def wait(self, pieces: list) -> None:
+        room = self.capacity - sum(len(p[2]) // 4 for p in pieces)
+        if not room:
+            self.close(pieces)
+        elif room <= self.have:
+            self.close(pieces + self.take(room))
+        else:
+            insort(self.waiting, (room, pieces), key=lambda x: x[0])
+            if len(self.waiting) > self.most:
+                self.fill(self.waiting.pop()[1])
+
+    def fill(self, pieces: list) -> None:
+        """Takes pieces as filling and uses what can be used."""
+        self.filling += pieces
+        self.have += sum(len(p[2]) // 4 for p in pieces)
+        while self.waiting and self.waiting[0][0] <= self.have:
+            room, held = self.waiting.pop(0)
+            self.close(held + self.take(room))
+        while self.have > self.reserve:
+            self.close(self.take(self.capacity))
+
+    def take(self, n: int) -> list:
+        """n tokens of filling, the last piece cut to fit."""
+        out, self.have = [], self.have - n
+        while n:
+            doc, start, ids, total = self.filling.popleft()
+            size = len(ids) // 4
+            if size > n:
+                self.filling.appendleft((doc, start + n, ids[4 * n :], total))
+                ids, size = ids[: 4 * n], n
+            out.append((doc, start, ids, total))
+            n -= size
+        return out
 
     def finish(self) -> None:
-        """Packs what the open bins hold, without padding."""
-        left = [p for n in sorted(self.open, reverse=True) for p in self.open[n]]
-        self.open = {}
-        self.fill([p for p in left if p[2] >= self.small])
-        self.fill([p for p in left if p[2] < self.small])
+        """Packs what is left, without padding."""
+        rest = [p for k in sorted(self.open) for p in self.open[k]] + [p for _, held in self.waiting for p in held]
+        self.open, self.waiting, self.reserve = {}, [], self.capacity
+        self.fill(rest)
+        while self.have:
+            self.close(self.take(min(self.capacity, 1 << (self.have.bit_length() - 1))))
 
-    def fill(self, pieces: list) -> None:
-        room = sum(p[2] for p in pieces)
-        pieces = pieces[::-1]
-        while room:
-            size = min(self.capacity, 1 << (room.bit_length() - 1))
-            room -= size
-            now = []
-            while size:
-                piece = pieces.pop()
-                if piece[2] > size:  # only tails, which carry their ids
-                    doc, start, length, _, total, ids = piece
-                    a, b = ids[: 4 * size], ids[4 * size :]
-                    pieces.append((doc, start + size, length - size, zlib.crc32(b), total, b))
-                    piece = (doc, start, size, zlib.crc32(a), total, a)
-                now.append(piece)
-                size -= piece[2]
-            self.close(now)
-
-
-def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, small: int = SMALL, end: int = END) -> DataFrame:
+
+def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Pieces of SCHEMA of docs(doc_id, text); `tokenizer` is a file of the tokenizers library, `ranks` the same vocabulary as a rank file with its split `pattern`; executors can read both."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema, stop = arrow_schema(SCHEMA), np.array([end], "<u4").tobytes()
@@ -134,16 +153,11 @@ def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches):
-        encoder, bins = None, Bins(TaskContext.get().partitionId() << 40, capacity, small)
+        encoder, bins = None, Bins(TaskContext.get().partitionId() << 40, capacity)
         for part in slices(batches, "text", 2 << 20):
             encoder = encoder or Encoder(tokenizer, ranks, pattern)
             for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                ids += stop
-                at, total = 0, len(ids) // 4
-                for n in cut(total, capacity, small):
-                    own = ids[4 * at : 4 * (at + n)]
-                    bins.add((doc, at, n, zlib.crc32(own), total, own if n < small else None))
-                    at += n
+                bins.add(doc, ids + stop)
             yield flush(bins)
         bins.finish()
         yield flush(bins)
