@@ -1,13 +1,15 @@
-"""Token counts of whole texts, huge ones by overlapping chunks.
+"""Token counts of whole texts by overlapping chunks.
 
-A text of more than HUGE characters is encoded in chunks that overlap, each with the offsets
+A text of more than CHUNK characters is encoded in chunks that overlap, each with the offsets
 of its pieces. Two neighbours are spliced at a boundary that both have in the overlap and that
 is proven stable: no piece of the vocabulary holds the two characters on its sides next to
 each other, so no merge crosses it and what lies left and right of it is encoded alike
 whatever else stands there. If an overlap has none, it is widened, up to the rest of the text.
+A text of one chunk has no boundary to splice at.
 
-Cases: null text is empty and has no tokens. A model that normalises texts could join across
-a cut, so its huge texts are encoded whole.
+Cases: null or empty text has no tokens. Texts of any length are counted whole. Repeated rows
+and ties have rows each. An empty table gives an empty result; extra columns, whatever their
+names, are not read. A model that normalises texts could join across a cut and is refused.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_slices, table
 
 LIMIT = 4096
-HUGE, CHUNK, OVERLAP = 40_000, 16_000, 256
+CHUNK, OVERLAP = 4_000, 96
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 SPACE = "▁"
 
@@ -29,15 +31,16 @@ SPACE = "▁"
 class Counter:
     """Counts of tokens by a sentencepiece model file."""
 
-    def __init__(self, path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP):
+    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.huge, self.chunk, self.overlap = huge, chunk, overlap
+        self.chunk, self.overlap = chunk, overlap
         with open(path, "rb") as f:
             spec = proto.ModelProto.FromString(f.read()).normalizer_spec
-        self.exact = not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces:
+            raise ValueError(f"{path} normalises texts, so chunks of a text cannot be spliced")
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size()) if not (self.model.is_control(i) or self.model.is_byte(i) or self.model.is_unknown(i))]
         self.joined = {x[i : i + 2] for x in names for i in range(len(x) - 1)}
 
@@ -52,7 +55,7 @@ class Counter:
         return (a + np.concatenate([[0], points])[ends]).tolist()
 
     def spliced(self, text: str) -> int:
-        """Tokens of a huge text."""
+        """Tokens of a text of several chunks."""
         total, start, a = 0, -1, 0  # counted up to start; the current chunk begins at a
         overlap, b = self.overlap, min(len(text), self.chunk)
         left = self.ends(text, a, b)
@@ -76,9 +79,8 @@ class Counter:
         return total + sum(p > start for p in left)
 
     def count(self, texts: list[str]) -> list[int]:
-        huge = [self.exact and len(t) > self.huge for t in texts]
-        plain = iter(self.model.encode([t for t, h in zip(texts, huge, strict=True) if not h], num_threads=1))
-        return [self.spliced(t) if h else len(next(plain)) for t, h in zip(texts, huge, strict=True)]
+        one = iter(self.model.encode([t for t in texts if len(t) <= self.chunk], num_threads=1))
+        return [self.spliced(t) if len(t) > self.chunk else len(next(one)) for t in texts]
 
 
 def counted(docs: DataFrame, model: str, limit: int = LIMIT, **sizes: int) -> DataFrame:
