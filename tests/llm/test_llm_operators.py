@@ -416,11 +416,46 @@ def test_spans(text, want):
     assert secrets.joined(secrets.spans(text)) == want
 
 
+def cheapest(value, words):
+    """Every segmentation, by the spans' own definitions."""
+    low = value.lower()
+    plain, n = low.translate(secrets.LEET), len(value)
+    days = set(secrets.dates(value))
+
+    def span(i, j):
+        out = []
+        if j == i + 1:
+            out.append(secrets.brute(value[i]))
+        for text in {low[i:j], plain[i:j]}:
+            if text in words:
+                out.append(secrets.START + secrets.word_cost(value[i:j], words[text], text != low[i:j]))
+        if (i, j) in days:
+            out.append(secrets.START + secrets.date_cost(value[i:j]))
+        if any(value[i:j] == value[i - p : j - p] for p in range(1, min(i, j - i) + 1)):
+            out.append(secrets.START + secrets.log(n))
+        if j - i > 2 and all((low[k], low[k + 1]) in secrets.NEAR for k in range(i, j - 1)):
+            out.append(secrets.START + secrets.KEY + secrets.STEP + sum(secrets.step_cost(*low[k : k + 3]) for k in range(i, j - 2)))
+        return min(out, default=float("inf"))
+
+    best = [0.0] + [float("inf")] * n
+    for j in range(1, n + 1):
+        best[j] = min(best[i] + span(i, j) for i in range(j))
+    return best[n]
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     for weak in ("password123", "qwertyuiop", "20200101", "aaaaaaaaaa", "changeme123!", "123456789abc", "abcabcabcabc"):
         assert cost(weak) < 8 < cost("x8$kQz!9mB")
     assert cost("k" * 100_000) < 10
+    words = secrets.ranked(P.path("byte_bpe_50k.tiktoken"))
+    assert len(words) > 10_000 and words["password"] == 1
+    assert cost("company-database", words) < 10 < cost("company-database")
+    r = random.Random(5)
+    parts = ["password", "Dragon", "m0nkey", "2019", "19990131", "31.12.1999", "qwe", "asdf", "zaq1", "ab", "aab", "xyx", "7", "-", "é", "database", "the"]
+    for k in range(300):
+        value = "".join(r.choice(parts) for _ in range(r.randint(1, 6))) if k % 2 else "".join(r.choice("aab1") for _ in range(r.randint(1, 24)))
+        assert abs(cost(value, words) - cheapest(value, words)) < 1e-9, value
 
 
 def test_secret_scan(spark):
