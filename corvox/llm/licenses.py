@@ -2,18 +2,22 @@
 
 Blocks of a text around license cues are compressed alone and with each template as raw
 dictionary. The reduction in size, relative to what the template saves on itself, ranks the
-templates; in that order a template is confirmed when its words, aligned with the block's,
-differ in few enough places; where the longest common run leads nowhere, every place of the block
-that holds enough of its words is tried. A confirmed passage is taken out of the block, and the rest
-goes on to the next templates, so that one block can hold several licenses.
-
-Cases: null or empty texts have no rows. Repeated documents have rows each. Case, punctuation
-and spacing do not count as wording.
+templates; in that order a template is confirmed by the exact differences of its words and the
+aligned passage's: few may be missing or added, none of those that decide (NEEDS), and none of
+those that tell another license (BARS). A block reaches as far from its cue as the longest
+template's passage could, so no passage is cut. Long blocks are read in overlapping windows; of
+passages that overlap, the longest is kept. The time is in proportion to a text's length.
+
+Cases: null or empty texts have no rows. Texts of any length are read whole. Repeated documents
+have rows each; equal reductions tie by the template's name. Case, punctuation and spacing do
+not count as wording. An empty table gives an empty result; extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -26,27 +30,44 @@ from .common import map_slices, table
 
 SCHEMA = "doc_id long, license string, start long, end long, size_alone long, size_with long, n_words long, n_matched long, n_other long, exact boolean"
 
-# Wordings of license notices.
+# Wordings of license texts and notices.
+SOURCE = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 TEMPLATES = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MIT-notice": "Released under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": f"{SOURCE} {AS_IS}",
+    "BSD-3-Clause": f"{SOURCE} {ENDORSE} {AS_IS}",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+#: The licenses of one family have one wording, with their own name, version and reach.
+FAMILY = [("GPL", "General", "2"), ("GPL", "General", "3"), ("LGPL", "Lesser General", "2.1"), ("LGPL", "Lesser General", "3"), ("AGPL", "Affero General", "3")]
+for short, kind, version in FAMILY:
+    name, title = f"{short}-{version if '.' in version else version + '.0'}", f"GNU {kind} Public License"
+    grant = f"you can redistribute it and/or modify it under the terms of the {title}"
+    TEMPLATES |= {
+        f"{name}-or-later": f"{grant} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+        f"{name}-only": f"{grant} version {version} as published by the Free Software Foundation.",
+        f"{name}-notice": f"licensed under the {title}, version {version}.",
+        f"{name}-only-notice": f"licensed under the {title}, version {version} only.",
+        f"{name}-or-later-notice": f"licensed under the {title}, version {version} or later.",
+    }
+#: Words of which each must be matched, by parts of a template's name, and words that the passage must not hold.
+NEEDS = {"BSD-3": "endorse promote", "MIT": "mit", "Apache": "apache", "SA": "sharealike", "NC": "nc", "GPL": "gnu general public", "LGPL": "lesser", "AGPL": "affero", "later": "later", "only-notice": "only", "MPL": "mozilla"}
+BARS = {"BSD-2": "endorse promote advertising", "GPL": "lesser library affero", "LGPL": "affero", "AGPL": "lesser library", "only": "later", "BY-4": "sharealike noncommercial noderivatives nonderivs", "BY-SA": "noncommercial"}
+#: Words right after a notice that make it another one.
+TAILS = [("only",), ("or", "later"), ("or", "any", "later"), ("or", "newer")]
 CUE = re.compile(r"licen[sc]e|licen[sc]ing|hereby granted|redistribut|public domain|creative commons", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-#: Characters that a block reaches before and after a cue.
-BEFORE, AFTER = 400, 900
 #: Share of the template's own saving that makes a candidate; share of its words that must match, and of other words among them.
 RANKED, MATCHED, OTHER = 0.3, 0.9, 0.1
 
@@ -55,18 +76,12 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0], m.start(), m.end()) for m in WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Stretches around the cues, cut at spaces, overlapping ones joined."""
-    out: list[tuple[int, int]] = []
-    for m in CUE.finditer(text):
-        a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
-        a = text.rfind(" ", 0, a) + 1
-        b = end if (end := text.find(" ", b)) >= 0 else len(text)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def deciding(name: str, want: set[str]) -> tuple[set[str], set[str]]:
+    """Words that a passage of the template must and must not have."""
+    parts = {name, *name.split("-"), *("-".join(name.split("-")[i:j]) for i in range(9) for j in range(i + 2, 9))}
+    pick = lambda table: {w for k, v in table.items() if k in parts or "-" in k and any(p.startswith(k) for p in parts) for w in v.split()}
+    versions = {w for w in want if re.fullmatch(r"\d+(\.\d+)*", w) and w in re.findall(r"\d+(?:\.\d+)*", name.replace(".0", "")) + re.findall(r"\d+(?:\.\d+)*", name)}
+    return (pick(NEEDS) & want) | versions, pick(BARS) - want
 
 
 def starts(want: list[str], block: list[str]) -> Iterator[int]:
@@ -88,11 +103,32 @@ class Templates:
         import zstandard as z
 
         self.words = {k: [w for w, _, _ in words(t)] for k, t in templates.items()}
+        self.deciding = {k: deciding(k, set(w)) for k, w in self.words.items()}
+        self.reach = int((1 + OTHER) * max(map(len, self.words.values()))) + 1
         folded = {k: " ".join(w).encode() for k, w in self.words.items()}
         self.plain = z.ZstdCompressor(level=3, write_content_size=False)
         self.by = {k: z.ZstdCompressor(level=3, write_content_size=False, dict_data=z.ZstdCompressionDict(t, dict_type=z.DICT_TYPE_RAWCONTENT)) for k, t in folded.items()}
         self.saves = {k: len(self.plain.compress(t)) - len(self.by[k].compress(t)) for k, t in folded.items()}
 
+    def windows(self, text: str) -> Iterator[list[tuple[str, int, int]]]:
+        """The words around the text's cues: blocks that reach as far as a passage with the cue can, in windows that share that much with the next one."""
+        cues = [m.start() for m in CUE.finditer(text)]
+        if not cues:
+            return
+        run = words(text)
+        at = [a for _, a, _ in run]
+        blocks: list[list[int]] = []
+        for c in cues:
+            i = max(0, bisect_right(at, c) - 1)
+            if blocks and i - self.reach <= blocks[-1][1]:
+                blocks[-1][1] = i + self.reach
+            else:
+                blocks.append([max(0, i - self.reach), i + self.reach])
+        for a, b in blocks:
+            b = min(b, len(run))
+            for i in range(a, max(b - self.reach, a + 1), 3 * self.reach):
+                yield run[i : min(b, i + 4 * self.reach)]
+
     def ranked(self, block: list[str]) -> list[tuple[str, int, int]]:
         """(template, size alone, size with it) of the candidates, largest reduction first."""
         data = " ".join(block).encode()
@@ -101,36 +137,47 @@ class Templates:
         return sorted(((k, alone, n) for k, n in with_.items() if alone - n >= RANKED * self.saves[k]), key=lambda x: (x[2] - x[1], x[0]))
 
     def aligned(self, name: str, block: list[str]) -> tuple[int, int, int] | None:
-        """(first word, last word + 1, matched words) of the passage of the block that has the template's wording."""
-        want, best = self.words[name], None
-        if got := self.placed(want, block):
-            return got
+        """(first word, last word + 1, matched words) of the first passage of the block that has the template's wording."""
+        want = self.words[name]
+        size, slack, wide, best = int((1 + OTHER) * len(want)), max(1, int(OTHER * len(want))), 0, None
         for i in starts(want, block):
             if best and i >= best[1]:
                 break
-            if got := self.placed(want, block[i : i + int((1 + OTHER) * len(want))]):
-                a, b, n = got
-                if not best or (n, a - b) > (best[2], best[0] - best[1]):
-                    best = i + a, i + b, n
+            tries = [size] if i < wide else [size + slack, size]
+            wide = wide if i < wide else i + slack
+            for n in tries:
+                if got := self.placed(name, block, i, i + n):
+                    while (more := self.placed(name, block, max(0, got[0] - slack - 1), got[1] + slack + 1)) and more[2] > got[2]:
+                        got = more  # the passage grows as long as more of the template aligns
+                    if n > size:
+                        return got
+                    if not best or (got[2], got[0] - got[1]) > (best[2], best[0] - best[1]):
+                        best = got
         return best
 
-    @staticmethod
-    def placed(want: list[str], block: list[str]) -> tuple[int, int, int] | None:
-        """The same at the place of the longest common run."""
-        same = [m for m in SequenceMatcher(None, want, block, autojunk=False).get_matching_blocks() if m.size]
+    def placed(self, name: str, block: list[str], low: int, high: int) -> tuple[int, int, int] | None:
+        """The same for block[low:high], at the place of the longest common run."""
+        want = self.words[name]
+        same = [m for m in SequenceMatcher(None, want, block[low:high], autojunk=False).get_matching_blocks() if m.size]
         if not same:
             return None
         longest = max(same, key=lambda m: m.size)
         off, slack = longest.b - longest.a, max(3, len(want) // 4)
         same = [m for m in same if abs(m.b - m.a - off) <= slack]
-        a, b, n = same[0].b, same[-1].b + same[-1].size, sum(m.size for m in same)
-        return (a, b, n) if n >= MATCHED * len(want) and b - a - n <= OTHER * len(want) else None
+        a, b, n = low + same[0].b, low + same[-1].b + same[-1].size, sum(m.size for m in same)
+        if n < MATCHED * len(want) or b - a - n > OTHER * len(want):
+            return None
+        needs, bars = self.deciding[name]
+        hit = {w for m in same for w in want[m.a : m.a + m.size]}
+        if needs - hit or bars & set(block[a:b]) or ("only" in name or "notice" in name) and any(tuple(block[b : b + len(x)]) == x for x in TAILS):
+            return None
+        return a, b, n
 
     def found(self, text: str) -> list[tuple]:
         """(license, start, end, size alone, size with, template words, matched words, other words, exact) in order of start."""
         out = []
-        for a, b in blocks(text):
-            left = [words(text[a:b])]
+        for window in self.windows(text):
+            left = [window]
             while left:
                 run = left.pop()
                 block = [w for w, _, _ in run]
@@ -138,10 +185,17 @@ class Templates:
                     # of templates that are found, one that holds another's wording is tried first by its larger reduction
                     if got := self.aligned(name, block):
                         i, j, n = got
-                        out.append((name, a + run[i][1], a + run[j - 1][2], alone, with_, len(self.words[name]), n, j - i - n, n == len(self.words[name]) == j - i))
+                        out.append((name, run[i][1], run[j - 1][2], alone, with_, len(self.words[name]), n, j - i - n, n == len(self.words[name]) == j - i))
                         left += [run[:i], run[j:]]
                         break
-        return sorted(out, key=lambda x: (x[1], x[0]))
+        keep: list[tuple] = []
+        for x in sorted(set(out), key=lambda x: (x[1], -x[2], x[0])):
+            if keep and x[1] < keep[-1][2]:
+                if x[2] - x[1] > keep[-1][2] - keep[-1][1]:
+                    keep[-1] = x
+            else:
+                keep.append(x)
+        return keep
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

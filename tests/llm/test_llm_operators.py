@@ -486,23 +486,73 @@ def test_values_that_patterns_cover_in_part(text, want, safe):
 
 
 def test_licenses(spark):
-    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0-notice"]
+    mit, apache = licenses.TEMPLATES["MIT-grant"], licenses.TEMPLATES["Apache-2.0-notice"]
     changed = mit.replace("free of charge", "without charge")
     t = ["", None, prose(500, 1) + " " + mit.upper() + "\n" + prose(20, 2), changed, "x. " + apache + " y. Released under the  MIT license", "a license is needed", prose(50, 3)]
     got = {}
     for r in licenses.scanned(documents(spark, t)).collect():
         got.setdefault(r["doc_id"], []).append((r["start"], r["license"], r["exact"], r["end"]))
-    assert {i: [x[1:3] for x in sorted(v)] for i, v in got.items()} == {2: [("MIT", True)], 3: [("MIT", False)], 4: [("Apache-2.0-notice", True), ("MIT-notice", True)]}
+    assert {i: [x[1:3] for x in sorted(v)] for i, v in got.items()} == {2: [("MIT-grant", True)], 3: [("MIT-grant", False)], 4: [("Apache-2.0-notice", True), ("MIT-notice", True)]}
     a, _, _, b = got[4][0] if got[4][0][1].startswith("Apache") else got[4][1]
     assert t[4][a:b] == apache.rstrip(".")
     assert licenses.scanned(spark.createDataFrame([], DOCS)).isEmpty()
 
 
+def test_license_labels():
+    t = licenses.Templates()
+    labels = lambda text: [(x[0], x[8]) for x in t.found(text)]
+    for name, text in licenses.TEMPLATES.items():
+        assert labels(text) == [(name, True)], name
+        assert labels(prose(2000, 1) + " " + text.upper() + " " + prose(2000, 2)) == [(name, True)], name
+    bsd = licenses.TEMPLATES["BSD-2-Clause"].split()
+    assert labels(" ".join(bsd[: len(bsd) // 2])) == []
+    assert labels(licenses.TEMPLATES["GPL-2.0-or-later"].replace("GNU General", "GNU Lesser General")) == []
+    assert labels(licenses.TEMPLATES["LGPL-2.1-or-later"].replace("2.1", "2")) == []
+    assert labels(licenses.TEMPLATES["GPL-2.0-only"] + " or any later version") == []
+    assert labels("It is licensed under the GNU General Public License, version 2 or later") == [("GPL-2.0-or-later-notice", True)]
+    assert labels("It is licensed under the GNU General Public License, version 2 only.") == [("GPL-2.0-only-notice", True)]
+    many = (licenses.TEMPLATES["MIT"] + " " + prose(30, 3) + " ") * 40
+    assert labels(many) == [("MIT", True)] * 40
+
+
+def place(t, name, block):
+    """Every stretch of the block, by the longest common subsequence with the template."""
+    want = t.words[name]
+    best = 0
+    for a in range(len(block)):
+        row = [0] * (len(want) + 1)
+        for b in range(a, min(len(block), a + int(1.1 * len(want)) + 1)):
+            new = [0]
+            for k, w in enumerate(want):
+                new.append(row[k] + 1 if w == block[b] else max(row[k + 1], new[k]))
+            row = new
+            if block[a] in want and block[b] in want and row[-1] >= licenses.MATCHED * len(want) and b + 1 - a - row[-1] <= licenses.OTHER * len(want):
+                best = max(best, row[-1])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_license_places_against_brute_force(seed):
+    """Short made-up templates with words left out, added and changed."""
+    r = random.Random(seed)
+    texts = {f"T{k}": "license " + prose(r.randint(25, 40), 50 * seed + k) for k in range(3)}
+    t = licenses.Templates(texts)
+    for _ in range(12):
+        name = r.choice(list(texts))
+        w = texts[name].split()
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(w))
+            w[k : k + r.randint(0, 1)] = r.choice([[], [prose(1, r.random())]])
+        block = prose(r.randint(0, 60), r.random()).split() + w + prose(r.randint(0, 60), r.random()).split()
+        got = t.aligned(name, block)
+        assert (got[2] if got else 0) == place(t, name, block)
+
+
 @pytest.mark.parametrize(("quoted", "changed"), [(0.5, 0.49), (0.45, 0.3), (0.9, 0.5), (0.2, 0.15)])
 def test_license_after_a_quote_of_it(quoted, changed):
-    w = licenses.TEMPLATES["MIT"].split()
+    w = licenses.TEMPLATES["MIT-grant"].split()
     full = " ".join("changedword" if i == int(changed * len(w)) else x for i, x in enumerate(w))
     quote = " ".join(w[: int(quoted * len(w))]) if quoted < 0.9 else " ".join(w[5 : int(0.8 * len(w))])
     for text in (f"{quote} and so on. {full} End", f"{full} End. {quote}", f"{quote} x. {full} y. {quote} z. {full}"):
         got = [(x[0], text[x[1] : x[2]]) for x in licenses.Templates().found(text)]
-        assert got == [("MIT", full.rstrip("."))] * text.count(full)
+        assert got == [("MIT-grant", full.rstrip("."))] * text.count(full)
