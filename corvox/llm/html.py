@@ -10,7 +10,9 @@ or id alone where the page's article would go with them.
 
 Cases: null or empty html, or no text outside what is left out, gives an empty text. Unclosed
 and misnested elements are closed as the next block element demands. Repeated pages get a row
-each.
+each; of containers with equal points the outer, earlier one is taken. Pages of any length are
+read whole. An empty table gives an empty result; extra columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl
 #: Words of a class or id that tell what is left out.
 UNLIKELY = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidenav comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices banner popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended share sharing social subscribe newsletter signup login search widget pagination pager tags byline print hidden".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Words of UNLIKELY that inside an article can name a part of its text as well: there they leave out only what has many links.
+DOUBTFUL = set("notice notices tags banner byline print hidden related comment reply replies respond discussion menu navigation share".split())
 #: Words that go with those of UNLIKELY in one class or id: parts of a page, not what a page has or lacks.
 PARTS = set("site page main primary secondary global mobile desktop article articles post posts entry blog story content body text header head title area box wrap wrapper container inner outer block list item items link links bar section slot unit left right top bottom module panel button buttons group row col column form count is".split())
 LIKELY = set("article content main body text entry post story hentry blog".split())
@@ -45,14 +49,13 @@ NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "soft", "children", "bonus", "points", "size", "linked", "kept")
+    __slots__ = ("tag", "parent", "out", "soft", "children", "bonus", "points", "size", "linked")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, bonus: float = 0.0, soft: bool = False):
         self.tag, self.parent, self.out, self.bonus, self.soft = tag, parent, out, bonus, soft
         self.children: list = []  # nodes, and block texts as (text, characters in links)
         self.points = 0.0
         self.size = self.linked = 0
-        self.kept = False
 
 
 def unlikely(name: str) -> bool:
@@ -61,8 +64,8 @@ def unlikely(name: str) -> bool:
     return any(w in UNLIKELY for w in parts) and all(w in UNLIKELY or w in PARTS for w in parts) and (len(parts) == 1 or "print" not in parts)
 
 
-def left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool]:
-    """Whether an element is left out with all it holds, its bonus as a container, and whether its class or id would leave it out. inside: it stands in an article."""
+def left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool | None]:
+    """Whether an element is left out with all it holds, its bonus as a container, and whether its class or id would leave it out (None: where it has many links). inside: it stands in an article."""
     if tag in OUT or tag == "header" and not inside:
         return True, 0.0, False
     bonus = 25.0 if tag in ("article", "main") else 5.0 if tag in ("section", "div") else 0.0
@@ -74,6 +77,8 @@ def left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool
     whole = (own.get("class", "") + " " + own.get("id", "")).split()
     names = {w.lower() for x in whole for w in NAME.findall(x)}
     bad = [x for x in whole if unlikely(x)] if names & UNLIKELY else []
+    if inside and all({w.lower() for w in NAME.findall(x)} & UNLIKELY <= DOUBTFUL for x in bad):
+        return False, bonus, None if bad else False
     if bad and tag not in ("html", "body", "main") and not any((w := {y.lower() for y in NAME.findall(x)}) and w <= LIKELY for x in whole):
         if tag != "article" or {w.lower() for x in bad for w in NAME.findall(x)} & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related"}:
             return False, 0.0, True
@@ -82,10 +87,20 @@ def left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool
     return False, bonus, False
 
 
+def after(page: str, tag: str, at: int) -> int:
+    """Where the element that was opened before `at` ends; `at` if it is not closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?:\s[^>]*)?>", re.IGNORECASE).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return at
+
+
 def tree(page: str, classes: bool = True) -> Node:
     """The page's tree. classes: soft marks what classes and ids would leave out; inline elements of that kind are not in the tree."""
     root = Node("#", None, False)
-    at, open_, text, links, depth = root, 0, [], 0, 0
+    at, open_, text, links, link = root, 0, [], 0, None  # link: the node in which an open <a> began
 
     def flush() -> None:
         nonlocal text, links
@@ -97,9 +112,12 @@ def tree(page: str, classes: bool = True) -> Node:
             text, links = [], 0
 
     def close(node: Node) -> None:
-        nonlocal at
+        nonlocal at, link
         flush()
-        at = node.parent
+        up = link
+        while up is not None and up is not node:
+            up = up.parent
+        at, link = node.parent, None if up is node else link
 
     end = len(page)
     while open_ < end:
@@ -108,7 +126,7 @@ def tree(page: str, classes: bool = True) -> Node:
         if piece and not at.out:
             piece = entities.unescape(piece) if "&" in piece else piece
             text.append(piece)
-            if depth:
+            if link:
                 links += len(piece.strip())
         if not m:
             break
@@ -120,7 +138,7 @@ def tree(page: str, classes: bool = True) -> Node:
         if tag == "br":
             text.append(" ")
         elif tag == "a":
-            depth = 0 if closing else 1
+            link = None if closing else at
         elif tag in VOID:
             if tag == "hr":
                 flush()
@@ -133,7 +151,6 @@ def tree(page: str, classes: bool = True) -> Node:
                     node = node.parent
                 if node.parent is not None and node.tag == tag:
                     close(node)
-                    depth = 0
         elif tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, open_)
             open_ = stop.end() if stop else end if tag != "title" else open_
@@ -153,13 +170,12 @@ def tree(page: str, classes: bool = True) -> Node:
             while node is not None and not inside:
                 inside, node = node.tag == "article", node.parent
             out, bonus, soft = left_out(tag, attributes, inside)
-            child = Node(tag, at, at.out or out, bonus, soft and classes)
+            child = Node(tag, at, at.out or out, bonus, soft if classes else False)
             if not child.out:
                 at.children.append(child)
             at = child
-        elif not at.out and not text and ((got := left_out(tag, attributes, True))[0] or got[2] and classes):
-            stop = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, open_)  # an inline advert or the like
-            open_ = stop.end() if stop else open_
+        elif not at.out and ((got := left_out(tag, attributes, True))[0] or got[2] and classes):
+            open_ = after(page, tag, open_)  # an inline advert or the like
     while at is not None and at.parent is not None:
         close(at)
     flush()
@@ -208,10 +224,8 @@ def score(root: Node) -> list[Node]:
                     up.points += gain / (1, 2, 6, 9, 12)[level]
                     up, level = holder(up.parent), level + 1
     for node in reversed(order):
-        for x in node.children:
-            a, b = (len(x[0]), x[1]) if isinstance(x, tuple) else (x.size, x.linked)
-            node.size += a
-            node.linked += b
+        node.size = sum(len(x[0]) if isinstance(x, tuple) else x.size for x in node.children)
+        node.linked = sum(x[1] if isinstance(x, tuple) else x.linked for x in node.children)
     for node in order:
         node.points = (node.points + (node.bonus if node.points > 0 else 0)) * (1 - node.linked / node.size) if node.size else 0.0
     return order
@@ -236,6 +250,11 @@ def pruned(root: Node) -> None:
         size = sum(len(y[0]) for x in nodes for y in x.children if isinstance(y, tuple))
         return any(x.tag != "h1" for x in full), any(x.tag == "h1" for x in full), any(x.bonus >= 15 for x in nodes), size
 
+    for x in reversed(below(root, True)):
+        x.size = sum(len(y[0]) if isinstance(y, tuple) else y.size for y in x.children)
+        x.linked = sum(y[1] if isinstance(y, tuple) else y.linked for y in x.children)
+        if x.soft is None:
+            x.soft = 4 * x.linked >= x.size > 0
     while True:
         top = below(root, False)
         soft = [x for x in top if x.soft]

@@ -212,8 +212,28 @@ def test_classes_beside_the_article_leave_out():
         assert html.main_text(f"<article><p>One.</p><div class={name}><p>Two.</p></div></article>") == "One.\nTwo."
 
 
-def test_extracted(spark):
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>A <span class=ad>buy <span>now</span> here</span>b.</p><p><span class=ad>buy</span>c.</p>{LONG}</article>", f"A b.\nc.\n{TEXT}"),
+        (f"<article><p class=notice>Read this first.</p><div class='print-area tags'>{LONG}</div><div class=tags><a href=x>one</a> <a href=y>two</a></div></article>", f"Read this first.\n{TEXT}"),
+        (f"<div>{LONG}</div><div><a href=x><div>One thing</div> and more, and more, and more, and more</a></div>", TEXT),
+        (f"<div><div>{LONG}<div>{LONG}</div></div></div><div><ul><li><a href=x>{TEXT}</a></li></ul></div>", f"{TEXT}\n{TEXT}"),
+        (f"<div><p>{'<b>' * 3000}deep{'</b>' * 3000}</p>{'<div>' * 3000}{LONG}{'</div>' * 3000}</div>", f"deep\n{TEXT}"),
+        ("<p>" + "a, " * 200_000, ("a, " * 200_000).strip()),
+        ("", ""),
+        (None, ""),
+    ],
+)
+def test_links_adverts_and_doubtful_classes(page, want):
+    assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section", "td"])
+def test_extracted(spark, tag):
+    """Also with the pages' articles made plain containers, so that only the scores tell them."""
     d = spark.read.parquet(str(SF / "pages.parquet"))
+    d = d.withColumn("html", F.regexp_replace("html", "<(/?)article>", f"<$1{tag}>"))
     got = {r["page_id"]: r["text"] for r in html.extracted(d.withColumn("text", F.lit(1))).collect()}
     for page, body in duckdb.sql(f"select page_id, html from '{SF}/pages.parquet'").fetchall():
         inner = body[body.index("<article>") : body.index("</article>")]
@@ -221,6 +241,7 @@ def test_extracted(spark):
         from html import unescape
 
         assert got[page] == "\n".join(x for x in (" ".join(unescape(y).split()) for y in inner.split("\n")) if x)
+    assert html.extracted(d.limit(0)).isEmpty()
 
 
 # Decontamination
