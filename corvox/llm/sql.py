@@ -5,7 +5,7 @@ from __future__ import annotations
 from .quality import FENCE, LEAST_WORDS, LIMITS, MEASURES, MOST_REPEATED, PRIOR, UNIT, beyond
 
 OP1 = """with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n from pages), m as (select *, min(page_id) over (partition by h) as first from p)
-select page_id, n as payload_bytes, sha256(h) as payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id <> first then first end as refers_to from m"""
+select page_id, n as payload_bytes, sha256(h) as payload_digest, case when n >= 100 and first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id is distinct from first then first end as refers_to from m"""
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 POW = "(1::bigint << (length(bin(x)) - 8))"

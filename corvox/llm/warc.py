@@ -15,8 +15,10 @@ shuffle; payloads are not shuffled unless the table of revisits is beyond Spark'
 size, and then by page_id.
 
 Cases: null html is an empty payload; null url an empty target. Rows that repeat both page_id
-and payload tie: all of them are responses. A null page_id never is the smallest one unless
-all copies have none; then each of them is a response.
+and payload tie: if theirs is the smallest page_id, all of them are responses. A null page_id
+never is the smallest one; a copy without page_id revisits the smallest that has one, and if
+none has, each of them is a response. Payloads of any length are one record. An empty table
+gives archives without records; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -58,6 +60,14 @@ def record(kind: str, page: int | None, url: str, payload: bytes, size: int, dig
     return pack.compress(body) + pack.flush()
 
 
+def info() -> bytes:
+    """The record that an archive begins with; it is not in the index."""
+    text = b"software: corvox\r\nformat: WARC File Format 1.1\r\n"
+    lines = [b"WARC/1.1", b"WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>".encode(), b"WARC-Date: 1970-01-01T00:00:00Z", b"Content-Type: application/warc-fields", b"Content-Length: %d" % len(text)]
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return pack.compress(b"\r\n".join([*lines, b"", text]) + b"\r\n\r\n") + pack.flush()
+
+
 def number(text: bytes) -> int | None:
     part = text.removeprefix(b"<urn:page:").removesuffix(b">")
     return int(part) if part else None
@@ -83,8 +93,8 @@ def revisits(pages: DataFrame) -> DataFrame:
     """(page_id, digest, refers_to) of the pages that repeat another's payload."""
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("size")).where(f"size >= {LEAST_BYTES}").select("page_id", "digest")
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return stored(rows.join(first, "digest").where("page_id <> refers_to").distinct(), "revisits")
+    first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    return stored(rows.join(first, "digest").where("not (page_id <=> refers_to)").distinct(), "revisits")
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -92,7 +102,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, archive_bytes: int =
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     folder = folder or scratch(pages.sparkSession, "warc")
     seen = revisits(pages)
-    rows = pages.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).join(seen, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    rows = pages.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    same = rows["page_id"].eqNullSafe(seen["page_id"]) & (rows["digest"] == seen["digest"])
+    rows = rows.join(seen, same, "left").select(*(rows[c] for c in ("page_id", "url", "html", "digest")), "refers_to")
     schema = arrow_schema(INDEX)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +118,10 @@ def write_warc(pages: DataFrame, folder: str | None = None, archive_bytes: int =
                     if out is None or at >= archive_bytes:
                         if out is not None:
                             out.close()
-                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        name, head = f"{uuid.uuid4().hex}.warc.gz", info()
                         out = files.open_output_stream(f"{base}/{name}", compression=None)
+                        out.write(head)
+                        at = len(head)
                     payload = html.encode()
                     member = record("response" if refers is None else "revisit", page, url or "", payload, len(payload), digest, refers)
                     out.write(member)

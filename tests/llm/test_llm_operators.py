@@ -31,17 +31,18 @@ def texts():
 
 def test_warc_round_trip(spark):
     long = "<p>" + "x" * 120 + "</p>"
-    rows = [(5, "http://b/", long), (3, None, long), (9, "http://c/\r\nX: y", long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", "a\r\n\r\nb" * 40), (7, "ü", "é" * 60), (7, "ü", "é" * 60), (8, "u", "é" * 60)]
+    rows = [(5, "http://b/", long), (3, None, long), (9, "http://c/\r\nX: y", long), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", "a\r\n\r\nb" * 40), (7, "ü", "é" * 60), (7, "ü", "é" * 60), (8, "u", "é" * 60), (None, "n", long), (None, "n", "z" * 100), (None, "m", "z" * 100)]
     pages = spark.createDataFrame([(*r, "d", 1) for r in rows], "page_id long, url string, html string, digest string, offset int").repartition(3)
     index = warc.write_warc(pages, archive_bytes=300)
     got = warc.read_warc(index, gap=0, span=500).collect()
     assert len(got) == len(rows) == index.count()
     by = {}
     for page, _, body in rows:
-        by.setdefault(body or "", []).append(page)
+        by.setdefault(hashlib.sha256((body or "").encode()).hexdigest(), []).append((page, body or ""))
+    assert sorted(str((r["page_id"], r["payload_digest"])) for r in got) == sorted(str((p, d)) for d, ps in by.items() for p, _ in ps)
     for r in got:
-        want = [b or "" for p, _, b in rows if p == r["page_id"]][0].encode()
-        first = min(by[want.decode()]) if len(want) >= 100 else r["page_id"]
+        want = by[r["payload_digest"]][0][1].encode()
+        first = min((p for p, _ in by[r["payload_digest"]] if p is not None), default=r["page_id"]) if len(want) >= 100 else r["page_id"]
         assert (r["payload_bytes"], r["payload_digest"]) == (len(want), hashlib.sha256(want).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first == r["page_id"] else ("revisit", first))
         assert r["payload"] is None or bytes(r["payload"]) == want
