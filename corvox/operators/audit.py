@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvox.operators.ranks import ranked
+
 
 def check_fractions(train: float, validation: float, test: float, salt: str) -> None:
     if min(train, validation, test) <= 0 or abs(train + validation + test - 1) > 1e-6:
@@ -16,9 +18,10 @@ def check_fractions(train: float, validation: float, test: float, salt: str) ->
 def group_split(records: DataFrame, train: float, validation: float, test: float, salt: str) -> DataFrame:
     """records(category, patient, image_count) with a split each, whole patients, by salted hash order within a category."""
     check_fractions(train, validation, test, salt)
-    w = Window.partitionBy("category")
     key = F.sha2(F.concat_ws("|", F.lit(salt), "category", F.col("patient").cast("string")), 256)
-    r = records.withColumns({"rank": F.row_number().over(w.orderBy(key, "patient")), "n": F.count("*").over(w)})
+    n = records.groupBy(F.col("category").alias("c")).agg(F.count("*").alias("n"))
+    r = ranked(records.withColumn("key", key), "key", "patient", by=("category",)).withColumn("rank", F.col("place") + 1)
+    r = r.join(n, F.col("category").eqNullSafe(F.col("c")))
     v, s = (F.greatest(F.lit(1), F.bround(F.col("n") * f, 0).cast("int")) for f in (validation, test))
     r = r.withColumns({"v": v, "s": s}).withColumn("over", F.greatest(F.lit(0), 1 - (F.col("n") - F.col("v") - F.col("s"))))
     from_test = (F.col("s") >= F.col("v")) & (F.col("s") > 1)
@@ -69,12 +72,10 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 def rank_picks(rows: DataFrame, key: str, value: str) -> DataFrame:
     """First, middle and last by value (null as 0), then their neighbours; a row picked twice keeps its first place."""
-    from corvox.operators.ranks import ranked
-
     r = ranked(rows.select(key, F.coalesce(value, F.lit(0.0)).alias("value")), "value", key)
     n = rows.agg(F.count("*").alias("n"))
     base = F.array(F.lit(0), F.expr("n div 2"), F.col("n") - 1)
     shifted = lambda o: F.transform(base, lambda b: F.greatest(F.lit(0), F.least(F.col("n") - 1, b + o)))
     steps = [shifted(o) for o in (0, 1, -1, 2, -2)]
     picks = n.where("n > 0").select(F.posexplode(F.flatten(F.array(*steps))).alias("pick", "place")).groupBy("place").agg(F.min("pick").alias("pick"))
-    return r.join(F.broadcast(picks), "place").select(key, "value", "pick")
+    return r.join(picks, "place").select(key, "value", "pick")

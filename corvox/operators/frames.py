@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 SUFFIXES = [".exr", ".jpeg", ".jpg", ".npy", ".npz", ".png", ".tif", ".tiff"]
 
 
+MOST_MODALITIES = 1000
+
+
 def indexed(files: DataFrame, by: str, path: str) -> DataFrame:
     """0-based frame_index in each sequence, paths ordered by their parts."""
     return files.withColumn("frame_index", F.row_number().over(Window.partitionBy(by).orderBy(F.split(path, "/"))) - 1)
@@ -40,8 +43,12 @@ def conditions(frames: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def missing(frames: DataFrame, modalities: DataFrame, matched: DataFrame) -> DataFrame:
-    """(path, modality) without a file; modalities is a short list."""
-    return frames.select("path").crossJoin(F.broadcast(modalities)).join(matched, ["path", "modality"], "left_anti")
+    """(path, modality) without a file; modalities are a few names."""
+    names = [r[0] for r in modalities.distinct().limit(MOST_MODALITIES + 1).collect()]
+    if len(names) > MOST_MODALITIES:
+        raise ValueError(f"more than {MOST_MODALITIES} modalities")
+    pairs = frames.select("path", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("modality"))
+    return pairs.join(matched, ["path", "modality"], "left_anti")
 
 
 def sequences(frames: DataFrame, by: str, order: str, item: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvox.operators.loops import components
+from corvox.operators.ranks import ranked
 from corvox.operators.voxels import KEY, SIDES, SPAN, moved, number
 from corvox.sources.scratch import stored
 
@@ -46,7 +47,7 @@ def lattice(faces: DataFrame) -> DataFrame:
 def reindexed(faces: DataFrame) -> DataFrame:
     """(case_id, vid, new): used vertices numbered densely in their old order."""
     ids = faces.select("case_id", F.explode(F.array(*"abc")).alias("vid")).distinct()
-    return ids.withColumn("new", F.row_number().over(Window.partitionBy("case_id").orderBy("vid")) - 1)
+    return ranked(ids, "vid", by=("case_id",)).withColumnRenamed("place", "new")
 
 
 def with_corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:

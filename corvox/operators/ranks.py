@@ -1,23 +1,42 @@
-"""Global ranks without bringing all rows to one task."""
+"""Ranks without bringing all rows, or all rows of a group, to one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvox.sources.scratch import stored
 
-def ranked(rows: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
-    """rows with `place`, their 0-based rank in the given order (make it total: ties could fall apart).
 
-    Rows are range-partitioned; ranks within a partition are shifted by the counts of those
-    before, which are one row per partition.
+def ranked(rows: DataFrame, *order: str, by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """rows with `place`, their 0-based rank in the given order (make it total: ties could fall apart), in each group of `by`.
+
+    Rows are range-partitioned by group and order and written, so that every later read sees
+    the same partitions; ranks within a partition are shifted by the group's counts in those
+    before, of which there are at most one per partition and group.
     """
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = rows.repartitionByRange(n, *order).withColumn("part_", F.spark_partition_id())
-    from pyspark import StorageLevel
-
-    p = p.persist(StorageLevel.DISK_ONLY)  # else a second pass could draw other range bounds
-    sizes = p.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("part_").orderBy(*order)
-    return p.join(F.broadcast(before.select("part_", "before_")), "part_").withColumn("place", F.row_number().over(w) - 1 + F.col("before_")).drop("part_", "before_")
+    keys = list(by)
+    p = stored(rows.repartitionByRange(n, *keys, *order).withColumn("part_", F.spark_partition_id()), "ranks")
+    sizes = p.groupBy(*keys, "part_").agg(F.count("*").alias("n_"))
+    w = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*(F.col(k).alias(k + "_") for k in keys), F.col("part_").alias("p_"), F.coalesce(F.sum("n_").over(w), F.lit(0)).alias("before_"))
+    same = F.col("part_") == F.col("p_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(k + "_"))
+    own = F.row_number().over(Window.partitionBy(*keys, "part_").orderBy(*order)) - 1
+    return p.withColumn("own_", own).join(before, same).withColumn("place", F.col("own_") + F.col("before_")).drop("part_", "own_", "before_", "p_", *(k + "_" for k in keys))
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """Columns named as in `shares`: percentiles of the non-null values of each group by linear interpolation, from ranks."""
+    r = ranked(rows.select(*by, value).where(F.col(value).isNotNull()), value, by=by)
+    total = r.groupBy(*by).agg(F.count("*").alias("n_"))
+    spots = total.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("name_"), (F.lit(q) * (F.col("n_") - 1)).alias("at_")) for k, q in shares.items()))).alias("s_")).select(*(F.col(k).alias(k + "_") for k in by), "s_.*")
+    picks = spots.select("*", F.explode(F.array_distinct(F.array(F.floor("at_"), F.ceil("at_")))).alias("want_"))
+    same = F.col("place") == F.col("want_")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(k + "_"))
+    got = r.join(picks, same).groupBy(*by, "name_", "at_").agg(F.min_by(value, "place").alias("low_"), F.max_by(value, "place").alias("high_"))
+    got = got.withColumn("x_", F.col("low_") + (F.col("high_") - F.col("low_")) * (F.col("at_") - F.floor("at_")))
+    return got.groupBy(*by).agg(*(F.max(F.when(F.col("name_") == k, F.col("x_"))).alias(k) for k in shares))

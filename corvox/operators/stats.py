@@ -5,30 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvox.operators.ranks import percentiles
+
 SPREAD = {"median": 0.5, "p05": 0.05, "p95": 0.95}
 
 
 def spread(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """Median, 5 % and 95 % point of each metric over its finite values (linear interpolation); NaN without any."""
-    fine = lambda m: F.when(~F.isnan(m) & (F.abs(F.col(m)) != float("inf")), F.col(m).cast("double"))
-    one = rows.agg(*(F.percentile(fine(m), F.array(*map(F.lit, SPREAD.values()))).alias(m) for m in metrics))
-    cells = [F.struct(F.lit(m).alias("metric"), *(F.coalesce(F.col(m)[i], F.lit(float("nan"))).alias(k) for i, k in enumerate(SPREAD))) for m in metrics]
-    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    """Median, 5 % and 95 % point of each metric over its finite values (linear interpolation, by distributed ranks); NaN without any."""
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics))).alias("c")).select("c.*").where(~F.isnan("x") & (F.abs("x") != float("inf")))
+    known = percentiles(long, "x", SPREAD, ("metric",))
+    names = rows.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
+    return names.join(known, "metric", "left").select("metric", *(F.coalesce(k, F.lit(float("nan"))).alias(k) for k in SPREAD))
 
 
 def histogram(rows: DataFrame, value: str) -> DataFrame:
     """Counts in min(32, max(6, n div 3)) equal bins from minimum to maximum, the last one closed; empty bins are absent."""
-    edge = rows.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n")).withColumn("bins", F.least(F.lit(32), F.greatest(F.lit(6), F.expr("n div 3"))).cast("int"))
-    b = rows.where(F.col(value).isNotNull()).join(F.broadcast(edge))  # the edges are one row
-    at = F.least(F.col("bins"), F.floor((F.col(value) - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0) * F.col("bins")) + 1)
-    return b.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    low, high, n = rows.agg(F.min(value), F.max(value), F.count(value)).first()  # one row
+    if not n:
+        return rows.select(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("n")).limit(0)
+    bins = min(32, max(6, n // 3))
+    at = F.least(F.lit(bins), F.floor((F.col(value) - low) / F.lit(high - low if high > low else 1.0) * bins) + 1)
+    return rows.where(F.col(value).isNotNull()).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def totals(episodes: DataFrame, fps: float) -> DataFrame:
     """episodes(frames, passed): counts, hours, durations in seconds, failures and pass rate."""
-    d = F.col("frames") / fps
-    p = F.percentile(d, F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95)))
-    return episodes.agg(F.count("*").alias("episodes"), F.sum("frames").alias("frames"), (F.sum("frames") / fps / 3600).alias("hours"), p[0].alias("duration_median"), p[1].alias("duration_p05"), p[2].alias("duration_p95"), F.count_if(~F.col("passed")).alias("failures"), F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)).alias("pass_rate"))
+    one = episodes.agg(F.count("*").alias("episodes"), F.sum("frames").alias("frames"), (F.sum("frames") / fps / 3600).alias("hours"), F.count_if(~F.col("passed")).alias("failures"), F.avg(F.when(F.col("passed"), 1.0).otherwise(0.0)).alias("pass_rate"))
+    durations = percentiles(episodes.select((F.col("frames") / fps).alias("d")), "d", {f"duration_{k}": q for k, q in SPREAD.items()})
+    both = one.join(durations, F.lit(True))  # two tables of one row
+    return both.select("episodes", "frames", "hours", *(f"duration_{k}" for k in SPREAD), "failures", "pass_rate")
 
 
 def environments(*lists: DataFrame) -> DataFrame:

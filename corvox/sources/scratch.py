@@ -1,20 +1,45 @@
-"""Written intermediate tables in the folder that the driver and all executors share."""
+"""Written intermediate tables in the folder that the driver and all executors share.
+
+Spark cannot tell when the last reader of such a table is done, so whoever owns
+spark.checkpoint.dir clears the corvox-* folders in it after a job, or calls cleared().
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet and read again, which cuts its lineage."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset a temporary folder, on a local session only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/corvox-scratch"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/corvox-{tag}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new place for a table below folder()."""
+    return f"{folder(spark)}/corvox-{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written as Parquet and read again: lineage ends there, so a lost executor costs only the current stage."""
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes all written intermediate tables; results that still read them are lost. Returns how many."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in system.listStatus(path) if x.getPath().getName().startswith("corvox-")] if system.exists(path) else []
+    for x in found:
+        system.delete(x, True)
+    return len(found)
