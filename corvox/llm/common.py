@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from corvox.operators import loops
+from corvox.sources.scratch import scratch, stored  # noqa: F401
 
 #: Text bytes handled at a time inside a task; a single longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -20,24 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir, which the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.gettempdir() + "/corvox-scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/corvox-{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends there, so a lost executor costs only the current stage."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that the named column holds about `limit` bytes in each."""
     for batch in batches:
