@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from corvox.operators.ranks import ranked
 
 
+def fractions_ok(train: Column, validation: Column, test: Column, salt: Column) -> Column:
+    """Whether split fractions are positive and add up to 1, and the salt is not blank."""
+    return F.coalesce((F.least(train, validation, test) > 0) & (F.abs(train + validation + test - 1) <= 1e-6) & (F.length(F.trim(salt)) > 0), F.lit(False))
+
+
 def check_fractions(train: float, validation: float, test: float, salt: str) -> None:
     if min(train, validation, test) <= 0 or abs(train + validation + test - 1) > 1e-6:
         raise ValueError("fractions must be positive and add up to 1")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvox.sources.scratch import stored
+
 #: Suffixes in the order in which a fallback is taken.
 SUFFIXES = [".exr", ".jpeg", ".jpg", ".npy", ".npz", ".png", ".tif", ".tiff"]
 
@@ -56,35 +60,73 @@ def sequences(frames: DataFrame, by: str, order: str, item: str) -> DataFrame:
     return frames.groupBy(by).agg(F.count("*").alias("frame_count"), F.transform(F.array_sort(F.collect_list(F.struct(order, item))), lambda x: x[item]).alias("items"))
 
 
-def median(values: Column) -> Column:
-    """Median of an array, the mean of the middle two."""
-    s, n = F.array_sort(values), F.size(values)
-    return (F.element_at(s, ((n + 1) / 2).cast("int")) + F.element_at(s, ((n + 2) / 2).cast("int"))) / 2
-
-
-def mean(values: Column, f=lambda x: x) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + f(x)) / F.size(values)
+def change(gray: np.ndarray, before: np.ndarray) -> tuple[float, float, float]:
+    """Mean absolute change, mean absolute flicker about the median change, mean change."""
+    if gray.shape != before.shape:
+        raise ValueError("frame size changes")
+    delta = gray.astype(np.float64) - before.astype(np.float64)
+    return float(np.abs(delta).mean()), float(np.abs(delta - np.median(delta)).mean()), float(delta.mean())
 
 
 def differences(frames: DataFrame) -> DataFrame:
-    """frames(video_id, frame_index, gray): mean absolute change to the frame before, mean absolute flicker about its median, mean change."""
-    w = Window.partitionBy("video_id").orderBy("frame_index")
-    pairs = frames.withColumn("before", F.lag("gray").over(w)).where("before is not null")
-    size = F.size("gray") == F.size("before")
-    delta = F.when(~size, F.raise_error(F.lit("frame size changes")).cast("array<double>")).otherwise(F.zip_with("gray", "before", lambda a, b: a.cast("double") - b.cast("double")))
-    pairs = pairs.select("video_id", "frame_index", delta.alias("delta"))
-    pairs = pairs.withColumn("mid", median(F.col("delta")))
-    mid = F.col("mid")
-    return pairs.select("video_id", "frame_index", mean(F.col("delta"), F.abs).alias("abs_diff"), mean(F.col("delta"), lambda x: F.abs(x - mid)).alias("flicker"), mean(F.col("delta")).alias("luminance"))
+    """frames(video_id, frame_index, gray): mean absolute change to the frame before, mean absolute flicker about its median, mean change.
+
+    Frames are range-partitioned by video and index and compared with the one before as they
+    stream by; only the first and last frame of each partition are kept for a second step that
+    compares across partitions. A video may span any number of partitions.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
+    ddl = f"video_id {kinds['video_id']}, frame_index {kinds['frame_index']}, abs_diff double, flicker double, luminance double, first boolean, last boolean, gray {kinds['gray']}"
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = frames.select("video_id", "frame_index", "gray").repartitionByRange(n, "video_id", "frame_index").sortWithinPartitions("video_id", "frame_index")
+
+    def run(batches):
+        kept = None  # the row before: video, index, frame, batch, number in it; first and last rows carry their frames
+        for b in batches:
+            videos, indexes, grays = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            out = []
+            for i in range(b.num_rows):
+                gray = grays[i].values.to_numpy(zero_copy_only=False)
+                if kept is None:
+                    out.append((videos[i], indexes[i], None, None, None, True, False, gray))
+                elif kept[0] == videos[i]:
+                    out.append((videos[i], indexes[i], *change(gray, kept[2]), False, False, None))
+                kept = videos[i], indexes[i], gray
+            yield table(out, b.schema)
+        if kept is not None:
+            yield table([(*kept[:2], None, None, None, False, True, kept[2])], b.schema)
+
+    def table(rows, like):
+        kinds = [like.field(0).type, like.field(1).type, *[pa.float64()] * 3, pa.bool_(), pa.bool_(), like.field(2).type]
+        names = ["video_id", "frame_index", "abs_diff", "flicker", "luminance", "first", "last", "gray"]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    each = stored(order.mapInArrow(run, ddl), "changes")
+    edge = each.where("first or last")
+    w = Window.partitionBy("video_id").orderBy("frame_index", F.col("last").cast("int"))
+    across = edge.withColumns({"before": F.lag("gray").over(w), "was": F.lag("last").over(w)}).where("first and was").select("video_id", "frame_index", "gray", "before")
+
+    def compare(batches):
+        for b in batches:
+            got = [change(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[i] for g in got], pa.float64()) for i in range(3))], names=["video_id", "frame_index", "abs_diff", "flicker", "luminance"])
+
+    rest = across.mapInArrow(compare, ddl.split(", first")[0])
+    return each.where("abs_diff is not null").select(*rest.columns).union(rest)
 
 
 def consistency(frames: DataFrame) -> DataFrame:
-    """Summary of differences() for each video."""
+    """Summary of differences() for each video; a video of fewer than two frames is an error."""
     p95 = lambda x: F.percentile(x, 0.95)
-    return differences(frames).groupBy("video_id").agg(
-        (F.count("*") + 1).alias("frames"), F.avg("abs_diff").alias("abs_diff_mean"), p95("abs_diff").alias("abs_diff_p95"), F.avg("flicker").alias("flicker_mean"), p95("flicker").alias("flicker_p95"),
+    summary = differences(frames).groupBy("video_id").agg(
+        F.avg("abs_diff").alias("abs_diff_mean"), p95("abs_diff").alias("abs_diff_p95"), F.avg("flicker").alias("flicker_mean"), p95("flicker").alias("flicker_p95"),
         F.avg("luminance").alias("luminance_mean"), F.avg(F.abs("luminance")).alias("luminance_abs_mean"),
     )
+    n = frames.groupBy("video_id").agg(F.count("*").alias("frames"))
+    few = F.raise_error(F.concat(F.lit("fewer than two frames in video "), F.col("video_id").cast("string"))).cast("long")
+    both = n.join(summary, "video_id", "left").withColumn("frames", F.when(F.col("frames") < 2, few).otherwise(F.col("frames")))
+    return both.select("video_id", "frames", *summary.columns[1:])
 
 
 def evenly_spaced(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:

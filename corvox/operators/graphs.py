@@ -115,18 +115,23 @@ def targets(routes_: DataFrame, minimum: float) -> DataFrame:
 
 
 def diverse(points: DataFrame, k: int) -> DataFrame:
-    """points(case_id, id, ord, x, y, z, length, sector): the longest, then k - 1 times the best of 1.7 * distance to the chosen + length / 4 + 80 for a new sector. One round a pick, for all cases together."""
-    p = stored(points.withColumns({"near": F.lit(None).cast("double"), "old": F.lit(False)}), "points")
-    out = None
+    """points(case_id, id, ord, x, y, z, length, sector): the longest, then k - 1 times the best of 1.7 * distance to the chosen + length / 4 + 80 for a new sector.
+
+    A pick is one pass with map-side combined maxima for all cases together; only the picks,
+    at most k of a case, go from pass to pass.
+    """
+    gap = lambda c: F.sqrt((F.col("x") - c["x"]) ** 2 + (F.col("y") - c["y"]) ** 2 + (F.col("z") - c["z"]) ** 2)
+    fields, chosen = ("id", "x", "y", "z", "sector"), None
     for pick in range(k):
-        score = F.col("length") if pick == 0 else 1.7 * F.col("near") + 0.25 * F.col("length") + F.when(F.col("old"), 0.0).otherwise(80.0)
-        best = p.groupBy("case_id").agg(F.max_by(F.struct("id", "x", "y", "z", "sector", "length"), F.struct(score.alias("s"), "length", -F.col("ord"))).alias("b")).select("case_id", F.lit(pick).alias("pick"), *(F.col(f"b.{c}").alias("b" + c) for c in ("id", "x", "y", "z", "sector")))
+        if chosen is None:
+            p, score = points, F.col("length")
+        else:
+            p = points.join(chosen.groupBy("case_id").agg(F.collect_list(F.struct(*fields)).alias("had")), "case_id").where(~F.array_contains(F.transform("had", lambda c: c["id"]), F.col("id")))
+            score = 1.7 * F.array_min(F.transform("had", gap)) + 0.25 * F.col("length") + F.when(F.exists("had", lambda c: c["sector"] == F.col("sector")), 0.0).otherwise(80.0)
+        best = p.groupBy("case_id").agg(F.max_by(F.struct(*fields), F.struct(score.alias("s"), "length", -F.col("ord"))).alias("b")).select("case_id", F.lit(pick).alias("pick"), "b.*")
         best = stored(best, "pick")
-        row = best.select("case_id", F.col("bid").alias("id"), "pick")
-        out = row if out is None else out.union(row)
-        gap = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 + (F.col("z") - F.col("bz")) ** 2)
-        p = stored(p.join(best, "case_id").where("id <> bid").withColumns({"near": F.least("near", gap), "old": F.col("old") | (F.col("sector") == F.col("bsector"))}).drop("bid", "bx", "by", "bz", "bsector", "pick"), "points")
-    return out
+        chosen = best if chosen is None else chosen.union(best)
+    return chosen.select("case_id", "id", "pick")
 
 
 def shortest_tree(voxels: DataFrame, links: DataFrame, rounds: int = 100_000) -> DataFrame:

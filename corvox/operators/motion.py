@@ -35,12 +35,19 @@ def arc_length(points: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def smoothed(points: DataFrame, by: str, order: str, columns: list[str], half: int = 3, passes: int = 2) -> DataFrame:
-    """Centred moving averages; end points stay, groups of fewer than 2 * half + 1 points too."""
+    """Centred moving averages, summed from the first neighbour to the last; end points stay, groups of fewer than 2 * half + 1 points too."""
     w = Window.partitionBy(by).orderBy(order)
     p = points.withColumns({"n_": F.count("*").over(Window.partitionBy(by)), "k_": F.row_number().over(w)})
     inner = (F.col("n_") >= 2 * half + 1) & (F.col("k_") > 1) & (F.col("k_") < F.col("n_"))
+
+    def mean(c: str) -> Column:
+        total = F.coalesce(F.lag(c, half).over(w), F.lit(0.0))
+        for d in range(1 - half, half + 1):
+            total = total + F.coalesce(F.lead(c, d).over(w) if d > 0 else F.lag(c, -d).over(w), F.lit(0.0))
+        return total / F.count(c).over(w.rowsBetween(-half, half))
+
     for _ in range(passes):
-        p = p.withColumns({c: F.when(inner, F.avg(c).over(w.rowsBetween(-half, half))).otherwise(F.col(c)) for c in columns})
+        p = p.withColumns({c: F.when(inner, mean(c)).otherwise(F.col(c)) for c in columns})
     return p.drop("n_", "k_")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvox.functions import columns as c
 from corvox.operators import audit, frames, motion
+from corvox.sources import files
 
 from .inputs import CHAINS, FRAMES, PATHS, PIXELS, RECORDS, chains, paths, pixels, records
 from .inputs import frames as frame_table
@@ -81,8 +82,13 @@ def w7_arc_length(t):
     return motion.arc_length(chains(t), "case_id", "ord").select("case_id", "ord", F.round("step", 5).alias("step"), F.round("s", 4).alias("s"))
 
 
+def _mean(c: str) -> str:
+    near = [f"coalesce(lag({c}, {-d}) over w, 0)" if d < 0 else f"coalesce(lead({c}, {d}) over w, 0)" if d else c for d in range(-3, 4)]
+    return f"case when n >= 7 and ord > 0 and ord < n - 1 then ({' + '.join(near)}) / (count({c}) over (partition by case_id order by ord rows between 3 preceding and 3 following)) else {c} end as {c}"
+
+
 def _pass(src: str) -> str:
-    return f"select case_id, ord, n, case when n >= 7 and ord > 0 and ord < n - 1 then avg(x) over w else x end as x, case when n >= 7 and ord > 0 and ord < n - 1 then avg(y) over w else y end as y from {src} window w as (partition by case_id order by ord rows between 3 preceding and 3 following)"
+    return f"select case_id, ord, n, {_mean('x')}, {_mean('y')} from {src} window w as (partition by case_id order by ord)"
 
 
 @query(f"select case_id, ord, round(x, 5) as x, round(y, 5) as y from ({_pass('(' + _pass(f'(select *, count(*) over (partition by case_id) as n from {CHAINS})') + ')')})")
@@ -163,9 +169,9 @@ def j4_artifact_flags(t):
     return audit.verified(inventory(t), inventory(t, True)).select("path", F.array_join("flags", ",").alias("flags"))
 
 
-@query("select conv_id, turn from conversations c where not exists (select 1 from documents d where d.doc_id = c.conv_id * 7 + c.turn)")
+@query("select conv_id, turn from conversations c where not exists (select 1 from documents d where d.doc_id = c.conv_id * 31 + c.turn)")
 def j5_unresolved(t):
-    return t("conversations").withColumn("ref", F.col("conv_id") * 7 + F.col("turn")).join(t("documents").select(F.col("doc_id").alias("ref")), "ref", "left_anti").select("conv_id", "turn")
+    return t("conversations").withColumn("ref", F.col("conv_id") * 31 + F.col("turn")).join(t("documents").select(F.col("doc_id").alias("ref")), "ref", "left_anti").select("conv_id", "turn")
 
 
 @query("select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 0)")
@@ -268,3 +274,22 @@ def a25_capture_metrics(t):
 def a26_exposure_gain(t):
     p = pixels(t).where(c.in_aperture(F.col("row"), F.col("col"), 8, 8)).withColumn("v", (F.col("v") + 0.3) * 400)
     return frames.exposure_gain(p).select("video_id", "frame_index", F.round("gain", 5).alias("gain"))
+
+
+@query("with f as (select *, 1 - l_discount - l_tax as a, l_discount as b, l_tax - case when l_linenumber = 7 then 0.01::double else 0 end as c from lineitem) select l_orderkey, l_linenumber, least(a, b, c) > 0 and abs(a + b + c - 1) <= 1e-6 and l_orderkey % 5 > 0 as ok from f")
+def f14_split_rules(t):
+    short = F.when(F.col("l_linenumber") == 7, 0.01).otherwise(0.0)
+    train = 1 - F.col("l_discount") - F.col("l_tax")
+    ok = audit.fractions_ok(train, F.col("l_discount"), F.col("l_tax") - short, F.when(F.col("l_orderkey") % 5 > 0, "split-1").otherwise("  "))
+    return t("lineitem").select("l_orderkey", "l_linenumber", ok.alias("ok"))
+
+
+@query("select p_partkey, case when p_partkey % 3 < 2 then p_size end as width, case when p_partkey % 3 < 2 then p_partkey % 5000 end as height from part")
+def p9_image_sizes(t):
+    four = lambda c, n: F.lpad(F.hex(c), n, "0")
+    w, h = F.col("p_size").cast("long"), F.col("p_partkey") % 5000
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(w, 8), four(h, 8), F.lit("0806000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000046162FFC0001108"), four(h, 4), four(w, 4), F.lit("03" + "00" * 12))
+    body = F.unhex(F.when(F.col("p_partkey") % 3 == 0, png).when(F.col("p_partkey") % 3 == 1, jpeg).otherwise(F.lit("FFD8FF")))
+    sizes = files.image_sizes(t("part").select(F.col("p_partkey").alias("path"), body.alias("content")))
+    return sizes.select(F.col("path").alias("p_partkey"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))

@@ -340,10 +340,23 @@ def g8_deepest_route(t):
 PTS = "(select s_nationkey as case_id, s_suppkey, (s_suppkey % 17)::double as x, (s_suppkey % 13)::double as y, (s_suppkey % 7)::double as z, s_acctbal / 100 as length, case when s_suppkey % 17 >= 8 then 'r' else 'l' end as sector from supplier)"
 
 
-@query(f"with p as (select * from {PTS}), a as (select case_id, arg_max(s_suppkey, (length, -s_suppkey)) as id from p group by 1), b as (select p.case_id, arg_max(p.s_suppkey, (1.7 * sqrt((p.x - q.x)^2 + (p.y - q.y)^2 + (p.z - q.z)^2) + 0.25 * p.length + case when p.sector = q.sector then 0 else 80 end, p.length, -p.s_suppkey)) as id from p join a using (case_id) join p q on q.s_suppkey = a.id where p.s_suppkey <> a.id group by 1) select case_id, id, 0 as pick from a union all select case_id, id, 1 from b")
+def _picks(k: int) -> str:
+    """SQL of k picks, each from all that were chosen before."""
+    score = "1.7 * least({0}) + 0.25 * p.length + case when {1} then 0 else 80 end"
+    out = ["p as (select * from " + PTS + ")", "c0 as (select case_id, arg_max(s_suppkey, (length, -s_suppkey)) as id from p group by 1)"]
+    for i in range(1, k):
+        had = range(i)
+        gaps = ", ".join(f"sqrt((p.x - q{j}.x)^2 + (p.y - q{j}.y)^2 + (p.z - q{j}.z)^2)" for j in had)
+        joins = " ".join(f"join c{j} on c{j}.case_id = p.case_id join p q{j} on q{j}.s_suppkey = c{j}.id" for j in had)
+        best = score.format(gaps, " or ".join(f"p.sector = q{j}.sector" for j in had))
+        out.append(f"c{i} as (select p.case_id, arg_max(p.s_suppkey, ({best}, p.length, -p.s_suppkey)) as id from p {joins} where {' and '.join(f'p.s_suppkey <> c{j}.id' for j in had)} group by 1)")
+    return f"with {', '.join(out)} " + " union all ".join(f"select case_id, id, {i} as pick from c{i}" for i in range(k))
+
+
+@query(_picks(5))
 def k8_diverse(t):
     p = t("supplier").selectExpr("s_nationkey as case_id", "s_suppkey as id", "s_suppkey as ord", "cast(s_suppkey % 17 as double) as x", "cast(s_suppkey % 13 as double) as y", "cast(s_suppkey % 7 as double) as z", "s_acctbal / 100 as length", "case when s_suppkey % 17 >= 8 then 'r' else 'l' end as sector")
-    return graphs.diverse(p, 2).select("case_id", "id", "pick")
+    return graphs.diverse(p, 5).select("case_id", "id", "pick")
 
 
 @query(f"with recursive t as (select * from {TREE}), s as (select case_id, n, parent, 0 as gen, case when n = 0 then 0 else 0 end as head from t where n = 0 union all select t.case_id, t.n, t.parent, s.gen + case when s.n > 0 and exists (select 1 from t q where q.case_id = t.case_id and q.parent = t.parent and q.n <> t.n) then 1 else 0 end, case when s.n > 0 and exists (select 1 from t q where q.case_id = t.case_id and q.parent = t.parent and q.n <> t.n) then t.n else s.head end from s join t on t.case_id = s.case_id and t.parent = 'n' || s.n) select case_id, n as node, gen as generation, dense_rank() over (partition by case_id order by case when head = 0 then 0 else length(bin(head + 1)) end, head) - 1 as branch from s")
