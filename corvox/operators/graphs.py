@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvox.operators.loops import reached
+from corvox.operators.loops import climbed, components, forest, reached
 from corvox.sources.scratch import stored
 
 
@@ -57,7 +57,10 @@ def branches(nodes: DataFrame, edges: DataFrame, main: str | None = None) -> Dat
 
 def centreline_quality(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Counts, lengths and radii of each case's graph."""
-    seen = reached(roots, both_ways(edges)).groupBy("case_id").agg(F.count("*").alias("reachable"))
+    of = components(edges.select("case_id", F.col("src").alias("a"), F.col("dst").alias("b")), "reachable")
+    own = roots.select("case_id", "id").join(of.withColumnRenamed("node", "id"), ["case_id", "id"], "left")
+    alone = own.where("component is null").select("case_id", F.col("id").alias("node"))
+    seen = of.join(own.select("case_id", "component").distinct(), ["case_id", "component"], "left_semi").select("case_id", "node").union(alone).groupBy("case_id").agg(F.count_distinct("node").alias("reachable"))
     p = F.percentile("radius", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     n = degrees(nodes, edges).groupBy("case_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") <= 1).alias("terminals"), F.avg(F.when(F.col("accessible"), 1.0).otherwise(0.0)).alias("accessible_fraction"), F.max("generation").alias("max_generation"), F.max("dist").alias("max_distance"), p[0].alias("radius_p05"), p[1].alias("radius_p50"), p[2].alias("radius_p95"))
     return n.join(seen, "case_id", "left")
@@ -70,9 +73,83 @@ def entry_node(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.groupBy("case_id").agg(F.max_by("id", F.struct(tier.alias("t"), "z", "radius", -F.col("node_ord"))).alias("id"))
 
 
+def nearest_passable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(case_id, id): each entry, or the passable node that breadth-first steps from it meet first (the lowest node_ord of equals); an error for a case without any.
+
+    nodes(case_id, id, node_ord, passable). The distance of every node from the entry is that
+    of the tree of all nodes, so a chain to the first passable one costs no rounds of its own.
+    """
+    direct = stored(entries.join(nodes.where("passable"), ["case_id", "id"]).select("case_id", "id"), "entries")
+    rest = stored(entries.join(direct.select("case_id"), "case_id", "left_anti").select("case_id", "id"), "entries")
+    if rest.isEmpty():
+        return direct
+    far = rerooted(edges.join(rest.select("case_id"), "case_id", "left_semi"), rest)
+    steps = walked(far, rest, {}) if far is not None else reached(rest, both_ways(edges)).select("case_id", F.col("id").alias("node"), "depth")
+    near = steps.withColumnRenamed("node", "id").join(nodes.where("passable"), ["case_id", "id"]).groupBy("case_id").agg(F.min_by("id", F.struct("depth", "node_ord")).alias("found"))
+    none = F.raise_error(F.concat(F.lit("no node is wide enough in case "), F.col("case_id").cast("string")))
+    moved = rest.join(near, "case_id", "left").select("case_id", F.coalesce("found", none.cast(dict(entries.dtypes)["id"])).alias("id"))
+    return direct.union(moved)
+
+
+def rerooted(edges: DataFrame, entries: DataFrame) -> DataFrame | None:
+    """edges(case_id, src, dst) turned so that they lead away from entries(case_id, id), as (case_id, node, up); None where they are not a forest.
+
+    Only the edges between an entry and its old root turn. The entry's ancestors are found by
+    doubling: a round marks what lies 2^k steps above what is marked.
+    """
+    into = stored(edges.select("case_id", F.col("dst").alias("node"), F.col("src").alias("up")).distinct(), "into")
+    if not forest(into.select("case_id", F.col("up").alias("src"), F.col("node").alias("dst"))):
+        return None
+    jump, above = into, stored(entries.select("case_id", F.col("id").alias("node")).distinct(), "above")
+    for _ in range(64):
+        more = above.join(jump, ["case_id", "node"]).select("case_id", F.col("up").alias("node")).join(above, ["case_id", "node"], "left_anti").distinct()
+        grown = stored(above.union(more), "above")
+        if grown.count() == above.count():
+            break
+        above = grown
+        jump = stored(jump.join(jump.select("case_id", F.col("node").alias("up"), F.col("up").alias("far")), ["case_id", "up"]).select("case_id", "node", F.col("far").alias("up")), "jump")
+    else:
+        return None
+    turned = into.join(above, ["case_id", "node"], "left_semi").select("case_id", F.col("up").alias("node"), F.col("node").alias("up"))
+    return stored(into.join(above, ["case_id", "node"], "left_anti").union(turned), "rerooted")
+
+
+def walked(parents: DataFrame, entries: DataFrame, values: dict) -> DataFrame:
+    """(case_id, node, depth, *values) of the nodes below entries in parents(case_id, node, up, *values), and of the entries."""
+    start = entries.select("case_id", F.col("id").alias("node"), F.lit(None).cast(dict(parents.dtypes)["up"]).alias("up"), F.lit(0).alias("depth"), *(e.alias(v) for v, (_, e) in values.items()))
+    all_ = parents.select("case_id", "node", "up", F.lit(1).alias("depth"), *values).join(entries.select("case_id", F.col("id").alias("node")), ["case_id", "node"], "left_anti").unionByName(start)
+    tree = climbed(all_, "walk", {"depth": lambda a, b: a + b} | {v: f for v, (f, _) in values.items()})
+    return tree.join(entries.select("case_id", F.col("id").alias("top")), ["case_id", "top"], "left_semi").drop("top")
+
+
 def routes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, minimum: float, working_length: float, rounds: int = 100_000) -> DataFrame:
-    """Routes from the entry to the leaves of the breadth-first tree through passable nodes (accessible, 2r > minimum), no longer than the working length."""
-    ok = stored(nodes.where(F.col("accessible") & (2 * F.col("radius") > minimum)).select("case_id", "id", "node_ord", "x", "y", "z", "radius"), "passable")
+    """Routes from the entry, or the passable node nearest to it, to the leaves of the breadth-first tree through passable nodes (accessible, 2r > minimum), no longer than the working length; a route has two nodes at least.
+
+    A forest is walked by pointer jumping in log2 of the depth rounds, whatever its edges'
+    directions; where passable nodes form cycles, breadth first, a round a level.
+    """
+    passable = F.col("accessible") & (2 * F.col("radius") > minimum)
+    known = stored(nodes.select("case_id", "id", "node_ord", "x", "y", "z", "radius", passable.alias("passable")), "nodes")
+    entries = stored(nearest_passable(known.select("case_id", "id", "node_ord", "passable"), edges, entries), "entry")
+    ok = known.where("passable").drop("passable")
+    inside = edges.select("case_id", "src", "dst").distinct().join(ok.select("case_id", F.col("id").alias("src")), ["case_id", "src"], "left_semi").join(ok.select("case_id", F.col("id").alias("dst")), ["case_id", "dst"], "left_semi")
+    away = rerooted(inside, entries)
+    if away is None:
+        return levels(ok, inside, entries, rounds).where((F.size("route") > 1) & (F.col("length") <= working_length))
+    at = lambda c, n: ok.select("case_id", F.col("id").alias(c), *(F.col(v).alias(n + v) for v in ("x", "y", "z", "radius")))
+    hop = away.join(at("node", "a"), ["case_id", "node"]).join(at("up", "b"), ["case_id", "up"])
+    gap = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 + (F.col("az") - F.col("bz")) ** 2)
+    hop = hop.select("case_id", "node", "up", F.array("node").alias("route"), gap.alias("length"), F.col("aradius").alias("least_radius"))
+    start = entries.join(ok.select("case_id", "id", "radius"), ["case_id", "id"])
+    values = {"route": (lambda a, b: F.concat(b, a), F.array("id")), "length": (lambda a, b: a + b, F.lit(0.0)), "least_radius": (F.least, F.col("radius"))}
+    tree = stored(walked(hop, start, values), "routes")
+    inner = away.select("case_id", F.col("up").alias("node")).distinct()
+    ends = tree.join(inner, ["case_id", "node"], "left_anti")
+    return ends.where((F.col("depth") > 0) & (F.col("length") <= working_length)).select("case_id", F.col("node").alias("id"), "route", "length", "least_radius")
+
+
+def levels(ok: DataFrame, edges: DataFrame, entries: DataFrame, rounds: int) -> DataFrame:
+    """Routes to the leaves of the breadth-first tree of nodes ok(case_id, id, node_ord, x, y, z, radius), a round a level."""
     hop = both_ways(edges).join(ok.select("case_id", F.col("id").alias("src"), *(F.col(c).alias("s" + c) for c in ("x", "y", "z", "node_ord"))), ["case_id", "src"]).join(ok.withColumnRenamed("id", "dst"), ["case_id", "dst"])
     gap = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2 + (F.col("z") - F.col("sz")) ** 2)
     hop = stored(hop.select("case_id", F.col("src").alias("id"), "dst", gap.alias("gap"), "radius", F.col("snode_ord").alias("from_ord")), "hops")
@@ -86,7 +163,7 @@ def routes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, minimum: floa
             break
         seen = seen.union(front)
     inner = seen.where(F.size("route") > 1).select("case_id", F.element_at("route", -2).alias("id")).distinct()
-    return seen.join(inner, ["case_id", "id"], "left_anti").where(F.col("length") <= working_length)
+    return seen.join(inner, ["case_id", "id"], "left_anti")
 
 
 def common_prefix(first: Column, second: Column) -> Column:
@@ -103,8 +180,8 @@ def between(first: Column, second: Column) -> tuple[Column, Column]:
 
 
 def deepest_route(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """The route to the farthest accessible node of each case, and its least radius."""
-    r = routes(nodes.withColumn("accessible", F.col("accessible")), edges, roots, 0.0, float("inf"))
+    """The route to the farthest leaf of the accessible nodes of each case, and its least radius."""
+    r = routes(nodes, edges, roots, 0.0, float("inf"))
     far = r.join(nodes.select("case_id", "id", "dist", "node_ord"), ["case_id", "id"])
     return far.groupBy("case_id").agg(F.max_by(F.struct("id", "route", "least_radius", "dist"), F.struct("dist", -F.col("node_ord"))).alias("m")).select("case_id", "m.*")
 

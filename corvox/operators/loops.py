@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvox.sources.scratch import stored
@@ -36,10 +38,46 @@ def components(edges: DataFrame, tag: str, by: tuple[str, ...] = ("case_id",), r
     raise RuntimeError("components did not settle")
 
 
+def climbed(parents: DataFrame, tag: str, values: dict[str, Callable[[Column, Column], Column]], rounds: int = 64) -> DataFrame:
+    """parents(case_id, node, up, *values): every node with its top, the last of its ancestors, and its values joined along the way there.
+
+    Pointer jumping: each round joins a node with what hangs above it, so a chain of n nodes
+    takes log2 n rounds. `values` maps a column to the function of (the node's, the one above's);
+    a top's own values take part. A node whose ancestors end at one that is not in the table has
+    no top; nodes below a cycle are left out.
+    """
+    j = stored(parents.select("case_id", "node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("top"), *values), tag)
+    for _ in range(rounds):
+        if j.where("up is not null").isEmpty():
+            return j.drop("up")
+        above = j.select("case_id", F.col("node").alias("up"), F.col("up").alias("up_"), F.col("top").alias("top_"), *(F.col(v).alias(v + "_") for v in values))
+        open_ = F.col("up").isNotNull()
+        both = {v: F.when(open_, f(F.col(v), F.col(v + "_"))).otherwise(F.col(v)) for v, f in values.items()}
+        j = stored(j.join(above, ["case_id", "up"], "left").select("case_id", "node", F.col("up_").alias("up"), F.when(open_, F.col("top_")).otherwise(F.col("top")).alias("top"), *(x.alias(v) for v, x in both.items())), tag)
+    return j.where("up is null").drop("up")
+
+
+def forest(edges: DataFrame) -> bool:
+    """Whether no node of edges(case_id, src, dst) has two edges that lead to it."""
+    return edges.groupBy("case_id", "dst").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def reached(starts: DataFrame, edges: DataFrame, rounds: int = 100_000) -> DataFrame:
-    """starts(case_id, id) and all that edges(case_id, src, dst) reach from them, with the number of steps."""
+    """starts(case_id, id) and all that edges(case_id, src, dst) reach from them, with the number of steps.
+
+    Where no two edges lead to one node, by pointer jumping in log2 of the depth rounds; else
+    breadth first, a round a level.
+    """
     seen = stored(starts.select("case_id", "id", F.lit(0).alias("depth")).distinct(), "seen")
-    front, links = seen, stored(edges.select("case_id", F.col("src").alias("id"), "dst").distinct(), "links")
+    links = stored(edges.select("case_id", F.col("src").alias("id"), "dst").distinct(), "links")
+    into = links.join(seen.select("case_id", F.col("id").alias("dst")), ["case_id", "dst"], "left_anti")
+    if forest(into):
+        up = into.select("case_id", F.col("dst").alias("node"), F.col("id").alias("up"), F.lit(1).alias("depth"))
+        tops = into.select("case_id", F.col("id").alias("node")).distinct().join(into.select("case_id", F.col("dst").alias("node")), ["case_id", "node"], "left_anti")
+        tree = climbed(up.union(tops.select("case_id", "node", F.lit(None).cast(dict(up.dtypes)["up"]), F.lit(0))), "climb", {"depth": lambda a, b: a + b})
+        below = tree.join(seen.select("case_id", F.col("id").alias("top")), ["case_id", "top"], "left_semi").where("depth > 0").select("case_id", F.col("node").alias("id"), "depth")
+        return seen.union(below)
+    front = seen
     for depth in range(1, rounds):
         new = front.join(links, ["case_id", "id"]).select("case_id", F.col("dst").alias("id")).distinct().join(seen.select("case_id", "id"), ["case_id", "id"], "left_anti")
         front = stored(new.select("case_id", "id", F.lit(depth).alias("depth")), "front")

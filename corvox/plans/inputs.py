@@ -12,13 +12,15 @@ def paths(t) -> DataFrame:
     return t("pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
 
 
-TREE = """(select case_id, n, 'n' || n as id, case when n > 0 then 'n' || ((n - 1) // 2) end as parent, generation, radius, (n % 7) + price / 1000 as x, (n % 11) - 5.0::double as y, size * 0.1::double - generation * 10.0::double as z, generation * 10.0::double as dist
- from (select p_partkey % 4 as case_id, p_partkey // 4 as n, 1 + p_size / 10 as radius, p_size as size, p_retailprice as price, cast(length(bin(p_partkey // 4 + 1)) - 1 as bigint) as generation from part))"""
+#: Nodes of a tree, and orders of a mask: the number of cases grows with the tables.
+NODES, ORDERS = 500, 4096
+TREE = f"""(select case_id, n, 'n' || n as id, case when n > 0 then 'n' || ((n - 1) // 2) end as parent, generation, radius, (n % 7) + price / 1000 as x, (n % 11) - 5.0::double as y, size * 0.1::double - generation * 10.0::double as z, generation * 10.0::double as dist
+ from (select *, cast(length(bin(n + 1)) - 1 as bigint) as generation from (select p_partkey // {NODES} as case_id, p_partkey % {NODES} as n, 1 + p_size / 10 as radius, p_size as size, p_retailprice as price from part)))"""
 
 
 def tree(t) -> DataFrame:
-    """The parts as four heap-shaped trees of nodes."""
-    p = t("part").selectExpr("p_partkey % 4 as case_id", "p_partkey div 4 as n", "1 + p_size / 10 as radius", "p_size as size", "p_retailprice as price")
+    """The parts as heap-shaped trees of NODES nodes."""
+    p = t("part").selectExpr(f"p_partkey div {NODES} as case_id", f"p_partkey % {NODES} as n", "1 + p_size / 10 as radius", "p_size as size", "p_retailprice as price")
     p = p.withColumn("generation", (F.length(F.bin(F.col("n") + 1)) - 1).cast("long"))
     return p.select(
         "case_id", "n", F.concat(F.lit("n"), "n").alias("id"), F.when(F.col("n") > 0, F.concat(F.lit("n"), F.expr("(n - 1) div 2"))).alias("parent"), "generation", "radius",
@@ -33,19 +35,22 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent is not null").select("case_id", F.col("parent").alias("src"), F.col("id").alias("dst"), F.col("n").alias("edge_ord"), "generation")
 
 
-DENSE = "(select distinct l_returnflag as case_id, l_orderkey % 16 as i, l_partkey % 16 as j, l_suppkey % 16 as k from lineitem)"
-SIDE = "(select case when count(*) > 100000 then 86 else 40 end as m from lineitem)"
-SPARSE = f"(select distinct l_returnflag as case_id, l_orderkey % m as i, l_partkey % m as j, l_suppkey % m as k from lineitem, {SIDE} where l_linenumber = 1)"
+def mask_sql(side: int, shift: int = 0) -> str:
+    return f"(select distinct l_orderkey // {ORDERS} as case_id, (l_orderkey + {shift} * l_linenumber) % {side} as i, l_partkey % {side} as j, l_suppkey % {side} as k from lineitem)"
 
 
-def dense(t) -> DataFrame:
-    return t("lineitem").selectExpr("l_returnflag as case_id", "l_orderkey % 16 as i", "l_partkey % 16 as j", "l_suppkey % 16 as k").distinct()
+def mask(t, side: int, shift: int = 0) -> DataFrame:
+    """Every line's voxel in a cube of its orders' case."""
+    return t("lineitem").selectExpr(f"l_orderkey div {ORDERS} as case_id", f"(l_orderkey + {shift} * l_linenumber) % {side} as i", f"l_partkey % {side} as j", f"l_suppkey % {side} as k").distinct()
+
+
+#: Two masks that overlap in part, and one of a few percent of its cube's voxels.
+REFERENCE, CANDIDATE, SIDE = mask_sql(24), mask_sql(24, 1), 86
+SPARSE = mask_sql(SIDE)
 
 
 def sparse(t) -> DataFrame:
-    """A few percent of a cube's voxels; the cube's side follows the table's size."""
-    m = 86 if t("lineitem").count() > 100_000 else 40
-    return t("lineitem").where("l_linenumber = 1").selectExpr("l_returnflag as case_id", f"l_orderkey % {m} as i", f"l_partkey % {m} as j", f"l_suppkey % {m} as k").distinct()
+    return mask(t, SIDE)
 
 
 FRAMES = "(select label as video_id, row_number() over (partition by label order by vec_id) - 1 as frame_index, embedding as gray from embeddings)"

@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 from corvox.functions import columns as c
 from corvox.operators import graphs, loops, materials, mesh, voxels
 
-from .inputs import DENSE, EDGES, SPARSE, TREE, dense, edges, sparse, tree
+from .inputs import CANDIDATE, EDGES, NODES, ORDERS, REFERENCE, SIDE, SPARSE, TREE, edges, mask, sparse, tree
 from .registry import query, r6
 
-R, A = f"(select i, j, k from {DENSE} where case_id = 'R')", f"(select i, j, k from {DENSE} where case_id = 'A')"
 NUM = "((i * 16384 + j) * 16384 + k)"
 SIX = "(values (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)) o(di, dj, dk)"
 
 
 def masks(t):
-    one = lambda flag: dense(t).where(F.col("case_id") == flag).withColumn("case_id", F.lit("x"))
-    return one("R"), one("A")
+    return mask(t, 24), mask(t, 24, 1)
 
 
-@query(f"with j as (select r.i as ri, a.i as ai from {R} r full join {A} a on r.i = a.i and r.j = a.j and r.k = a.k) select count(ri) as reference, count(ai) as candidate, count(*) filter (ri is not null and ai is not null) as both, count(*) as either, round(2.0::double * count(*) filter (ri is not null and ai is not null) / (count(ri) + count(ai)), 6) as dice, round(count(*) filter (ri is not null and ai is not null) / count(*)::double, 6) as iou, round(count(*) filter (ri is not null and ai is not null) / count(ai)::double, 6) as precision, round(count(*) filter (ri is not null and ai is not null) / count(ri)::double, 6) as recall, min(ri) as r_min_i, max(ai) as c_max_i from j")
+ON = "r.case_id = a.case_id and r.i = a.i and r.j = a.j and r.k = a.k"
+
+
+@query(f"with j as (select coalesce(r.case_id, a.case_id) as case_id, r.i as ri, a.i as ai from {REFERENCE} r full join {CANDIDATE} a on {ON}) select case_id, count(ri) as reference, count(ai) as candidate, count(*) filter (ri is not null and ai is not null) as both, count(*) as either, round(2.0::double * count(*) filter (ri is not null and ai is not null) / (count(ri) + count(ai)), 6) as dice, round(count(*) filter (ri is not null and ai is not null) / count(*)::double, 6) as iou, round(count(*) filter (ri is not null and ai is not null) / count(ai)::double, 6) as precision, round(count(*) filter (ri is not null and ai is not null) / count(ri)::double, 6) as recall, min(ri) as r_min_i, max(ai) as c_max_i from j group by 1")
 def j8_overlap(t):
     o = voxels.overlap(*masks(t))
-    return o.select("reference", "candidate", "both", "either", *(r6(x).alias(x) for x in ("dice", "iou", "precision", "recall")), "r_min_i", "c_max_i")
+    return o.select("case_id", "reference", "candidate", "both", "either", *(r6(x).alias(x) for x in ("dice", "iou", "precision", "recall")), "r_min_i", "c_max_i")
 
 
 @query("select n_nationkey, n_nationkey % 2 = 0 as same_shape, n_nationkey % 3 < 2 as same_affine, n_nationkey % 2 = 0 and n_nationkey % 3 < 2 as usable from nation")
@@ -33,16 +34,19 @@ def j9_compatible(t):
     return voxels.compatible(p).select("n_nationkey", "same_shape", "same_affine", "usable")
 
 
-@query(f"select 'union' as op, count(*) as n, sum({NUM})::bigint as s from (select * from {R} union select * from {A}) union all select 'intersection', count(*), sum({NUM})::bigint from (select * from {R} intersect select * from {A}) union all select 'difference', count(*), sum({NUM})::bigint from (select * from {R} except select * from {A})")
+TOTAL = f"count(*) as n, sum({NUM})::bigint as s"
+
+
+@query(f"select case_id, 'union' as op, {TOTAL} from (select * from {REFERENCE} union select * from {CANDIDATE}) group by 1 union all select case_id, 'intersection', {TOTAL} from (select * from {REFERENCE} intersect select * from {CANDIDATE}) group by 1 union all select case_id, 'difference', {TOTAL} from (select * from {REFERENCE} except select * from {CANDIDATE}) group by 1")
 def u1_voxel_sets(t):
     r, a = masks(t)
-    total = lambda df, op: df.agg(F.count("*").alias("n"), F.sum(voxels.number()).alias("s")).select(F.lit(op).alias("op"), "n", "s")
+    total = lambda df, op: df.groupBy("case_id").agg(F.count("*").alias("n"), F.sum(voxels.number()).alias("s")).select("case_id", F.lit(op).alias("op"), "n", "s")
     return total(r.union(a).distinct(), "union").union(total(r.intersect(a), "intersection")).union(total(r.join(a, voxels.KEY, "left_anti").distinct(), "difference"))
 
 
-@query("select distinct l_linenumber as label from lineitem where l_returnflag = 'R' except select l_linenumber from lineitem where l_returnflag = 'R' and l_linenumber < 5")
+@query("select distinct l_returnflag, l_linenumber as label from lineitem except select l_returnflag, l_linenumber from lineitem where l_linenumber < 5")
 def u2_vanished_labels(t):
-    li = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_linenumber").alias("label"))
+    li = t("lineitem").select("l_returnflag", F.col("l_linenumber").alias("label"))
     return li.subtract(li.where("label < 5"))
 
 
@@ -56,11 +60,11 @@ def a28_densest(t):
     return voxels.densest(sparse(t))
 
 
-LABELS = "(select distinct on (case_id, i, j, k) * from (select l_returnflag as case_id, l_orderkey % 40 as i, l_partkey % 40 as j, l_suppkey % 40 as k, max(l_linenumber) as label from lineitem group by 1, 2, 3, 4))"
+LABELS = f"(select distinct on (case_id, i, j, k) * from (select l_orderkey // {ORDERS} as case_id, l_orderkey % 40 as i, l_partkey % 40 as j, l_suppkey % 40 as k, max(l_linenumber) as label from lineitem group by 1, 2, 3, 4))"
 
 
 def labels(t):
-    return t("lineitem").groupBy(F.col("l_returnflag").alias("case_id"), *(F.expr(f"{x} % 40").alias(a) for x, a in (("l_orderkey", "i"), ("l_partkey", "j"), ("l_suppkey", "k")))).agg(F.max("l_linenumber").alias("label"))
+    return t("lineitem").groupBy(F.expr(f"l_orderkey div {ORDERS}").alias("case_id"), *(F.expr(f"{x} % 40").alias(a) for x, a in (("l_orderkey", "i"), ("l_partkey", "j"), ("l_suppkey", "k")))).agg(F.max("l_linenumber").alias("label"))
 
 
 @query(f"with l as (select * from {LABELS}), a as (select * from l where label <> 7 and i >= 10) select case_id, label, count(*) as before, (count(*) filter (label <> 7 and i >= 10)) as after, count(*) - (count(*) filter (label <> 7 and i >= 10)) as removed, (count(*) filter (label <> 7 and i >= 10)) = 0 as vanished from l group by 1, 2")
@@ -126,17 +130,17 @@ def w10_centroid_slices(t):
     return voxels.centroid_slices(sparse(t)).select("case_id", "at", F.round("x", 5).alias("x"), F.round("radius", 5).alias("radius"), F.round("length", 4).alias("length"), F.round("dist", 3).alias("dist"))
 
 
-POINTS = "(select l_returnflag as case_id, l_orderkey, l_linenumber, (l_orderkey % 40) / 8.0::double as x, (l_partkey % 11) - 5.0::double as y, -(l_suppkey % 90)::double as z from lineitem where l_returnflag = 'R' or l_returnflag = 'A')"
-NODES = f"(select case case_id when 0 then 'A' when 1 then 'R' end as case_id, n as node_ord, x, y, z, radius from {TREE} where case_id < 2)"
+POINTS = f"(select l_partkey // {NODES} as case_id, (l_orderkey % 40) / 8.0::double as x, (l_partkey % 11) - 5.0::double as y, -(l_suppkey % 90)::double as z from lineitem)"
+TREE_NODES = f"(select case_id, n as node_ord, x, y, z, radius from {TREE})"
 
 
 def node_points(t):
-    p = t("lineitem").where("l_returnflag in ('R', 'A')").selectExpr("l_returnflag as case_id", "l_orderkey % 40 / 8.0D as x", "l_partkey % 11 - 5.0D as y", "cast(-(l_suppkey % 90) as double) as z").distinct()
-    n = tree(t).where("case_id < 2").select(F.when(F.col("case_id") == 0, "A").otherwise("R").alias("case_id"), F.col("n").alias("node_ord"), "x", "y", "z", "radius")
+    p = t("lineitem").selectExpr(f"l_partkey div {NODES} as case_id", "l_orderkey % 40 / 8.0D as x", "l_partkey % 11 - 5.0D as y", "cast(-(l_suppkey % 90) as double) as z").distinct()
+    n = tree(t).select("case_id", F.col("n").alias("node_ord"), "x", "y", "z", "radius")
     return p.withColumn("p", F.concat_ws(",", F.col("x").cast("string"), F.col("y").cast("string"), F.col("z").cast("string"))), n
 
 
-NEAREST = f"(select p.case_id, p.x, p.y, p.z, arg_min(n.node_ord, ((n.x - p.x)^2 + (n.y - p.y)^2 + (n.z - p.z)^2, n.node_ord)) as node_ord, min(sqrt((n.x - p.x)^2 + (n.y - p.y)^2 + (n.z - p.z)^2)) as distance from (select distinct case_id, x, y, z from {POINTS}) p join {NODES} n on n.case_id = p.case_id group by 1, 2, 3, 4)"
+NEAREST = f"(select p.case_id, p.x, p.y, p.z, arg_min(n.node_ord, ((n.x - p.x)^2 + (n.y - p.y)^2 + (n.z - p.z)^2, n.node_ord)) as node_ord, min(sqrt((n.x - p.x)^2 + (n.y - p.y)^2 + (n.z - p.z)^2)) as distance from (select distinct case_id, x, y, z from {POINTS}) p join {TREE_NODES} n on n.case_id = p.case_id group by 1, 2, 3, 4)"
 
 
 @query(f"select case_id, x, y, z, node_ord, round(distance, 5) as distance from {NEAREST}")
@@ -146,7 +150,7 @@ def j6_nearest_node(t):
     return p.join(near, ["case_id", "p"]).select("case_id", "x", "y", "z", "node_ord", F.round("distance", 5).alias("distance"))
 
 
-@query(f"select p.case_id, count(*) as original, count(*) filter (n.radius > 2) as retained from {NEAREST} p join {NODES} n on p.case_id = n.case_id and p.node_ord = n.node_ord group by 1")
+@query(f"select p.case_id, count(*) as original, count(*) filter (n.radius > 2) as retained from {NEAREST} p join {TREE_NODES} n on p.case_id = n.case_id and p.node_ord = n.node_ord group by 1")
 def j7_pruned(t):
     p, n = node_points(t)
     near = voxels.nearest(p, n, ["p"], 1.0).join(n.select("case_id", "node_ord", (F.col("radius") > 2).alias("ok")), ["case_id", "node_ord"])
@@ -304,25 +308,31 @@ def k7_entry_node(t):
     return graphs.entry_node(open_tree(t), edges(tree(t)))
 
 
-ROUTES = f"recursive t as (select * from {TREE}), s as (select case_id, id, n, id as route, 0.0::double as length, radius as lr, x, y, z from t where n = 0 union all select t.case_id, t.id, t.n, s.route || '>' || t.id, s.length + sqrt((t.x - s.x)^2 + (t.y - s.y)^2 + (t.z - s.z)^2), least(s.lr, t.radius), t.x, t.y, t.z from s join t on t.case_id = s.case_id and t.parent = s.id where 2 * t.radius > 2.5), leaf as (select * from s where not exists (select 1 from s q join t on t.case_id = q.case_id and t.id = q.id where q.case_id = s.case_id and t.parent = s.id))"
+#: Nodes are passable above WIDE mm; the entry is the passable node nearest to the root, and its way up is turned.
+WIDE, LONG = 5.5, 120
+ROUTES = f"""recursive t as (select *, 2 * radius > {WIDE} as ok from {TREE}), u as (select case_id, id as a, parent as b from t where parent is not null), e as (select * from u union all select case_id, b, a from u),
+f as (select case_id, id, 0 as depth, '' as before from t where n = 0 union all select e.case_id, e.b, depth + 1, f.id from f join e on e.case_id = f.case_id and e.a = f.id where e.b <> f.before),
+g as (select f.case_id, arg_min(f.id, (f.depth, t.n)) as id from f join t on t.case_id = f.case_id and t.id = f.id where t.ok group by 1),
+s as (select case_id, id, n, id as route, '' as before, 0.0::double as length, radius as lr, x, y, z from t join g using (case_id, id) union all select t.case_id, t.id, t.n, s.route || '>' || t.id, s.id, s.length + sqrt((t.x - s.x)^2 + (t.y - s.y)^2 + (t.z - s.z)^2), least(s.lr, t.radius), t.x, t.y, t.z from s join e on e.case_id = s.case_id and e.a = s.id join t on t.case_id = e.case_id and t.id = e.b where t.ok and e.b <> s.before),
+leaf as (select * from s where before <> '' and not exists (select 1 from s q where q.case_id = s.case_id and q.before = s.id))"""
 
 
 def scope_routes(t):
-    n = tree(t).withColumns({"node_ord": F.col("n"), "accessible": F.lit(True), "radius": F.when(F.col("n") == 0, F.greatest("radius", F.lit(9.0))).otherwise(F.col("radius"))})
-    return graphs.routes(n, edges(tree(t)), roots(t), 2.5, 120.0)
+    n = tree(t).withColumns({"node_ord": F.col("n"), "accessible": F.lit(True)})
+    return graphs.routes(n, edges(tree(t)), roots(t), WIDE, LONG)
 
 
-@query(f"with {ROUTES.replace('radius as lr', 'greatest(radius, 9.0::double) as lr')} select case_id, id, route, round(length, 4) as length, round(lr, 6) as least_radius from leaf where length <= 120")
+@query(f"with {ROUTES} select case_id, id, route, round(length, 4) as length, round(lr, 6) as least_radius from leaf where length <= {LONG}")
 def g6_routes(t):
     return scope_routes(t).select("case_id", "id", F.array_join("route", ">").alias("route"), F.round("length", 4).alias("length"), r6("least_radius").alias("least_radius"))
 
 
-@query(f"with {ROUTES.replace('radius as lr', 'greatest(radius, 9.0::double) as lr')} select case_id, id, round(2 * lr, 6) as min_lumen, round(2 * lr - 2.5, 6) as clearance from leaf where length <= 120")
+@query(f"with {ROUTES} select case_id, id, round(2 * lr, 6) as min_lumen, round(2 * lr - {WIDE}, 6) as clearance from leaf where length <= {LONG}")
 def a29_targets(t):
-    return graphs.targets(scope_routes(t), 2.5).select("case_id", "id", r6("min_lumen").alias("min_lumen"), r6("clearance").alias("clearance"))
+    return graphs.targets(scope_routes(t), WIDE).select("case_id", "id", r6("min_lumen").alias("min_lumen"), r6("clearance").alias("clearance"))
 
 
-@query(f"with {ROUTES.replace('radius as lr', 'greatest(radius, 9.0::double) as lr')}, p as (select case_id, id, string_split(route, '>') as r, lag(string_split(route, '>')) over (partition by case_id order by n) as q from leaf where length <= 120) select case_id, id, len(list_filter(range(1, least(len(r), len(q)) + 1), lambda i: r[1:i] = q[1:i])) as common from p where q is not null")
+@query(f"with {ROUTES}, p as (select case_id, id, string_split(route, '>') as r, lag(string_split(route, '>')) over (partition by case_id order by n) as q from leaf where length <= {LONG}) select case_id, id, len(list_filter(range(1, least(len(r), len(q)) + 1), lambda i: r[1:i] = q[1:i])) as common from p where q is not null")
 def g7_common_prefix(t):
     from pyspark.sql import Window
 
@@ -331,10 +341,12 @@ def g7_common_prefix(t):
     return r.select("case_id", "id", graphs.common_prefix(F.col("before"), F.col("route")).cast("long").alias("common"))
 
 
-@query(f"with recursive t as (select * from {TREE} where radius > 1.5 or n = 0), s as (select case_id, id, n, id as route, radius as lr, dist from t where n = 0 union all select t.case_id, t.id, t.n, s.route || '>' || t.id, least(s.lr, t.radius), t.dist from s join t on t.case_id = s.case_id and t.parent = s.id) select case_id, arg_max(id, (dist, -n)) as id, arg_max(route, (dist, -n)) as route, round(arg_max(lr, (dist, -n)), 6) as least_radius from s group by 1")
+DEEP = ROUTES.replace(f"2 * radius > {WIDE} as ok", "radius > 1.5 as ok")
+
+
+@query(f"with {DEEP} select l.case_id, arg_max(l.id, (t.dist, -t.n)) as id, arg_max(route, (t.dist, -t.n)) as route, round(arg_max(lr, (t.dist, -t.n)), 6) as least_radius from leaf l join t on t.case_id = l.case_id and t.id = l.id group by 1")
 def g8_deepest_route(t):
-    n = open_tree(t).withColumn("accessible", F.col("accessible") | (F.col("n") == 0))
-    return graphs.deepest_route(n, edges(tree(t)), roots(t)).select("case_id", "id", F.array_join("route", ">").alias("route"), r6("least_radius").alias("least_radius"))
+    return graphs.deepest_route(open_tree(t), edges(tree(t)), roots(t)).select("case_id", "id", F.array_join("route", ">").alias("route"), r6("least_radius").alias("least_radius"))
 
 
 PTS = "(select s_nationkey as case_id, s_suppkey, (s_suppkey % 17)::double as x, (s_suppkey % 13)::double as y, (s_suppkey % 7)::double as z, s_acctbal / 100 as length, case when s_suppkey % 17 >= 8 then 'r' else 'l' end as sector from supplier)"
@@ -412,18 +424,18 @@ def f13_registration(t):
     return r.select("case_id", "points", r6("affine_delta").alias("affine_delta"), "unfinished", "passed")
 
 
-@query("with b as (select l_returnflag as case_id, min(l_quantity) as low, max(l_quantity) as high from lineitem where l_linenumber = 1 group by 1) select case_id, bool_and(l_quantity * 1.1 between low - 0.15 * (high - low) and high + 0.15 * (high - low)) as in_frame, count(*) filter (not l_quantity * 1.1 between low - 0.15 * (high - low) and high + 0.15 * (high - low)) as outside from lineitem join b on l_returnflag = case_id group by 1")
+@query("with b as (select l_returnflag as case_id, min(l_quantity) as low, max(l_quantity) as high from lineitem group by 1) select case_id, bool_and(l_quantity * 1.2 between low - 0.15 * (high - low) and high + 0.15 * (high - low)) as in_frame, count(*) filter (not l_quantity * 1.2 between low - 0.15 * (high - low) and high + 0.15 * (high - low)) as outside from lineitem join b on l_returnflag = case_id group by 1")
 def f16_in_bounds(t):
     li = t("lineitem")
-    b = li.where("l_linenumber = 1").groupBy(F.col("l_returnflag").alias("case_id")).agg(*(f("l_quantity").alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))))
-    p = li.select(F.col("l_returnflag").alias("case_id"), *((F.col("l_quantity") * 1.1).alias(a) for a in "xyz"))
+    b = li.groupBy(F.col("l_returnflag").alias("case_id")).agg(*(f("l_quantity").alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))))
+    p = li.select(F.col("l_returnflag").alias("case_id"), *((F.col("l_quantity") * 1.2).alias(a) for a in "xyz"))
     return voxels.inside_bounds(p, b)
 
 
-@query(f"with v as (select case_id, least(greatest(round_even((vid // 268435456) - 0.5::double, 0), 0), 85)::bigint as x, least(greatest(round_even((vid // 16384) % 16384 - 0.5::double, 0), 0), 85)::bigint as y, least(greatest(round_even(vid % 16384 - 0.5::double, 0), 0), 85)::bigint as z from (select distinct case_id, vid from {ENDS})), s as (select * from {SPARSE}), p as (select distinct * from v), d as (select p.case_id, x, y, z, min(sqrt((i - x)^2 + (j - y)^2 + (k - z)^2)) as distance from p join s on s.case_id = p.case_id and abs(i - x) <= 2 and abs(j - y) <= 2 and abs(k - z) <= 2 group by 1, 2, 3, 4) select case_id, round(median(distance), 6) as p50, round(quantile_cont(distance, 0.95), 6) as p95, round(max(distance), 6) as largest from v join d using (case_id, x, y, z) group by 1")
+@query(f"with v as (select case_id, least(greatest(round_even((vid // 268435456) - 0.5::double, 0), 0), {SIDE - 1})::bigint as x, least(greatest(round_even((vid // 16384) % 16384 - 0.5::double, 0), 0), {SIDE - 1})::bigint as y, least(greatest(round_even(vid % 16384 - 0.5::double, 0), 0), {SIDE - 1})::bigint as z from (select distinct case_id, vid from {ENDS})), s as (select * from {SPARSE}), p as (select distinct * from v), d as (select p.case_id, x, y, z, min(sqrt((i - x)^2 + (j - y)^2 + (k - z)^2)) as distance from p join s on s.case_id = p.case_id and abs(i - x) <= 2 and abs(j - y) <= 2 and abs(k - z) <= 2 group by 1, 2, 3, 4) select case_id, round(median(distance), 6) as p50, round(quantile_cont(distance, 0.95), 6) as p95, round(max(distance), 6) as largest from v join d using (case_id, x, y, z) group by 1")
 def j13_surface_fidelity(t):
     s = sparse(t)
-    f = voxels.surface_fidelity(mesh.lattice(mesh.exposed_faces(s)), s, 86)
+    f = voxels.surface_fidelity(mesh.lattice(mesh.exposed_faces(s)), s, SIDE)
     return f.select("case_id", *(r6(x).alias(x) for x in ("p50", "p95", "largest")))
 
 

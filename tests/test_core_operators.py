@@ -1,12 +1,16 @@
 """Small fixtures with known results."""
 
+import itertools
+import math
+import random
+import statistics
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from corvox.functions import columns as c
-from corvox.operators import audit, frames, graphs, series, voxels
+from corvox.operators import audit, frames, graphs, loops, series, voxels
 from corvox.sources import files
 
 
@@ -34,6 +38,31 @@ def test_flicker(spark):
     s = frames.consistency(spark.createDataFrame(flat + stripes, "video_id string, frame_index int, gray array<float>"))
     got = {r["video_id"]: r["flicker_mean"] for r in s.collect()}
     assert got["u"] < 1e-6 < 0.05 < got["v"]
+    one = spark.createDataFrame([*flat, ("w", 0, [1.0] * 4)], "video_id string, frame_index int, gray array<float>")
+    with pytest.raises(Exception, match="fewer than two frames in video w"):
+        frames.consistency(one).collect()
+    with pytest.raises(Exception, match="frame size changes"):
+        frames.consistency(spark.createDataFrame([*flat, ("u", 9, [1.0])], "video_id string, frame_index int, gray array<float>")).collect()
+
+
+@pytest.mark.parametrize("parts", ["1", "5", "40"])
+def test_changes_across_partitions(spark, parts):
+    r = random.Random(int(parts))
+    data = {(v, i): [r.random() for _ in range(6)] for v in range(4) for i in range(r.choice((2, 3, 30)))}
+    f = spark.createDataFrame([(v, i, g) for (v, i), g in data.items()], "video_id int, frame_index int, gray array<double>")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {(x["video_id"], x["frame_index"]): (x["abs_diff"], x["flicker"], x["luminance"]) for x in frames.differences(f).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {}
+    for (v, i), g in data.items():
+        if i:
+            d = [a - b for a, b in zip(g, data[v, i - 1], strict=True)]
+            mid = statistics.median(d)
+            want[v, i] = tuple(sum(x) / 6 for x in (map(abs, d), (abs(y - mid) for y in d), d))
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_split(spark):
@@ -66,6 +95,73 @@ def test_bridge(spark):
     assert voxels.topology(voxels.labelled(grown), 3).first()["components"] == 1
 
 
+def bridged(voxels_, least, limit):
+    """Rank by rank, as the operator's text says."""
+    left, parts = set(voxels_), []
+    while left:
+        todo, part = [min(left)], set()
+        while todo:
+            v = todo.pop()
+            if v in left:
+                left.remove(v)
+                part.add(v)
+                todo += [tuple(a + d for a, d in zip(v, o, strict=True)) for o in itertools.product((-1, 0, 1), repeat=3)]
+        parts.append(part)
+    parts.sort(key=lambda x: (-len(x), min(x)))
+    grown = set(parts[0])
+    for part in parts[1:]:
+        if len(part) >= least:
+            d, p, q = min((math.dist(p, q), p, q) for p in part for q in grown)
+            if d <= limit:
+                n = max(1, *(abs(a - b) for a, b in zip(p, q, strict=True)))
+                grown |= part | {tuple(round(a + (b - a) * s / n) for a, b in zip(p, q, strict=True)) for s in range(n + 1)}
+    return grown
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bridges_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    cases = {c: {(r.randrange(14), r.randrange(9), r.randrange(5)) for _ in range(r.randint(40, 90))} for c in "ab"}
+    v = spark.createDataFrame([(c, *x) for c, xs in cases.items() for x in xs], "case_id string, i int, j int, k int")
+    got = rows(voxels.bridged(voxels.labelled(v), 2, 3.0), "case_id", "i", "j", "k")
+    assert got == sorted((c, *x) for c, xs in cases.items() for x in bridged(xs, 2, 3.0))
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_long_chains_take_few_jobs(spark):
+    """5,000 nodes in a row, entered in the middle of a stretch that is too narrow."""
+    n = 5000
+    e = spark.range(n - 1).selectExpr("'x' as case_id", "id as src", "id + 1 as dst")
+    nodes = spark.range(n).selectExpr("'x' as case_id", "id", "id as node_ord", "cast(id as double) as x", "0.0D as y", "0.0D as z", "case when id < 100 then 1.0D else 5.0D end as radius", "true as accessible", "cast(id as double) as dist")
+    start = spark.createDataFrame([("x", 40)], "case_id string, id long")
+    seen, jobs = jobs_of(spark, "reached", lambda: rows(loops.reached(start, e), "id", "depth"))
+    assert seen == [(k, k - 40) for k in range(40, n)] and jobs < 120
+    got, jobs = jobs_of(spark, "routes", lambda: graphs.routes(nodes, e, start, 2.5, 1e9).collect())
+    assert [(r["id"], r["route"][0], len(r["route"]), r["length"], r["least_radius"]) for r in got] == [(n - 1, 100, n - 100, n - 101.0, 5.0)] and jobs < 300
+
+
+def test_entry_moves_to_the_nearest_passable_node(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "d"), ("c", "e"), ("b", "f"), ("g", "a")]
+    wide = dict.fromkeys("cdeg", 4.0)
+    nodes = spark.createDataFrame([("x", i, k, float(k), 0.0, 0.0, wide.get(i, 1.0), True) for k, i in enumerate("abcdefg")], "case_id string, id string, node_ord int, x double, y double, z double, radius double, accessible boolean")
+    for extra in ([], [("d", "e")]):  # with a cycle too
+        e = spark.createDataFrame([("x", *p) for p in links + extra], "case_id string, src string, dst string")
+        at = lambda i: spark.createDataFrame([("x", i)], "case_id string, id string")
+        assert rows(graphs.routes(nodes, e, at("f"), 2.5, 100.0), "id", "route") == [("d", ["c", "d"]), ("e", ["c", "e"])]
+        assert rows(graphs.routes(nodes, e, at("d"), 2.5, 100.0), "id", "route") == ([("e", ["d", "c", "e"])] if not extra else [("c", ["d", "c"]), ("e", ["d", "e"])])
+        assert graphs.routes(nodes, e, at("a"), 2.5, 100.0).isEmpty()  # g is nearest and stands alone
+        with pytest.raises(Exception, match="wide enough"):
+            graphs.routes(nodes, e, at("a"), 9.0, 100.0).collect()
+
+
 def test_cap(spark):
     v = spark.createDataFrame([("x", i, j, k) for i in (3, 4) for j in (3, 4) for k in (1, 2, 3, 4, 8, 9)], "case_id string, i int, j int, k int")
     r = voxels.capped(voxels.labelled(v)).first()
@@ -108,8 +204,8 @@ def test_graph_documents_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(records, "PART", 7)
     part = spark.createDataFrame([(k, k % 9, 900.0 + k) for k in range(101)], "p_partkey long, p_size int, p_retailprice double")
     docs = records.graphs({"part": part}.get).selectExpr("case_id", "json_array_length(get_json_object(value, '$.nodes')) as n").collect()
-    assert len(docs) == 16 and max(r["n"] for r in docs) == 7 and sum(r["n"] for r in docs) == 101
+    assert len(docs) == 15 and max(r["n"] for r in docs) == 7 and sum(r["n"] for r in docs) == 101
     nodes = rows(records.s5_graph_nodes({"part": part}.get), "case_id", "node_ord", "id")
-    assert nodes == sorted((k % 4, k // 4, f"n{k // 4}") for k in range(101))
+    assert nodes == [(0, k, f"n{k}") for k in range(101)]
     edges = rows(records.s5_graph_edges({"part": part}.get), "case_id", "edge_ord", "src", "dst")
-    assert edges == sorted((k % 4, k // 4 - 1, f"n{(k // 4 - 1) // 2}", f"n{k // 4}") for k in range(4, 101))
+    assert edges == [(0, k - 1, f"n{(k - 1) // 2}", f"n{k}") for k in range(1, 101)]
