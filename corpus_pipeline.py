@@ -1,8 +1,12 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, secret scans, packing.
 
 Each stage takes the documents that the one before it kept, written as Parquet and read again,
-and returns documents; the last returns the pieces of packed sequences. Documents without
-doc_id can't be named in a verdict and stay.
+and returns documents; the last returns the pieces of packed sequences.
+
+Cases: documents without doc_id can't be named in a verdict and stay. Null or empty texts fail
+the quality rules' least number of words. Rows that share a doc_id share every verdict: all of
+them go or stay. Ties of near duplicates go to the smallest doc_id. Texts of any length are
+handled whole, an empty table passes through, and other columns than COLUMNS are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +40,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked."""
-    return redacted(docs.select(COLUMNS)).select(COLUMNS)
+    import public_tokenizers as files
+
+    return redacted(docs.select(COLUMNS), files.path("byte_bpe_50k.tiktoken")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secret_scan", secrets), ("packing", packing)]
 
-#: SQL can't express the tokenizer; every stage is tested against a brute-force version.
+#: SQL can't express the tokenizer; tests hold each stage against a version written anew.
 ORACLE_SQL = None
 
 

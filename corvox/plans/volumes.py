@@ -253,10 +253,10 @@ def _ring(src: str) -> str:
     return f"select v.case_id, v.vid, 0.65 * any_value(v.x) + 0.35 * avg(w.x) as x, 0.65 * any_value(v.y) + 0.35 * avg(w.y) as y, 0.65 * any_value(v.z) + 0.35 * avg(w.z) as z from {src} v join ring on ring.case_id = v.case_id and ring.p = v.vid join {src} w on w.case_id = v.case_id and w.vid = ring.q group by 1, 2"
 
 
-@query(f"with e as (select distinct case_id, p, q from {MESH_EDGES}), ring as (select case_id, p, q from e union all select case_id, q, p from e), v0 as (select case_id, vid, (vid // 268435456) - 0.5::double as x, (vid // 16384) % 16384 - 0.5::double as y, vid % 16384 - 0.5::double as z from (select distinct case_id, vid from {ENDS})), v1 as ({_ring('v0')}), v2 as ({_ring('v1')}) select case_id, vid, round(x, 7) as x, round(y, 7) as y, round(z, 7) as z from v2")
+@query(f"with e as (select distinct case_id, p, q from {MESH_EDGES}), ring as (select case_id, p, q from e union all select case_id, q, p from e), v0 as (select case_id, vid, (vid // 268435456) - 0.5::double as x, (vid // 16384) % 16384 - 0.5::double as y, vid % 16384 - 0.5::double as z from (select distinct case_id, vid from {ENDS})), v1 as ({_ring('v0')}), v2 as ({_ring('v1')}) select case_id, vid, round(x + 1e-10, 7) as x, round(y + 1e-10, 7) as y, round(z + 1e-10, 7) as z from v2")
 def g9_smoothed(t):
     f = mesh.exposed_faces(sparse(t))
-    return mesh.smoothed(f, mesh.lattice(f), 2).select("case_id", "vid", *(F.round(x, 7).alias(x) for x in "xyz"))
+    return mesh.smoothed(f, mesh.lattice(f), 2).select("case_id", "vid", *(F.round(F.col(x) + 1e-10, 7).alias(x) for x in "xyz"))
 
 
 @query(f"with v as (select case_id, fid, ((a // 268435456) + (b // 268435456) + (c // 268435456)) / 3.0::double - 0.5 as x, ((a // 16384) % 16384 + (b // 16384) % 16384 + (c // 16384) % 16384) / 3.0::double - 0.5 as y, (a % 16384 + b % 16384 + c % 16384) / 3.0::double - 0.5 as z from {MESH}) select case_id, fid from v where not (abs(z - 39.1) <= 4.5 and sqrt((x - 20.3)^2 + (y - 20.3)^2) <= 4.5)")
