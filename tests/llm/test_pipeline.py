@@ -1,6 +1,8 @@
 """The pipeline's stages, each on what the one before it kept, against brute-force versions."""
 
+import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -8,14 +10,76 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import documents
-from test_llm_operators import ODD, classes_of, contamination
+from test_llm_operators import ODD, cheapest, classes_of, contamination, measures
 
 import corpus_pipeline as pipeline
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
 from corvox.llm import queries, secrets
 
 SF = Path("/root/testdata/sf0.001")
 
 
+def quality_verdicts(rows):
+    """Ids that the rules keep, of (id, text, lang, source), by plain loops."""
+    counts, sums, n = {}, {}, {}
+    for i, text, lang, source in rows:
+        words, chars, symbols, dups, repeats = measures(text)
+        lines = sum(bool(x.strip(" \t\n\r\x0b\x0c")) for x in (text or "").split("\n"))
+        counts[i] = {"symbols": (symbols, words), "lines": (dups, lines), "chars": (chars, words)}, words < 10 or 100 * repeats > 20 * words, (lang, source)
+        if not counts[i][1]:
+            for m, (count, of) in counts[i][0].items():
+                x = 1000 * count // max(of, 1)
+                x = x if x < 256 else x >> x.bit_length() - 8 << x.bit_length() - 8
+                for key in {(m, "s", lang, source), (m, "l", lang), (m, "c")}:
+                    sums.setdefault(key, Counter())[x] += 1
+                    n[key] = n.get(key, 0) + 1
+
+    def quartiles(m, lang, source):
+        w = Counter({b: 1000 * k for b, k in sums[m, "s", lang, source].items()})
+        for key in ((m, "l", lang), (m, "c")):
+            for b, k in sums[key].items():
+                w[b] += 50_000 * k // n[key]
+        total = sum(w.values())
+        return [min(b for b in w if 100 * sum(k for c, k in w.items() if c <= b) >= q * total) for q in (25, 75)]
+
+    keep, known = set(), {}
+    for i, (m_, failed, group) in counts.items():
+        if failed:
+            continue
+        ok = True
+        for m, (count, of) in m_.items():
+            q1, q3 = known.get((m, *group)) or known.setdefault((m, *group), quartiles(m, *group))
+            for rate, sign in ((q3 + 3 * (q3 - q1), 1), (q1 - 3 * (q3 - q1), -1)):
+                if sign > 0 or m == "chars":
+                    gap = sign * (1000 * count - rate * of)
+                    ok &= not (gap > 0 and gap * gap > 9000 * (rate * of + 1000))
+        if ok:
+            keep.add(i)
+    return keep
+
+
+def masked(text, words):
+    """The text without its secrets, character by character."""
+    base = [m for m in secrets.ASSIGN.finditer(text) if len(m[2]) > 5] + [m for m in secrets.ACCESS.finditer(text) if len(m[0]) > 19] + [m for m in re.finditer("[0-9a-f]+", text) if len(m[0]) > 23]
+    gone = [0] * len(text)
+    for m in base:
+        gone[m.start() : m.end()] = [1] * (m.end() - m.start())
+    more = list(gone)
+    for m in secrets.CONTEXT.finditer(text):
+        a = m.start(1 if m[1] is not None else 2)
+        value = (m[1] if m[1] is not None else m[2]).rstrip(".!?:")
+        if not all(gone[a : a + len(value)]) and secrets.kinds(value) > 1 and cheapest(value, words) >= secrets.GUESSES:
+            more[a : a + len(value)] = [1] * len(value)
+    return "".join(c if not g else "" if k and more[k - 1] else secrets.MASK for k, (c, g) in enumerate(zip(text, more, strict=True)))
+
+
+def test_masks():
+    words = secrets.COMMON
+    for text in ("password: abcdef$kQz!9mB%f7 x", "pwd = x8$kQz!9mB%f7 ok token=abcdefg", "no secret is here"):
+        assert secrets.masked(text, words) == masked(text, words)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(str(SF / "documents.parquet"))
     bench = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
@@ -28,16 +92,23 @@ def test_stages(spark):
         if name != "packing":
             assert docs.columns == pipeline.COLUMNS
         ids = {r["doc_id"] for r in rows}
+        if name == "quality_rules":
+            assert ids == quality_verdicts([(i, r["text"], r["lang"], r["source"]) for i, r in before.items()])
         if name == "near_duplicates":
             assert ids == {i for i, (_, c) in classes_of([(i, r["text"]) for i, r in before.items()]).items() if i == c}
         if name == "decontaminate":
             assert ids == {i for i, r in before.items() if not contamination(r["text"], bench)[4]}
         if name == "secret_scan":
+            words = secrets.ranked(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+            assert ids == set(before)
             for r in rows:
-                assert not [s for s in secrets.spans(r["text"]) if s[2] in (1, 2)]
-                assert r["n_chars"] == len(r["text"])
+                assert r["text"] == masked(before[r["doc_id"]]["text"], words) and r["n_chars"] == len(r["text"])
         if name == "packing":
             assert ids == set(before)
+            total = {}
+            for r in rows:
+                total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+            assert all(total[r["doc_id"]] == r["doc_tokens"] for r in rows)
 
 
 def test_stages_take_odd_rows(spark):
