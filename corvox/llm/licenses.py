@@ -5,7 +5,7 @@ dictionary. The reduction in size, relative to what the template saves on itself
 templates; in that order a template is confirmed by the exact differences of its words and the
 aligned passage's: few may be missing or added, none of those that decide (NEEDS), and none of
 those that tell another license (BARS). A block reaches as far from its cue as the longest
-template's passage could, so no passage is cut. Long blocks are read in overlapping windows; of
+template's passage could (the longest notice's, for notices), so no passage is cut. Long blocks are read in overlapping windows; of
 passages that overlap, the longest is kept. The time is in proportion to a text's length.
 
 Cases: null or empty texts have no rows. Texts of any length are read whole. Repeated documents
@@ -70,6 +70,8 @@ CUE = re.compile(r"licen[sc]e|licen[sc]ing|hereby granted|redistribut|public dom
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Share of the template's own saving that makes a candidate; share of its words that must match, and of other words among them.
 RANKED, MATCHED, OTHER = 0.3, 0.9, 0.1
+#: Templates of fewer words are notices. Their blocks are compressed without coding of literals (a negative level), whose gain or loss on a few words hides that of the dictionary.
+NOTICE = 24
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
@@ -104,36 +106,35 @@ class Templates:
 
         self.words = {k: [w for w, _, _ in words(t)] for k, t in templates.items()}
         self.deciding = {k: deciding(k, set(w)) for k, w in self.words.items()}
-        self.reach = int((1 + OTHER) * max(map(len, self.words.values()))) + 1
+        # notices have blocks of their own: in one as large as a license's, their small reduction would be lost
+        few = [k for k, w in self.words.items() if len(w) < NOTICE]
+        self.groups = [(x, int((1 + OTHER) * max(len(self.words[k]) for k in x)) + 1) for x in (few, [k for k in self.words if k not in few]) if x]
         folded = {k: " ".join(w).encode() for k, w in self.words.items()}
-        self.plain = z.ZstdCompressor(level=3, write_content_size=False)
-        self.by = {k: z.ZstdCompressor(level=3, write_content_size=False, dict_data=z.ZstdCompressionDict(t, dict_type=z.DICT_TYPE_RAWCONTENT)) for k, t in folded.items()}
-        self.saves = {k: len(self.plain.compress(t)) - len(self.by[k].compress(t)) for k, t in folded.items()}
-
-    def windows(self, text: str) -> Iterator[list[tuple[str, int, int]]]:
-        """The words around the text's cues: blocks that reach as far as a passage with the cue can, in windows that share that much with the next one."""
-        cues = [m.start() for m in CUE.finditer(text)]
-        if not cues:
-            return
-        run = words(text)
-        at = [a for _, a, _ in run]
+        level = {k: -1 if len(w) < NOTICE else 3 for k, w in self.words.items()}
+        plain = {n: z.ZstdCompressor(level=n, write_content_size=False) for n in (-1, 3)}
+        self.plain = {k: plain[n] for k, n in level.items()}
+        self.by = {k: z.ZstdCompressor(level=level[k], write_content_size=False, dict_data=z.ZstdCompressionDict(t, dict_type=z.DICT_TYPE_RAWCONTENT)) for k, t in folded.items()}
+        self.saves = {k: len(self.plain[k].compress(t)) - len(self.by[k].compress(t)) for k, t in folded.items()}
+
+    @staticmethod
+    def windows(run: list[tuple[str, int, int]], cues: list[int], reach: int) -> Iterator[list[tuple[str, int, int]]]:
+        """The words around cues (word numbers): blocks of that reach, in windows that share as much with the next one."""
         blocks: list[list[int]] = []
-        for c in cues:
-            i = max(0, bisect_right(at, c) - 1)
-            if blocks and i - self.reach <= blocks[-1][1]:
-                blocks[-1][1] = i + self.reach
+        for i in cues:
+            if blocks and i - reach <= blocks[-1][1]:
+                blocks[-1][1] = i + reach
             else:
-                blocks.append([max(0, i - self.reach), i + self.reach])
+                blocks.append([max(0, i - reach), i + reach])
         for a, b in blocks:
             b = min(b, len(run))
-            for i in range(a, max(b - self.reach, a + 1), 3 * self.reach):
-                yield run[i : min(b, i + 4 * self.reach)]
+            for i in range(a, max(b - reach, a + 1), 3 * reach):
+                yield run[i : min(b, i + 4 * reach)]
 
-    def ranked(self, block: list[str]) -> list[tuple[str, int, int]]:
-        """(template, size alone, size with it) of the candidates, largest reduction first."""
+    def ranked(self, block: list[str], names: list[str]) -> list[tuple[str, int, int]]:
+        """(template, size alone, size with it) of the candidates among names, largest reduction first."""
         data = " ".join(block).encode()
-        alone = len(self.plain.compress(data))
-        with_ = {k: len(c.compress(data)) for k, c in self.by.items()}
+        alone = len(self.plain[names[0]].compress(data))
+        with_ = {k: len(self.by[k].compress(data)) for k in names}
         return sorted(((k, alone, n) for k, n in with_.items() if alone - n >= RANKED * self.saves[k]), key=lambda x: (x[2] - x[1], x[0]))
 
     def aligned(self, name: str, block: list[str]) -> tuple[int, int, int] | None:
@@ -175,13 +176,18 @@ class Templates:
 
     def found(self, text: str) -> list[tuple]:
         """(license, start, end, size alone, size with, template words, matched words, other words, exact) in order of start."""
-        out = []
-        for window in self.windows(text):
+        out, found = [], [m.start() for m in CUE.finditer(text)]
+        if not found:
+            return []
+        all_ = words(text)
+        at = [a for _, a, _ in all_]
+        cues = [max(0, bisect_right(at, c) - 1) for c in found]
+        for names, window in ((names, x) for names, reach in self.groups for x in self.windows(all_, cues, reach)):
             left = [window]
             while left:
                 run = left.pop()
                 block = [w for w, _, _ in run]
-                for name, alone, with_ in self.ranked(block) if block else ():
+                for name, alone, with_ in self.ranked(block, names) if block else ():
                     # of templates that are found, one that holds another's wording is tried first by its larger reduction
                     if got := self.aligned(name, block):
                         i, j, n = got

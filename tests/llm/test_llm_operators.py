@@ -520,6 +520,18 @@ def test_licenses(spark):
     assert licenses.scanned(spark.createDataFrame([], DOCS)).isEmpty()
 
 
+def test_every_notice_is_found():
+    """Exact notices, looked for word by word, in every document of a table."""
+    t = licenses.Templates()
+    notices = {k: w for k, w in t.words.items() if k in ("MIT-notice", "Apache-2.0-notice", "CC-BY-NC-4.0-notice", "GPL-3.0-notice")}
+    want, got = Counter(), Counter()
+    for i, (text,) in enumerate(duckdb.sql(f"select text from '{SF.parent}/sf0.1/documents.parquet' where text ilike '%licens%'").fetchall()):
+        w = [x for x, _, _ in licenses.words(text)]
+        want.update((i, k) for k, v in notices.items() for j in range(len(w)) if w[j : j + len(v)] == v)
+        got.update((i, x[0]) for x in t.found(text))
+    assert want == got and len(want) > 200
+
+
 def test_license_labels():
     t = licenses.Templates()
     labels = lambda text: [(x[0], x[8]) for x in t.found(text)]
