@@ -7,20 +7,26 @@ sequence). Two documents link when 100 * common >= 80 * joint shingles.
    all. Chunks of documents send their shingles, each once, to buckets of the hash range;
    buckets answer how many documents hold each one. A document with too few shared shingles
    has no link and leaves here. Equal word sequences go on as one.
-2. Clusters. With shingles ordered from rare to frequent, linked documents have one in common
-   among the first n - ceil(0.8 n) + 1 of each (prefix principle), so documents that meet on
-   such a shingle, directly or in a chain, form clusters that no link leaves.
-3. Signature trees. Clusters are cut into blocks of bounded size, ordered by set size. Each
-   block, and each pair of blocks of a cluster that may still link, is one task: a
-   tree whose nodes hold the OR of their documents' bitmaps, their range of set sizes and the
-   largest number of shingles that share bits. Both trees are traversed together; a pair of
-   nodes is left when the common bits, with the shared ones, cannot reach the overlap that
-   their sizes need. Pairs of documents that remain are compared exactly, unless links found
-   before already join them.
+2. Signature trees over runs of documents. Documents are sorted by the smallest of their
+   shared shingles, so that most linked ones stand together, and cut into blocks of bounded
+   size, each with a tree whose nodes hold the OR of their documents' bitmaps, their range of
+   set sizes and the largest number of shingles that share bits. The tree is traversed against
+   itself; a pair of nodes is left when the common bits, with the shared ones, cannot reach the
+   overlap that their sizes need. Pairs of documents that remain are compared exactly, unless
+   links found before already join them. One document of each group then takes part in another
+   round by another smallest shingle, as long as a round joins one in eight or more. These
+   rounds only save work; the next step is complete without them.
+3. Signature trees over shingles. With shingles ordered from rare to frequent, linked documents
+   have one in common among the first n - ceil(0.8 n) + 1 of each (prefix principle). Shingles
+   whose documents are all joined by now, or are those of another such shingle, go. Documents
+   of the others are cut into blocks by shingle and group; a block with more than one group,
+   and each pair of blocks of one shingle where not both lie in one group and sizes allow a
+   link, is one task: two trees traversed together as before. Work grows with the documents
+   that share rare shingles, not with what these chain together.
 4. Classes are the components of the links; equal documents hang on their first one.
 
-Skew: a shingle or text that a third of all rows hold is sent once by each chunk; clusters of
-any size are dealt out in blocks. Nothing is dropped, capped or sampled.
+Skew: a shingle or text that a third of all rows hold is sent once by each chunk; the documents
+of a shingle are dealt out in blocks and by salts. Nothing is dropped, capped or sampled.
 
 Cases: null or empty texts have no shingles and no links. Rows that share a doc_id are one
 document whose links are united. Rows without doc_id are returned without component.
@@ -35,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, components, grams, raw, slices, stored, table
@@ -46,10 +52,14 @@ CHUNK, BUCKET, CHUNK_DOCS = 1_500_000, 2_000_000, 60_000
 #: Documents and shingles in a block of signatures.
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 FANOUT = 8
+#: Salts of the rows of a shingle in a join.
+SALTS = 16
 PART = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("shared", pa.binary())])
-SETS_DDL = "doc_id long, n long, first long, digest binary, keys array<long>, shared binary"
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("shared", pa.binary()), ("low", pa.int64()), ("other", pa.int64()), ("chunk", pa.int64())])
+SETS_DDL = "doc_id long, n long, first long, digest binary, keys array<long>, shared binary, low long, other long, chunk long"
 MULTI = 0xFFFF
+#: Odd multiplier that puts shingles in another order.
+OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def shingles(words: list[bytes], hashes: WordHash) -> np.ndarray:
@@ -176,7 +186,7 @@ def least(n: np.ndarray) -> np.ndarray:
 
 def gathered(rows: pa.Table) -> pa.Table:
     """A chunk: rows of SETS. Sets that can link carry their shared shingles, rare ones first, and their prefix."""
-    parts, head = [], None
+    parts, head, chunk = [], None, rows.column(1)[0].as_py()
     for kind, data in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
         if kind:
             head = pickle.loads(data)
@@ -201,15 +211,16 @@ def gathered(rows: pa.Table) -> pa.Table:
     done, out = set(), []
     for doc, size, digest in docs:
         if digest is None:
-            out.append((doc, size, doc, None, None, None))
+            out.append((doc, size, doc, None, None, None, None, None, None))
             continue
-        i, lead, keys, data = owner[digest], first[digest], None, None
+        i, lead, keys, data, low, other = owner[digest], first[digest], None, None, None, None
         if doc == lead and digest not in done:
             done.add(digest)
             if shared[i] >= need[i]:
                 own_x = x[begin[i] : begin[i + 1]]
                 keys, data = own_x[: prefix[i]].view(np.int64).tolist(), own_x.tobytes()
-        out.append((doc, size, lead, digest, keys, data))
+                low, other = (int(x.min().view(np.int64)) for x in (own_x, own_x * OTHER))
+        out.append((doc, size, lead, digest, keys, data, low, other, chunk))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SETS, strict=True)], schema=SETS)
 
 
@@ -222,38 +233,6 @@ def sets(docs: DataFrame) -> DataFrame:
     return stored(back.groupBy("chunk").applyInArrow(gathered, SETS_DDL), "sets")
 
 
-def clusters(some: DataFrame) -> DataFrame:
-    """(node, component) of documents that meet on a prefix shingle."""
-    salt = Window.partitionBy("key", "salt")
-    rows = some.select("doc_id", F.explode("keys").alias("key")).withColumn("salt", F.pmod("doc_id", F.lit(64)))
-    near = rows.withColumn("low", F.min("doc_id").over(salt))
-    far = near.groupBy("key", "salt").agg(F.min("low").alias("low")).withColumn("least", F.min("low").over(Window.partitionBy("key")))
-    edges = near.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct().union(far.select(F.col("low").alias("a"), F.col("least").alias("b")).where("a <> b").distinct())
-    return components(edges, "clusters")
-
-
-BLOCKS = pa.schema([("cluster", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.binary())])
-BLOCKS_DDL = "cluster long, block long, doc_id long, n long, shared binary"
-
-
-def blocks(rows: DataFrame) -> DataFrame:
-    """rows(cluster, doc_id, n, shared) with a block each: runs of bounded size in order of cluster and set size."""
-
-    def run(batches):
-        block, docs, size = TaskContext.get().partitionId() << 32, 0, 0
-        for b in batches:
-            own = []
-            for data in b.column("shared").to_pylist():
-                if docs >= BLOCK or size >= BLOCK_SHINGLES:
-                    block, docs, size = block + 1, 0, 0
-                docs, size = docs + 1, size + len(data) // 8
-                own.append(block)
-            yield pa.RecordBatch.from_arrays([b.column("cluster"), pa.array(own, pa.int64()), b.column("doc_id"), b.column("n"), b.column("shared")], schema=BLOCKS)
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("cluster", "doc_id", "n", "shared").repartitionByRange(n, "cluster", "n", "doc_id").sortWithinPartitions("cluster", "n", "doc_id").mapInArrow(run, BLOCKS_DDL)
-
-
 class Tree:
     """A signature tree: levels from the documents up, each with bitmaps, size ranges and excess."""
 
@@ -306,15 +285,12 @@ def children(nodes: np.ndarray, tree: Tree, level: int) -> list[np.ndarray]:
     return [np.arange(FANOUT * x, min(FANOUT * x + FANOUT, last)) for x in nodes]
 
 
-def linked(task: pa.Table) -> pa.Table:
-    """Links (a, b) of a task's documents that join what no link before them joins."""
-    side = np.array(task.column("side").to_pylist())
-    docs, n = task.column("doc_id").to_numpy(), task.column("n").to_numpy()
-    own = [np.sort(np.frombuffer(x, np.uint64)) for x in task.column("shared").to_pylist()]
-    typical = int(np.median([len(x) for x in own])) if own else 1
-    bits = 1 << min(max((4 * max(typical, 1) - 1).bit_length(), 10), 16)
-    _, first, back = np.unique(task.column("label").to_numpy(), return_index=True, return_inverse=True)
-    up = first[back].tolist()  # documents that links found before join start together
+def joined(docs: np.ndarray, n: np.ndarray, own: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links (numbers of documents) that join what no link before them joins, inside one side or between two; equal labels are joined already."""
+    own = [np.sort(x) for x in own]
+    bits = 1 << min(max((4 * max(int(np.median([len(x) for x in own])), 1) - 1).bit_length(), 10), 16)
+    _, first, back = np.unique(label, return_index=True, return_inverse=True)
+    up = first[back].tolist()
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -322,7 +298,7 @@ def linked(task: pa.Table) -> pa.Table:
             i = up[i]
         return i
 
-    groups = [np.flatnonzero(side == s) for s in sorted(set(side.tolist()))]
+    groups = [np.flatnonzero(side == s) for s in np.unique(side)]
     trees = [Tree(n[g], [own[i] for i in g], bits) for g in groups]
     one, two, same = (trees[0], trees[0], True) if len(trees) == 1 else (trees[0], trees[1], False)
     a, b, most = traverse(one, two, same)
@@ -333,52 +309,130 @@ def linked(task: pa.Table) -> pa.Table:
         p, q = root(i), root(j)
         if p != q and 9 * len(np.intersect1d(own[i], own[j], assume_unique=True)) >= 4 * (n[i] + n[j]):
             up[p] = q
-            links.append((docs[i], docs[j]))
-    c = list(zip(*links, strict=True)) or [[], []]
-    return pa.table({"a": pa.array(c[0], pa.int64()), "b": pa.array(c[1], pa.int64())})
+            links.append((i, j))
+    return links
+
+
+NAMES = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("label", pa.int64())])
+
+
+def named(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of NAMES of a block of (item, doc_id, n, shared): the smallest doc_id that links inside the block reach."""
+    item, doc, n, shared = zip(*rows, strict=True)
+    label = np.array(doc, np.int64)
+    found = joined(label, np.array(n, np.int64), [np.frombuffer(x, np.uint64) for x in shared], label, np.zeros(len(rows), np.int8))
+    up = {d: d for d in doc}
+
+    def root(d: int) -> int:
+        while up[d] != d:
+            up[d] = up[up[d]]
+            d = up[d]
+        return d
+
+    for i, j in found:
+        p, q = sorted((root(doc[i]), root(doc[j])))
+        up[q] = p
+    return pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(doc, pa.int64()), pa.array([root(d) for d in doc], pa.int64())], schema=NAMES)
+
+
+def near(rows: DataFrame, order: str) -> DataFrame:
+    """rows(item, doc_id, n, shared, and a column to sort by) as (item, doc_id, label): joined inside blocks that are runs of that order."""
+    docs, shingles_ = BLOCK, BLOCK_SHINGLES
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("item", "doc_id", "n", "shared")), strict=True):
+                if len(held) >= docs or size >= shingles_:
+                    yield named(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3]) // 8
+        if held:
+            yield named(held)
+
+    by = [order, "n", "item", "doc_id"]
+    return rows.select(*by, "shared").repartitionByRange(partitions(rows), *by).sortWithinPartitions(*by).mapInArrow(run, "item long, doc_id long, label long")
+
+
+def partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def grouped(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rounds of near() as (names(item, doc_id, label), links(a, b)); each round after the first takes one document of every group."""
+    names = last = stored(near(some, "low"), "near")
+    joins = lambda x: x.where("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
+    found, turn = joins(last), 0
+    while 0 < last.count() <= 8 * joins(last).count():
+        turn += 1
+        left = last.where("doc_id = label").select("item", "doc_id")
+        last = stored(near(some.join(left, ["item", "doc_id"]), ("low", "other")[turn % 2]), "near")
+        found = found.union(joins(last))
+        up = last.groupBy(F.col("doc_id").alias("label")).agg(F.min("label").alias("up"))
+        names = stored(names.join(up, "label", "left").select("item", "doc_id", F.coalesce("up", "label").alias("label")), "names")
+    return names, found
+
+
+def keyed(some: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, label, n, item, doc_id): documents of the prefix shingles whose documents are of several groups, each set of documents once."""
+    marked = stored(some.select("item", "doc_id", "n", "keys").join(names, ["item", "doc_id"]), "marked")
+    rows = marked.select("label", "n", "item", "doc_id", F.explode("keys").alias("key"))
+    sums = [F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), *(F.bit_xor(F.xxhash64(F.lit(i), "item", "doc_id")).alias(f"x{i}") for i in (1, 2))]
+    open_ = rows.groupBy("key").agg(*sums).where("low <> high").groupBy("low", "high", "c", "x1", "x2").agg(F.min("key").alias("key"))
+    salted = open_.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("item", "doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
+DEALT = pa.schema([(c, pa.int64()) for c in ("key", "label", "n", "item", "doc_id", "block")])
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """keyed() rows with a block each: runs of bounded size in order of shingle, group and set size."""
+    docs, shingles_ = BLOCK, BLOCK_SHINGLES
+
+    def run(batches):
+        block, held, size = TaskContext.get().partitionId() << 32, 0, 0
+        for b in batches:
+            own = []
+            for n in b.column("n").to_pylist():
+                if held >= docs or size >= shingles_:
+                    block, held, size = block + 1, 0, 0
+                held, size = held + 1, size + n
+                own.append(block)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), pa.array(own, pa.int64())], schema=DEALT)
+
+    by = ["key", "label", "n", "item", "doc_id"]
+    return rows.select(by).repartitionByRange(partitions(rows), *by).sortWithinPartitions(*by).mapInArrow(run, "key long, label long, n long, item long, doc_id long, block long")
+
+
+def tasks(rows: DataFrame) -> DataFrame:
+    """(task, side, label, n, item, doc_id) of dealt() rows: blocks of several groups of a shingle, and pairs of its blocks that may link."""
+    ranges = stored(rows.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")), "ranges")
+    inner = ranges.where("a <> b").select("key", "block", F.col("block").cast("string").alias("task"), F.lit(0).alias("side"))
+    several = ranges.groupBy("key").agg(F.count("*").alias("blocks"), F.max_by(F.when(F.expr("a = b"), F.col("a")), F.when(F.expr("a = b"), F.struct("c", "a"))).alias("main")).where("blocks > 1")
+    spread = ranges.join(several.drop("blocks"), "key").withColumn("plain", F.coalesce(F.expr("a = b and a = main"), F.lit(False)))
+    p, q = spread.where("not plain").alias("p"), spread.alias("q")
+    meet = "p.key = q.key and p.block <> q.block and (q.plain or p.block < q.block) and 5 * p.high >= 4 * q.low and 5 * q.high >= 4 * p.low and not (p.a = p.b and q.a = q.b and p.a = q.a)"
+    cross = p.join(q, F.expr(meet)).select("p.key", F.concat_ws(":", "p.block", "q.block").alias("task"), F.explode(F.array(F.struct(F.col("p.block").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q.block").alias("block"), F.lit(1).alias("side")))).alias("x"))
+    return rows.join(inner.unionByName(cross.select("key", "x.block", "task", "x.side")), ["key", "block"]).select("task", "side", "label", "n", "item", "doc_id").distinct()
+
+
+def linked(task: pa.Table) -> pa.Table:
+    """Links (a, b) of a task's documents."""
+    label, n, docs, side = (task.column(c).to_numpy() for c in ("label", "n", "doc_id", "side"))
+    found = joined(docs, n, [np.frombuffer(x, np.uint64) for x in task.column("shared").to_pylist()], label, side)
+    return pa.table({"a": pa.array([docs[i] for i, _ in found], pa.int64()), "b": pa.array([docs[j] for _, j in found], pa.int64())})
 
 
 def links(all_sets: DataFrame) -> DataFrame:
     """Links (a, b) between documents with different word sequences, enough of them to join all that are linked."""
-    some = all_sets.where("shared is not null")
-    lead = all_sets.where("digest is not null and doc_id = first").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    some = stored(some.join(lead, ["digest", "doc_id"]), "candidates")
-    rows = some.join(clusters(some).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster"), "doc_id")
-    dealt = stored(blocks(rows), "blocks")
-    found = stored(within(dealt), "within")
-    ranges = dealt.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    p, q = ranges.alias("p"), ranges.alias("q")
-    cross = stored(p.join(q, F.expr("p.cluster = q.cluster and p.block < q.block and 5 * p.high >= 4 * q.low and 5 * q.high >= 4 * p.low")).select("p.cluster", F.col("p.block").alias("p"), F.col("q.block").alias("q")), "cross")
-    return found if cross.isEmpty() else found.union(between(dealt, found, cross))
-
-
-def within(dealt: DataFrame) -> DataFrame:
-    """Links inside each block."""
-    return dealt.select(F.col("block").cast("string").alias("task"), F.lit(0).alias("side"), "doc_id", "n", "shared", F.col("doc_id").alias("label")).groupBy("task").applyInArrow(linked, "a long, b long")
-
-
-def labelled(rows: DataFrame, found: DataFrame, tag: str) -> DataFrame:
-    """rows with the component of their document as label."""
-    return rows.join(components(found, tag).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-
-
-def between(dealt: DataFrame, found: DataFrame, cross: DataFrame) -> DataFrame:
-    """Links between the blocks of clusters of several, cross(cluster, p, q).
-
-    One document of every block and component is compared with the others first, which joins
-    the blocks of a large family. Two blocks then meet only if one of them holds a document
-    outside the component that most of the cluster is in.
-    """
-    many = dealt.join(cross.select("cluster").distinct(), "cluster", "left_semi")
-    one = labelled(many, found, "inner").groupBy("cluster", "block", "label").agg(F.min("doc_id").alias("doc_id"))
-    again = stored(within(blocks(many.join(one.select("cluster", "block", "doc_id"), ["cluster", "block", "doc_id"]))), "again")
-    marks = stored(labelled(many.select("cluster", "block", "doc_id"), found.union(again), "outer"), "marks")
-    main = marks.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"))
-    open_ = stored(marks.join(main, "cluster").where("label <> main").select("cluster", "block").distinct(), "open")
-    need = cross.join(open_.withColumnRenamed("block", "p"), ["cluster", "p"], "left_semi").union(cross.join(open_.withColumnRenamed("block", "q"), ["cluster", "q"], "left_semi").select("cluster", "p", "q")).distinct()
-    sides = need.select("cluster", F.concat_ws(":", "cluster", "p", "q").alias("task"), F.explode(F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q").alias("block"), F.lit(1).alias("side")))).alias("x")).select("cluster", "task", "x.*")
-    rows = dealt.join(sides, ["cluster", "block"]).join(marks.select("doc_id", "label").distinct(), "doc_id")
-    return again.union(rows.select("task", "side", "doc_id", "n", "shared", "label").groupBy("task").applyInArrow(linked, "a long, b long"))
+    lead = all_sets.where("digest is not null and doc_id = first").groupBy("digest").agg(F.min(F.struct("doc_id", "chunk")).alias("x")).select("digest", "x.*")
+    some = all_sets.where("shared is not null").join(lead, ["digest", "doc_id", "chunk"])
+    some = stored(some.select(F.xxhash64("digest").alias("item"), "doc_id", "n", "keys", "shared", "low", "other"), "candidates")
+    names, found = grouped(some)
+    rows = tasks(stored(dealt(keyed(some, names)), "dealt")).join(some.select("item", "doc_id", "shared"), ["item", "doc_id"])
+    return found.union(rows.select("task", "side", "label", "n", "doc_id", "shared").groupBy("task").applyInArrow(linked, "a long, b long"))
 
 
 def classes(docs: DataFrame) -> DataFrame:

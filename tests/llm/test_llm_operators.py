@@ -137,6 +137,17 @@ def test_near_duplicates(spark, monkeypatch, seed, block, chunk):
     assert kept == {i for i, (_, c) in got.items() if c == i}
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_duplicates_by_shingles_alone(spark, monkeypatch, block):
+    """The rounds before it only save work: without them the step by shingles finds every link."""
+    t = families(4)
+    alone = lambda some: (some.selectExpr("item", "doc_id", "doc_id as label"), some.selectExpr("doc_id as a", "doc_id as b").limit(0))
+    monkeypatch.setattr(neardups, "grouped", alone)
+    monkeypatch.setattr(neardups, "BLOCK", block)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardups.classes(documents(spark, t)).collect()}
+    assert got == classes_of(list(enumerate(t)))
+
+
 def test_near_duplicates_odd_rows(spark):
     same = prose(30, 5)
     rows = [(1, same), (1, prose(30, 6)), (2, prose(30, 6)), (3, same), (None, same), (None, None)]
