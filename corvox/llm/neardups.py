@@ -18,15 +18,15 @@ sequence). Two documents link when 100 * common >= 80 * joint shingles.
    rounds only save work; the next step is complete without them.
 3. Signature trees over shingles. With shingles ordered from rare to frequent, linked documents
    have one in common among the first n - ceil(0.8 n) + 1 of each (prefix principle). Shingles
-   whose documents are all joined by now, or are those of another such shingle, go. Documents
-   of the others are cut into blocks by shingle and group; a block with more than one group,
-   and each pair of blocks of one shingle where not both lie in one group and sizes allow a
-   link, is one task: two trees traversed together as before. Work grows with the documents
-   that share rare shingles, not with what these chain together.
+   whose documents are all joined by now, or are those of another such shingle, go. The others
+   make units by their largest group, whose documents are cut into blocks by group; a block
+   with more than one group of a unit, and each pair of blocks of a unit where not both lie in
+   one group and sizes allow a link, is one task: two trees traversed together as before. Work
+   grows with the documents that share rare shingles, not with what these chain together.
 4. Classes are the components of the links; equal documents hang on their first one.
 
 Skew: a shingle or text that a third of all rows hold is sent once by each chunk; the documents
-of a shingle are dealt out in blocks and by salts. Nothing is dropped, capped or sampled.
+of a shingle are joined by salts and dealt out in blocks. Nothing is dropped, capped or sampled.
 
 Cases: null or empty texts have no shingles and no links. Rows that share a doc_id are one
 document whose links are united. Rows without doc_id are returned without component.
@@ -375,20 +375,25 @@ def grouped(some: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keyed(some: DataFrame, names: DataFrame) -> DataFrame:
-    """(key, label, n, item, doc_id): documents of the prefix shingles whose documents are of several groups, each set of documents once."""
+    """(unit, label, n, item, doc_id): documents of the prefix shingles whose documents are of several groups, each set of documents once.
+
+    Shingles with the same largest group make one unit, so that a document comes once to it
+    however many of its shingles do.
+    """
     marked = stored(some.select("item", "doc_id", "n", "keys").join(names, ["item", "doc_id"]), "marked")
     rows = marked.select("label", "n", "item", "doc_id", F.explode("keys").alias("key"))
-    sums = [F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), *(F.bit_xor(F.xxhash64(F.lit(i), "item", "doc_id")).alias(f"x{i}") for i in (1, 2))]
-    open_ = rows.groupBy("key").agg(*sums).where("low <> high").groupBy("low", "high", "c", "x1", "x2").agg(F.min("key").alias("key"))
-    salted = open_.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("item", "doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+    sums = [F.count("*").alias("c"), *(F.bit_xor(F.xxhash64(F.lit(i), "item", "doc_id")).alias(f"x{i}") for i in (1, 2))]
+    total = [F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", F.struct("c", "label")).alias("unit"), F.sum("c").alias("c"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")]
+    open_ = rows.groupBy("key", "label").agg(*sums).groupBy("key").agg(*total).where("low <> high").groupBy("unit", "low", "high", "c", "x1", "x2").agg(F.min("key").alias("key"))
+    salted = open_.select("key", "unit", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("item", "doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).select("unit", "label", "n", "item", "doc_id").distinct()
 
 
-DEALT = pa.schema([(c, pa.int64()) for c in ("key", "label", "n", "item", "doc_id", "block")])
+DEALT = pa.schema([(c, pa.int64()) for c in ("unit", "label", "n", "item", "doc_id", "block")])
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """keyed() rows with a block each: runs of bounded size in order of shingle, group and set size."""
+    """keyed() rows with a block each: runs of bounded size in order of unit, group (the unit's own first) and set size."""
     docs, shingles_ = BLOCK, BLOCK_SHINGLES
 
     def run(batches):
@@ -400,22 +405,20 @@ def dealt(rows: DataFrame) -> DataFrame:
                     block, held, size = block + 1, 0, 0
                 held, size = held + 1, size + n
                 own.append(block)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), pa.array(own, pa.int64())], schema=DEALT)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in DEALT.names[:-1]), pa.array(own, pa.int64())], schema=DEALT)
 
-    by = ["key", "label", "n", "item", "doc_id"]
-    return rows.select(by).repartitionByRange(partitions(rows), *by).sortWithinPartitions(*by).mapInArrow(run, "key long, label long, n long, item long, doc_id long, block long")
+    by = [F.col("unit"), F.col("label") != F.col("unit"), *map(F.col, ("label", "n", "item", "doc_id"))]
+    return rows.repartitionByRange(partitions(rows), *by).sortWithinPartitions(*by).mapInArrow(run, "unit long, label long, n long, item long, doc_id long, block long")
 
 
 def tasks(rows: DataFrame) -> DataFrame:
-    """(task, side, label, n, item, doc_id) of dealt() rows: blocks of several groups of a shingle, and pairs of its blocks that may link."""
-    ranges = stored(rows.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")), "ranges")
-    inner = ranges.where("a <> b").select("key", "block", F.col("block").cast("string").alias("task"), F.lit(0).alias("side"))
-    several = ranges.groupBy("key").agg(F.count("*").alias("blocks"), F.max_by(F.when(F.expr("a = b"), F.col("a")), F.when(F.expr("a = b"), F.struct("c", "a"))).alias("main")).where("blocks > 1")
-    spread = ranges.join(several.drop("blocks"), "key").withColumn("plain", F.coalesce(F.expr("a = b and a = main"), F.lit(False)))
-    p, q = spread.where("not plain").alias("p"), spread.alias("q")
-    meet = "p.key = q.key and p.block <> q.block and (q.plain or p.block < q.block) and 5 * p.high >= 4 * q.low and 5 * q.high >= 4 * p.low and not (p.a = p.b and q.a = q.b and p.a = q.a)"
-    cross = p.join(q, F.expr(meet)).select("p.key", F.concat_ws(":", "p.block", "q.block").alias("task"), F.explode(F.array(F.struct(F.col("p.block").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q.block").alias("block"), F.lit(1).alias("side")))).alias("x"))
-    return rows.join(inner.unionByName(cross.select("key", "x.block", "task", "x.side")), ["key", "block"]).select("task", "side", "label", "n", "item", "doc_id").distinct()
+    """(task, side, label, n, item, doc_id) of dealt() rows: blocks with several groups of a unit, and pairs of a unit's blocks that may link."""
+    ranges = stored(rows.groupBy("unit", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("a"), F.max("label").alias("b")), "ranges").withColumn("plain", F.expr("a = b and a = unit"))
+    inner = ranges.where("a <> b").select("unit", "block", F.col("block").cast("string").alias("task"), F.lit(0).alias("side"))
+    p, q = ranges.where("not plain").alias("p"), ranges.alias("q")
+    meet = "p.unit = q.unit and p.block <> q.block and (q.plain or p.block < q.block) and 5 * p.high >= 4 * q.low and 5 * q.high >= 4 * p.low and not (p.a = p.b and q.a = q.b and p.a = q.a)"
+    cross = p.join(q, F.expr(meet)).select("p.unit", F.concat_ws(":", "p.block", "q.block").alias("task"), F.explode(F.array(F.struct(F.col("p.block").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q.block").alias("block"), F.lit(1).alias("side")))).alias("x"))
+    return rows.join(inner.unionByName(cross.select("unit", "x.block", "task", "x.side")), ["unit", "block"]).select("task", "side", "label", "n", "item", "doc_id").distinct()
 
 
 def linked(task: pa.Table) -> pa.Table:
