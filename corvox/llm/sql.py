@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .interactions import FILTERS, LEAST_DISTINCT, MOST_CAPITALS
+from .interactions import LEAST_WORDS as FEWEST_WORDS
 from .quality import FENCE, LEAST_WORDS, LIMITS, MEASURES, MOST_REPEATED, PRIOR, UNIT, beyond
+from .urls import DEFAULT, RULES
+from .vectors import ENTRIES, PARTS, ROUNDS, SCALE
 
 OP1 = """with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n from pages), m as (select *, min(page_id) over (partition by h) as first from p)
 select page_id, n as payload_bytes, sha256(h) as payload_digest, case when n >= 100 and first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id is distinct from first then first end as refers_to from m"""
@@ -46,4 +50,37 @@ h as (select r, i, span, item_id from dw join bw using (span, s)), c as (select
 t as (select r, count(*) as n_items, string_agg(x, ',' order by x) as items from (select distinct r, item_id::varchar as x from h) group by 1)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join c using (r) left join t using (r)"""
 
-SQL = {"op1_warc": OP1, "op2_quality_rules": OP2, "op3_jaccard_join": OP3, "op5_decontaminate": OP5}
+
+
+def quantised() -> str:
+    """Rounds of assignment and averaging as a chain of table expressions: a<k> has the nearest entries by book<k>."""
+    out = [f"""with v as (select row_number() over (order by vec_id) as r, vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::double)) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select r, k as p, x[k * len(x) // {PARTS} + 1:(k + 1) * len(x) // {PARTS}] as x from v, range({PARTS}) t(k)), book0 as (select p, r - 1 as e, x as c from p where r <= {ENTRIES})"""]
+    for k in range(ROUNDS + 1):
+        out.append(f"a{k} as (select r, p, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': e}}) as best from p join book{k} using (p) group by 1, 2)")
+        if k < ROUNDS:
+            out.append(f"m{k} as (select p, e, list(floor(s / n) order by i) as c from (select p, best.e as e, i, sum(x[i]) as s, count(*) as n from a{k} join p using (r, p), lateral (select unnest(range(1, len(x) + 1)) as i) group by all) group by 1, 2)")
+            out.append(f"book{k + 1} as (select p, e, coalesce(m{k}.c, book{k}.c) as c from book{k} left join m{k} using (p, e))")
+    out.append(f"z as (select vec_id, label, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' order by p) as code, sum(best.d)::bigint as error from a{ROUNDS} join v using (r) group by r, vec_id, label)")
+    return ", ".join(out) + f" select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, (select sha256(string_agg(array_to_string(list_transform(c, lambda x: x::bigint::varchar), ','), ',' order by p, e)) from book{ROUNDS}) as codebooks_sha256 from z"
+
+
+OP11 = quantised()
+
+OP12 = f"""with u as (select row_number() over () as r, page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+h as (select r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u), rules(rule_host, rule_path, verdict) as (values {", ".join(map(str, RULES))}),
+f as (select r, max_by({{'rule': rule_host || rule_path, 'verdict': verdict}}, length(rule_host || rule_path)) as f from h, rules where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by 1)
+select page_id, host, path, f.rule as rule, coalesce(f.verdict, '{DEFAULT}') as verdict from h left join f using (r)"""
+
+LETTERS = ", ".join(f"('{x}', {1 << i})" for i, x in enumerate(FILTERS))
+NAMES = [f"l{i}" for i in range(1, len(FILTERS) + 1)]
+STEPS = " union all ".join(f"select {' || '.join(f'{x}.f' for x in NAMES)} as filter_order, {k}::int as step, {x}.b as bit, {' + '.join(['0', *(f'{y}.b' for y in NAMES[: k - 1])])} as before from {', '.join(f'letters {y}' for y in NAMES)} where {' | '.join(f'{y}.b' for y in NAMES)} = {2 ** len(FILTERS) - 1}" for k, x in enumerate(NAMES, 1))
+
+OP13 = rf"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {WORDS} as w from documents), l as (select doc_id, max(coalesce(quality = 1, false)::int) as good, max(coalesce(toxic = 1, false)::int) as toxic from labels group by 1),
+m as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, (len(w) < {FEWEST_WORDS})::int + 2 * (100 * len(list_distinct(w)) < {LEAST_DISTINCT} * len(w))::int + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {MOST_CAPITALS} * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask from d left join l using (doc_id)),
+c as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by all), letters(f, b) as (values {LETTERS}), s as ({STEPS}),
+r as (select part, filter_order, step, bit, coalesce(sum(n) filter (mask & (before | bit) = 0), 0)::bigint as kept, coalesce(sum(n) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as removed, coalesce(sum(n) filter (mask & before > 0 and mask & bit > 0), 0)::bigint as redundant, coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+coalesce(sum(good) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as good_lost, coalesce(sum(toxic) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as toxic_lost from c, s group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from r"""
+
+SQL = {"op1_warc": OP1, "op2_quality_rules": OP2, "op3_jaccard_join": OP3, "op5_decontaminate": OP5, "op11_vector_codes": OP11, "op12_url_filters": OP12, "op13_filter_audit": OP13}
