@@ -44,12 +44,15 @@ def climbed(parents: DataFrame, tag: str, values: dict[str, Callable[[Column, Co
     Pointer jumping: each round joins a node with what hangs above it, so a chain of n nodes
     takes log2 n rounds. `values` maps a column to the function of (the node's, the one above's);
     a top's own values take part. A node whose ancestors end at one that is not in the table has
-    no top; nodes below a cycle are left out.
+    no top; nodes below a cycle are left out, which ends as soon as no others are open.
     """
     j = stored(parents.select("case_id", "node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("top"), *values), tag)
+    before = None
     for _ in range(rounds):
-        if j.where("up is not null").isEmpty():
-            return j.drop("up")
+        open_rows = j.where("up is not null").count()
+        if open_rows in (0, before):
+            break
+        before = open_rows
         above = j.select("case_id", F.col("node").alias("up"), F.col("up").alias("up_"), F.col("top").alias("top_"), *(F.col(v).alias(v + "_") for v in values))
         open_ = F.col("up").isNotNull()
         both = {v: F.when(open_, f(F.col(v), F.col(v + "_"))).otherwise(F.col(v)) for v, f in values.items()}

@@ -93,6 +93,19 @@ def neighbour_pairs(voxels: DataFrame) -> DataFrame:
     return here.join(there, KEY).select("case_id", "a", "b")
 
 
+def links(voxels: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """neighbour_pairs() with the distance of the voxels' centres in mm."""
+    length = F.sqrt(sum((F.col(f"d{a}") * s) ** 2 for a, s in zip("ijk", spacing, strict=True)))
+    here = moved(voxels.select(*KEY, number().alias("a")), HALF)
+    return here.join(voxels.select(*KEY, number().alias("b")), KEY).select("case_id", "a", "b", length.alias("length"))
+
+
+def cube(node: Column, side: int = 16) -> Column:
+    """The cube of side^3 voxels that a voxel number lies in."""
+    i, j, k = F.floor(node / (SPAN * SPAN)), F.floor(node / SPAN) % SPAN, node % SPAN
+    return (F.floor(i / side) * SPAN + F.floor(j / side)) * SPAN + F.floor(k / side)
+
+
 def labelled(voxels: DataFrame) -> DataFrame:
     """voxels with `component`, the smallest voxel number in their 26-connected component."""
     own = voxels.withColumn("v", number())

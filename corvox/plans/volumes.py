@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvox.functions import columns as c
-from corvox.operators import graphs, loops, materials, mesh, voxels
+from corvox.operators import graphs, loops, materials, mesh, shortest, voxels
 
-from .inputs import CANDIDATE, EDGES, NODES, ORDERS, REFERENCE, SIDE, SPARSE, TREE, edges, mask, sparse, tree
+from .inputs import CANDIDATE, EDGES, NODES, ORDERS, REFERENCE, SIDE, SPARSE, TREE, edges, mask, mask_sql, sparse, tree
 from .registry import query, r6
 
 NUM = "((i * 16384 + j) * 16384 + k)"
@@ -371,13 +371,29 @@ def k8_diverse(t):
     return graphs.diverse(p, 5).select("case_id", "id", "pick")
 
 
-@query(f"with recursive t as (select * from {TREE}), s as (select case_id, n, parent, 0 as gen, case when n = 0 then 0 else 0 end as head from t where n = 0 union all select t.case_id, t.n, t.parent, s.gen + case when s.n > 0 and exists (select 1 from t q where q.case_id = t.case_id and q.parent = t.parent and q.n <> t.n) then 1 else 0 end, case when s.n > 0 and exists (select 1 from t q where q.case_id = t.case_id and q.parent = t.parent and q.n <> t.n) then t.n else s.head end from s join t on t.case_id = s.case_id and t.parent = 'n' || s.n) select case_id, n as node, gen as generation, dense_rank() over (partition by case_id order by case when head = 0 then 0 else length(bin(head + 1)) end, head) - 1 as branch from s")
+@query(f"""with recursive t as (select case_id, n, radius from {TREE}), l as (select case_id, (n - 1) // 2 as a, n as b, 1.0::double + n % 5 as w from t where n > 0), e as (select * from l union all select case_id, b, a, w from l),
+s as (select case_id, arg_max(n, (radius, -n)) as n, null::bigint as parent, 0.0::double as dist from t group by 1 union all select e.case_id, e.b, s.n, s.dist + e.w from s join e on e.case_id = s.case_id and e.a = s.n where e.b is distinct from s.parent),
+k as (select case_id, parent as n, count(*) as kids from s where parent is not null group by all),
+g as (select *, 0 as generation, n as head, -1.0::double as turn, n as start from s where parent is null union all select s.*, g.generation + (g.parent is not null and kids > 1)::int, if(g.parent is not null and kids > 1, s.n, g.head), if(g.parent is not null and kids > 1, g.dist, g.turn), if(g.parent is not null and kids > 1, g.n, g.start) from g join s on s.case_id = g.case_id and s.parent = g.n join k on k.case_id = g.case_id and k.n = g.n)
+select case_id, n as node, parent, dist, generation, dense_rank() over (partition by case_id order by turn, start, head) - 1 as branch from g""")
 def g5_branch_labels(t):
     n = tree(t)
-    v = n.select("case_id", F.col("n").alias("node"), F.when(F.col("n") == 0, 99.0).otherwise(F.col("radius")).alias("radius"))
-    e = n.where("n > 0").select("case_id", F.expr("(n - 1) div 2").alias("a"), F.col("n").alias("b"), F.lit(10.0).alias("length"))
-    both = e.union(e.select("case_id", "b", "a", "length"))
-    return graphs.branch_labels(graphs.shortest_tree(v, both)).select("case_id", "node", "generation", F.col("branch").cast("long").alias("branch"))
+    e = n.where("n > 0").select("case_id", F.expr("(n - 1) div 2").alias("a"), F.col("n").alias("b"), (1.0 + F.col("n") % 5).alias("length"))
+    return shortest.branch_labels(shortest.shortest_tree(n.select("case_id", F.col("n").alias("node"), "radius"), e))
+
+
+SKELETON, WIDTH = 48, "(i * 31 + j * 17 + k * 7) % 97"
+
+
+@query(f"""with recursive v as (select *, {NUM} as v from {mask_sql(SKELETON)}), o as (select di, dj, dk from (values (-1), (0), (1)) a(di), (values (-1), (0), (1)) b(dj), (values (-1), (0), (1)) c(dk) where di <> 0 or dj <> 0 or dk <> 0),
+e as materialized (select x.case_id, x.v as a, y.v as b, w from (select case_id, v, i + di as i, j + dj as j, k + dk as k, sqrt(di * di + dj * dj + dk * dk) as w from v, o) x join v y using (case_id, i, j, k)),
+r(case_id, node, dist) using key (case_id, node) as (select case_id, arg_max(v, ({WIDTH}, -v)), 0.0::double from v group by 1 union select * from (select e.case_id, e.b as node, min(r.dist + e.w) as dist from r join e on e.case_id = r.case_id and e.a = r.node group by 1, 2) n where not exists (select 1 from recurring.r q where q.case_id = n.case_id and q.node = n.node and q.dist <= n.dist + 1e-9))
+select r.case_id, r.node, round(r.dist + 1e-7, 5) as dist, arg_min(p.node, (round(p.dist, 6), p.node)) as parent from r left join e on e.case_id = r.case_id and e.b = r.node left join r p on p.case_id = e.case_id and p.node = e.a and abs(p.dist + e.w - r.dist) <= 1e-6 and p.dist < r.dist group by 1, 2, r.dist""")
+def g5_skeleton_tree(t):
+    """Distances and parents over the links of a mask with many cycles, from its widest voxel."""
+    v = mask(t, SKELETON)
+    tree_ = shortest.shortest_tree(v.select("case_id", voxels.number().alias("node"), F.expr(WIDTH).alias("radius")), voxels.links(v), voxels.cube)
+    return tree_.select("case_id", "node", F.round(F.col("dist") + 1e-7, 5).alias("dist"), "parent")
 
 
 @query(f"with recursive t as (select * from {TREE}), s as (select case_id, id, 0 as depth from t where n = 0 union all select t.case_id, t.id, depth + 1 from s join t on t.case_id = s.case_id and t.parent = s.id) select case_id, id, depth from s")
