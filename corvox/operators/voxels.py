@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvox.operators.loops import components
+from corvox.operators.nearest import nearest
 
 KEY = ["case_id", "i", "j", "k"]
 SIDES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
@@ -158,37 +159,6 @@ def corrected(body: DataFrame, airway: DataFrame, steps: int, outside: float, ha
     return b.select(*KEY, hu.alias("hu"))
 
 
-def nearest(points: DataFrame, nodes: DataFrame, key: list[str], cell: float) -> DataFrame:
-    """points(case_id, *key, x, y, z) with the nearest of nodes(case_id, node_ord, x, y, z), the first of equals.
-
-    Points and nodes meet by grid cells, in rings: a point whose nearest hit lies within the
-    rings searched is settled; the others go on with cells twice as wide.
-    """
-    out, left, width = None, points, cell
-    ids = ["case_id", *key]
-    cells = lambda df, w: df.withColumns({f"c{a}": F.floor(F.col(a) / w).cast("long") for a in "xyz"})
-    n = nodes.select("case_id", "node_ord", *(F.col(a).alias(f"n{a}") for a in "xyz"), *(F.col(a).alias(a) for a in "xyz"))
-    around = F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip("xyz", o, strict=True))) for o in product((-1, 0, 1), repeat=3))))
-    spread = nodes.groupBy("case_id").agg(*(F.max(F.abs(a)).alias(a) for a in "xyz")).agg(F.max(F.greatest("x", "y", "z"))).first()[0]
-    reach = points.agg(F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs("z")))).first()[0]
-    if spread is None or reach is None:
-        return points.select(*ids).withColumns({"node_ord": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")}).limit(0)
-    while True:
-        last = width > 2 * (spread + reach) + 1
-        p = cells(left, width).withColumn("o", around).select(*ids, "x", "y", "z", *((F.col(f"c{a}") + F.col(f"o.d{a}")).alias(f"c{a}") for a in "xyz"))
-        d2 = sum(((F.col(a) - F.col(f"n{a}")) ** 2 for a in "yz"), (F.col("x") - F.col("nx")) ** 2)
-        hit = p.join(cells(n, width).drop("x", "y", "z"), ["case_id", "cx", "cy", "cz"]).withColumn("d2", d2).groupBy(*ids).agg(F.min(F.struct("d2", "node_ord")).alias("m"))
-        sure = hit if last else hit.where(F.col("m.d2") <= width * width)
-        from corvox.sources.scratch import stored
-
-        sure = stored(sure.select(*ids, F.col("m.node_ord").alias("node_ord"), F.sqrt("m.d2").alias("distance")), "nearest")
-        out = sure if out is None else out.union(sure)
-        left = left.join(sure.select(*ids), ids, "left_anti")
-        if last or left.isEmpty():
-            return out
-        width *= 4
-
-
 def centroid_slices(voxels: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Chain of slice centroids along the longest axis (the first of equals) of each case: point, radius and running length."""
     b = bounds(voxels)
@@ -222,7 +192,7 @@ def bridged(marked: DataFrame, least: int, limit: float, spacing: tuple[float, f
             continue
         pts = place(part).select("case_id", F.col("v").alias("p"), "x", "y", "z")
         goal = place(grown).withColumn("node_ord", F.col("v")).drop("v")
-        near = nearest(pts, goal, ["p"], max(limit, 1e-6)).where(F.col("distance") <= limit)
+        near = nearest(pts, goal, ["p"]).where(F.col("distance") <= limit)
         link = near.groupBy("case_id").agg(F.min(F.struct("distance", "p", "node_ord")).alias("m")).select("case_id", "m.p", F.col("m.node_ord").alias("q"))
         steps = F.greatest(*(F.abs(F.col(f"q.{a}") - F.col(f"p.{a}")) for a in "ijk"), F.lit(1))
         line = link.withColumn("n", steps).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long")))).select("case_id", *(F.bround(F.col(f"p.{a}") + (F.col(f"q.{a}") - F.col(f"p.{a}")) * F.col("s") / F.col("n"), 0).cast("long").alias(a) for a in "ijk"))
@@ -260,7 +230,7 @@ def surface_fidelity(vertices: DataFrame, mask: DataFrame, size: int) -> DataFra
     v = vertices.select("case_id", "vid", *(cell(a).alias(a) for a in "xyz"))
     places = v.select("case_id", "x", "y", "z").distinct().withColumn("p", F.concat_ws(",", *(F.col(a).cast("int").cast("string") for a in "xyz")))
     skin = surface(mask).select("case_id", number().alias("node_ord"), *(F.col(a).cast("double").alias(b) for a, b in zip("ijk", "xyz", strict=True)))
-    near = places.join(nearest(places, skin, ["p"], 2.0), ["case_id", "p"]).select("case_id", "x", "y", "z", "distance")
+    near = places.join(nearest(places, skin, ["p"]), ["case_id", "p"]).select("case_id", "x", "y", "z", "distance")
     d = v.join(near, ["case_id", "x", "y", "z"])
     p = F.percentile("distance", F.array(F.lit(0.5), F.lit(0.95)))
     return d.groupBy("case_id").agg(p[0].alias("p50"), p[1].alias("p95"), F.max("distance").alias("largest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvox.functions import columns as c
-from corvox.operators import graphs, loops, materials, mesh, shortest, voxels
+from corvox.operators import graphs, loops, materials, mesh, nearest, shortest, voxels
 
 from .inputs import CANDIDATE, EDGES, NODES, ORDERS, REFERENCE, SIDE, SPARSE, TREE, edges, mask, mask_sql, sparse, tree
 from .registry import query, r6
@@ -146,14 +146,14 @@ NEAREST = f"(select p.case_id, p.x, p.y, p.z, arg_min(n.node_ord, ((n.x - p.x)^2
 @query(f"select case_id, x, y, z, node_ord, round(distance, 5) as distance from {NEAREST}")
 def j6_nearest_node(t):
     p, n = node_points(t)
-    near = voxels.nearest(p, n, ["p"], 1.0)
+    near = nearest.nearest(p, n, ["p"])
     return p.join(near, ["case_id", "p"]).select("case_id", "x", "y", "z", "node_ord", F.round("distance", 5).alias("distance"))
 
 
 @query(f"select p.case_id, count(*) as original, count(*) filter (n.radius > 2) as retained from {NEAREST} p join {TREE_NODES} n on p.case_id = n.case_id and p.node_ord = n.node_ord group by 1")
 def j7_pruned(t):
     p, n = node_points(t)
-    near = voxels.nearest(p, n, ["p"], 1.0).join(n.select("case_id", "node_ord", (F.col("radius") > 2).alias("ok")), ["case_id", "node_ord"])
+    near = nearest.nearest(p, n, ["p"]).join(n.select("case_id", "node_ord", (F.col("radius") > 2).alias("ok")), ["case_id", "node_ord"])
     return near.groupBy("case_id").agg(F.count("*").alias("original"), F.count_if("ok").alias("retained"))
 
 

@@ -99,3 +99,40 @@ def test_grid_with_a_long_chain(spark):
     dist, up, _ = dijkstra(links + chain, 0)
     assert {x["node"]: (x["dist"], x["parent"]) for x in rows} == {k: (dist[k], up[k]) for k in dist}
     assert jobs < 300  # without contraction 990, as the chain crosses its 79 blocks one by one
+
+
+def places(seed, n, spread):
+    r = random.Random(seed)
+    out = [(r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 0.01)) for _ in range(n)] + [(r.uniform(-spread, spread), spread, -spread) for _ in range(20)]
+    return [tuple(round(v, 3) for v in x) for x in out]
+
+
+def test_nearest_among_many_with_far_outliers(spark, monkeypatch):
+    """10^5 nodes in one case and a few a million times farther away; ties, repeated places, other cases, unusable coordinates."""
+    import numpy as np
+
+    from corvox.operators import nearest
+
+    nodes, points = places(1, 100_000, 1e6), places(2, 1500, 2e6)
+    nodes += nodes[:500]
+    rows = [("a", k, *x) for k, x in enumerate(nodes)] + [("b", 7, 0.0, 0.0, 0.0), ("b", 3, 2.0, 0.0, 0.0), ("d", 1, 0.0, 0.0, 0.0), ("a", -1, None, 0.0, 0.0), ("a", -2, float("nan"), 0.0, 0.0)]
+    asked = [("a", f"p{k}", *x) for k, x in enumerate(points)] + [("b", "mid", 1.0, 0.0, 0.0), ("b", "mid2", 1.0, 0.0, 0.0), ("c", "alone", 0.0, 0.0, 0.0), ("b", "none", None, 1.0, 1.0)]
+    n = spark.createDataFrame(rows, "case_id string, node_ord long, x double, y double, z double").repartition(4)
+    p = spark.createDataFrame(asked, "case_id string, p string, x double, y double, z double").repartition(4)
+    most, stored = [], nearest.stored
+
+    def watched(df, tag):
+        out = stored(df, tag)
+        most.append(out.count() if tag == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(nearest, "stored", watched)
+    got = {(r["case_id"], r["p"]): (r["node_ord"], r["distance"]) for r in nearest.nearest(p, n, ["p"]).collect()}
+    at = np.array(nodes)
+    want = {("b", "mid"): (3, 1.0), ("b", "mid2"): (3, 1.0)}
+    for k, x in enumerate(points):
+        d2 = ((at - x) ** 2).sum(1)
+        want["a", f"p{k}"] = (int(d2.argmin()), float(d2.min() ** 0.5))
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    assert max(most) < 0.01 * len(nodes) * len(points)
