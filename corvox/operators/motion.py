@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvox.functions.columns import quaternion_angle
+from corvox.operators.scans import Blocks
 
 
 def kinematics(episodes: DataFrame, fps: float) -> DataFrame:
     """episodes(episode, frame, action of 8 numbers): speed in mm/s, angular rate in deg/s and depth change of each step."""
-    w = Window.partitionBy("episode").orderBy("frame")
-    s = episodes.withColumn("b", F.lag("action").over(w)).where("b is not null")
+    blocks = Blocks(episodes.select("episode", "frame", "action"), "episode", "frame", back=1)
+    s = blocks.own(blocks.rows.withColumn("b", F.lag("action").over(blocks.window))).where("b is not null")
     at = lambda c, i: F.element_at(c, i).cast("double")
     step = F.sqrt(sum(((at("action", i) - at("b", i)) ** 2 for i in (2, 3)), (at("action", 1) - at("b", 1)) ** 2))
     angle = quaternion_angle(F.slice("action", 4, 4), F.slice("b", 4, 4))
@@ -28,17 +29,18 @@ def episode_summary(steps: DataFrame) -> DataFrame:
 
 def arc_length(points: DataFrame, by: str, order: str) -> DataFrame:
     """points(x, y, z) with `step` from the point before and the running length `s`."""
-    w = Window.partitionBy(by).orderBy(order)
+    blocks = Blocks(points, by, order, back=1)
+    w = blocks.window
     step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in "yz"), (F.col("x") - F.lag("x").over(w)) ** 2))
-    p = points.withColumn("step", F.coalesce(step, F.lit(0.0)))
-    return p.withColumn("s", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return blocks.own(blocks.running(blocks.rows.withColumn("step", F.coalesce(step, F.lit(0.0))), "s", F.col("step")))
 
 
 def smoothed(points: DataFrame, by: str, order: str, columns: list[str], half: int = 3, passes: int = 2) -> DataFrame:
     """Centred moving averages, summed from the first neighbour to the last; end points stay, groups of fewer than 2 * half + 1 points too."""
-    w = Window.partitionBy(by).orderBy(order)
-    p = points.withColumns({"n_": F.count("*").over(Window.partitionBy(by)), "k_": F.row_number().over(w)})
-    inner = (F.col("n_") >= 2 * half + 1) & (F.col("k_") > 1) & (F.col("k_") < F.col("n_"))
+    blocks = Blocks(points, by, order, back=half * passes, ahead=half * passes)
+    w = blocks.window
+    p = blocks.of_all(blocks.rows.withColumn("k_", blocks.place()), {"n_": F.count("*")})
+    inner = (F.col("n_") >= 2 * half + 1) & (F.col("k_") > 0) & (F.col("k_") < F.col("n_") - 1)
 
     def mean(c: str) -> Column:
         total = F.coalesce(F.lag(c, half).over(w), F.lit(0.0))
@@ -48,14 +50,15 @@ def smoothed(points: DataFrame, by: str, order: str, columns: list[str], half: i
 
     for _ in range(passes):
         p = p.withColumns({c: F.when(inner, mean(c)).otherwise(F.col(c)) for c in columns})
-    return p.drop("n_", "k_")
+    return blocks.own(p).drop("n_", "k_")
 
 
 def resampled(points: DataFrame, by: str, order: str, distance: str, columns: list[str], every: float) -> DataFrame:
     """Samples each `every` along the distance, and the end, by linear interpolation in their segment."""
-    w = Window.partitionBy(by).orderBy(order)
-    end = F.max(distance).over(Window.partitionBy(by))
-    seg = points.withColumns({"d0": F.col(distance), "d1": F.lead(distance).over(w), "end": end, **{f"{c}_1": F.lead(c).over(w) for c in columns}}).where("d1 > d0")
+    blocks = Blocks(points, by, order, ahead=1)
+    w = blocks.window
+    seg = blocks.rows.withColumns({"d0": F.col(distance), "d1": F.lead(distance).over(w), **{f"{c}_1": F.lead(c).over(w) for c in columns}})
+    seg = blocks.own(blocks.of_all(seg, {"end": F.max(distance)})).where("d1 > d0")
     last = F.col("d1") == F.col("end")
     first = F.ceil(F.col("d0") / every)
     upto = F.ceil(F.col("d1") / every) - 1
@@ -68,9 +71,9 @@ def resampled(points: DataFrame, by: str, order: str, distance: str, columns: li
 
 def phases(steps: DataFrame, by: str, order: str, phase: str, step: str) -> DataFrame:
     """Runs of equal phases with their frames and distance."""
-    w = Window.partitionBy(by).orderBy(order)
-    new = F.coalesce((F.col(phase) != F.lag(phase).over(w)).cast("int"), F.lit(1))
-    r = steps.withColumn("run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = Blocks(steps, by, order, back=1)
+    new = F.when(F.lag(F.lit(1)).over(blocks.window).isNull() | ~F.col(phase).eqNullSafe(F.lag(phase).over(blocks.window)), 1).otherwise(0)
+    r = blocks.own(blocks.running(blocks.rows.withColumn("new_", new), "run", F.col("new_"))).drop("new_")
     return r.groupBy(by, "run", phase).agg(F.count("*").alias("frames"), F.sum(step).alias("distance"))
 
 
