@@ -125,12 +125,6 @@ def ranked_components(marked: DataFrame) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("size"), "label")))
 
 
-def topology(marked: DataFrame, least: int) -> DataFrame:
-    r = ranked_components(marked)
-    main = F.col("rank") == 1
-    return r.groupBy("case_id").agg(F.count("*").alias("components"), F.sum(F.when(main, F.col("size"))).alias("kept"), F.coalesce(F.sum(F.when(~main, F.col("size"))), F.lit(0)).alias("removed"), F.count_if(~main & (F.col("size") < least)).alias("below_minimum"), F.count_if(~main & (F.col("size") >= least)).alias("others"))
-
-
 def largest(marked: DataFrame) -> DataFrame:
     return marked.join(ranked_components(marked).where("rank = 1").select("case_id", "component"), ["case_id", "component"], "left_semi").drop("component")
 
@@ -173,33 +167,6 @@ def centroid_slices(voxels: DataFrame, spacing: tuple[float, float, float] = (1.
     return s.withColumn("dist", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def bridged(marked: DataFrame, least: int, limit: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """The largest component, with those of at least `least` voxels whose gap to what has grown so far is at most `limit` mm, joined by straight voxel lines.
-
-    All cases take one round for each size rank; a round is one nearest search of the ranked
-    components' voxels against the grown sets.
-    """
-    from corvox.sources.scratch import stored
-
-    r = ranked_components(marked).select("case_id", "component", "size", "rank")
-    m = stored(marked.join(r, ["case_id", "component"]).where(f"rank = 1 or size >= {least}"), "parts")
-    grown = m.where("rank = 1").select(*KEY)
-    place = lambda df: df.select("case_id", F.struct(*"ijk").alias("v"), *((F.col(a) * s).alias(x) for a, s, x in zip("ijk", spacing, "xyz", strict=True)))
-    top = m.agg(F.max("rank")).first()[0] or 1
-    for rank in range(2, top + 1):
-        part = m.where(F.col("rank") == rank)
-        if part.isEmpty():
-            continue
-        pts = place(part).select("case_id", F.col("v").alias("p"), "x", "y", "z")
-        goal = place(grown).withColumn("node_ord", F.col("v")).drop("v")
-        near = nearest(pts, goal, ["p"]).where(F.col("distance") <= limit)
-        link = near.groupBy("case_id").agg(F.min(F.struct("distance", "p", "node_ord")).alias("m")).select("case_id", "m.p", F.col("m.node_ord").alias("q"))
-        steps = F.greatest(*(F.abs(F.col(f"q.{a}") - F.col(f"p.{a}")) for a in "ijk"), F.lit(1))
-        line = link.withColumn("n", steps).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long")))).select("case_id", *(F.bround(F.col(f"p.{a}") + (F.col(f"q.{a}") - F.col(f"p.{a}")) * F.col("s") / F.col("n"), 0).cast("long").alias(a) for a in "ijk"))
-        grown = stored(grown.union(line).union(part.join(link.select("case_id"), "case_id", "left_semi").select(*KEY)).distinct(), "grown")
-    return grown
-
-
 def registered(points: DataFrame, affine: list[Column], reference: list[Column], most_delta: float = 1e-3, most_error: float = 1e-6) -> DataFrame:
     """points(case_id, x, y, z): for each case the largest difference of two affines, the largest round-trip error, and whether both are small and all points finite."""
     from corvox.functions.columns import affine as through

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvox.functions import columns as c
-from corvox.operators import graphs, loops, materials, mesh, nearest, shortest, voxels
+from corvox.operators import bridges, graphs, loops, materials, mesh, nearest, shortest, voxels
 
 from .inputs import CANDIDATE, EDGES, NODES, ORDERS, REFERENCE, SIDE, SPARSE, TREE, edges, mask, mask_sql, sparse, tree
 from .registry import query, r6
@@ -109,9 +109,20 @@ def w11_component_ranks(t):
     return voxels.ranked_components(voxels.labelled(sparse(t))).select("case_id", "component", "size", F.col("label").cast("long").alias("label"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"with {COMPONENTS} select case_id, count(*) as components, max(size) filter (rank = 1) as kept, coalesce(sum(size) filter (rank > 1), 0)::bigint as removed, count(*) filter (rank > 1 and size < 3) as below_minimum, count(*) filter (rank > 1 and size >= 3) as others from rk group by 1")
+#: Components of so many voxels are bridged over so many mm.
+LEAST, LIMIT, DENSER = 8, 3.0, 62
+GROWN = f"""{COMPONENTS.replace(SPARSE, mask_sql(DENSER))}, w as (select rk.case_id, rank, size, v.v, i, j, k from rk join m using (case_id, component) join v on v.case_id = m.case_id and v.v = m.node where rank = 1 or size >= {LEAST}),
+l as materialized (select distinct case_id, rank, rank + 1 as next from w), g(case_id, v, i, j, k, rank, line) using key (case_id, v, line) as (select case_id, v, i, j, k, rank, 0 from w where rank = 1 union all select distinct case_id, -1::bigint, 0::bigint, 0::bigint, 0::bigint, 1::bigint, -1 from w union all (
+with turn as (select g.case_id, l.next as rank from g join l on l.case_id = g.case_id and l.rank = g.rank where g.v = -1 and exists (select 1 from l n where n.case_id = l.case_id and n.rank = l.next)),
+near as (select w.case_id, w.rank, min({{'d': sqrt((w.i - r.i)^2 + (w.j - r.j)^2 + (w.k - r.k)^2), 'p': [w.i, w.j, w.k], 'q': [r.i, r.j, r.k]}}) as x from turn join w using (case_id, rank) join recurring.g r on r.case_id = w.case_id and r.v >= 0 and abs(w.i - r.i) <= {LIMIT} and abs(w.j - r.j) <= {LIMIT} and abs(w.k - r.k) <= {LIMIT} group by 1, 2),
+ok as (select *, greatest(abs(x.p[1] - x.q[1]), abs(x.p[2] - x.q[2]), abs(x.p[3] - x.q[3]), 1) as n from near where x.d <= {LIMIT}),
+line as (select case_id, rank, round_even(x.p[1] + (x.q[1] - x.p[1]) * s / n, 0)::bigint as i, round_even(x.p[2] + (x.q[2] - x.p[2]) * s / n, 0)::bigint as j, round_even(x.p[3] + (x.q[3] - x.p[3]) * s / n, 0)::bigint as k from (select *, unnest(range(0, n::bigint + 1)) as s from ok))
+select w.case_id, w.v, w.i, w.j, w.k, w.rank, 0 from w join ok using (case_id, rank) union all select case_id, {NUM}, i, j, k, rank, 1 from line where not exists (select 1 from recurring.g q where q.case_id = line.case_id and q.v = {NUM.replace('i ', 'line.i ').replace('+ j', '+ line.j').replace('+ k', '+ line.k')}) union all select case_id, -1, 0, 0, 0, rank, -1 from turn))"""
+
+
+@query(f"with {GROWN}, h as (select case_id, count(distinct rank) as kept, count(distinct v) as repaired_voxels, count(*) - count(distinct v) as again from g where v >= 0 group by 1), a as (select case_id, sum(size)::bigint as original_voxels, count(*) as components, count(*) filter (rank > 1 and size < {LEAST}) as below_minimum from rk group by 1), b as (select g.case_id, count(*) as bridge_voxels from g where line = 1 and not exists (select 1 from g q where q.case_id = g.case_id and q.v = g.v and q.line = 0 and q.rank <= g.rank) group by 1) select case_id, original_voxels, repaired_voxels, components, kept, components - kept as removed, kept - 1 as attached, coalesce(bridge_voxels, 0) as bridge_voxels, below_minimum, components - kept - below_minimum as unbridged from a join h using (case_id) left join b using (case_id)")
 def a14_topology(t):
-    return voxels.topology(voxels.labelled(sparse(t)), 3)
+    return bridges.topology(voxels.labelled(mask(t, DENSER)), LEAST, LIMIT)
 
 
 @query(f"with {COMPONENTS}, b as (select m.case_id, component, min(v.k) as low, max(v.k) as high from m join v on m.case_id = v.case_id and m.node = v.v group by 1, 2), t as (select rk.*, low, high from rk join b using (case_id, component)), c as (select case_id, high as cap from t where rank = 1) select case_id, component, size, cap, round((low - cap - 1) * 0.5::double, 6) as gap_mm from t join c using (case_id) where rank > 1 and low > cap")
@@ -463,7 +474,6 @@ def a20_openings(t):
     return o.select("case_id", "loop", "vertices", F.round("cx", 5).alias("cx"), F.round("mean_radius", 5).alias("mean_radius"), "approved")
 
 
-@query()
+@query(f"with {GROWN} select distinct case_id, i, j, k from g where v >= 0")
 def g10_bridged(t):
-    """No SQL: each round's lines change what the next one is measured against. Tested on fixtures."""
-    return voxels.bridged(voxels.labelled(sparse(t)), 12, 4.0)
+    return bridges.bridged(voxels.labelled(mask(t, DENSER)), LEAST, LIMIT)

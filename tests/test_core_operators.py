@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvox.functions import columns as c
-from corvox.operators import audit, frames, graphs, loops, series, voxels
+from corvox.operators import audit, bridges, frames, graphs, loops, series, voxels
 from corvox.sources import files
 
 
@@ -89,10 +89,11 @@ def test_depth_codes_and_aperture(spark):
 def test_bridge(spark):
     v = spark.createDataFrame([("x", i, 3, 3) for i in (2, 3, 4, 5, 9, 10, 11, 12)], "case_id string, i int, j int, k int")
     marked = voxels.labelled(v)
-    assert voxels.topology(marked, 3).first()["components"] == 2
-    grown = voxels.bridged(marked, 3, 6.0)
+    assert bridges.topology(marked, 3, 6.0).first().asDict() == {"case_id": "x", "original_voxels": 8, "repaired_voxels": 11, "components": 2, "kept": 2, "removed": 0, "attached": 1, "bridge_voxels": 3, "below_minimum": 0, "unbridged": 0}
+    grown = bridges.bridged(marked, 3, 6.0)
     assert (7, 3, 3) in rows(grown, "i", "j", "k")
-    assert voxels.topology(voxels.labelled(grown), 3).first()["components"] == 1
+    assert bridges.topology(voxels.labelled(grown), 3, 6.0).first()["components"] == 1
+    assert bridges.topology(marked, 3, 2.0).first()["unbridged"] == 1 and bridges.topology(marked, 5, 6.0).first()["below_minimum"] == 1
 
 
 def bridged(voxels_, least, limit):
@@ -123,7 +124,7 @@ def test_bridges_against_brute_force(spark, seed):
     r = random.Random(seed)
     cases = {c: {(r.randrange(14), r.randrange(9), r.randrange(5)) for _ in range(r.randint(40, 90))} for c in "ab"}
     v = spark.createDataFrame([(c, *x) for c, xs in cases.items() for x in xs], "case_id string, i int, j int, k int")
-    got = rows(voxels.bridged(voxels.labelled(v), 2, 3.0), "case_id", "i", "j", "k")
+    got = rows(bridges.bridged(voxels.labelled(v), 2, 3.0), "case_id", "i", "j", "k")
     assert got == sorted((c, *x) for c, xs in cases.items() for x in bridged(xs, 2, 3.0))
 
 
