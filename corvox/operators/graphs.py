@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvox.operators import shortest
 from corvox.operators.loops import climbed, components, forest, reached
 from corvox.sources.scratch import stored
 
@@ -122,48 +123,55 @@ def walked(parents: DataFrame, entries: DataFrame, values: dict) -> DataFrame:
     return tree.join(entries.select("case_id", F.col("id").alias("top")), ["case_id", "top"], "left_semi").drop("top")
 
 
-def routes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, minimum: float, working_length: float, rounds: int = 100_000) -> DataFrame:
+def routes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, minimum: float, working_length: float) -> DataFrame:
     """Routes from the entry, or the passable node nearest to it, to the leaves of the breadth-first tree through passable nodes (accessible, 2r > minimum), no longer than the working length; a route has two nodes at least.
 
-    A forest is walked by pointer jumping in log2 of the depth rounds, whatever its edges'
-    directions; where passable nodes form cycles, breadth first, a round a level.
+    A forest is turned to lead away from the entry; where passable nodes form cycles, the tree
+    comes from shortest.distances in steps, with the parent that comes first in node_ord.
+    Lengths and radii add up by pointer jumping; only leaves are written out as routes.
     """
     passable = F.col("accessible") & (2 * F.col("radius") > minimum)
-    known = stored(nodes.select("case_id", "id", "node_ord", "x", "y", "z", "radius", passable.alias("passable")), "nodes")
-    entries = stored(nearest_passable(known.select("case_id", "id", "node_ord", "passable"), edges, entries), "entry")
+    known = stored(nodes.select("case_id", "id", F.col("node_ord").cast("long").alias("node"), "x", "y", "z", "radius", passable.alias("passable")), "nodes")
+    entry = stored(nearest_passable(known.select("case_id", "id", F.col("node").alias("node_ord"), "passable"), edges, entries), "entry")
     ok = known.where("passable").drop("passable")
-    inside = edges.select("case_id", "src", "dst").distinct().join(ok.select("case_id", F.col("id").alias("src")), ["case_id", "src"], "left_semi").join(ok.select("case_id", F.col("id").alias("dst")), ["case_id", "dst"], "left_semi")
-    away = rerooted(inside, entries)
+    of = lambda c, n: ok.select("case_id", F.col("id").alias(c), F.col("node").alias(n))
+    inside = stored(edges.select("case_id", "src", "dst").distinct().join(of("src", "a"), ["case_id", "src"]).join(of("dst", "b"), ["case_id", "dst"]).select("case_id", "a", "b"), "inside")
+    start = stored(entry.join(ok, ["case_id", "id"]).select("case_id", "node", "radius"), "start")
+    away = rerooted(inside.select("case_id", F.col("a").alias("src"), F.col("b").alias("dst")), start.select("case_id", F.col("node").alias("id")))
     if away is None:
-        return levels(ok, inside, entries, rounds).where((F.size("route") > 1) & (F.col("length") <= working_length))
-    at = lambda c, n: ok.select("case_id", F.col("id").alias(c), *(F.col(v).alias(n + v) for v in ("x", "y", "z", "radius")))
-    hop = away.join(at("node", "a"), ["case_id", "node"]).join(at("up", "b"), ["case_id", "up"])
+        links = stored(shortest.both(inside.withColumn("length", F.lit(1.0))), "links")
+        best = shortest.distances(links, start.select("case_id", "node"))
+        before = best.select("case_id", F.col("node").alias("a"), (F.col("dist") + 1).alias("dist"))
+        away = stored(best.join(links.withColumnRenamed("b", "node"), ["case_id", "node"]).join(before, ["case_id", "a", "dist"]).groupBy("case_id", "node").agg(F.min("a").alias("up")), "away")
+    at = lambda c, n: ok.select("case_id", F.col("node").alias(c), *(F.col(v).alias(n + v) for v in ("x", "y", "z", "radius")))
     gap = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 + (F.col("az") - F.col("bz")) ** 2)
-    hop = hop.select("case_id", "node", "up", F.array("node").alias("route"), gap.alias("length"), F.col("aradius").alias("least_radius"))
-    start = entries.join(ok.select("case_id", "id", "radius"), ["case_id", "id"])
-    values = {"route": (lambda a, b: F.concat(b, a), F.array("id")), "length": (lambda a, b: a + b, F.lit(0.0)), "least_radius": (F.least, F.col("radius"))}
-    tree = stored(walked(hop, start, values), "routes")
-    inner = away.select("case_id", F.col("up").alias("node")).distinct()
-    ends = tree.join(inner, ["case_id", "node"], "left_anti")
-    return ends.where((F.col("depth") > 0) & (F.col("length") <= working_length)).select("case_id", F.col("node").alias("id"), "route", "length", "least_radius")
-
-
-def levels(ok: DataFrame, edges: DataFrame, entries: DataFrame, rounds: int) -> DataFrame:
-    """Routes to the leaves of the breadth-first tree of nodes ok(case_id, id, node_ord, x, y, z, radius), a round a level."""
-    hop = both_ways(edges).join(ok.select("case_id", F.col("id").alias("src"), *(F.col(c).alias("s" + c) for c in ("x", "y", "z", "node_ord"))), ["case_id", "src"]).join(ok.withColumnRenamed("id", "dst"), ["case_id", "dst"])
-    gap = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2 + (F.col("z") - F.col("sz")) ** 2)
-    hop = stored(hop.select("case_id", F.col("src").alias("id"), "dst", gap.alias("gap"), "radius", F.col("snode_ord").alias("from_ord")), "hops")
-    front = stored(entries.join(ok, ["case_id", "id"]).select("case_id", "id", F.array("id").alias("route"), F.lit(0.0).alias("length"), F.col("radius").alias("least_radius")), "front")
-    seen = front
-    for _ in range(rounds):
-        step = front.join(hop, ["case_id", "id"]).join(seen.select("case_id", F.col("id").alias("dst")), ["case_id", "dst"], "left_anti")
-        new = step.groupBy("case_id", "dst").agg(F.min_by(F.struct(F.concat("route", F.array("dst")).alias("route"), (F.col("length") + F.col("gap")).alias("length"), F.least("least_radius", "radius").alias("least_radius")), "from_ord").alias("s"))
-        front = stored(new.select("case_id", F.col("dst").alias("id"), "s.*"), "front")
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    inner = seen.where(F.size("route") > 1).select("case_id", F.element_at("route", -2).alias("id")).distinct()
-    return seen.join(inner, ["case_id", "id"], "left_anti")
+    hop = away.join(at("node", "a"), ["case_id", "node"]).join(at("up", "b"), ["case_id", "up"])
+    hop = stored(hop.select("case_id", "node", "up", gap.alias("length"), F.col("aradius").alias("least_radius")), "hops")
+    values = {"length": (lambda a, b: a + b, F.lit(0.0)), "least_radius": (F.least, F.col("radius"))}
+    tree = walked(hop, start.withColumnRenamed("node", "id"), values)
+    inner = hop.select("case_id", F.col("up").alias("node")).distinct()
+    ends = stored(tree.where((F.col("depth") > 0) & (F.col("length") <= working_length)).join(inner, ["case_id", "node"], "left_anti"), "ends")
+    name = ok.select("case_id", "node", "id")
+    route = written(hop, ends).join(name, ["case_id", "node"]).groupBy("case_id", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("route"))
+    return ends.join(name, ["case_id", "node"]).join(route.withColumnRenamed("leaf", "node"), ["case_id", "node"]).select("case_id", "id", "route", "length", "least_radius")
+
+
+def written(parents: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(case_id, leaf, node, place) of the nodes on the ways from the entry (place 0) to leaves(case_id, node, depth) in parents(case_id, node, up).
+
+    A table of ancestors by powers of two takes log2 of the depth rounds, and as many joins,
+    from the farthest ancestors to the nearest, write a way out: each doubles its nodes.
+    """
+    deepest = leaves.agg(F.max("depth")).first()[0] or 0
+    jumps = [parents.select("case_id", "node", "up")]
+    while 2 << len(jumps) - 1 <= deepest:
+        last = jumps[-1]
+        jumps.append(stored(last.join(last.select("case_id", F.col("node").alias("up"), F.col("up").alias("far")), ["case_id", "up"]).select("case_id", "node", F.col("far").alias("up")), "jump"))
+    way = leaves.select("case_id", F.col("node").alias("leaf"), "node", F.col("depth").cast("long").alias("place"))
+    for k in range(len(jumps) - 1, -1, -1):
+        above = way.where(F.col("place") >= 1 << k).join(jumps[k], ["case_id", "node"]).select("case_id", "leaf", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"))
+        way = stored(way.unionByName(above), "way")
+    return way
 
 
 def common_prefix(first: Column, second: Column) -> Column:

@@ -122,22 +122,32 @@ def relaxed(links: DataFrame, roots: DataFrame, block, rounds: int = 10_000) ->
     raise RuntimeError("distances did not settle")
 
 
-def shortest_tree(nodes: DataFrame, links: DataFrame, block=numbered) -> DataFrame:
-    """nodes(case_id, node, radius), links(case_id, a, b, length): distance and parent from each case's widest node (the lowest of equals); what it doesn't reach is left out."""
-    roots = stored(nodes.groupBy("case_id").agg(F.max_by("node", F.struct("radius", -F.col("node"))).alias("node")), "roots")
-    e = stored(both(links), "links")
-    spread = e.where(block(F.col("a")) != block(F.col("b"))).isEmpty()
-    core, steps = (e, []) if spread else contracted(e, roots)
+def distances(links: DataFrame, roots: DataFrame, block=numbered) -> DataFrame:
+    """(case_id, node, dist) of the nodes that links (both ways) reach from roots(case_id, node)."""
+    alone = links.where(block(F.col("a")) != block(F.col("b"))).isEmpty()
+    core, steps = (links, []) if alone else contracted(links, roots)
     best = relaxed(core, roots, block)
     for taken in reversed(steps):
         near = taken.join(best.withColumnRenamed("node", "via"), ["case_id", "via"])
         best = stored(best.unionByName(near.groupBy(*NODE).agg(F.min(F.col("dist") + F.col("length")).alias("dist"))), "dist")
+    return best
+
+
+def parents(links: DataFrame, best: DataFrame) -> DataFrame:
+    """distances() with each node's parent: of those that attain its distance the nearest, then the lowest."""
     up = best.select("case_id", F.col("node").alias("a"), F.col("dist").alias("above"))
-    way = best.join(e.withColumnRenamed("b", "node"), NODE).join(up, ["case_id", "a"]).where(f"abs(above + length - dist) <= {CLOSE} and above < dist")
+    way = best.join(links.withColumnRenamed("b", "node"), NODE).join(up, ["case_id", "a"]).where(f"abs(above + length - dist) <= {CLOSE} and above < dist")
     parent = way.groupBy(*NODE).agg(F.min_by("a", F.struct(F.round("above", 6), "a")).alias("parent"))
     return best.join(parent, NODE, "left")
 
 
+def shortest_tree(nodes: DataFrame, links: DataFrame, block=numbered) -> DataFrame:
+    """nodes(case_id, node, radius), links(case_id, a, b, length): distance and parent from each case's widest node (the lowest of equals); what it doesn't reach is left out."""
+    roots = stored(nodes.groupBy("case_id").agg(F.max_by("node", F.struct("radius", -F.col("node"))).alias("node")), "roots")
+    e = stored(both(links), "links")
+    return parents(e, distances(e, roots, block))
+
+
 def branch_labels(tree: DataFrame) -> DataFrame:
     """tree(case_id, node, parent, dist) with `generation` and `branch`: each child of a branching node other than the root starts a branch one generation on; branches are numbered as their parents settle, then by node. Pointer jumping adds up the starts above each node."""
     kids = tree.where("parent is not null").groupBy("case_id", F.col("parent").alias("node")).agg(F.count("*").alias("kids"))

@@ -136,3 +136,58 @@ def test_nearest_among_many_with_far_outliers(spark, monkeypatch):
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
     assert max(most) < 0.01 * len(nodes) * len(points)
+
+
+def test_routes_keep_only_leaves(spark, monkeypatch):
+    """A chain of 100,000 nodes with a side branch: two routes are written out, and no table of all nodes' routes."""
+    from corvox.operators import graphs
+
+    n = 100_000
+    e = spark.range(n - 1).selectExpr("'x' as case_id", "id as src", "id + 1 as dst").union(spark.sql("select 'x', 3L, 100000L"))
+    nodes = spark.range(n + 1).selectExpr("'x' as case_id", "id", "id as node_ord", "cast(id as double) as x", "0.0D as y", "0.0D as z", "case when id = 99 then 3.0D else 5.0D end as radius", "true as accessible")
+    most, stored = [0], graphs.stored
+
+    def watched(df, tag):
+        out = stored(df, tag)
+        most.append(out.count() if tag == "way" else 0)
+        return out
+
+    monkeypatch.setattr(graphs, "stored", watched)
+    got = {r["id"]: r for r in graphs.routes(nodes, e, spark.createDataFrame([("x", 0)], "case_id string, id long"), 2.5, 1e9).collect()}
+    assert got.keys() == {n - 1, n} and max(most) == n + 5
+    assert got[n - 1]["route"] == list(range(n)) and got[n - 1]["length"] == n - 1 and got[n - 1]["least_radius"] == 3.0
+    assert got[n]["route"] == [0, 1, 2, 3, n] and got[n]["least_radius"] == 5.0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_routes_through_cycles(spark, seed):
+    from corvox.operators import graphs
+
+    r = random.Random(seed)
+    links = {tuple(sorted(r.sample(range(30), 2))) for _ in range(45)}
+    radius = {k: r.choice((1.0, 4.0, 5.0)) if k else 5.0 for k in range(30)}
+    nodes = spark.createDataFrame([("x", f"n{k}", k, float(k), float(k % 3), 0.0, radius[k], True) for k in radius], "case_id string, id string, node_ord int, x double, y double, z double, radius double, accessible boolean")
+    e = spark.createDataFrame([("x", f"n{a}", f"n{b}") for a, b in links], "case_id string, src string, dst string")
+    got = {x["id"]: x["route"] for x in graphs.routes(nodes, e, spark.createDataFrame([("x", "n0")], "case_id string, id string"), 3.0, 1e9).collect()}
+    near = defaultdict(set)
+    for a, b in links:
+        if min(radius[a], radius[b]) > 1.5:
+            near[a].add(b)
+            near[b].add(a)
+    up, front = {0: None}, [0]
+    while front:
+        new = {}
+        for a in sorted(front):
+            for b in sorted(near[a]):
+                if b not in up:
+                    new.setdefault(b, a)
+        up |= new
+        front = list(new)
+    want = {}
+    for k in set(up) - set(up.values()):
+        way = [k]
+        while up[way[-1]] is not None:
+            way.append(up[way[-1]])
+        if len(way) > 1:
+            want[f"n{k}"] = [f"n{x}" for x in reversed(way)]
+    assert got == want
