@@ -196,18 +196,22 @@ def texture(name: Column, x: Column, y: Column, z: Column, scale: float = 3.0) -
     return F.least(F.greatest(wave, F.lit(0.0)), F.lit(1.0))
 
 
-def soft_weights(generation: Column, distance: Column, radius: Column, softness: float = 0.15) -> list[Column]:
-    """Weights of the four regions that add up to 1; region 3 alone where all are zero."""
+def region_weights(generation: Column, distance: Column, radius: Column, softness: float) -> list[Column]:
+    """How far a point belongs to each of the four regions, with edges as soft as given."""
     s = max(softness, 1e-4)
     near = smoothstep(radius, 0.86 - s / 2, 0.86 + s / 2)
     step = lambda at: smoothstep(generation, at - s, at + s)
     less = 1 - 0.65 * near
-    raw = [
+    return [
         F.greatest(1 - step(0.5), 1 - smoothstep(distance, 0.14, 0.34 + 0.08 * s), near),
         step(0.5) * (1 - step(1.5)) * less,
         step(1.5) * (1 - step(3.5)) * less,
         F.greatest(step(3.5), smoothstep(distance, 0.52 - 0.05 * s, 0.72 + 0.08 * s)) * less,
     ]
-    raw = [F.greatest(w, F.lit(0.0)) for w in raw]
+
+
+def soft_weights(generation: Column, distance: Column, radius: Column, softness: float = 0.15) -> list[Column]:
+    """Weights of the four regions that add up to 1; region 3 alone where all are zero."""
+    raw = [F.greatest(w, F.lit(0.0)) for w in region_weights(generation, distance, radius, softness)]
     total = raw[0] + raw[1] + raw[2] + raw[3]
     return [F.when(total > 1e-6, w / total).otherwise(F.lit(float(i == 3))) for i, w in enumerate(raw)]

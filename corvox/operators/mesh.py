@@ -136,14 +136,53 @@ def openings(loops: DataFrame, vertices: DataFrame, expected: DataFrame) -> Data
     return e.select("case_id", "loop", "vertices", "cx", "cy", "cz", "mean_radius", "distance", F.coalesce(ok, F.lit(False)).alias("approved"))
 
 
-def uncapped(faces: DataFrame, vertices: DataFrame, opening: DataFrame, axial: float = 1.5, radial: float = 1.5) -> DataFrame:
-    """faces without those whose centroid lies in a cylinder along z at opening(case_id, x, y, z, radius)."""
+def top_opening(nodes: DataFrame, edges: DataFrame, axis: str = "z") -> DataFrame:
+    """(case_id, x, y, z, dx, dy, dz, radius): of the accessible leaves, else of all leaves, the highest on the axis, then the widest, and the unit vector out of the tube; no row for a case without."""
+    pairs = edges.select("case_id", "src", "dst").union(edges.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    leaf = pairs.groupBy("case_id", F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("next")).where("n = 1").select("case_id", "id", "next")
+    own = nodes.join(leaf, ["case_id", "id"])
+    best = own.groupBy("case_id").agg(F.max_by(F.struct("id", "next", "x", "y", "z", "radius"), F.struct("accessible", axis, "radius", -F.col("node_ord"))).alias("m")).select("case_id", "m.*")
+    inner = nodes.select("case_id", F.col("id").alias("next"), *(F.col(c).alias("n" + c) for c in "xyz"))
+    out = best.join(inner, ["case_id", "next"]).withColumn("size", norm([F.col(c) - F.col("n" + c) for c in "xyz"])).where("size > 1e-9")
+    return out.select("case_id", "x", "y", "z", *(((F.col(c) - F.col("n" + c)) / F.col("size")).alias("d" + c) for c in "xyz"), "radius")
+
+
+def cap_faces(faces: DataFrame, vertices: DataFrame, opening: DataFrame, scale: float, trim: bool, margin: float) -> DataFrame:
+    """faces with `cap`: the centroid lies in the cylinder along the opening's own axis or, with trim, beyond the plane across it; cases without an opening have none."""
+    if scale <= 0:
+        raise ValueError("scale must be positive")
     f = with_corners(faces, vertices)
-    mid = {x: (F.col("a" + x) + F.col("b" + x) + F.col("c" + x)) / 3 for x in "xyz"}
-    o = opening.select("case_id", *(F.col(c).alias("o" + c) for c in ("x", "y", "z", "radius")))
+    o = opening.select("case_id", *(F.col(c).alias("o" + c) for c in ("x", "y", "z", "dx", "dy", "dz", "radius")))
     f = f.join(o, "case_id", "left")
-    inside = (F.abs(mid["z"] - F.col("oz")) <= axial * F.col("oradius")) & (F.sqrt((mid["x"] - F.col("ox")) ** 2 + (mid["y"] - F.col("oy")) ** 2) <= radial * F.col("oradius"))
-    return f.where(~F.coalesce(inside, F.lit(False))).select("case_id", "fid", "a", "b", "c")
+    delta = {x: (F.col("a" + x) + F.col("b" + x) + F.col("c" + x)) / 3 - F.col("o" + x) for x in "xyz"}
+    axial = delta["x"] * F.col("odx") + delta["y"] * F.col("ody") + delta["z"] * F.col("odz")
+    reach = lambda by, of: F.greatest(F.lit(float(by)), F.col("oradius") * of)
+    if trim:
+        inside = axial >= -reach(margin, 0.6)
+    else:
+        radial = norm([delta[x] - axial * F.col("od" + x) for x in "xyz"])
+        inside = (axial >= -reach(margin, 0.4)) & (axial <= reach(1.5 * margin, 1.5)) & (radial <= F.col("oradius") * scale)
+    return f.select("case_id", "fid", "a", "b", "c", F.coalesce(inside, F.lit(False)).alias("cap"))
+
+
+def not_all(faces: DataFrame, gone: str, what: str) -> DataFrame:
+    """faces without those marked in `gone`; an error for a case that would lose all."""
+    empty = faces.groupBy("case_id").agg(F.bool_and(gone).alias("all_")).where("all_")
+    error = F.raise_error(F.concat(F.lit(f"{what} every face of case "), F.col("case_id").cast("string")))
+    kinds = dict(faces.dtypes)
+    return faces.where(~F.col(gone)).select("case_id", "fid", "a", "b", "c").union(empty.select(*(error.cast(kinds[c]).alias(c) for c in ("case_id", "fid", "a", "b", "c"))))
+
+
+def uncapped(faces: DataFrame, vertices: DataFrame, opening: DataFrame, scale: float = 1.25, trim: bool = False, margin: float = 1.0) -> DataFrame:
+    """faces without the cap at opening(case_id, x, y, z, dx, dy, dz, radius), see cap_faces(); an error where no face is left."""
+    return not_all(cap_faces(faces, vertices, opening, scale, trim, margin), "cap", "the opening takes")
+
+
+def cap_report(faces: DataFrame, vertices: DataFrame, opening: DataFrame, scale: float = 1.25, trim: bool = False, margin: float = 1.0) -> DataFrame:
+    """Of each case how many faces the opening takes, whether that makes it hollow, and the depth of the trim."""
+    g = cap_faces(faces, vertices, opening, scale, trim, margin).groupBy("case_id").agg(F.count_if("cap").alias("removed"))
+    depth = F.when(F.lit(trim) & F.col("radius").isNotNull(), F.greatest(F.lit(float(margin)), 0.6 * F.col("radius"))).otherwise(0.0)
+    return g.join(opening.select("case_id", "radius"), "case_id", "left").select("case_id", "removed", (F.col("removed") > 0).alias("hollow"), (F.col("removed") > 0).cast("int").alias("openings"), depth.alias("trim_depth"))
 
 
 def smoothed(faces: DataFrame, vertices: DataFrame, iterations: int, alpha: float = 0.35) -> DataFrame:
@@ -158,10 +197,11 @@ def smoothed(faces: DataFrame, vertices: DataFrame, iterations: int, alpha: floa
 
 
 def repaired(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """faces without repeated corners, without area, and one of each set of corners."""
-    f = with_corners(faces, vertices).where("a <> b and b <> c and a <> c").where(norm(normal()) / 2 > 1e-12)
-    w = Window.partitionBy("case_id", F.array_sort(F.array(*"abc"))).orderBy("fid")
-    return f.withColumn("place", F.row_number().over(w)).where("place = 1").select("case_id", "fid", "a", "b", "c")
+    """faces without repeated corners, without area, and one of each set of corners; an error where none is left."""
+    flat = F.expr("a = b or b = c or a = c") | (norm(normal()) / 2 <= 1e-12)
+    f = with_corners(faces, vertices).withColumn("flat", flat)
+    w = Window.partitionBy("case_id", F.array_sort(F.array(*"abc")), "flat").orderBy("fid")
+    return not_all(f.withColumn("gone", F.col("flat") | (F.row_number().over(w) > 1)), "gone", "the repair takes")
 
 
 def flipped(faces: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from corvox.functions import columns as c
@@ -270,11 +272,31 @@ def g9_smoothed(t):
     return mesh.smoothed(f, mesh.lattice(f), 2).select("case_id", "vid", *(F.round(F.col(x) + 1e-10, 7).alias(x) for x in "xyz"))
 
 
-@query(f"with v as (select case_id, fid, ((a // 268435456) + (b // 268435456) + (c // 268435456)) / 3.0::double - 0.5 as x, ((a // 16384) % 16384 + (b // 16384) % 16384 + (c // 16384) % 16384) / 3.0::double - 0.5 as y, (a % 16384 + b % 16384 + c % 16384) / 3.0::double - 0.5 as z from {MESH}) select case_id, fid from v where not (abs(z - 39.1) <= 4.5 and sqrt((x - 20.3)^2 + (y - 20.3)^2) <= 4.5)")
+#: The trees' nodes, moved to where the masks' meshes are.
+IN_MESH = f"(select case_id, n, id, parent, 10 * x as x, 7 * (y + 5) as y, z + 95 as z, 2 * radius as radius, radius > 1.5 as accessible from {TREE})"
+OPENING = f"""t as (select * from {IN_MESH}), u as (select distinct case_id, id, parent as other from t where parent is not null), d as (select case_id, id, min(other) as next from (select * from u union select case_id, other, id from u) group by 1, 2 having count(*) = 1),
+l as (select case_id, arg_max(t.id, (accessible, z, radius, -n)) as id, arg_max(next, (accessible, z, radius, -n)) as next from t join d using (case_id, id) group by 1),
+o as (select p.case_id, p.x, p.y, p.z, p.radius, p.x - q.x as dx, p.y - q.y as dy, p.z - q.z as dz from l join t p on p.case_id = l.case_id and p.id = l.id join t q on q.case_id = l.case_id and q.id = l.next),
+f as (select m.case_id, fid, ((a // 268435456) + (b // 268435456) + (c // 268435456)) / 3.0::double - 0.5 - o.x as x, ((a // 16384) % 16384 + (b // 16384) % 16384 + (c // 16384) % 16384) / 3.0::double - 0.5 - o.y as y, (a % 16384 + b % 16384 + c % 16384) / 3.0::double - 0.5 - o.z as z, radius, sqrt(dx^2 + dy^2 + dz^2) as n, dx / n as dx, dy / n as dy, dz / n as dz from {MESH} m left join o using (case_id)),
+g as (select *, x * dx + y * dy + z * dz as ax from f)"""
+
+
+def opening_of(t):
+    n = tree(t).select("case_id", F.col("n").alias("node_ord"), "id", "parent", (10 * F.col("x")).alias("x"), (7 * (F.col("y") + 5)).alias("y"), (F.col("z") + 95).alias("z"), (2 * F.col("radius")).alias("radius"), (F.col("radius") > 1.5).alias("accessible"))
+    return mesh.top_opening(n, edges(n.withColumns({"n": F.col("node_ord"), "generation": F.lit(0)})))
+
+
+@query(f"with {OPENING} select case_id, fid from g where not coalesce(ax >= -greatest(1, 0.4 * radius) and ax <= greatest(1.5, 1.5 * radius) and sqrt((x - ax * dx)^2 + (y - ax * dy)^2 + (z - ax * dz)^2) <= 1.25 * radius, false)")
 def f6_uncapped(t):
+    """The cap at the highest accessible leaf of each case's tree, along the leaf's own direction."""
+    f = mesh.exposed_faces(sparse(t))
+    return mesh.uncapped(f, mesh.lattice(f), opening_of(t)).select("case_id", "fid")
+
+
+@query(f"with {OPENING} select case_id, count(*) filter (ax >= -greatest(1, 0.6 * radius)) as removed, removed > 0 as hollow, (removed > 0)::int as openings, coalesce(round(greatest(1, 0.6 * any_value(radius)), 6), 0) as trim_depth from g group by 1")
+def f6_trimmed(t):
     f = mesh.exposed_faces(sparse(t))
-    top = f.select("case_id").distinct().select("case_id", F.lit(20.3).alias("x"), F.lit(20.3).alias("y"), F.lit(39.1).alias("z"), F.lit(3.0).alias("radius"))
-    return mesh.uncapped(f, mesh.lattice(f), top).select("case_id", "fid")
+    return mesh.cap_report(f, mesh.lattice(f), opening_of(t), trim=True).withColumn("trim_depth", r6("trim_depth"))
 
 
 # Branch graphs
@@ -433,11 +455,31 @@ def a24_atlas(t):
     return materials.atlas(material_points(t), "radius", 16).select("case_id", "tx", "ty", F.round("value", 5).alias("value"))
 
 
-@query(f"with p as (select case_id, n, u, v, radius, least(greatest(radius / 6, 0), 1) as c0, (u - 0.5)^2 + (v - 0.5)^2 as d2, region from {PMAT}), a as (select *, least(greatest(case when region = 1 then 0.5::double else 0 end, 0), 1) as w1 from p), b as (select *, c0 + w1 * 0.2 as c1, least(greatest(0.8 * exp(-d2 / 0.08), 0), 1) as w2 from a) select case_id, n, round(least(greatest(c1 * (1 + w2 * (0.5 - 1)), 0), 1), 6) as channel from b")
+REGION_ENTRIES = [{"name": "pale", "regions": "main-bronchus", "opacity": 0.5, "channels": {"wetness": 0.2}, "multipliers": {"roughness": 1.5}}, {"name": "soft", "regions": [2, "distal"], "edge_softness": 0.3, "multipliers": {"wetness": 0.7, "roughness": 0.9}}, {"name": "faint", "regions": [0], "opacity": 0.00009, "channels": {"wetness": 9.0}}]
+SPOT_ENTRIES = [{"name": "stain", "center": (0.5, 0.5, 0.2), "radius": 0.3, "opacity": 0.8, "multipliers": {"wetness": 0.5}, "channels": {"roughness": -0.1}}, {"name": "flecks", "center": (0.2, 0.9, 0.3), "radius": 0.4, "falloff": 1.5, "regions": [1, 2], "noise_strength": 0.5, "noise_scale": 4.0, "channels": {"wetness": 0.3}}]
+SMOOTH = lambda x, a, b: f"(least(greatest(({x} - {a}) / {b - a}, 0), 1)^2 * (3 - 2 * least(greatest(({x} - {a}) / {b - a}, 0), 1)))"
+PHASE = sum((i + 1) * ord(x) for i, x in enumerate("flecks")) % 997 / 997 * math.tau
+FLECKS = f"least(greatest(0.5 + 0.22 * sin(4.0 * (1.7 * u - 0.9 * v + 1.1 * u * v) + {PHASE}) + 0.18 * cos(4.0 * (0.6 * u + 1.3 * v - 1.5 * u * v) - 0.5 * {PHASE}) + 0.1 * sin(0.55 * 4.0 * (u + v) + 0.7 * {PHASE}), 0), 1)"
+LESS = f"(1 - 0.65 * {SMOOTH('v', 0.71, 1.01)})"
+OVERLAY = f"""p as (select *, least(radius / 6, 1) as wet0, 0.5::double as rough0, u * v as w from {PMAT}), q as (select *, case when region = 1 then 0.5::double else 0 end as w1,
+least(greatest({SMOOTH('generation', 1.2, 1.8)} * (1 - {SMOOTH('generation', 3.2, 3.8)}) * {LESS}, greatest({SMOOTH('generation', 3.2, 3.8)}, {SMOOTH('u', 0.505, 0.744)}) * {LESS}, 0), 1) as w2, case when region = 0 then 0.00009::double else 0 end as w3,
+0.8 * exp(-((u - 0.5)^2 + (v - 0.5)^2 + (w - 0.2)^2) / 0.09) as w4, case when region in (1, 2) then exp(-((u - 0.2)^2 + (v - 0.9)^2 + (w - 0.3)^2) / 0.36) * (0.5 + 0.5 * {FLECKS}) else 0 end as w5 from p)"""
+
+
+def overlay_points(t):
+    p = material_points(t)
+    return p.select("case_id", "n", F.col("u").alias("x"), F.col("v").alias("y"), (F.col("u") * F.col("v")).alias("z"), "region", "generation", F.col("u").alias("distance"), F.col("v").alias("radius_norm"), F.least(F.col("radius") / 6, F.lit(1.0)).alias("wetness"), F.lit(0.5).alias("roughness"))
+
+
+@query(f"with {OVERLAY}, r as (select *, (wet0 + w1 * 0.2) * (1 + w2 * (0.7 - 1)) * (1 + w4 * (0.5 - 1)) + w5 * 0.3 as wet, rough0 * (1 + w1 * 0.5) * (1 + w2 * (0.9 - 1)) - w4 * 0.1 as rough from q) select case_id, n, round(least(greatest(wet, 0), 1), 6) as wetness, round(least(greatest(rough, 0), 1), 6) as roughness from r")
 def j14_overlay(t):
-    p = material_points(t).withColumn("channel", F.least(F.greatest(F.col("radius") / 6, F.lit(0.0)), F.lit(1.0)))
-    entries = [{"region": 1, "opacity": 0.5, "add": 0.2}, {"spot": (0.5, 0.5), "sigma": 0.2, "opacity": 0.8, "multiply": 0.5}]
-    return materials.overlaid(p, "channel", entries).select("case_id", "n", r6("channel").alias("channel"))
+    """Offsets and multipliers entry by entry; the entry `faint` weighs nothing that counts and is left out."""
+    return materials.overlaid(overlay_points(t), REGION_ENTRIES, SPOT_ENTRIES).select("case_id", "n", r6("wetness").alias("wetness"), r6("roughness").alias("roughness"))
+
+
+@query(f"with {OVERLAY}, e as (select case_id, unnest(['region', 'region', 'region', 'spot', 'spot']) as kind, unnest([0, 1, 2, 0, 1]) as place, unnest(['pale', 'soft', 'faint', 'stain', 'flecks']) as name, unnest([w1, w2, w3, w4, w5]) as w from q) select case_id, kind, place, name, count(*) filter (w > 1e-4) as points, round(max(w), 4) as peak, round(avg(w), 4) as mean from e group by 1, 2, 3, 4 having points > 0")
+def j14_report(t):
+    return materials.overlay_report(overlay_points(t), REGION_ENTRIES, SPOT_ENTRIES).select("case_id", "kind", "place", "name", "points", F.round("peak", 4).alias("peak"), F.round("mean", 4).alias("mean"))
 
 
 # Gates and fidelity
