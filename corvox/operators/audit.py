@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvox.functions.columns import category_index, folded, patient_video, suffix
 from corvox.operators.ranks import ranked
 
 
@@ -40,11 +43,61 @@ def split_summary(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("split", "category").agg(F.count_distinct("patient").alias("patients"), F.sum("image_count").alias("images"))
 
 
+def split_totals(assigned: DataFrame) -> DataFrame:
+    """One row a split: records, images, and both by category in order of name."""
+    each = assigned.groupBy("split", "category").agg(F.count("*").alias("patients"), F.coalesce(F.sum("image_count"), F.lit(0)).alias("images"))
+    listed = F.sort_array(F.collect_list(F.struct("category", "patients", "images")))  # a row a category
+    return each.groupBy("split").agg(F.sum("patients").alias("patients"), F.sum("images").alias("images"), listed.alias("categories"))
+
+
+def split_patients(assigned: DataFrame) -> DataFrame:
+    """The records of each split with their place by patient: the report's list as rows, since a split may hold most of a table."""
+    return ranked(assigned.select("split", "patient", "category", "image_count"), "patient", "category", by=("split",))
+
+
 def leaks(assigned: DataFrame) -> DataFrame:
     """Patients in more than one split."""
     return assigned.groupBy("category", "patient").agg(F.sort_array(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1)
 
 
+def leak_report(assigned: DataFrame) -> DataFrame:
+    """One row: whether a patient is in more than one split, how many are, and the patients and images that are assigned."""
+    each = assigned.groupBy("category", "patient").agg(F.count_distinct("split").alias("splits"), F.sum("image_count").alias("images"))
+    return each.agg(F.coalesce(F.bool_or(F.col("splits") > 1), F.lit(False)).alias("patient_overlap"), F.count_if(F.col("splits") > 1).alias("overlaps"), F.count("*").alias("assigned_patients"), F.coalesce(F.sum("images"), F.lit(0)).alias("assigned_images"))
+
+
+#: Names of the known categories, of images and of metadata documents: fixed values.
+CATEGORIES, UNKNOWN = ["lung_cancer", "non_lung_cancer"], "uncategorized"
+IMAGES = [".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff"]
+METADATA = ["annotation.json", "labels.json", "objects.json"]
+
+
+def dataset_audit(files: DataFrame, sizes: Callable[[DataFrame], DataFrame], sample: int, categories: list[str] | None = None) -> DataFrame:
+    """files(path) to a row per category: images, patients, videos, its metadata files, and the first `sample` images by path with their sizes.
+
+    Known categories always have a row, the rest only where it has something. `sizes` maps
+    paths to (path, width, height) and only gets the sampled ones.
+    """
+    if sample < 0:
+        raise ValueError("sample must not be negative")
+    known = categories or CATEGORIES
+    f = files.select("path", F.split("path", "/").alias("parts")).withColumn("at", category_index(F.col("parts"), known))
+    f = f.withColumn("category", F.when(F.col("at") > 0, folded(F.try_element_at("parts", F.greatest("at", F.lit(1))))).otherwise(UNKNOWN))
+    patient, video = patient_video(F.col("parts"), F.col("at"))
+    images = f.where(suffix(F.col("path")).isin(IMAGES)).select("category", "path", patient.alias("patient"), video.alias("video"))
+    count = images.groupBy("category").agg(F.count("*").alias("images"), F.count_distinct("patient").alias("patients"), F.count_distinct("patient", "video").alias("videos"))
+    meta = f.where(F.element_at("parts", -1).isin(METADATA)).groupBy("category").agg(F.sort_array(F.collect_list("path")).alias("metadata_files"))
+    first = images.select("category", "path", F.split("path", "/").alias("order"), F.pmod(F.xxhash64("path"), F.lit(64)).alias("deal"))
+    for keys in (("category", "deal"), ("category",)):  # the first of 64 deals, then of these
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("order"))).where(F.col("n") <= sample)
+    shown = first.join(sizes(first.select("path")), "path", "left").groupBy("category").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "path", "width", "height"))), lambda x: F.struct(x["path"].alias("path"), x["width"].alias("width"), x["height"].alias("height"))).alias("samples"))
+    names = files.sparkSession.createDataFrame([(k,) for k in [*known, UNKNOWN]], "category string")
+    out = names.join(count, "category", "left").join(meta, "category", "left").join(shown, "category", "left")
+    out = out.where(F.col("category").isin(known) | F.col("images").isNotNull() | F.col("metadata_files").isNotNull())
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("images", "patients", "videos")}
+    return out.withColumns(zero | {c: F.coalesce(c, F.array().cast(dict(out.dtypes)[c])) for c in ("metadata_files", "samples")})
+
+
 def replicas(cases: DataFrame, *fingerprint: str | Column) -> DataFrame:
     """Unique worlds, duplicates and the largest multiplicity of equal fingerprints."""
     m = cases.groupBy(*fingerprint).agg(F.count("*").alias("m"))

@@ -145,9 +145,23 @@ def strided(rows: DataFrame, by: str, order: str, stride: int, most: int | None
 
 
 def capture_metrics(pixels: DataFrame) -> DataFrame:
-    """pixels(video_id, frame_index, v in 0..255): mean, deviation, range, non-black and near-white shares."""
+    """pixels(video_id, frame_index, r, g, b in 0..255, alpha or null): mean, deviation and range of all channels, shares of pixels that are not black, near white, covered by alpha, and covered but dark, and the coverage with its source.
+
+    Frames without alpha have null in the alpha shares and count what is not black as covered.
+    """
     share = lambda ok: F.avg(F.when(ok, 1.0).otherwise(0.0))
-    return pixels.groupBy("video_id", "frame_index").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high"), share(F.col("v") > 3).alias("non_black"), share(F.col("v") > 250).alias("near_white"))
+    high, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
+    total = sum((F.col(c) for c in "gb"), F.col("r"))
+    squares = sum((F.col(c) * F.col(c) for c in "gb"), F.col("r") * F.col("r"))
+    g = pixels.groupBy("video_id", "frame_index").agg(
+        (F.sum(total) / F.count("*") / 3).alias("mean"), (F.sum(squares) / F.count("*") / 3).alias("square"), F.min(low).alias("low"), F.max(high).alias("high"), share(high > 3).alias("non_black"), share(low > 250).alias("near_white"),
+        F.count("alpha").alias("with_alpha"), share(F.col("alpha") > 0).alias("covered"), share((F.col("alpha") > 0) & (high <= 3)).alias("dark"),
+    )
+    has = F.col("with_alpha") > 0
+    return g.select(
+        "video_id", "frame_index", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("std"), "low", "high", "non_black", "near_white", F.when(has, F.col("covered")).alias("alpha_coverage"), F.when(has, F.col("dark")).alias("visible_dark"),
+        F.when(has, F.greatest("non_black", "covered")).otherwise(F.col("non_black")).alias("coverage"), F.when(has, "alpha_or_rgb_nonblack").otherwise("rgb_nonblack").alias("coverage_source"),
+    )
 
 
 def exposure_gain(pixels: DataFrame, target: float = 118.0, share: float = 0.75, low: float = 0.4, high: float = 2.5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvox.operators import shortest
 from corvox.operators.loops import climbed, components, forest, reached
+from corvox.operators.ranks import percentiles
 from corvox.sources.scratch import stored
 
 
@@ -57,14 +58,18 @@ def branches(nodes: DataFrame, edges: DataFrame, main: str | None = None) -> Dat
 
 
 def centreline_quality(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Counts, lengths and radii of each case's graph."""
+    """Counts, lengths and radii of each case's graph: nodes(branch_id, accessible, generation, dist, radius), edges(length)."""
     of = components(edges.select("case_id", F.col("src").alias("a"), F.col("dst").alias("b")), "reachable")
     own = roots.select("case_id", "id").join(of.withColumnRenamed("node", "id"), ["case_id", "id"], "left")
     alone = own.where("component is null").select("case_id", F.col("id").alias("node"))
     seen = of.join(own.select("case_id", "component").distinct(), ["case_id", "component"], "left_semi").select("case_id", "node").union(alone).groupBy("case_id").agg(F.count_distinct("node").alias("reachable"))
-    p = F.percentile("radius", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    n = degrees(nodes, edges).groupBy("case_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") <= 1).alias("terminals"), F.avg(F.when(F.col("accessible"), 1.0).otherwise(0.0)).alias("accessible_fraction"), F.max("generation").alias("max_generation"), F.max("dist").alias("max_distance"), p[0].alias("radius_p05"), p[1].alias("radius_p50"), p[2].alias("radius_p95"))
-    return n.join(seen, "case_id", "left")
+    root = roots.join(nodes.select("case_id", "id", "accessible"), ["case_id", "id"]).groupBy("case_id").agg(F.bool_and("accessible").alias("open_root"))
+    end = F.col("degree") <= 1
+    n = degrees(nodes, edges).groupBy("case_id").agg(F.count("*").alias("nodes"), F.count_if(end).alias("terminals"), F.count_if(end & F.col("accessible")).alias("accessible_terminals"), F.avg(F.when(F.col("accessible"), 1.0).otherwise(0.0)).alias("accessible_fraction"), F.count_distinct("branch_id").alias("branches"), F.max("generation").alias("max_generation"), F.max("dist").alias("max_distance"))
+    length = edges.groupBy("case_id").agg(F.sum("length").alias("total_length"))
+    radii = percentiles(nodes, "radius", {"radius_p05": 0.05, "radius_p50": 0.5, "radius_p95": 0.95}, ("case_id",))
+    out = n.join(length, "case_id", "left").join(radii, "case_id", "left").join(seen, "case_id", "left").join(root, "case_id", "left")
+    return out.withColumns({"total_length": F.coalesce("total_length", F.lit(0.0)), "reaches_all": F.col("reachable") == F.col("nodes"), "route_non_empty": F.coalesce("open_root", F.lit(False))}).drop("open_root")
 
 
 def entry_node(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvox.operators.loops import components
-from corvox.operators.ranks import ranked
+from corvox.operators.ranks import percentiles, ranked
 from corvox.operators.voxels import KEY, SIDES, SPAN, moved, number
 from corvox.sources.scratch import stored
 
@@ -86,9 +86,11 @@ def quality(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     f = with_corners(faces, vertices).withColumn("area", norm(normal()) / 2)
     length = lambda p, q: norm([F.col(p + x) - F.col(q + x) for x in "xyz"])
     ok = F.when(~F.isnan("area"), F.col("area"))
-    a = f.groupBy("case_id").agg(F.min(ok).alias("area_min"), F.percentile(ok, 0.5).alias("area_p50"), F.percentile(ok, 0.95).alias("area_p95"), F.count_if(F.col("area") <= 1e-12).alias("degenerate"))
-    e = f.select("case_id", F.explode(F.array(length("a", "b"), length("b", "c"), length("c", "a"))).alias("len")).groupBy("case_id").agg(F.percentile("len", 0.5).alias("edge_p50"), F.percentile("len", 0.95).alias("edge_p95"))
-    return a.join(e, "case_id")
+    f = stored(f.select("case_id", "area", ok.alias("known"), F.array(length("a", "b"), length("b", "c"), length("c", "a")).alias("lengths")), "shapes")
+    a = f.groupBy("case_id").agg(F.min("known").alias("area_min"), F.count_if(F.col("area") <= 1e-12).alias("degenerate"))
+    area = percentiles(f, "known", {"area_p50": 0.5, "area_p95": 0.95}, ("case_id",))
+    edge = percentiles(f.select("case_id", F.explode("lengths").alias("len")), "len", {"edge_p50": 0.5, "edge_p95": 0.95}, ("case_id",))
+    return a.join(area, "case_id", "left").join(edge, "case_id", "left").select("case_id", "area_min", "area_p50", "area_p95", "degenerate", "edge_p50", "edge_p95")
 
 
 def vertex_normals(faces: DataFrame, vertices: DataFrame) -> DataFrame:

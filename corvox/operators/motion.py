@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvox.functions.columns import quaternion_angle
+from corvox.operators.ranks import matched, percentiles
 from corvox.operators.scans import Blocks
 
 
@@ -20,11 +21,10 @@ def kinematics(episodes: DataFrame, fps: float) -> DataFrame:
 
 
 def episode_summary(steps: DataFrame) -> DataFrame:
-    p = F.percentile
-    return steps.groupBy("episode").agg(
-        F.sum("step").alias("path"), p("speed", 0.5).alias("speed_median"), p("speed", 0.95).alias("speed_p95"), p("angular", 0.5).alias("angular_median"), p("angular", 0.95).alias("angular_p95"),
-        F.max("depth").alias("max_insertion"), F.avg(F.when(F.col("d_depth") < -1e-6, 1.0).otherwise(0.0)).alias("retraction"),
-    )
+    g = steps.groupBy("episode").agg(F.sum("step").alias("path"), F.max("depth").alias("max_insertion"), F.avg(F.when(F.col("d_depth") < -1e-6, 1.0).otherwise(0.0)).alias("retraction"))
+    for value in ("speed", "angular"):
+        g = matched(g, percentiles(steps, value, {f"{value}_median": 0.5, f"{value}_p95": 0.95}, ("episode",)), ["episode"])
+    return g.select("episode", "path", "speed_median", "speed_p95", "angular_median", "angular_p95", "max_insertion", "retraction")
 
 
 def arc_length(points: DataFrame, by: str, order: str) -> DataFrame:
@@ -77,7 +77,7 @@ def phases(steps: DataFrame, by: str, order: str, phase: str, step: str) -> Data
     return r.groupBy(by, "run", phase).agg(F.count("*").alias("frames"), F.sum(step).alias("distance"))
 
 
-def path_summary(points: DataFrame, by: str, time: Column) -> DataFrame:
-    """points(step): length, duration, frames and mean speed."""
-    g = points.groupBy(by).agg(F.sum("step").alias("length"), (F.max(time) - F.min(time)).alias("duration"), F.count("*").alias("frames"))
-    return g.withColumn("mean_speed", F.col("length") / F.greatest("duration", F.lit(1e-6)))
+def path_summary(points: DataFrame, by: str, time: Column, diameter: float) -> DataFrame:
+    """points(step, radius of the route's node): length, duration, frames, mean speed, least lumen diameter and what it leaves beside a scope of the given outer diameter."""
+    g = points.groupBy(by).agg(F.sum("step").alias("length"), (F.max(time) - F.min(time)).alias("duration"), F.count("*").alias("frames"), (2 * F.min("radius")).alias("min_lumen"))
+    return g.withColumns({"mean_speed": F.col("length") / F.greatest("duration", F.lit(1e-6)), "clearance": F.col("min_lumen") - diameter})

@@ -28,15 +28,56 @@ def ranked(rows: DataFrame, *order: str, by: tuple[str, ...] = (), parts: int |
     return p.withColumn("own_", own).join(before, same).withColumn("place", F.col("own_") + F.col("before_")).drop("part_", "own_", "before_", "p_", *(k + "_" for k in keys))
 
 
-def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Columns named as in `shares`: percentiles of the non-null values of each group by linear interpolation, from ranks."""
-    r = ranked(rows.select(*by, value).where(F.col(value).isNotNull()), value, by=by)
-    total = r.groupBy(*by).agg(F.count("*").alias("n_"))
-    spots = total.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("name_"), (F.lit(q) * (F.col("n_") - 1)).alias("at_")) for k, q in shares.items()))).alias("s_")).select(*(F.col(k).alias(k + "_") for k in by), "s_.*")
-    picks = spots.select("*", F.explode(F.array_distinct(F.array(F.floor("at_"), F.ceil("at_")))).alias("want_"))
-    same = F.col("place") == F.col("want_")
-    for k in by:
-        same = same & F.col(k).eqNullSafe(F.col(k + "_"))
-    got = r.join(picks, same).groupBy(*by, "name_", "at_").agg(F.min_by(value, "place").alias("low_"), F.max_by(value, "place").alias("high_"))
-    got = got.withColumn("x_", F.col("low_") + (F.col("high_") - F.col("low_")) * (F.col("at_") - F.floor("at_")))
-    return got.groupBy(*by).agg(*(F.max(F.when(F.col("name_") == k, F.col("x_"))).alias(k) for k in shares))
+#: Values of a group up to which Spark's own exact percentile keeps them in a task.
+SMALL = 1 << 18
+#: Steps of the sketch that brackets a rank.
+STEPS = 1000
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = (), small: int | None = None) -> DataFrame:
+    """Columns named as in `shares`: exact percentiles of the non-null values of each group by linear interpolation.
+
+    Groups that fit a task take Spark's own aggregate. In larger ones a sketch of the group
+    brackets each rank between two of its values, whose own ranks are known to a tenth of a
+    step; the values outside are only counted. That is done again with what lies inside, a
+    few hundredths of it each time, until a task can hold the different values that are left.
+    """
+    small = SMALL if small is None else small
+    v = rows.select(*by, F.col(value).cast("double").alias("v_")).where("v_ is not null")
+    if (v.groupBy(*by).agg(F.count("*").alias("n_")).agg(F.max("n_")).first()[0] or 0) <= small:
+        return v.groupBy(*by).agg(*(F.percentile("v_", q).alias(k) for k, q in shares.items()))
+    keys = [*by, "name_"]
+    names = F.explode(F.array(*(F.struct(F.lit(k).alias("name_"), F.lit(float(q)).alias("q_")) for k, q in shares.items())))
+    whole = v.groupBy(*by).agg(F.count("*").alias("n_")).select(*by, "n_", names.alias("s_"))
+    # rank_: 0-based place of the wanted value, a fraction, within what is left
+    want = stored(whole.select(*by, "s_.name_", (F.col("s_.q_") * (F.col("n_") - 1)).alias("rank_"), "n_"), "ranks")
+    left = v.select(*by, F.explode(F.array(*(F.lit(k) for k in shares))).alias("name_"), "v_")
+    for _ in range(64):
+        points = F.percentile_approx("v_", F.array(*(F.lit(k / STEPS) for k in range(STEPS + 1))), 10 * STEPS)
+        sketch = left.groupBy(*keys).agg(points.alias("points_"))
+        at = (F.col("rank_") / F.greatest(F.col("n_") - 1, F.lit(1)) * STEPS).cast("int")
+        ends = matched(want, sketch, keys).select(*keys, "rank_", F.element_at("points_", F.greatest(at - 1, F.lit(0)) + 1).alias("low_"), F.element_at("points_", F.least(at + 3, F.lit(STEPS)) + 1).alias("high_"))
+        ends = stored(ends, "ends")
+        met = matched(left, ends, keys)
+        counts = met.groupBy(*keys, "rank_").agg(F.count_if(F.expr("v_ < low_")).alias("under_"), F.count_if(F.expr("v_ between low_ and high_")).alias("n_"))
+        want = stored(counts.select(*keys, (F.col("rank_") - F.col("under_")).alias("rank_"), "n_"), "ranks")
+        inside = stored(met.where("v_ between low_ and high_").groupBy(*keys, "v_").agg(F.count("*").alias("c_")), "inside")
+        if (inside.groupBy(*keys).agg(F.count("*").alias("d_")).agg(F.max("d_")).first()[0] or 0) <= small:
+            break
+        left = stored(met.where("v_ between low_ and high_").select(*keys, "v_"), "left")
+    w = Window.partitionBy(*keys).orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)
+    run = matched(inside, want, keys).withColumn("upto_", F.sum("c_").over(w))
+    has = lambda r: (F.col("upto_") > r) & (F.col("upto_") - F.col("c_") <= r)
+    pick = run.groupBy(*keys, "rank_").agg(F.max(F.when(has(F.floor("rank_")), F.col("v_"))).alias("a_"), F.max(F.when(has(F.ceil("rank_")), F.col("v_"))).alias("b_"))
+    pick = pick.withColumn("x_", F.col("a_") + (F.col("b_") - F.col("a_")) * (F.col("rank_") - F.floor("rank_")))
+    return pick.groupBy(*by).agg(*(F.max(F.when(F.col("name_") == k, F.col("x_"))).alias(k) for k in shares))
+
+
+def matched(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of `more` for the same keys, null keys too; columns of both come from `more`'s side only where rows lack them."""
+    own = [c for c in more.columns if c not in keys and c not in rows.columns]
+    other = more.select(*(F.col(k).alias(k + "other_") for k in keys), *own)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(k + "other_"))
+    return rows.join(other, same).drop(*(k + "other_" for k in keys))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from corvox.operators.loops import components
 from corvox.operators.nearest import nearest
+from corvox.operators.ranks import percentiles
+from corvox.sources.scratch import stored
 
 KEY = ["case_id", "i", "j", "k"]
 SIDES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
@@ -199,5 +201,5 @@ def surface_fidelity(vertices: DataFrame, mask: DataFrame, size: int) -> DataFra
     skin = surface(mask).select("case_id", number().alias("node_ord"), *(F.col(a).cast("double").alias(b) for a, b in zip("ijk", "xyz", strict=True)))
     near = places.join(nearest(places, skin, ["p"]), ["case_id", "p"]).select("case_id", "x", "y", "z", "distance")
     d = v.join(near, ["case_id", "x", "y", "z"])
-    p = F.percentile("distance", F.array(F.lit(0.5), F.lit(0.95)))
-    return d.groupBy("case_id").agg(p[0].alias("p50"), p[1].alias("p95"), F.max("distance").alias("largest"))
+    d = stored(d.select("case_id", "distance"), "fidelity")
+    return percentiles(d, "distance", {"p50": 0.5, "p95": 0.95}, ("case_id",)).join(d.groupBy("case_id").agg(F.max("distance").alias("largest")), "case_id")

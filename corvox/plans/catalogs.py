@@ -110,9 +110,10 @@ def a21_phases(t):
     return p.select("case_id", "run", "event_type", "frames", F.round("distance", 4).alias("distance"))
 
 
-@query(f"select case_id, round(sum(step), 3) as length, round((max(ord) - min(ord)) / 20.0::double, 3) as duration, count(*) as frames, round(sum(step) / greatest((max(ord) - min(ord)) / 20.0::double, 1e-6), 3) as mean_speed from {ARC} group by 1 having count(*) > 1")
+@query(f"select case_id, round(sum(step), 3) as length, round((max(ord) - min(ord)) / 20.0::double, 3) as duration, count(*) as frames, round(sum(step) / greatest((max(ord) - min(ord)) / 20.0::double, 1e-6), 3) as mean_speed, round(2 * min(1 + (ord * 7 % 11 + case_id % 5) / 10), 3) as min_lumen, round(2 * min(1 + (ord * 7 % 11 + case_id % 5) / 10) - 1.8, 3) as clearance from {ARC} group by 1 having count(*) > 1")
 def a22_path_summary(t):
-    p = motion.path_summary(motion.arc_length(chains(t), "case_id", "ord"), "case_id", F.col("ord") / 20).where("frames > 1")
+    at = motion.arc_length(chains(t), "case_id", "ord").withColumn("radius", F.expr("1 + (ord * 7 % 11 + case_id % 5) / 10"))
+    p = motion.path_summary(at, "case_id", F.col("ord") / 20, 1.8).where("frames > 1")
     return p.select("case_id", *(F.round(x, 3).alias(x) if x != "frames" else F.col(x) for x in p.columns[1:]))
 
 
@@ -200,6 +201,17 @@ def a5_split_summary(t):
     return audit.split_summary(assigned(t))
 
 
+@query(f"with {SPLIT}, e as (select split, category, count(*) as n, sum(image_count)::bigint as m from w group by 1, 2) select split, sum(n)::bigint as patients, sum(m)::bigint as images, string_agg(category || ':' || n || ':' || m, ',' order by category) as categories from e group by 1")
+def a5_split_totals(t):
+    s = audit.split_totals(assigned(t))
+    return s.select("split", "patients", "images", F.array_join(F.transform("categories", lambda x: F.concat_ws(":", x["category"], x["patients"].cast("string"), x["images"].cast("string"))), ",").alias("categories"))
+
+
+@query(f"with {SPLIT} select split, patient, category, image_count, row_number() over (partition by split order by patient, category) - 1 as place from w")
+def a5_split_patients(t):
+    return audit.split_patients(assigned(t)).select("split", "patient", "category", "image_count", F.col("place").cast("long").alias("place"))
+
+
 @query(f"with {SPLIT}, x as (select category, patient, split from w union all select category, patient, 'test' from w where patient % 10 = 0) select category, patient, array_to_string(list_sort(list(distinct split)), ',') as splits from x group by 1, 2 having count(distinct split) > 1")
 def a6_leaks(t):
     a = assigned(t).select("category", "patient", "split")
@@ -207,15 +219,32 @@ def a6_leaks(t):
     return audit.leaks(a.union(extra)).select("category", "patient", F.array_join("splits", ",").alias("splits"))
 
 
+@query(f"with {SPLIT}, x as (select category, patient, image_count, split from w union all select category, patient, image_count, 'test' from w where patient % 10 = 0), e as (select category, patient, count(distinct split) as n, sum(image_count) as m from x group by 1, 2) select bool_or(n > 1) as patient_overlap, count(*) filter (n > 1) as overlaps, count(*) as assigned_patients, sum(m)::bigint as assigned_images from e")
+def a6_leak_report(t):
+    a = assigned(t)
+    return audit.leak_report(a.union(a.where("patient % 10 = 0").withColumn("split", F.lit("test"))))
+
+
 @query(f"select category, patient, image_count from {RECORDS} where category is not null")
 def a4_patient_records(t):
     return records(t).dropna(subset=["category", "patient"])
 
 
-@query(f"select split_part(path, '/', 2) as category, count(*) as images, count(distinct split_part(path, '/', 1)) as patients, count(distinct path) as videos from {PATHS} group by 1")
+DATASET = f"""(select page_id % 8 as kind, split_part(path, '/', 1) as host, split_part(path, '/', 2) as lang, case when page_id % 8 < 3 then 'Lung_cancer/imgs/' || host || '/' || lang || '/' || page_id || '.png' when page_id % 8 < 5 then 'Non-Lung-Cancer/' || host || '/' || page_id || '.JPG' when page_id % 8 = 5 then 'other/' || page_id || '.png' when page_id % 8 = 6 then 'Lung_cancer/' || page_id || '/labels.json' else 'Lung_cancer/' || page_id || '.txt' end as path from {PATHS})"""
+
+
+@query(f"""with f as (select *, case when kind in (0, 1, 2, 6, 7) then 'lung_cancer' when kind < 5 then 'non_lung_cancer' else 'uncategorized' end as category from {DATASET}), i as (select *, row_number() over (partition by category order by string_split(path, '/')) as n from f where kind < 6),
+c as (select category, count(*) as images, count(distinct case when kind < 5 then host end) as patients, count(distinct case when kind < 3 then host || '/' || lang when kind < 5 then host || '/.' end) as videos, string_agg(path || ':' || length(path) || 'x7', ',' order by n) filter (n <= 3) as samples from i group by 1), m as (select category, string_agg(path, ',' order by path) as metadata_files from f where kind = 6 group by 1)
+select category, images, patients, videos, coalesce(metadata_files, '') as metadata_files, samples from c left join m using (category)""")
 def a2_dataset_audit(t):
     part = lambda i: F.split_part("path", F.lit("/"), F.lit(i))
-    return paths(t).groupBy(part(2).alias("category")).agg(F.count("*").alias("images"), F.count_distinct(part(1)).alias("patients"), F.count_distinct("path").alias("videos"))
+    p, k = paths(t).select((F.col("page_id") % 8).alias("kind"), F.col("page_id").cast("string").alias("id"), part(1).alias("host"), part(2).alias("lang")), F.col("kind")
+    name = F.when(k < 3, F.concat(F.lit("Lung_cancer/imgs/"), "host", F.lit("/"), "lang", F.lit("/"), "id", F.lit(".png"))).when(k < 5, F.concat(F.lit("Non-Lung-Cancer/"), "host", F.lit("/"), "id", F.lit(".JPG"))).when(k == 5, F.concat(F.lit("other/"), "id", F.lit(".png")))
+    name = name.when(k == 6, F.concat(F.lit("Lung_cancer/"), "id", F.lit("/labels.json"))).otherwise(F.concat(F.lit("Lung_cancer/"), "id", F.lit(".txt")))
+    sizes = lambda some: some.select("path", F.length("path").alias("width"), F.lit(7).alias("height"))
+    a = audit.dataset_audit(p.select(name.alias("path")), sizes, 3)
+    shown = F.transform("samples", lambda x: F.concat(x["path"], F.lit(":"), x["width"].cast("string"), F.lit("x"), x["height"].cast("string")))
+    return a.select("category", "images", "patients", "videos", F.array_join("metadata_files", ",").alias("metadata_files"), F.array_join(shown, ",").alias("samples"))
 
 
 @query(f"select lower(regexp_extract(split_part(path, '/', 1), '\\.[^.]+$')) as suffix, count(*) as n from {PATHS} group by 1")
@@ -264,11 +293,16 @@ def k5_strided(t):
     return frames.strided(chains(t), "case_id", "ord", 3, 4).select("case_id", "ord")
 
 
-@query(f"select video_id, frame_index, round(avg(x), 4) as mean, round(stddev_pop(x), 4) as std, round(min(x), 4) as low, round(max(x), 4) as high, round(avg(case when x > 3 then 1.0 else 0.0 end), 6) as non_black, round(avg(case when x > 250 then 1.0 else 0.0 end), 6) as near_white from (select video_id, frame_index, least(greatest((v + 0.3) * 400, 0), 255) as x from {PIXELS}) group by 1, 2")
+RGB = f"(select video_id, frame_index, least(greatest((v + 0.3) * 400, 0), 255) as r, least(greatest((v + 0.3) * 300, 0), 255) as g, least(greatest((v + 0.28) * 900, 0), 255) as b, case when video_id % 2 = 0 then case when (\"row\" + col) % 3 > 0 then 255 else 0 end end as alpha from {PIXELS})"
+
+
+@query(f"""with p as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from {RGB}), c as (select video_id, frame_index, avg(x) as mean, stddev_pop(x) as std from (select video_id, frame_index, unnest([r, g, b]) as x from {RGB}) group by 1, 2), s as (select video_id, frame_index, min(lo) as low, max(hi) as high, avg((hi > 3)::int) as non_black, avg((lo > 250)::int) as near_white, case when count(alpha) > 0 then avg(coalesce(alpha > 0, false)::int) end as alpha_coverage, case when count(alpha) > 0 then avg(coalesce(alpha > 0 and hi <= 3, false)::int) end as visible_dark from p group by 1, 2)
+select video_id, frame_index, round(mean, 4) as mean, round(std, 4) as std, round(low, 4) as low, round(high, 4) as high, round(non_black, 6) as non_black, round(near_white, 6) as near_white, round(alpha_coverage, 6) as alpha_coverage, round(visible_dark, 6) as visible_dark, round(greatest(non_black, coalesce(alpha_coverage, 0)), 6) as coverage, case when alpha_coverage is null then 'rgb_nonblack' else 'alpha_or_rgb_nonblack' end as coverage_source from c join s using (video_id, frame_index)""")
 def a25_capture_metrics(t):
-    p = pixels(t).withColumn("v", F.least(F.greatest((F.col("v") + 0.3) * 400, F.lit(0.0)), F.lit(255.0)))
-    m = frames.capture_metrics(p)
-    return m.select("video_id", "frame_index", *(F.round(x, 4 if x in ("mean", "std", "low", "high") else 6).alias(x) for x in m.columns[2:]))
+    tone = lambda lift, gain: F.least(F.greatest((F.col("v") + lift) * gain, F.lit(0.0)), F.lit(255.0))
+    alpha = F.when(F.col("video_id") % 2 == 0, F.when((F.col("row") + F.col("col")) % 3 > 0, 255).otherwise(0))
+    m = frames.capture_metrics(pixels(t).select("video_id", "frame_index", tone(0.3, 400).alias("r"), tone(0.3, 300).alias("g"), tone(0.28, 900).alias("b"), alpha.alias("alpha")))
+    return m.select("video_id", "frame_index", *(F.col(x) if x == "coverage_source" else F.round(x, 4 if x in ("mean", "std", "low", "high") else 6).alias(x) for x in m.columns[2:]))
 
 
 @query(f"select video_id, frame_index, round(least(greatest(118 / greatest(quantile_cont(x, 0.75), 1e-3), 0.4), 2.5), 5) as gain from (select video_id, frame_index, (v + 0.3) * 400 as x from {PIXELS} where sqrt((row - 3.5)^2 + (col - 3.5)^2) <= 0.485 * 8) group by 1, 2")

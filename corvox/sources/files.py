@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,33 +99,81 @@ def report_lines(totals: DataFrame, formats: dict[str, int]) -> DataFrame:
     return totals.select(F.explode(F.array(*cells)).alias("x")).select("x.name", "x.value")
 
 
-@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
-def jpeg_size(content: pd.Series) -> pd.DataFrame:
-    """Width and height of JPEG bytes, from the first start-of-frame segment."""
+#: Bytes of one read of an image's header.
+HEADER = 4096
+#: JPEG markers of frames that carry a size, and those without a body.
+FRAMES, BARE = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}, {0xD8, 0xD9}
 
-    def one(data):
-        if data is None or bytes(data[:2]) != b"\xff\xd8":
-            return None, None
-        at = 2
-        while at + 9 <= len(data):
-            if data[at] != 0xFF:
-                return None, None
-            mark = data[at + 1]
-            if mark == 0xFF:
-                at += 1
-            elif 0xD0 <= mark <= 0xD8 or mark == 1:
-                at += 2
-            elif 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-                return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
-            else:
-                at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+
+def image_size(read: Callable[[int, int], bytes]) -> tuple[int | None, int | None]:
+    """Width and height of a PNG or JPEG behind read(offset, length), from as few reads as its segments need; (None, None) for others and cut ones."""
+    number = lambda b: int.from_bytes(b, "big")
+    head = read(0, 32)
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and len(head) >= 24:
+        return number(head[16:20]), number(head[20:24])
+    if head[:2] != b"\xff\xd8":
         return None, None
+    at = 2
+    while True:
+        mark = read(at, 9)
+        if len(mark) < 2:
+            return None, None
+        if mark[0] != 0xFF or mark[1] == 0xFF or mark[1] in BARE:
+            at += 2 if mark[0] == 0xFF and mark[1] in BARE else 1
+            continue
+        length = number(mark[2:4])
+        if len(mark) < 4 or length < 2:
+            return None, None
+        if mark[1] in FRAMES:
+            return (number(mark[7:9]), number(mark[5:7])) if len(mark) == 9 else (None, None)
+        at += 2 + length
+
+
+class Ranges:
+    """Reads of a file by ranges, each of HEADER bytes, the last one kept; `taken` counts the bytes."""
+
+    def __init__(self, handle):
+        self.handle, self.size, self.start, self.data, self.taken = handle, handle.size(), 0, b"", 0
 
-    return pd.DataFrame([one(x) for x in content], columns=["width", "height"]).astype("Int32")
+    def __call__(self, offset: int, length: int) -> bytes:
+        if not self.start <= offset or offset + length > self.start + len(self.data):
+            wanted = max(0, min(max(length, HEADER), self.size - offset))
+            self.start, self.data = offset, self.handle.read_at(wanted, offset) if wanted else b""
+            self.taken += len(self.data)
+        return self.data[offset - self.start : offset - self.start + length]
+
+
+def image_headers(files: DataFrame) -> DataFrame:
+    """files(path): width, height and the bytes that were read to find them. Tasks open the files and read ranges of their headers, never whole bodies; a file that can't be opened has nulls."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            rows = []
+            for path in b.column(0).to_pylist():
+                try:
+                    system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path)) if re.match(r"[a-z0-9]+:/", path) else (fs.LocalFileSystem(), path)
+                    with system.open_input_file(place) as handle:
+                        read = Ranges(handle)
+                        rows.append((path, *image_size(read), read.taken))
+                except (OSError, TypeError):
+                    rows.append((path, None, None, None))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["path", "width", "height", "bytes_read"])
+
+    return files.select("path").mapInArrow(run, "path string, width int, height int, bytes_read long")
+
+
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
+def jpeg_size(content: pd.Series) -> pd.DataFrame:
+    """Width and height of image bytes."""
+    found = [(None, None) if x is None else image_size(lambda o, n, x=bytes(x): x[o : o + n]) for x in content]
+    return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
 
 
 def image_sizes(files: DataFrame) -> DataFrame:
-    """files(path, content): width and height, null for what is neither PNG nor JPEG."""
+    """files(path, content): width and height, null for what is neither PNG nor JPEG. For files in a store image_headers() reads less."""
     w, h = png_size(F.col("content"))
     rest = jpeg_size("content")
     return files.select("path", F.coalesce(w, rest["width"]).alias("width"), F.coalesce(h, rest["height"]).alias("height"))
