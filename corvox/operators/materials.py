@@ -99,7 +99,8 @@ def overlaid(points: DataFrame, regions: list[dict], spots: list[dict]) -> DataF
         for c, factor in e.get("multipliers", {}).items():
             touched[c] = now(c) * (1 + w * (float(factor) - 1))
         for c, delta in zip(("albedo_r", "albedo_g", "albedo_b"), e.get("albedo_delta_rgb", ()), strict=False):
-            touched[c] = now(c) + w * float(delta)
+            if delta:
+                touched[c] = now(c) + w * float(delta)
     named = {c for _, _, e in entries for k in ("channels", "multipliers") for c in e.get(k, {})}
     final = {c: x if c.startswith("albedo_") else unit(x) for c, x in (touched | {c: F.col(c) for c in named - touched.keys()}).items()}
     return out.withColumns(final).select(*points.columns) if final else points

@@ -39,7 +39,7 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple
 
     Groups that fit a task take Spark's own aggregate. In larger ones a sketch of the group
     brackets each rank between two of its values, whose own ranks are known to a tenth of a
-    step; the values outside are only counted. That is done again with what lies inside, a
+    step, with a step to spare; the values outside are only counted. That is done again with what lies inside, a
     few hundredths of it each time, until a task can hold the different values that are left.
     """
     small = SMALL if small is None else small
@@ -52,18 +52,22 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple
     # rank_: 0-based place of the wanted value, a fraction, within what is left
     want = stored(whole.select(*by, "s_.name_", (F.col("s_.q_") * (F.col("n_") - 1)).alias("rank_"), "n_"), "ranks")
     left = v.select(*by, F.explode(F.array(*(F.lit(k) for k in shares))).alias("name_"), "v_")
-    for _ in range(64):
+    before = None
+    while True:
         points = F.percentile_approx("v_", F.array(*(F.lit(k / STEPS) for k in range(STEPS + 1))), 10 * STEPS)
         sketch = left.groupBy(*keys).agg(points.alias("points_"))
-        at = (F.col("rank_") / F.greatest(F.col("n_") - 1, F.lit(1)) * STEPS).cast("int")
-        ends = matched(want, sketch, keys).select(*keys, "rank_", F.element_at("points_", F.greatest(at - 1, F.lit(0)) + 1).alias("low_"), F.element_at("points_", F.least(at + 3, F.lit(STEPS)) + 1).alias("high_"))
+        low = F.floor(F.floor("rank_") / F.col("n_") * STEPS).cast("int") - 1
+        high = F.ceil((F.ceil("rank_") + 1) / F.col("n_") * STEPS).cast("int") + 1
+        ends = matched(want, sketch, keys).select(*keys, "rank_", F.element_at("points_", F.greatest(low, F.lit(0)) + 1).alias("low_"), F.element_at("points_", F.least(high, F.lit(STEPS)) + 1).alias("high_"))
         ends = stored(ends, "ends")
         met = matched(left, ends, keys)
         counts = met.groupBy(*keys, "rank_").agg(F.count_if(F.expr("v_ < low_")).alias("under_"), F.count_if(F.expr("v_ between low_ and high_")).alias("n_"))
         want = stored(counts.select(*keys, (F.col("rank_") - F.col("under_")).alias("rank_"), "n_"), "ranks")
         inside = stored(met.where("v_ between low_ and high_").groupBy(*keys, "v_").agg(F.count("*").alias("c_")), "inside")
-        if (inside.groupBy(*keys).agg(F.count("*").alias("d_")).agg(F.max("d_")).first()[0] or 0) <= small:
+        most = inside.groupBy(*keys).agg(F.count("*").alias("d_")).agg(F.max("d_")).first()[0] or 0
+        if most <= small or most == before:
             break
+        before = most
         left = stored(met.where("v_ between low_ and high_").select(*keys, "v_"), "left")
     w = Window.partitionBy(*keys).orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)
     run = matched(inside, want, keys).withColumn("upto_", F.sum("c_").over(w))
