@@ -6,10 +6,13 @@ set of buckets whose width is at most 1/128 of the value, and a sketch is the co
 bucket, so sketches are merged by adding counts, whatever the order. Each source's sketch is
 merged with its language's and the corpus's, both weighted as PRIOR rows: a source of few rows
 leans on them, one of many goes its own way, by one rule at every size. The quartile fences of
-the merged sketch are the rates that a group allows. A document is rejected where its count
-lies beyond the allowed rate by more than SIGMAS standard deviations of a count of its length
-(control limits), so short texts are not judged by chance. Documents are joined with their
-group's thresholds and filtered.
+the merged sketch are the rates that a group allows. Where most documents of a group have none
+of a thing, so that its quartiles are 0, the sketch's own count model gives the rate: the odds
+of having any, over the mean length; how much the others have, junk say, does not move it. A
+document is rejected where its count lies beyond what that rate gives for its length by more
+than SIGMAS standard deviations of such a count and one more (control limits): short texts are
+not judged by chance, and long ones may have as much as their length explains. Documents are
+joined with their group's thresholds and filtered.
 
 Cases: null text counts as empty (no words; base_failed). Null lang or source form groups of
 their own. Repeated rows and ties are measured and kept or rejected alike, one result row each.
@@ -34,6 +37,8 @@ WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Rows that the language's and the corpus's sketch weigh in a source's; weights are whole numbers of 1 / UNIT rows.
 PRIOR, UNIT = 50, 1000
+#: Rates are whole numbers in so many words or lines.
+PER = 1_000_000
 #: Fences lie FENCE quartile distances beyond the quartiles; a count may pass them by SIGMAS standard deviations.
 FENCE, SIGMAS = 3, 3
 #: Counted things and what they are counted against; `low` ones are too few below a fence.
@@ -114,9 +119,9 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def rate(measure: str) -> str:
-    """A count as a whole number per thousand."""
+    """A count as a whole number in PER."""
     count, of = MEASURES[measure]
-    return f"(1000 * {count} div greatest({of}, 1))"
+    return f"({PER} * {count} div greatest({of}, 1))"
 
 
 def bucket(x: str) -> str:
@@ -125,23 +130,27 @@ def bucket(x: str) -> str:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Sketch rows (measure, lang, source, bucket, n) of every language and source."""
-    each = rows.where("not base_failed").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.expr(rate(m)).alias("x")) for m in MEASURES))).alias("m")).select("lang", "source", "m.*")
-    return each.groupBy("measure", "lang", "source", F.expr(bucket("x")).alias("bucket")).agg(F.count("*").alias("n"))
+    """Sketch rows (measure, lang, source, bucket, n, size: words or lines of these n) of every language and source."""
+    each = rows.where("not base_failed").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.expr(rate(m)).alias("x"), F.expr(f"greatest({of}, 1)").alias("of")) for m, (_, of) in MEASURES.items()))).alias("m")).select("lang", "source", "m.*")
+    return each.groupBy("measure", "lang", "source", F.expr(bucket("x")).alias("bucket")).agg(F.count("*").alias("n"), F.sum("of").alias("size"))
 
 
 def merged(sketch: DataFrame) -> DataFrame:
-    """Each source's sketch with its language's and the corpus's, each of these weighted as PRIOR rows: rows (measure, lang, source, bucket, n)."""
+    """Each source's sketch with its language's and the corpus's, each of these weighted as PRIOR rows: rows (measure, lang, source, bucket, n, size)."""
     groups = sketch.select("measure", "lang", "source").distinct()
-    by = lambda *keys: sketch.groupBy("measure", *keys, "bucket").agg(F.sum("n").alias("n"))
-    share = lambda part, *keys: part.withColumn("total", F.sum("n").over(Window.partitionBy("measure", *keys))).withColumn("n", F.expr(f"n * {PRIOR * UNIT} div total"))
+    by = lambda *keys: sketch.groupBy("measure", *keys, "bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    share = lambda part, *keys: part.withColumn("total", F.sum("n").over(Window.partitionBy("measure", *keys))).withColumns({c: F.expr(f"{c} * {PRIOR * UNIT} div total") for c in ("n", "size")})
     language, corpus = share(by("lang"), "lang"), share(by())
     g = groups.alias("g")
     same = (F.col("g.measure") == F.col("p.measure")) & F.col("g.lang").eqNullSafe(F.col("p.lang"))
-    parts = sketch.select("measure", "lang", "source", "bucket", (F.col("n") * UNIT).alias("n"))
-    parts = parts.union(g.join(language.alias("p"), same).select("g.*", "p.bucket", "p.n"))
-    parts = parts.union(g.join(corpus.alias("p"), F.col("g.measure") == F.col("p.measure")).select("g.*", "p.bucket", "p.n"))
-    return parts.groupBy("measure", "lang", "source", "bucket").agg(F.sum("n").alias("n"))
+    parts = sketch.select("measure", "lang", "source", "bucket", *((F.col(c) * UNIT).alias(c) for c in ("n", "size")))
+    parts = parts.union(g.join(language.alias("p"), same).select("g.*", "p.bucket", "p.n", "p.size"))
+    parts = parts.union(g.join(corpus.alias("p"), F.col("g.measure") == F.col("p.measure")).select("g.*", "p.bucket", "p.n", "p.size"))
+    return parts.groupBy("measure", "lang", "source", "bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+
+
+#: Rate of the count model: odds of having any, over the mean length.
+MODEL = f"floor({PER} * others / zeros * n / size)"
 
 
 def fences(sketch: DataFrame) -> DataFrame:
@@ -149,17 +158,18 @@ def fences(sketch: DataFrame) -> DataFrame:
     w = Window.partitionBy("measure", "lang", "source")
     run = merged(sketch).withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
-    q = run.groupBy("measure", "lang", "source").agg(at(25).alias("q1"), at(75).alias("q3"))
-    q = q.withColumns({"low": F.col("q1") - FENCE * (F.col("q3") - F.col("q1")), "high": F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))})
+    total = lambda c, ok: F.sum(F.when(ok, F.col(c)).otherwise(0)).cast("double")
+    q = run.groupBy("measure", "lang", "source").agg(at(25).alias("q1"), at(75).alias("q3"), total("n", F.col("bucket") == 0).alias("zeros"), total("n", F.col("bucket") > 0).alias("others"), total("n", F.lit(True)).alias("n"), total("size", F.lit(True)).alias("size"))
+    q = q.withColumns({"low": F.col("q1") - FENCE * (F.col("q3") - F.col("q1")), "high": F.when(F.col("q3") > 0, F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))).otherwise(F.expr(MODEL).cast("long"))})
     return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m, side in LIMITS))
 
 
 def beyond(measure: str, side: str) -> str:
-    """Whether a document's count lies beyond its group's allowed rate by more than SIGMAS standard deviations; all in thousandths."""
+    """Whether a document's count lies beyond its group's allowed rate by more than SIGMAS standard deviations; all in parts of PER."""
     count, of = MEASURES[measure]
     allowed = f"({measure}_{side} * {of})"
-    gap = f"(1000 * {count} - {allowed})" if side == "high" else f"({allowed} - 1000 * {count})"
-    return f"coalesce({gap} > 0 and cast({gap} as double) * cast({gap} as double) > {SIGMAS * SIGMAS * 1000} * cast({allowed} + 1000 as double), false)"
+    gap = f"({PER} * {count} - {allowed})" if side == "high" else f"({allowed} - {PER} * {count})"
+    return f"coalesce({gap} > 0 and cast({gap} as double) * cast({gap} as double) > {SIGMAS * SIGMAS * PER} * cast({allowed} + {PER} as double), false)"
 
 
 def judged(docs: DataFrame) -> DataFrame:

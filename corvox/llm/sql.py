@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .interactions import FILTERS, LEAST_DISTINCT, MOST_CAPITALS
 from .interactions import LEAST_WORDS as FEWEST_WORDS
-from .quality import FENCE, LEAST_WORDS, LIMITS, MEASURES, MOST_REPEATED, PRIOR, UNIT, beyond
+from .quality import FENCE, LEAST_WORDS, LIMITS, MEASURES, MODEL, MOST_REPEATED, PER, PRIOR, UNIT, beyond
 from .urls import DEFAULT, RULES
 from .vectors import ENTRIES, PARTS, ROUNDS, SCALE
 
@@ -14,8 +14,8 @@ select page_id, n as payload_bytes, sha256(h) as payload_digest, case when n >=
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 POW = "(1::bigint << (length(bin(x)) - 8))"
 BUCKET = f"(case when x < 256 then x else (x // {POW}) * {POW} end)"
-RATES = {m: f"1000 * {count} // greatest({of}, 1)" for m, (count, of) in MEASURES.items()}
-SHARE = f"n * {PRIOR * UNIT} // total"
+RATES = {m: f"{PER} * {count} // greatest({of}, 1)" for m, (count, of) in MEASURES.items()}
+SHARE = ", ".join(f"{c} * {PRIOR * UNIT} // total" for c in ("n", "size"))
 BEYOND = " or ".join(beyond(*x) for x in LIMITS)
 
 OP2 = rf"""with w as (select doc_id, lang, source, text, {WORDS} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines, row_number() over () as r from documents),
@@ -23,13 +23,13 @@ v as (select r, i, w[i:i + 4] as win from w, lateral (select unnest(range(1, len
 k as (select r, count(distinct i + j) as n from t, (values (0), (1), (2), (3), (4)) o(j) group by 1),
 b as (select doc_id, lang, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(k.n, 0)::bigint as n_repeat_words from w left join k using (r)),
 m as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words as base_failed from b),
-x as ({" union all ".join(f"select '{m}' as measure, lang, source, {RATES[m]} as x from m where not base_failed" for m in MEASURES)}),
-sketch as (select measure, lang, source, {BUCKET} as bucket, count(*) as n from x group by all), g as (select distinct measure, lang, source from sketch),
-l as (select *, sum(n) over (partition by measure, lang) as total from (select measure, lang, bucket, sum(n) as n from sketch group by all)), c as (select *, sum(n) over (partition by measure) as total from (select measure, bucket, sum(n) as n from sketch group by all)),
-parts as (select measure, lang, source, bucket, n * {UNIT} as n from sketch union all select g.measure, g.lang, g.source, bucket, {SHARE} from g join l on g.measure = l.measure and g.lang is not distinct from l.lang union all select g.measure, g.lang, g.source, bucket, {SHARE} from g join c on g.measure = c.measure),
-run as (select measure, lang, source, bucket, sum(n) over (partition by measure, lang, source order by bucket) as upto, sum(n) over (partition by measure, lang, source) as total from (select measure, lang, source, bucket, sum(n) as n from parts group by all)),
-q as (select measure, lang, source, min(bucket) filter (upto * 100 >= total * 25) as q1, min(bucket) filter (upto * 100 >= total * 75) as q3 from run group by all),
-f as (select lang, source, {", ".join(f"max(case when measure = '{m}' then {'q1 -' if side == 'low' else 'q3 +'} {FENCE} * (q3 - q1) end) as {m}_{side}" for m, side in LIMITS)} from q group by 1, 2)
+x as ({" union all ".join(f"select '{m}' as measure, lang, source, {RATES[m]} as x, greatest({MEASURES[m][1]}, 1) as of_ from m where not base_failed" for m in MEASURES)}),
+sketch as (select measure, lang, source, {BUCKET} as bucket, count(*) as n, sum(of_) as size from x group by all), g as (select distinct measure, lang, source from sketch),
+l as (select *, sum(n) over (partition by measure, lang) as total from (select measure, lang, bucket, sum(n) as n, sum(size) as size from sketch group by all)), c as (select *, sum(n) over (partition by measure) as total from (select measure, bucket, sum(n) as n, sum(size) as size from sketch group by all)),
+parts as (select measure, lang, source, bucket, n * {UNIT} as n, size * {UNIT} as size from sketch union all select g.measure, g.lang, g.source, bucket, {SHARE} from g join l on g.measure = l.measure and g.lang is not distinct from l.lang union all select g.measure, g.lang, g.source, bucket, {SHARE} from g join c on g.measure = c.measure),
+run as (select measure, lang, source, bucket, n, size, sum(n) over (partition by measure, lang, source order by bucket) as upto, sum(n) over (partition by measure, lang, source) as total from (select measure, lang, source, bucket, sum(n) as n, sum(size) as size from parts group by all)),
+q as (select measure, lang, source, min(bucket) filter (upto * 100 >= total * 25) as q1, min(bucket) filter (upto * 100 >= total * 75) as q3, (coalesce(sum(n) filter (bucket = 0), 0))::double as zeros, (coalesce(sum(n) filter (bucket > 0), 0))::double as others, sum(n)::double as n, sum(size)::double as size from run group by all),
+f as (select lang, source, {", ".join(f"max(case when measure = '{m}' then {f'q1 - {FENCE} * (q3 - q1)' if side == 'low' else f'case when q3 > 0 then q3 + {FENCE} * (q3 - q1) else {MODEL}::bigint end'} end)::bigint as {m}_{side}" for m, side in LIMITS)} from q group by 1, 2)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({BEYOND}) as kept from m left join f on m.lang is not distinct from f.lang and m.source is not distinct from f.source"""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -82,6 +82,27 @@ def test_quality_against_labels(spark):
     assert n.get((0, True), 0) <= 0.2 * (n.get((0, False), 0) + n.get((0, True), 0))
 
 
+def test_quality_fences_come_from_the_sketches(spark):
+    """Groups that differ in how often a thing occurs get different rates, however much junk has; long clean texts keep what their length explains."""
+    r, rows = random.Random(8), []
+    for g, every in enumerate((5, 20, 80)):  # one text in so many has a symbol, and a line twice
+        for i in range(240):
+            lines = [prose(12, r.random()) for _ in range(10)]
+            if i % every == 0:
+                lines[3] += " #"
+                lines.append(lines[0])
+            rows.append((len(rows), "\n".join(lines), "en", f"s{g}"))
+        rows += [(len(rows) + k, prose(60, k) + " $%&" * 90, "en", f"s{g}") for k in range(12)]
+    long = [(9000, prose(6000, 1) + " %" * 4, "en", "s1"), (9001, prose(20_000, 2) + " %" * 6, "en", "s1"), (9002, prose(6000, 3) + " %" * 600, "en", "s1")]
+    docs = spark.createDataFrame(rows + long, "doc_id long, text string, lang string, source string")
+    fence = {x["source"]: x for x in quality.fences(quality.sketches(quality.measured(docs))).collect()}
+    for c in ("symbols_high", "lines_high"):
+        assert fence["s0"][c] > fence["s1"][c] > fence["s2"][c] > 0
+    kept = {x["doc_id"]: x["kept"] for x in quality.judged(docs).collect()}
+    assert kept[9000] and kept[9001] and not kept[9002]
+    assert {i for i, k in kept.items() if not k} == {9002} | {i for i, t, *_ in rows if "$%&" in t}
+
+
 # Near duplicates
 
 

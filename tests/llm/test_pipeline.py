@@ -2,14 +2,16 @@
 
 import re
 import sys
+import zlib
 from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from helpers import documents
+from helpers import documents, prose
 from test_llm_operators import ODD, cheapest, classes_of, contamination, measures
 
 import corpus_pipeline as pipeline
@@ -22,26 +24,32 @@ SF = Path("/root/testdata/sf0.001")
 
 def quality_verdicts(rows):
     """Ids that the rules keep, of (id, text, lang, source), by plain loops."""
-    counts, sums, n = {}, {}, {}
+    counts, sums, sizes = {}, {}, {}
     for i, text, lang, source in rows:
         words, chars, symbols, dups, repeats = measures(text)
         lines = sum(bool(x.strip(" \t\n\r\x0b\x0c")) for x in (text or "").split("\n"))
         counts[i] = {"symbols": (symbols, words), "lines": (dups, lines), "chars": (chars, words)}, words < 10 or 100 * repeats > 20 * words, (lang, source)
         if not counts[i][1]:
             for m, (count, of) in counts[i][0].items():
-                x = 1000 * count // max(of, 1)
+                x = 1_000_000 * count // max(of, 1)
                 x = x if x < 256 else x >> x.bit_length() - 8 << x.bit_length() - 8
                 for key in {(m, "s", lang, source), (m, "l", lang), (m, "c")}:
                     sums.setdefault(key, Counter())[x] += 1
-                    n[key] = n.get(key, 0) + 1
+                    sizes.setdefault(key, Counter())[x] += max(of, 1)
 
-    def quartiles(m, lang, source):
-        w = Counter({b: 1000 * k for b, k in sums[m, "s", lang, source].items()})
+    def allowed(m, lang, source):
+        """The group's lowest and highest rate."""
+        own = sums[m, "s", lang, source]
+        w, size = Counter({b: 1000 * k for b, k in own.items()}), 1000 * sizes[m, "s", lang, source].total()
         for key in ((m, "l", lang), (m, "c")):
+            n = sums[key].total()
             for b, k in sums[key].items():
-                w[b] += 50_000 * k // n[key]
+                w[b] += 50_000 * k // n
+                size += 50_000 * sizes[key][b] // n
         total = sum(w.values())
-        return [min(b for b in w if 100 * sum(k for c, k in w.items() if c <= b) >= q * total) for q in (25, 75)]
+        q1, q3 = (min(b for b in w if 100 * sum(k for c, k in w.items() if c <= b) >= q * total) for q in (25, 75))
+        high = q3 + 3 * (q3 - q1) if q3 else int(1e6 * (total - w[0]) / w[0] * total / size)
+        return q1 - 3 * (q3 - q1), high
 
     keep, known = set(), {}
     for i, (m_, failed, group) in counts.items():
@@ -49,11 +57,11 @@ def quality_verdicts(rows):
             continue
         ok = True
         for m, (count, of) in m_.items():
-            q1, q3 = known.get((m, *group)) or known.setdefault((m, *group), quartiles(m, *group))
-            for rate, sign in ((q3 + 3 * (q3 - q1), 1), (q1 - 3 * (q3 - q1), -1)):
+            low, high = known.get((m, *group)) or known.setdefault((m, *group), allowed(m, *group))
+            for rate, sign in ((high, 1), (low, -1)):
                 if sign > 0 or m == "chars":
-                    gap = sign * (1000 * count - rate * of)
-                    ok &= not (gap > 0 and gap * gap > 9000 * (rate * of + 1000))
+                    gap = sign * (1_000_000 * count - rate * of)
+                    ok &= not (gap > 0 and gap * gap > 9_000_000 * (rate * of + 1_000_000))
         if ok:
             keep.add(i)
     return keep
@@ -112,10 +120,38 @@ def test_stages(spark):
 
 
 def test_stages_take_odd_rows(spark):
-    for texts in (ODD, []):
-        docs = documents(spark, texts)
-        for _, stage in pipeline.STAGES:
-            assert stage(spark, docs, str(SF)).count() <= max(2 * len(texts), len(texts))
+    """Each stage alone on odd rows, a very long text among them: exactly these documents stay, one row each."""
+    texts = [*ODD, prose(60_000, 5), prose(40, 6)]
+    docs = documents(spark, texts)
+    every = set(range(len(texts)))
+    first = {i for i, (_, c) in classes_of(list(enumerate(texts))).items() if i == c}
+    rules = quality_verdicts([(i, t, "en" if i % 2 else None, "src" if i % 3 else None) for i, t in enumerate(texts)])
+    assert {len(texts) - 2, len(texts) - 1} <= rules
+    for (name, stage), want in zip(pipeline.STAGES, (rules, first, every, every, every), strict=True):
+        ids = [r["doc_id"] for r in stage(spark, docs, str(SF)).collect()]
+        assert set(ids) == want, name
+        assert name == "packing" or len(ids) == len(want)
+        assert stage(spark, docs.limit(0), str(SF)).isEmpty()
+
+
+def test_run_from_end_to_end(spark):
+    """run() against the stages' brute-force versions one after another: the same documents are packed, with the tokens of their masked texts."""
+    from tokenizers import Tokenizer
+
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(str(SF / "documents.parquet")).collect()]
+    keep = quality_verdicts(rows)
+    rows = [r for r in rows if r[0] in keep]
+    first = {i for i, (_, c) in classes_of([(i, t) for i, t, *_ in rows]).items() if i == c}
+    bench = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
+    words = secrets.ranked(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = {i: [*tokenizer.encode(masked(t, words), add_special_tokens=False).ids, 1] for i, t, *_ in rows if i in first and not contamination(t, bench)[4]}
+    got = {}
+    for r in pipeline.run(spark, str(SF)).orderBy("doc_id", "start").collect():
+        ids = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes()) and r["start"] == got.get(r["doc_id"], 0)
+        got[r["doc_id"]] = r["start"] + r["length"]
+    assert got == {i: len(ids) for i, ids in want.items()}
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
