@@ -32,13 +32,18 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that never hold main text.
-OUT = RAW | set("head nav footer aside form noscript template svg math canvas object button select option datalist dialog menu audio video map fieldset label input".split())
+OUT = RAW | set("head nav footer aside form noscript template svg canvas object button select option datalist dialog menu audio video map fieldset label input".split())
 BLOCK = set("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption header address hr details summary center nav footer aside form fieldset".split())
 #: Words of a class or id that tell what is left out.
 UNLIKELY = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidenav comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices banner popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended share sharing social subscribe newsletter signup login search widget pagination pager tags byline print hidden".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words of UNLIKELY that inside an article can name a part of its text as well: there they leave out only what has many links.
-DOUBTFUL = set("notice notices tags banner byline print hidden related comment reply replies respond discussion menu navigation share".split())
+#: Words of UNLIKELY that inside an article can name a part of its text as well: there they leave out only what has many links or speaks of the site.
+DOUBTFUL = set("notice notices tags banner byline print hidden related menu navigation share".split())
+#: What notices of a site speak of; one such word in SITE_DENSITY characters or less makes a notice.
+SITE, SITE_DENSITY = re.compile(r"\b(?:cookies?|consent|gdpr|privacy policy|terms of (?:use|service)|subscribe|newsletter|sign ?up|log ?in|javascript|ad ?block(?:er)?|advert(?:s|isements?)?|notifications?)\b", re.IGNORECASE), 80
+#: Elements whose text reads on around what is left out inside them, and what is left out there without a break. Labels and formulas are text there.
+RUNNING = set("p li dt dd td th caption figcaption blockquote summary h1 h2 h3 h4 h5 h6 address pre".split())
+INLINE = set("svg canvas button object select datalist input audio video map noscript template annotation annotation-xml".split())
 #: Words that go with those of UNLIKELY in one class or id: parts of a page, not what a page has or lacks.
 PARTS = set("site page main primary secondary global mobile desktop article articles post posts entry blog story content body text header head title area box wrap wrapper container inner outer block list item items link links bar section slot unit left right top bottom module panel button buttons group row col column form count is".split())
 LIKELY = set("article content main body text entry post story hentry blog".split())
@@ -65,7 +70,7 @@ def unlikely(name: str) -> bool:
 
 
 def left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool | None]:
-    """Whether an element is left out with all it holds, its bonus as a container, and whether its class or id would leave it out (None: where it has many links). inside: it stands in an article."""
+    """Whether an element is left out with all it holds, its bonus as a container, and whether its class or id would leave it out (None: where it has many links or speaks of the site). inside: it stands in an article."""
     if tag in OUT or tag == "header" and not inside:
         return True, 0.0, False
     bonus = 25.0 if tag in ("article", "main") else 5.0 if tag in ("section", "div") else 0.0
@@ -151,6 +156,10 @@ def tree(page: str, classes: bool = True) -> Node:
                     node = node.parent
                 if node.parent is not None and node.tag == tag:
                     close(node)
+        elif at.tag in RUNNING and tag in INLINE or tag.startswith("annotation"):
+            open_ = after(page, tag, open_)
+        elif at.tag in RUNNING and tag == "label":
+            pass
         elif tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, open_)
             open_ = stop.end() if stop else end if tag != "title" else open_
@@ -168,7 +177,7 @@ def tree(page: str, classes: bool = True) -> Node:
             flush()
             inside, node = False, at
             while node is not None and not inside:
-                inside, node = node.tag == "article", node.parent
+                inside, node = node.tag == "article" or tag == "header" and node.tag == "main", node.parent
             out, bonus, soft = left_out(tag, attributes, inside)
             child = Node(tag, at, at.out or out, bonus, soft if classes else False)
             if not child.out:
@@ -254,7 +263,7 @@ def pruned(root: Node) -> None:
         x.size = sum(len(y[0]) if isinstance(y, tuple) else y.size for y in x.children)
         x.linked = sum(y[1] if isinstance(y, tuple) else y.linked for y in x.children)
         if x.soft is None:
-            x.soft = 4 * x.linked >= x.size > 0
+            x.soft = 4 * x.linked >= x.size > 0 or SITE_DENSITY * len(SITE.findall(" ".join(texts(x)))) >= x.size > 0
     while True:
         top = below(root, False)
         soft = [x for x in top if x.soft]
