@@ -5,7 +5,7 @@ stand where a credential would (after a credential word and a separator, or as t
 a URL) and that are hard to guess: a dynamic program finds the cheapest way to cut the value
 into words, dates, repeats of what stands before, keyboard walks, separators and brute-force
 characters, each with the decimal logarithm of its guesses; a value whose cheapest cut still
-needs GUESSES digits is a secret. The minimum is over all such cuts. Words are the frequent
+needs GUESSES digits is a secret, whatever its length. The minimum is over all such cuts. Words are the frequent
 passwords below, then the whole words of a rank file's vocabulary, most frequent first.
 
 Cases: null or empty texts have no spans. Texts and values of any length are read whole. Spans
@@ -36,7 +36,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "guess"]
 #: Where a credential's value stands: group 1 is the value.
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|api[_-]?key|access[_-]?key|private[_-]?key|account[_-]?key|signing[_-]?key|bearer)(?:[_-][a-z]+)?["'\]]{0,2}(?:\x20*(?:=>|:=|[:=])\x20*|\x20+is\x20+|(?<=bearer)\x20+)["'(]?([^\s"'<>,;(){}\[\]]{8,})|(?<=[a-z0-9+.-])://[^\s/:@]+:([^\s/@]{6,})@""", re.ASCII | re.IGNORECASE)
+CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|api[_-]?key|access[_-]?key|private[_-]?key|account[_-]?key|signing[_-]?key|bearer)(?:[_-][a-z]+)?["'\]]{0,2}(?:\x20*(?:=>|:=|[:=])\x20*|\x20+is\x20+|(?<=bearer)\x20+)(?:(?:bearer|basic)\x20+)?["'(]?([^\s"'<>,;(){}\[\]]{5,})|(?<=[a-z0-9+.-])://[^\s/:@]+:([^\s/@]{5,})@""", re.ASCII | re.IGNORECASE)
 #: Texts without any of these have no context.
 CUES = ("pass", "pwd", "secret", "token", "credential", "auth", "key", "bearer", "://")
 #: Decimal digits of guesses from which a value is a secret.
@@ -87,8 +87,15 @@ def ranked(vocabulary: str) -> Words:
     return Words([*WORDS, *(x[1:].decode() for _, x in pieces if x[:1] == b" " and len(x) > 3 and x[1:].isalpha() and x.islower())])
 
 
-def brute(c: str) -> float:
-    """Guesses of one character, as a decimal logarithm: the size of its class."""
+def plain_letters(value: str) -> bool:
+    """Whether a value is of letters of one case only: as unknown words and names are, which are guessed letter by likely letter."""
+    return value.isalpha() and (value.islower() or value.isupper())
+
+
+def brute(c: str, plain: bool = False) -> float:
+    """Guesses of one character, as a decimal logarithm: the size of its class; in plain letters the ten or so that are likely after the ones before."""
+    if plain:
+        return 1.0
     if "0" <= c <= "9":
         return 1.0
     if "a" <= c <= "z" or "A" <= c <= "Z":
@@ -146,7 +153,7 @@ def dates(value: str) -> list[tuple[int, int]]:
 def guess_cost(value: str, words: Words = COMMON) -> float:
     """Decimal logarithm of the guesses of the cheapest segmentation."""
     n, low = len(value), value.lower() if len(value.lower()) == len(value) else value
-    plain, days = low.translate(LEET), {}
+    plain, days, letters = low.translate(LEET), {}, plain_letters(value)
     for a, b in dates(value):
         days.setdefault(b, []).append(a)
     copies = [[a, e, p, math.inf] for a, e, p in periods(value)]  # with the least cost of a start so far
@@ -155,7 +162,7 @@ def guess_cost(value: str, words: Words = COMMON) -> float:
     best = [0.0] * (n + 1)
     key = pair = walk = math.inf  # cheapest walks of one, two and more keys that end at the character before
     for j in range(1, n + 1):
-        cost = best[j - 1] + brute(value[j - 1])
+        cost = best[j - 1] + brute(value[j - 1], letters)
         for i in range(max(0, j - words.longest), j - 2):
             if rank := words.get(low[i:j]):
                 cost = min(cost, best[i] + START + word_cost(value[i:j], rank, False))
@@ -179,11 +186,6 @@ def guess_cost(value: str, words: Words = COMMON) -> float:
     return best[n]
 
 
-def kinds(value: str) -> int:
-    """Character classes in a value."""
-    return any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
-
-
 def uncovered(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """The stretches of a..b that no span of base covers; base is in order of start."""
     out = []
@@ -212,7 +214,7 @@ def spans(text: str, words: Words = COMMON) -> list[tuple[int, int, int]]:
             a, b = m.span(1) if m[1] is not None else m.span(2)
             value = text[a:b].rstrip(".!?:")
             b = a + len(value)
-            if (rest := uncovered(a, b, base)) and kinds(value) > 1 and guess_cost(value, words) >= GUESSES:
+            if (rest := uncovered(a, b, base)) and guess_cost(value, words) >= GUESSES:
                 found += [(x, y, 3) for x, y in rest]
     return sorted(found)
 

@@ -77,7 +77,7 @@ def masked(text, words):
     for m in secrets.CONTEXT.finditer(text):
         a = m.start(1 if m[1] is not None else 2)
         value = (m[1] if m[1] is not None else m[2]).rstrip(".!?:")
-        if not all(gone[a : a + len(value)]) and secrets.kinds(value) > 1 and cheapest(value, words) >= secrets.GUESSES:
+        if not all(gone[a : a + len(value)]) and cheapest(value, words) >= secrets.GUESSES:
             more[a : a + len(value)] = [1] * len(value)
     return "".join(c if not g else "" if k and more[k - 1] else secrets.MASK for k, (c, g) in enumerate(zip(text, more, strict=True)))
 
