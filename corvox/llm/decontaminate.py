@@ -11,7 +11,10 @@ MOST_WORDS words; beyond that, fingerprints of both sides are joined by Spark an
 documents with a hit meet the items they hit.
 
 Cases: null or empty texts have no words and are clean. Repeated items with one item_id count
-once. Equal items with different ids all count. Repeated documents get a row each.
+once. Equal items with different ids all count. Repeated documents get a row each. Texts of any
+length are cut whole. Of equal smallest hashes in a window the last is taken, on both sides alike,
+so ties lose no span. Empty tables: no documents give an empty result, no items leave all
+documents clean. Only doc_id, item_id and text are read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations

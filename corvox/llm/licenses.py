@@ -41,6 +41,7 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "BSD-2-Clause": f"{SOURCE} {AS_IS}",
     "BSD-3-Clause": f"{SOURCE} {ENDORSE} {AS_IS}",
+    "BSD-4-Clause": f"{SOURCE} 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. {ENDORSE[3:]} {AS_IS}",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -61,12 +62,24 @@ for short, kind, version in FAMILY:
         f"{name}-only-notice": f"licensed under the {title}, version {version} only.",
         f"{name}-or-later-notice": f"licensed under the {title}, version {version} or later.",
     }
+#: Short names by which notices call a license.
+SHORT = {
+    "MIT": ["MIT"], "ISC": ["ISC"], "Apache-2.0": ["Apache 2.0", "Apache"], "BSD-2-Clause": ["BSD 2-Clause"], "BSD-3-Clause": ["BSD 3-Clause"], "MPL-2.0": ["MPL 2.0", "Mozilla Public"],
+    "GPL-2.0": ["GNU GPL v2", "GPLv2"], "GPL-3.0": ["GNU GPL v3", "GPLv3"], "LGPL-3.0": ["GNU LGPL v3", "LGPLv3"], "AGPL-3.0": ["GNU AGPL v3", "AGPLv3"], "CC-BY-4.0": ["CC BY 4.0"], "CC-BY-SA-4.0": ["CC BY-SA 4.0"], "CC0-1.0": ["CC0 1.0"],
+}
+for name, called in SHORT.items():
+    TEMPLATES[f"{name}-notice-spdx"] = f"SPDX-License-Identifier: {name}"
+    for k, n in enumerate(called):
+        the, end = ("", "") if name.startswith("CC") else ("the ", "" if "GPL" in name else " license")
+        for how, phrase in (("licensed", "licensed under"), ("released", "released under"), ("terms", "under the terms of")):
+            if (how, name) != ("released", "MIT"):  # MIT-notice
+                TEMPLATES[f"{name}-notice-{how}{k or ''}"] = f"{phrase} {the}{n}{end}"
 #: Words of which each must be matched, by parts of a template's name, and words that the passage must not hold.
-NEEDS = {"BSD-3": "endorse promote", "MIT": "mit", "Apache": "apache", "SA": "sharealike", "NC": "nc", "GPL": "gnu general public", "LGPL": "lesser", "AGPL": "affero", "later": "later", "only-notice": "only", "MPL": "mozilla"}
-BARS = {"BSD-2": "endorse promote advertising", "GPL": "lesser library affero", "LGPL": "affero", "AGPL": "lesser library", "only": "later", "BY-4": "sharealike noncommercial noderivatives nonderivs", "BY-SA": "noncommercial"}
+NEEDS = {"BSD-3": "endorse promote", "BSD-4": "advertising acknowledgement endorse promote", "MIT": "mit", "Apache": "apache", "SA": "sharealike", "NC": "nc", "GPL": "gnu general public", "LGPL": "lesser", "AGPL": "affero", "later": "later", "only-notice": "only", "MPL": "mozilla"}
+BARS = {"BSD-2": "endorse promote advertising", "BSD-3": "advertising", "GPL": "lesser library affero", "LGPL": "affero", "AGPL": "lesser library", "only": "later", "BY-4": "sharealike noncommercial noderivatives nonderivs", "BY-SA": "noncommercial"}
 #: Words right after a notice that make it another one.
 TAILS = [("only",), ("or", "later"), ("or", "any", "later"), ("or", "newer")]
-CUE = re.compile(r"licen[sc]e|licen[sc]ing|hereby granted|redistribut|public domain|creative commons", re.IGNORECASE)
+CUE = re.compile(r"licen[sc]e|licen[sc]ing|hereby granted|redistribut|public domain|creative commons|gpl|cc[ -]by|cc0", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Share of the template's own saving that makes a candidate; share of its words that must match, and of other words among them.
 RANKED, MATCHED, OTHER = 0.3, 0.9, 0.1

@@ -29,7 +29,10 @@ Skew: a shingle or text that a third of all rows hold is sent once by each chunk
 of a shingle are joined by salts and dealt out in blocks. Nothing is dropped, capped or sampled.
 
 Cases: null or empty texts have no shingles and no links. Rows that share a doc_id are one
-document whose links are united. Rows without doc_id are returned without component.
+document whose links are united. Rows without doc_id are returned without component. Texts of
+any length are hashed whole; one text's shingles are one row. Ties need no rule: links do not
+depend on an order, and a class is named by its smallest doc_id. An empty table gives an empty
+result. Only doc_id and text are read, so extra columns of any name do no harm.
 """
 
 from __future__ import annotations

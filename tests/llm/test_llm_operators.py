@@ -592,6 +592,14 @@ def test_license_labels():
     for name, text in licenses.TEMPLATES.items():
         assert labels(text) == [(name, True)], name
         assert labels(prose(2000, 1) + " " + text.upper() + " " + prose(2000, 2)) == [(name, True)], name
+    for text, name in (
+        ("Licensed under the MIT license.", "MIT"), ("This project is licensed under the MIT License - see LICENSE", "MIT"), ("// SPDX-License-Identifier: MIT", "MIT"), ("Licensed under the Apache 2.0 license.", "Apache-2.0"),
+        ("It is distributed under the terms of the GNU GPL v3", "GPL-3.0"), ("This work is licensed under CC BY 4.0.", "CC-BY-4.0"), ("This work is licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ):
+        assert [(x[0].split("-notice")[0], x[8]) for x in t.found(prose(300, 4) + "\n" + text + "\n" + prose(300, 5))] == [(name, True)], text
+    assert labels("It is licensed under the GNU GPL v3 or later") == []
+    four = licenses.TEMPLATES["BSD-4-Clause"]
+    assert labels(four.replace("organization", "university")) == [("BSD-4-Clause", False)]
     bsd = licenses.TEMPLATES["BSD-2-Clause"].split()
     assert labels(" ".join(bsd[: len(bsd) // 2])) == []
     assert labels(licenses.TEMPLATES["GPL-2.0-or-later"].replace("GNU General", "GNU Lesser General")) == []
