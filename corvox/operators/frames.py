@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvox.operators.ranks import matched, numbered
+from corvox.operators.scans import Blocks
 from corvox.sources.scratch import stored
 
 #: Suffixes in the order in which a fallback is taken.
@@ -18,16 +21,17 @@ MOST_MODALITIES = 1000
 
 def indexed(files: DataFrame, by: str, path: str) -> DataFrame:
     """0-based frame_index in each sequence, paths ordered by their parts."""
-    return files.withColumn("frame_index", F.row_number().over(Window.partitionBy(by).orderBy(F.split(path, "/"))) - 1)
+    rows = files.withColumn("parts_", F.split(path, "/"))
+    return numbered(rows, "parts_", by=by).withColumnRenamed("place", "frame_index").drop("parts_")
 
 
 def neighbours(frames: DataFrame, by: str, order: str, item: str, radius: int) -> DataFrame:
     """Items within radius places before and after, without the item itself."""
-    w = Window.partitionBy(by).orderBy(order)
     if radius < 1:
         return frames.withColumn("neighbours", F.array().cast(f"array<{dict(frames.dtypes)[item]}>"))
-    near = F.concat(F.collect_list(item).over(w.rowsBetween(-radius, -1)), F.collect_list(item).over(w.rowsBetween(1, radius)))
-    return frames.withColumn("neighbours", near)
+    blocks = Blocks(frames, by, order, back=radius, ahead=radius)
+    near = F.concat(F.collect_list(item).over(blocks.window.rowsBetween(-radius, -1)), F.collect_list(item).over(blocks.window.rowsBetween(1, radius)))
+    return blocks.own(blocks.rows.withColumn("neighbours", near))
 
 
 def stem(path: Column, twice: bool = False) -> Column:
@@ -64,8 +68,13 @@ def change(gray: np.ndarray, before: np.ndarray) -> tuple[float, float, float]:
     """Mean absolute change, mean absolute flicker about the median change, mean change."""
     if gray.shape != before.shape:
         raise ValueError("frame size changes")
+    return changes(gray[None], before[None])[0]
+
+
+def changes(gray: np.ndarray, before: np.ndarray) -> list[tuple[float, float, float]]:
+    """change() of every row of two matrices."""
     delta = gray.astype(np.float64) - before.astype(np.float64)
-    return float(np.abs(delta).mean()), float(np.abs(delta - np.median(delta)).mean()), float(delta.mean())
+    return list(zip(np.abs(delta).mean(1).tolist(), np.abs(delta - np.median(delta, axis=1, keepdims=True)).mean(1).tolist(), delta.mean(1).tolist(), strict=True))
 
 
 def differences(frames: DataFrame) -> DataFrame:
@@ -81,17 +90,24 @@ def differences(frames: DataFrame) -> DataFrame:
     order = frames.select("video_id", "frame_index", "gray").repartitionByRange(n, "video_id", "frame_index").sortWithinPartitions("video_id", "frame_index")
 
     def run(batches):
-        kept = None  # the row before: video, index, frame, batch, number in it; first and last rows carry their frames
+        kept = None  # the row before: video, index and frame; first and last rows carry their frames
         for b in batches:
+            if not b.num_rows:
+                continue
             videos, indexes, grays = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
-            out = []
-            for i in range(b.num_rows):
-                gray = grays[i].values.to_numpy(zero_copy_only=False)
-                if kept is None:
-                    out.append((videos[i], indexes[i], None, None, None, True, False, gray))
-                elif kept[0] == videos[i]:
-                    out.append((videos[i], indexes[i], *change(gray, kept[2]), False, False, None))
-                kept = videos[i], indexes[i], gray
+            size, out = pc.list_value_length(grays).to_numpy(zero_copy_only=False), []
+            if kept is None:
+                out.append((videos[0], indexes[0], None, None, None, True, False, grays[0].values.to_numpy(zero_copy_only=False)))
+            before = [kept[0] if kept else None, *videos[:-1]]
+            at = [i for i in range(b.num_rows) if (i or kept) and videos[i] == before[i]]
+            if at and (size == size[0]).all() and (kept is None or len(kept[2]) == size[0]):
+                now = grays.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, size[0])
+                got = changes(now[at], np.concatenate([(now[:1] if kept is None else kept[2][None]), now[:-1]])[at])
+            else:
+                frame = lambda i: kept[2] if i < 0 else grays[i].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                got = [change(frame(i), frame(i - 1)) for i in at]
+            out += [(videos[i], indexes[i], *x, False, False, None) for i, x in zip(at, got, strict=True)]
+            kept = videos[-1], indexes[-1], np.array(grays[b.num_rows - 1].values.to_numpy(zero_copy_only=False))
             yield table(out, b.schema)
         if kept is not None:
             yield table([(*kept[:2], None, None, None, False, True, kept[2])], b.schema)
@@ -131,16 +147,15 @@ def consistency(frames: DataFrame) -> DataFrame:
 
 def evenly_spaced(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """Rows of each group at n evenly spaced places, rounded half to even; all of a group of n or fewer."""
-    w = Window.partitionBy(by)
-    at = rows.withColumns({"place": F.row_number().over(w.orderBy(order)) - 1, "total": F.count("*").over(w)})
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("total") - 1) / max(n - 1, 1), 0).cast("int"))
-    return at.where((F.col("total") <= n) | F.array_contains(wanted, F.col("place").cast("int"))).drop("total")
+    total = rows.groupBy(by).agg(F.count("*").alias("total"))
+    at = matched(numbered(rows, order, by=by), total, [by])
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("total") - 1) / max(n - 1, 1), 0).cast("long"))
+    return at.where((F.col("total") <= n) | F.array_contains(wanted, F.col("place"))).drop("total")
 
 
 def strided(rows: DataFrame, by: str, order: str, stride: int, most: int | None = None) -> DataFrame:
     """Every stride-th row of a group, and of these the first `most`."""
-    w = Window.partitionBy(by).orderBy(order)
-    out = rows.withColumn("place", F.row_number().over(w) - 1).where(F.pmod("place", F.lit(stride)) == 0)
+    out = numbered(rows, order, by=by).where(F.pmod("place", F.lit(stride)) == 0)
     return out if most is None else out.where(F.col("place") < stride * most)
 
 

@@ -28,6 +28,18 @@ def ranked(rows: DataFrame, *order: str, by: tuple[str, ...] = (), parts: int |
     return p.withColumn("own_", own).join(before, same).withColumn("place", F.col("own_") + F.col("before_")).drop("part_", "own_", "before_", "p_", *(k + "_" for k in keys))
 
 
+#: Rows of a group that one task sorts; larger groups are ranked by range partitions.
+SORTED = 1 << 16
+
+
+def numbered(rows: DataFrame, order: str, by: str) -> DataFrame:
+    """rows with `place`, the 0-based rank of each in its group: by a window while every group is small, else as ranked()."""
+    longest = rows.groupBy(by).agg(F.count("*").alias("n_")).agg(F.max("n_")).first()[0] or 0
+    if longest > SORTED:
+        return ranked(rows, order, by=(by,)).withColumn("place", F.col("place").cast("long"))
+    return rows.withColumn("place", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long"))
+
+
 #: Values of a group up to which Spark's own exact percentile keeps them in a task.
 SMALL = 1 << 18
 #: Steps of the sketch that brackets a rank.

@@ -20,12 +20,15 @@ KEY = ["case_id", "i", "j", "k"]
 SIDES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 #: Half of the 26 neighbours, one of each opposite pair.
 HALF = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
-#: Voxel number in C order of a grid of at most SPAN voxels a side.
+#: Voxels a side of the largest grid that voxel numbers can tell apart.
 SPAN = 1 << 14
 
 
 def number(i: str = "i", j: str = "j", k: str = "k") -> Column:
-    return (F.col(i).cast("long") * SPAN + F.col(j)) * SPAN + F.col(k)
+    """Voxel number in C order of a grid of SPAN voxels a side; an error for a voxel outside it."""
+    outside = (F.least(i, j, k) < 0) | (F.greatest(i, j, k) >= SPAN)
+    error = F.raise_error(F.concat(F.lit(f"voxel outside of 0..{SPAN - 1}: "), F.concat_ws(", ", *(F.col(a).cast("string") for a in (i, j, k)))))
+    return F.when(outside, error.cast("long")).otherwise((F.col(i).cast("long") * SPAN + F.col(j)) * SPAN + F.col(k))
 
 
 def moved(voxels: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:

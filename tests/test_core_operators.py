@@ -163,6 +163,12 @@ def test_entry_moves_to_the_nearest_passable_node(spark):
             graphs.routes(nodes, e, at("a"), 9.0, 100.0).collect()
 
 
+def test_voxels_outside_the_grid_are_an_error(spark):
+    for v in ((-1, 0, 0), (0, voxels.SPAN, 0)):
+        with pytest.raises(Exception, match="voxel outside"):
+            voxels.labelled(spark.createDataFrame([("x", *v)], "case_id string, i int, j int, k int")).collect()
+
+
 def test_cap(spark):
     v = spark.createDataFrame([("x", i, j, k) for i in (3, 4) for j in (3, 4) for k in (1, 2, 3, 4, 8, 9)], "case_id string, i int, j int, k int")
     r = voxels.capped(voxels.labelled(v)).first()

@@ -72,3 +72,21 @@ def test_blocks_against_loops(many_parts, monkeypatch, size):
     e = many_parts.createDataFrame([(k, i, [*x[:3], 0.0, 0.0, 0.0, 1.0, x[0]]) for k, i, *x in rows], "episode string, frame int, action array<double>")
     got = {(x["episode"], x["frame"]): x["step"] for x in motion.kinematics(e, 20.0).collect()}
     assert got == {k: pytest.approx(v[0]) for k, v in lengths.items() if k[1]}
+
+
+@pytest.mark.parametrize("size", [5, 1000])
+def test_places_and_neighbours_of_long_sequences(many_parts, monkeypatch, size):
+    from corvox.operators import frames, ranks
+
+    monkeypatch.setattr(scans, "SIZE", size)
+    monkeypatch.setattr(ranks, "SORTED", size)
+    seqs = {"a": 43, None: 12, "b": 1, "c": 5}
+    rows = [(k, f"{i:03d}/x", i) for k, n in seqs.items() for i in range(n)]
+    random.Random(size).shuffle(rows)
+    f = many_parts.createDataFrame(rows, "s string, path string, i int")
+    assert sorted((str(x["s"]), x["i"], x["frame_index"]) for x in frames.indexed(f, "s", "path").collect()) == sorted((str(k), i, i) for k, _, i in rows)
+    near = {(x["s"], x["i"]): x["neighbours"] for x in frames.neighbours(f, "s", "i", "path", 2).collect()}
+    assert near == {(k, i): [f"{j:03d}/x" for j in range(max(0, i - 2), min(seqs[k], i + 3)) if j != i] for k, _, i in rows}
+    assert sorted((str(x["s"]), x["i"]) for x in frames.strided(f, "s", "i", 4, 3).collect()) == sorted((str(k), i) for k, _, i in rows if i in (0, 4, 8))
+    picks = {k: set(range(n)) if n <= 4 else {round(j * (n - 1) / 3) for j in range(4)} for k, n in seqs.items()}
+    assert sorted((str(x["s"]), x["i"]) for x in frames.evenly_spaced(f, "s", "i", 4).collect()) == sorted((str(k), i) for k, v in picks.items() for i in v)
