@@ -161,6 +161,10 @@ def routes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, minimum: floa
     return ends.join(name, ["case_id", "node"]).join(route.withColumnRenamed("leaf", "node"), ["case_id", "node"]).select("case_id", "id", "route", "length", "least_radius")
 
 
+#: Joins that follow each other without a written table between them.
+STRIDE = 6
+
+
 def written(parents: DataFrame, leaves: DataFrame) -> DataFrame:
     """(case_id, leaf, node, place) of the nodes on the ways from the entry (place 0) to leaves(case_id, node, depth) in parents(case_id, node, up).
 
@@ -174,8 +178,11 @@ def written(parents: DataFrame, leaves: DataFrame) -> DataFrame:
         jumps.append(stored(last.join(last.select("case_id", F.col("node").alias("up"), F.col("up").alias("far")), ["case_id", "up"]).select("case_id", "node", F.col("far").alias("up")), "jump"))
     way = leaves.select("case_id", F.col("node").alias("leaf"), "node", F.col("depth").cast("long").alias("place"))
     for k in range(len(jumps) - 1, -1, -1):
-        above = way.where(F.col("place") >= 1 << k).join(jumps[k], ["case_id", "node"]).select("case_id", "leaf", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place"))
-        way = stored(way.unionByName(above), "way")
+        far = F.when((F.col("place") >= 1 << k) & F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place")))
+        both = F.explode(F.array_compact(F.array(F.struct("node", "place"), far)))
+        way = way.join(jumps[k], ["case_id", "node"], "left").select("case_id", "leaf", both.alias("at")).select("case_id", "leaf", "at.node", "at.place")
+        if k % STRIDE == 0:
+            way = stored(way, "way")
     return way
 
 
