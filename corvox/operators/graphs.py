@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvox.operators import shortest
 from corvox.operators.loops import climbed, components, forest, reached
 from corvox.operators.ranks import percentiles
-from corvox.sources.scratch import stored
+from corvox.sources.scratch import observed, stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -86,8 +86,8 @@ def nearest_passable(nodes: DataFrame, edges: DataFrame, entries: DataFrame) ->
     of the tree of all nodes, so a chain to the first passable one costs no rounds of its own.
     """
     direct = stored(entries.join(nodes.where("passable"), ["case_id", "id"]).select("case_id", "id"), "entries")
-    rest = stored(entries.join(direct.select("case_id"), "case_id", "left_anti").select("case_id", "id"), "entries")
-    if rest.isEmpty():
+    rest, n = observed(entries.join(direct.select("case_id"), "case_id", "left_anti").select("case_id", "id"), "entries", n=F.count("*"))
+    if not n:
         return direct
     far = rerooted(edges.join(rest.select("case_id"), "case_id", "left_semi"), rest)
     steps = walked(far, rest, {}) if far is not None else reached(rest, both_ways(edges)).select("case_id", F.col("id").alias("node"), "depth")
@@ -106,13 +106,14 @@ def rerooted(edges: DataFrame, entries: DataFrame) -> DataFrame | None:
     into = stored(edges.select("case_id", F.col("dst").alias("node"), F.col("src").alias("up")).distinct(), "into")
     if not forest(into.select("case_id", F.col("up").alias("src"), F.col("node").alias("dst"))):
         return None
-    jump, above = into, stored(entries.select("case_id", F.col("id").alias("node")).distinct(), "above")
+    jump, n = into, F.count("*")
+    above, size = observed(entries.select("case_id", F.col("id").alias("node")).distinct(), "above", n=n)
     for _ in range(64):
         more = above.join(jump, ["case_id", "node"]).select("case_id", F.col("up").alias("node")).join(above, ["case_id", "node"], "left_anti").distinct()
-        grown = stored(above.union(more), "above")
-        if grown.count() == above.count():
+        above, grown = observed(above.union(more), "above", n=n)
+        if grown == size:
             break
-        above = grown
+        size = grown
         jump = stored(jump.join(jump.select("case_id", F.col("node").alias("up"), F.col("up").alias("far")), ["case_id", "up"]).select("case_id", "node", F.col("far").alias("up")), "jump")
     else:
         return None
@@ -155,9 +156,9 @@ def routes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, minimum: floa
     values = {"length": (lambda a, b: a + b, F.lit(0.0)), "least_radius": (F.least, F.col("radius"))}
     tree = walked(hop, start.withColumnRenamed("node", "id"), values)
     inner = hop.select("case_id", F.col("up").alias("node")).distinct()
-    ends = stored(tree.where((F.col("depth") > 0) & (F.col("length") <= working_length)).join(inner, ["case_id", "node"], "left_anti"), "ends")
+    ends, deepest = observed(tree.where((F.col("depth") > 0) & (F.col("length") <= working_length)).join(inner, ["case_id", "node"], "left_anti"), "ends", deepest=F.max("depth"))
     name = ok.select("case_id", "node", "id")
-    route = written(hop, ends).join(name, ["case_id", "node"]).groupBy("case_id", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("route"))
+    route = written(hop, ends, deepest or 0).join(name, ["case_id", "node"]).groupBy("case_id", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("route"))
     return ends.join(name, ["case_id", "node"]).join(route.withColumnRenamed("leaf", "node"), ["case_id", "node"]).select("case_id", "id", "route", "length", "least_radius")
 
 
@@ -165,13 +166,12 @@ def routes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, minimum: floa
 STRIDE = 6
 
 
-def written(parents: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(case_id, leaf, node, place) of the nodes on the ways from the entry (place 0) to leaves(case_id, node, depth) in parents(case_id, node, up).
+def written(parents: DataFrame, leaves: DataFrame, deepest: int) -> DataFrame:
+    """(case_id, leaf, node, place) of the nodes on the ways from the entry (place 0) to leaves(case_id, node, depth), none below `deepest`, in parents(case_id, node, up).
 
     A table of ancestors by powers of two takes log2 of the depth rounds, and as many joins,
     from the farthest ancestors to the nearest, write a way out: each doubles its nodes.
     """
-    deepest = leaves.agg(F.max("depth")).first()[0] or 0
     jumps = [parents.select("case_id", "node", "up")]
     while 2 << len(jumps) - 1 <= deepest:
         last = jumps[-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvox.sources.scratch import stored
+from corvox.sources.scratch import observed, stored
 
 
 def components(edges: DataFrame, tag: str, by: tuple[str, ...] = ("case_id",), rounds: int = 64) -> DataFrame:
@@ -19,10 +19,10 @@ def components(edges: DataFrame, tag: str, by: tuple[str, ...] = ("case_id",), r
     """
     key = list(by)
     at = lambda c: [*key, c]
-    e = stored(edges.select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{tag}-edges")
+    e, left = observed(edges.select(*key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{tag}-edges", n=F.count("*"))
     labels = e.select(*key, F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     for turn in range(rounds):
-        if e.isEmpty():
+        if not left:
             return labels
         hook = e.select(*key, F.col("b").alias("node"), F.col("a").alias("up")).union(e.select(*key, "a", "a")).groupBy(*at("node")).agg(F.min("up").alias("up"))
         hook = stored(hook, f"{tag}-hooks")
@@ -34,29 +34,30 @@ def components(edges: DataFrame, tag: str, by: tuple[str, ...] = ("case_id",), r
             labels = labels.join(hook.withColumnRenamed("node", "component"), at("component"), "left").select(*key, "node", F.coalesce("top", "component").alias("component"))
             labels = stored(labels, f"{tag}-labels")
         e = e.join(hook.withColumnRenamed("node", "a"), at("a")).select(*key, F.col("top").alias("p"), "b").join(hook.withColumnRenamed("node", "b"), at("b")).select(*key, F.least("p", "top").alias("a"), F.greatest("p", "top").alias("b"))
-        e = stored(e.where("a <> b").distinct(), f"{tag}-edges")
+        e, left = observed(e.where("a <> b").distinct(), f"{tag}-edges", n=F.count("*"))
     raise RuntimeError("components did not settle")
 
 
 def climbed(parents: DataFrame, tag: str, values: dict[str, Callable[[Column, Column], Column]], rounds: int = 64) -> DataFrame:
     """parents(case_id, node, up, *values): every node with its top, the last of its ancestors, and its values joined along the way there.
 
-    Pointer jumping: each round joins a node with what hangs above it, so a chain of n nodes
-    takes log2 n rounds. `values` maps a column to the function of (the node's, the one above's);
+    Pointer jumping: each round joins a node twice with what hangs above it, which triples its
+    reach, so a chain of n nodes takes log3 n rounds. `values` maps a column to the function of (the node's, the one above's);
     a top's own values take part. A node whose ancestors end at one that is not in the table has
     no top; nodes below a cycle are left out, which ends as soon as no others are open.
     """
-    j = stored(parents.select("case_id", "node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("top"), *values), tag)
+    open_ = F.col("up").isNotNull()
+    j, open_rows = observed(parents.select("case_id", "node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("top"), *values), tag, n=F.count_if(open_))
     before = None
     for _ in range(rounds):
-        open_rows = j.where("up is not null").count()
         if open_rows in (0, before):
             break
         before = open_rows
         above = j.select("case_id", F.col("node").alias("up"), F.col("up").alias("up_"), F.col("top").alias("top_"), *(F.col(v).alias(v + "_") for v in values))
-        open_ = F.col("up").isNotNull()
         both = {v: F.when(open_, f(F.col(v), F.col(v + "_"))).otherwise(F.col(v)) for v, f in values.items()}
-        j = stored(j.join(above, ["case_id", "up"], "left").select("case_id", "node", F.col("up_").alias("up"), F.when(open_, F.col("top_")).otherwise(F.col("top")).alias("top"), *(x.alias(v) for v, x in both.items())), tag)
+        for _ in range(2):
+            j = j.join(above, ["case_id", "up"], "left").select("case_id", "node", F.col("up_").alias("up"), F.when(open_, F.col("top_")).otherwise(F.col("top")).alias("top"), *(x.alias(v) for v, x in both.items()))
+        j, open_rows = observed(j, tag, n=F.count_if(open_))
     return j.where("up is null").drop("up")
 
 
@@ -83,8 +84,8 @@ def reached(starts: DataFrame, edges: DataFrame, rounds: int = 100_000) -> DataF
     front = seen
     for depth in range(1, rounds):
         new = front.join(links, ["case_id", "id"]).select("case_id", F.col("dst").alias("id")).distinct().join(seen.select("case_id", "id"), ["case_id", "id"], "left_anti")
-        front = stored(new.select("case_id", "id", F.lit(depth).alias("depth")), "front")
-        if front.isEmpty():
+        front, n = observed(new.select("case_id", "id", F.lit(depth).alias("depth")), "front", n=F.count("*"))
+        if not n:
             return seen
         seen = seen.union(front)
     raise RuntimeError("too many steps")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvox.functions.columns import quaternion_angle
-from corvox.operators.ranks import matched, percentiles
+from corvox.operators.ranks import matched, percentiles_of
 from corvox.operators.scans import Blocks
+from corvox.sources.scratch import stored
 
 
 def kinematics(episodes: DataFrame, fps: float) -> DataFrame:
@@ -21,9 +22,9 @@ def kinematics(episodes: DataFrame, fps: float) -> DataFrame:
 
 
 def episode_summary(steps: DataFrame) -> DataFrame:
+    steps = stored(steps, "steps")
     g = steps.groupBy("episode").agg(F.sum("step").alias("path"), F.max("depth").alias("max_insertion"), F.avg(F.when(F.col("d_depth") < -1e-6, 1.0).otherwise(0.0)).alias("retraction"))
-    for value in ("speed", "angular"):
-        g = matched(g, percentiles(steps, value, {f"{value}_median": 0.5, f"{value}_p95": 0.95}, ("episode",)), ["episode"])
+    g = matched(g, percentiles_of(steps, {v: {f"{v}_median": 0.5, f"{v}_p95": 0.95} for v in ("speed", "angular")}, ("episode",)), ["episode"], "left")
     return g.select("episode", "path", "speed_median", "speed_p95", "angular_median", "angular_p95", "max_insertion", "retraction")
 
 

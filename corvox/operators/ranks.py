@@ -47,17 +47,39 @@ STEPS = 1000
 
 
 def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = (), small: int | None = None) -> DataFrame:
-    """Columns named as in `shares`: exact percentiles of the non-null values of each group by linear interpolation.
+    """percentiles_of() for one value."""
+    return percentiles_of(rows, {value: shares}, by, small)
 
-    Groups that fit a task take Spark's own aggregate. In larger ones a sketch of the group
-    brackets each rank between two of its values, whose own ranks are known to a tenth of a
-    step, with a step to spare; the values outside are only counted. That is done again with what lies inside, a
-    few hundredths of it each time, until a task can hold the different values that are left.
+
+def percentiles_of(rows: DataFrame, values: dict[str, dict[str, float]], by: tuple[str, ...] = (), small: int | None = None) -> DataFrame:
+    """For each value, columns named as in its shares: exact percentiles of its non-null values in each group by linear interpolation; a group without any value has no row.
+
+    The values are written once, as what they come from may be dear. Groups that fit a task take
+    one aggregate for all of them.
     """
     small = SMALL if small is None else small
-    v = rows.select(*by, F.col(value).cast("double").alias("v_")).where("v_ is not null")
-    if (v.groupBy(*by).agg(F.count("*").alias("n_")).agg(F.max("n_")).first()[0] or 0) <= small:
-        return v.groupBy(*by).agg(*(F.percentile("v_", q).alias(k) for k, q in shares.items()))
+    own = {v: f"v{i}_" for i, v in enumerate(values)}
+    any_ = F.coalesce(*(F.col(c) for c in own.values())).isNotNull()
+    kept = stored(rows.select(*by, *(F.col(v).cast("double").alias(c) for v, c in own.items())).where(any_), "values")
+    if (kept.groupBy(*by).agg(F.count("*").alias("n_")).agg(F.max("n_")).first()[0] or 0) <= small:
+        all_ = kept.groupBy(*by).agg(*(F.percentile(own[v], F.array(*(F.lit(float(q)) for q in shares.values()))).alias(own[v]) for v, shares in values.items()))
+        return all_.select(*by, *(F.element_at(own[v], i + 1).alias(k) for v, shares in values.items() for i, k in enumerate(shares)))
+    out = None
+    for v, shares in values.items():
+        one = bracketed(kept.select(*by, F.col(own[v]).alias("v_")).where("v_ is not null"), shares, by, small)
+        if len(values) > 1:
+            out = matched(kept.select(*by).distinct() if out is None else out, one, list(by), "left") if by else one if out is None else out.join(one, F.lit(True))
+    return one if out is None else out
+
+
+def bracketed(v: DataFrame, shares: dict[str, float], by: tuple[str, ...], small: int) -> DataFrame:
+    """percentiles_of() for v(*by, v_) with groups of any size.
+
+    A sketch of the group brackets each rank between two of its values, whose own ranks are known
+    to a tenth of a step, with a step to spare; the values outside are only counted. That is done
+    again with what lies inside, a few hundredths of it each time, until a task can hold the
+    different values that are left.
+    """
     keys = [*by, "name_"]
     names = F.explode(F.array(*(F.struct(F.lit(k).alias("name_"), F.lit(float(q)).alias("q_")) for k, q in shares.items())))
     whole = v.groupBy(*by).agg(F.count("*").alias("n_")).select(*by, "n_", names.alias("s_"))
@@ -89,11 +111,11 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple
     return pick.groupBy(*by).agg(*(F.max(F.when(F.col("name_") == k, F.col("x_"))).alias(k) for k in shares))
 
 
-def matched(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+def matched(rows: DataFrame, more: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """rows with the other columns of `more` for the same keys, null keys too; columns of both come from `more`'s side only where rows lack them."""
     own = [c for c in more.columns if c not in keys and c not in rows.columns]
     other = more.select(*(F.col(k).alias(k + "other_") for k in keys), *own)
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(k + "other_"))
-    return rows.join(other, same).drop(*(k + "other_" for k in keys))
+    return rows.join(other, same, how).drop(*(k + "other_" for k in keys))

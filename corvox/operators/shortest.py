@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corvox.operators.loops import climbed
 from corvox.operators.ranks import ranked
-from corvox.sources.scratch import stored
+from corvox.sources.scratch import observed, stored
 
 #: Nodes of a block by default; distances that differ by less than CLOSE are equal.
 BLOCK, CLOSE = 4096, 1e-6
@@ -47,8 +47,8 @@ def contracted(links: DataFrame, roots: DataFrame, rounds: int = 64) -> tuple[Da
     steps, e = [], links
     root = roots.select("case_id", F.col("node").alias("a"), F.lit(True).alias("root"))
     for _ in range(rounds):
-        degree = stored(e.groupBy("case_id", "a").agg(F.count("*").alias("n")).join(root, ["case_id", "a"], "left"), "degrees")
-        size, inner, ends = degree.agg(F.count("*"), F.expr("count_if(n = 2 and root is null)"), F.expr("count_if(n = 1 and root is null)")).first()
+        degree = e.groupBy("case_id", "a").agg(F.count("*").alias("n")).join(root, ["case_id", "a"], "left")
+        degree, size, inner, ends = observed(degree, "degrees", size=F.count("*"), inner=F.expr("count_if(n = 2 and root is null)"), ends=F.expr("count_if(n = 1 and root is null)"))
         first = not steps and inner > 0  # chains always go once, whatever their share
         if not first and max(inner, ends) * SHARE < max(size, 1):
             return e, steps
@@ -116,8 +116,8 @@ def relaxed(links: DataFrame, roots: DataFrame, block, rounds: int = 10_000) ->
         better = stored(rows.groupBy("case_id", "at").applyInPandas(settle, schema), "better")
         best = stored(best.join(better.select(*NODE), NODE, "left_anti").unionByName(better), "dist")
         new = better.join(across, NODE).groupBy("case_id", F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("length")).alias("dist"))
-        front = stored(new.join(best.select(*NODE, F.col("dist").alias("old")), NODE, "left").where("old is null or dist < old - 1e-9").drop("old"), "front")
-        if front.isEmpty():
+        front, n = observed(new.join(best.select(*NODE, F.col("dist").alias("old")), NODE, "left").where("old is null or dist < old - 1e-9").drop("old"), "front", n=F.count("*"))
+        if not n:
             return best
     raise RuntimeError("distances did not settle")
 

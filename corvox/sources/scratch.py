@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,6 +35,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, tag: str, **values: Column) -> tuple:
+    """stored(), and aggregates of its rows that are taken while they are written, without a job of their own; of no rows, counts are 0 and the rest is null."""
+    path, seen = scratch(df.sparkSession, tag), Observation()
+    df.observe(seen, *(v.alias(k) for k, v in values.items())).write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    got = seen.get
+    if set(got) != set(values):  # a plan that was found empty beforehand has no one to observe it
+        got = kept.agg(*(v.alias(k) for k, v in values.items())).first().asDict()
+    return kept, *(got[k] for k in values)
+
+
 def cleared(spark: SparkSession) -> int:
     """Deletes all written intermediate tables; results that still read them are lost. Returns how many."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))

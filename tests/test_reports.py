@@ -98,6 +98,28 @@ def test_percentiles_of_large_groups(spark, small):
     assert list(ranks.percentiles(df, "v", shares, (), small).first()) == pytest.approx([float(np.quantile(all_, q)) for q in shares.values()], rel=1e-9)
 
 
+@pytest.mark.parametrize("small", [2, 1 << 18])
+def test_percentiles_of_several_values(spark, small):
+    """Two values of a group together, nulls in either; a group without any value has no row."""
+    rows = [("a", float(i), None if i % 3 else float(i * i)) for i in range(31)] + [("b", 4.0, None), (None, None, 7.0), ("c", None, None)]
+    df = spark.createDataFrame(rows, "g string, u double, v double")
+    got = {x["g"]: (x["mid"], x["high"], x["low"]) for x in ranks.percentiles_of(df, {"u": {"mid": 0.5, "high": 0.9}, "v": {"low": 0.25}}, ("g",), small).collect()}
+    assert got == {"a": (15.0, 27.0, pytest.approx(float(np.quantile([i * i for i in range(0, 31, 3)], 0.25)))), "b": (4.0, 4.0, None), None: (None, None, 7.0)}
+    assert tuple(ranks.percentiles_of(df, {"u": {"mid": 0.5}, "v": {"low": 1.0}}, (), small).first()) == (pytest.approx(float(np.median([*range(31), 4]))), 900.0)
+
+
+def test_observed(spark):
+    """Aggregates are taken as rows are written, also where the plan is empty before it runs."""
+    from corvox.sources.scratch import observed
+
+    df = spark.range(10)
+    kept, n, most = observed(df.where("id > 3"), "seen", n=F.count("*"), most=F.max("id"))
+    assert (kept.count(), n, most) == (6, 6, 9)
+    for none in (df.where("id > 30"), df.where("false"), df.limit(0), df.where("false").join(df, "id")):
+        kept, n, most = observed(none, "seen", n=F.count("*"), most=F.max("id"))
+        assert (kept.count(), n, most) == (0, 0, None)
+
+
 def test_headers_are_read_by_ranges(spark, tmp_path):
     """A JPEG of 3 MB whose size comes after a long segment; every kind of other file."""
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 7, 5) + b"\0" * 8
