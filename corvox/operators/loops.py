@@ -69,7 +69,7 @@ def forest(edges: DataFrame) -> bool:
 def reached(starts: DataFrame, edges: DataFrame, rounds: int = 100_000) -> DataFrame:
     """starts(case_id, id) and all that edges(case_id, src, dst) reach from them, with the number of steps.
 
-    Where no two edges lead to one node, by pointer jumping in log2 of the depth rounds; else
+    Where no two edges lead to one node, by pointer jumping in log3 of the depth rounds; else
     breadth first, a round a level.
     """
     seen = stored(starts.select("case_id", "id", F.lit(0).alias("depth")).distinct(), "seen")
