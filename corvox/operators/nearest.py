@@ -1,6 +1,8 @@
-"""Nearest neighbours in space by two octrees, one over the points and one over what they look for.
+"""Nearest neighbours in space: few nodes of a case are sent to its points, many are met by two octrees.
 
-A tree is a table of its boxes, each with the tight bounds of what it holds; boxes of at most
+Points of a case with at most FEW nodes are dealt to batches and meet all its nodes in the
+batch's task, so only they and a batch's nodes go through a shuffle. Other cases take two
+octrees, one over the points and one over what they look for. A tree is a table of its boxes, each with the tight bounds of what it holds; boxes of at most
 LEAF places are not divided. Pairs of a point box and a node box go down both trees together:
 of the node boxes beside one point box those stay whose least distance is not above the
 smallest greatest distance to any of them. What is left are pairs of small boxes; there every
@@ -12,12 +14,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvox.operators.ranks import ranked
-from corvox.sources.scratch import stored
+from corvox.sources.scratch import observed, stored
 
+#: Nodes of a case whose points meet all of them, and about how many points do so in a task.
+FEW, BATCH = 1024, 1 << 16
+#: Points that meet the nodes at once.
+AT_ONCE = 1024
 #: Places of a box that is not divided, and levels below the root at most.
 LEAF, DEPTH = 8, 20
 #: Levels that are counted at once; those below only where boxes are still too full.
@@ -107,14 +115,51 @@ def sides(s: str) -> dict[str, tuple[Column, Column]]:
 
 
 def nearest(points: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
-    """points(case_id, *key, x, y, z) with the nearest of nodes(case_id, node_ord, x, y, z) of their case and its distance, the lowest node_ord of equals: (case_id, *key, node_ord, distance).
+    """points(case_id, *key, x, y, z) with the nearest of nodes(case_id, node_ord, x, y, z) of their case and its distance, the lowest node_ord of equals: (case_id, *key, x, y, z, node_ord, distance).
 
     Points and nodes with a null or non-finite coordinate, and points of cases without nodes, are left out.
     """
     whole = " and ".join(f"{a} is not null and not isnan({a}) and abs({a}) < double('infinity')" for a in "xyz")
     as_double = lambda df, *cols: df.select("case_id", *cols, *(F.col(a).cast("double").alias(a) for a in "xyz")).where(whole)
-    places = as_double(points, *key)
     goals = stored(as_double(nodes, "node_ord").groupBy("case_id", "x", "y", "z").agg(F.min("node_ord").alias("node_ord")), "goals")
+    many, n = observed(goals.groupBy("case_id").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("case_id"), "many", n=F.count("*"))
+    places = stored(as_double(points, *key), "places")
+    if not n:
+        return near_few(places, goals, key)
+    few = near_few(*(df.join(many, "case_id", "left_anti") for df in (places, goals)), key)
+    return few.unionByName(near_many(*(df.join(many, "case_id", "left_semi") for df in (places, goals)), key))
+
+
+def near_few(places: DataFrame, goals: DataFrame, key: list[str]) -> DataFrame:
+    """nearest() for cases with few nodes: every batch of points meets all nodes of its case."""
+    size = places.groupBy("case_id").agg(F.count("*").alias("n")).where(F.col("n") > BATCH).select("case_id", F.ceil(F.col("n") / BATCH).alias("batches"))
+    size, n = observed(size, "batches", n=F.count("*"))
+    batches = F.coalesce("batches", F.lit(1)).cast("long") if n else F.lit(1).cast("long")
+    sized = lambda df: df.join(size, "case_id", "left") if n else df
+    p = sized(places).select("case_id", *key, "x", "y", "z", (F.floor(F.rand(0) * batches) if n else F.lit(0).cast("long")).alias("batch"))
+    g = sized(goals).select("case_id", "x", "y", "z", "node_ord", F.explode(F.sequence(F.lit(0).cast("long"), batches - 1)).alias("batch"))
+    kinds = dict(goals.dtypes)
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in places.dtypes), f"node_ord {kinds['node_ord']}", "distance double"])
+
+    def meet(here: pa.Table, there: pa.Table) -> pa.Table:
+        here, there = here.drop_columns(["batch"]), there.sort_by("node_ord")
+        if not (len(here) and len(there)):
+            return here.slice(0, 0).append_column("node_ord", there.column("node_ord").slice(0, 0)).append_column("distance", pa.array([], pa.float64()))
+        at, goal = ([t.column(c).to_numpy() for c in "xyz"] for t in (here, there))
+        best, least = np.empty(len(here), np.int64), np.empty(len(here))
+        for first in range(0, len(here), AT_ONCE):
+            part = slice(first, first + AT_ONCE)
+            x, y, z = (p[part, None] - g for p, g in zip(at, goal, strict=True))
+            d2 = x * x + y * y + z * z
+            best[part] = d2.argmin(axis=1)
+            least[part] = d2.min(axis=1)
+        return here.append_column("node_ord", there.column("node_ord").take(pa.array(best))).append_column("distance", pa.array(np.sqrt(least)))
+
+    return p.groupBy("case_id", "batch").cogroup(g.groupBy("case_id", "batch")).applyInArrow(meet, schema)
+
+
+def near_many(places: DataFrame, goals: DataFrame, key: list[str]) -> DataFrame:
+    """nearest() by two octrees; goals are distinct places."""
     asked = stored(places.select("case_id", "x", "y", "z").distinct(), "places")
     q_boxes, q_at = tree(asked, "point-tree")
     n_boxes, n_at = tree(goals, "node-tree")
@@ -140,4 +185,4 @@ def nearest(points: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
     there = n_at.select("case_id", *(F.col(c).alias("n" + c) for c in CELL), *(F.col(a).alias(f"g{a}") for a in "xyz"), "node_ord")
     d2 = add([(F.col(a) - F.col(f"g{a}")) ** 2 for a in "xyz"])
     hit = own.join(there, ["case_id", *cell("n")]).groupBy("case_id", "x", "y", "z").agg(F.min(F.struct(d2.alias("d2"), "node_ord")).alias("m"))
-    return places.join(hit, ["case_id", "x", "y", "z"]).select("case_id", *key, F.col("m.node_ord").alias("node_ord"), F.sqrt("m.d2").alias("distance"))
+    return places.join(hit, ["case_id", "x", "y", "z"]).select("case_id", *key, "x", "y", "z", F.col("m.node_ord").alias("node_ord"), F.sqrt("m.d2").alias("distance"))
