@@ -109,12 +109,12 @@ def rerooted(edges: DataFrame, entries: DataFrame) -> DataFrame | None:
     jump, n = into, F.count("*")
     above, size = observed(entries.select("case_id", F.col("id").alias("node")).distinct(), "above", n=n)
     for _ in range(64):
-        more = above.join(jump, ["case_id", "node"]).select("case_id", F.col("up").alias("node")).join(above, ["case_id", "node"], "left_anti").distinct()
+        more = above.join(jump.hint("merge"), ["case_id", "node"]).select("case_id", F.col("up").alias("node")).join(above, ["case_id", "node"], "left_anti").distinct()
         above, grown = observed(above.union(more), "above", n=n)
         if grown == size:
             break
         size = grown
-        jump = stored(jump.join(jump.select("case_id", F.col("node").alias("up"), F.col("up").alias("far")), ["case_id", "up"]).select("case_id", "node", F.col("far").alias("up")), "jump")
+        jump = stored(jump.join(jump.select("case_id", F.col("node").alias("up"), F.col("up").alias("far")).hint("merge"), ["case_id", "up"]).select("case_id", "node", F.col("far").alias("up")), "jump")
     else:
         return None
     turned = into.join(above, ["case_id", "node"], "left_semi").select("case_id", F.col("up").alias("node"), F.col("node").alias("up"))
@@ -141,7 +141,7 @@ def routes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, minimum: floa
     entry = stored(nearest_passable(known.select("case_id", "id", F.col("node").alias("node_ord"), "passable"), edges, entries), "entry")
     ok = known.where("passable").drop("passable")
     of = lambda c, n: ok.select("case_id", F.col("id").alias(c), F.col("node").alias(n))
-    inside = stored(edges.select("case_id", "src", "dst").distinct().join(of("src", "a"), ["case_id", "src"]).join(of("dst", "b"), ["case_id", "dst"]).select("case_id", "a", "b"), "inside")
+    inside = stored(edges.select("case_id", "src", "dst").distinct().join(of("src", "a").hint("merge"), ["case_id", "src"]).join(of("dst", "b").hint("merge"), ["case_id", "dst"]).select("case_id", "a", "b"), "inside")
     start = stored(entry.join(ok, ["case_id", "id"]).select("case_id", "node", "radius"), "start")
     away = rerooted(inside.select("case_id", F.col("a").alias("src"), F.col("b").alias("dst")), start.select("case_id", F.col("node").alias("id")))
     if away is None:
@@ -151,15 +151,15 @@ def routes(nodes: DataFrame, edges: DataFrame, entries: DataFrame, minimum: floa
         away = stored(best.join(links.withColumnRenamed("b", "node"), ["case_id", "node"]).join(before, ["case_id", "a", "dist"]).groupBy("case_id", "node").agg(F.min("a").alias("up")), "away")
     at = lambda c, n: ok.select("case_id", F.col("node").alias(c), *(F.col(v).alias(n + v) for v in ("x", "y", "z", "radius")))
     gap = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 + (F.col("az") - F.col("bz")) ** 2)
-    hop = away.join(at("node", "a"), ["case_id", "node"]).join(at("up", "b"), ["case_id", "up"])
+    hop = away.join(at("node", "a").hint("merge"), ["case_id", "node"]).join(at("up", "b").hint("merge"), ["case_id", "up"])
     hop = stored(hop.select("case_id", "node", "up", gap.alias("length"), F.col("aradius").alias("least_radius")), "hops")
     values = {"length": (lambda a, b: a + b, F.lit(0.0)), "least_radius": (F.least, F.col("radius"))}
     tree = walked(hop, start.withColumnRenamed("node", "id"), values)
     inner = hop.select("case_id", F.col("up").alias("node")).distinct()
     ends, deepest = observed(tree.where((F.col("depth") > 0) & (F.col("length") <= working_length)).join(inner, ["case_id", "node"], "left_anti"), "ends", deepest=F.max("depth"))
     name = ok.select("case_id", "node", "id")
-    route = written(hop, ends, deepest or 0).join(name, ["case_id", "node"]).groupBy("case_id", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("route"))
-    return ends.join(name, ["case_id", "node"]).join(route.withColumnRenamed("leaf", "node"), ["case_id", "node"]).select("case_id", "id", "route", "length", "least_radius")
+    route = written(hop, ends, deepest or 0).join(name.hint("merge"), ["case_id", "node"]).groupBy("case_id", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("route"))
+    return ends.join(name.hint("merge"), ["case_id", "node"]).join(route.withColumnRenamed("leaf", "node").hint("merge"), ["case_id", "node"]).select("case_id", "id", "route", "length", "least_radius")
 
 
 #: Joins that follow each other without a written table between them.
@@ -175,12 +175,12 @@ def written(parents: DataFrame, leaves: DataFrame, deepest: int) -> DataFrame:
     jumps = [parents.select("case_id", "node", "up")]
     while 2 << len(jumps) - 1 <= deepest:
         last = jumps[-1]
-        jumps.append(stored(last.join(last.select("case_id", F.col("node").alias("up"), F.col("up").alias("far")), ["case_id", "up"]).select("case_id", "node", F.col("far").alias("up")), "jump"))
+        jumps.append(stored(last.join(last.select("case_id", F.col("node").alias("up"), F.col("up").alias("far")).hint("merge"), ["case_id", "up"]).select("case_id", "node", F.col("far").alias("up")), "jump"))
     way = leaves.select("case_id", F.col("node").alias("leaf"), "node", F.col("depth").cast("long").alias("place"))
     for k in range(len(jumps) - 1, -1, -1):
         far = F.when((F.col("place") >= 1 << k) & F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place")))
         both = F.explode(F.array_compact(F.array(F.struct("node", "place"), far)))
-        way = way.join(jumps[k], ["case_id", "node"], "left").select("case_id", "leaf", both.alias("at")).select("case_id", "leaf", "at.node", "at.place")
+        way = way.join(jumps[k].hint("merge"), ["case_id", "node"], "left").select("case_id", "leaf", both.alias("at")).select("case_id", "leaf", "at.node", "at.place")
         if k % STRIDE == 0:
             way = stored(way, "way")
     return way
@@ -202,7 +202,7 @@ def between(first: Column, second: Column) -> tuple[Column, Column]:
 def deepest_route(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """The route to the farthest leaf of the accessible nodes of each case, and its least radius."""
     r = routes(nodes, edges, roots, 0.0, float("inf"))
-    far = r.join(nodes.select("case_id", "id", "dist", "node_ord"), ["case_id", "id"])
+    far = r.join(nodes.select("case_id", "id", "dist", "node_ord").hint("merge"), ["case_id", "id"])
     return far.groupBy("case_id").agg(F.max_by(F.struct("id", "route", "least_radius", "dist"), F.struct("dist", -F.col("node_ord"))).alias("m")).select("case_id", "m.*")
 
 

@@ -44,7 +44,8 @@ def climbed(parents: DataFrame, tag: str, values: dict[str, Callable[[Column, Co
     Pointer jumping: each round joins a node twice with what hangs above it, which triples its
     reach, so a chain of n nodes takes log3 n rounds. `values` maps a column to the function of (the node's, the one above's);
     a top's own values take part. A node whose ancestors end at one that is not in the table has
-    no top; nodes below a cycle are left out, which ends as soon as no others are open.
+    no top; nodes below a cycle are left out, which ends as soon as no others are open. The table
+    of all nodes is merged, never sent through the driver, however small its compressed rows look.
     """
     open_ = F.col("up").isNotNull()
     j, open_rows = observed(parents.select("case_id", "node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("top"), *values), tag, n=F.count_if(open_))
@@ -56,7 +57,7 @@ def climbed(parents: DataFrame, tag: str, values: dict[str, Callable[[Column, Co
         above = j.select("case_id", F.col("node").alias("up"), F.col("up").alias("up_"), F.col("top").alias("top_"), *(F.col(v).alias(v + "_") for v in values))
         both = {v: F.when(open_, f(F.col(v), F.col(v + "_"))).otherwise(F.col(v)) for v, f in values.items()}
         for _ in range(2):
-            j = j.join(above, ["case_id", "up"], "left").select("case_id", "node", F.col("up_").alias("up"), F.when(open_, F.col("top_")).otherwise(F.col("top")).alias("top"), *(x.alias(v) for v, x in both.items()))
+            j = j.join(above.hint("merge"), ["case_id", "up"], "left").select("case_id", "node", F.col("up_").alias("up"), F.when(open_, F.col("top_")).otherwise(F.col("top")).alias("top"), *(x.alias(v) for v, x in both.items()))
         j, open_rows = observed(j, tag, n=F.count_if(open_))
     return j.where("up is null").drop("up")
 
