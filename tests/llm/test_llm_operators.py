@@ -438,6 +438,29 @@ def test_repeats(spark, monkeypatch, group):
         assert suffixes.pruned(documents(spark, []), 40, 20).isEmpty()
 
 
+def test_large_keys_are_dealt_by_their_size(spark, monkeypatch):
+    rows = spark.range(60_000).selectExpr("id", "id * 7 th", "0 s", "if(id < 59000, 5, id) k")
+    keys = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1 or k % 2 = 0")
+    conf = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        got = suffixes.met(rows, keys, ["k"], "n", 60_000)
+        assert got.exceptAll(rows.join(keys, "k").select(got.columns)).isEmpty() and got.count() == 59_500
+        most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most < 59_000 / 16  # sixteen tasks, however many there are
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    monkeypatch.setattr(suffixes, "FEW", 2)
+    monkeypatch.setattr(suffixes, "PART", 1 << 30)
+    t = [prose(40, i // 3) + passage for i, passage in enumerate([" " + prose(30, 99)] * 20 + ["xyz " * 60] * 5)]
+    for group in (512, 1):
+        got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in suffixes.pruned(documents(spark, t), 40, 20, group).collect()}
+        assert got == dict(enumerate(pruned(t, 40)))
+
+
 def test_deep_shallow():
     r = random.Random(1)
     for _ in range(50):
