@@ -72,6 +72,30 @@ def percentiles_of(rows: DataFrame, values: dict[str, dict[str, float]], by: tup
     return one if out is None else out
 
 
+def counted_percentiles(rows: DataFrame, value: str, count: str, shares: dict[str, float], by: tuple[str, ...] = (), small: int | None = None) -> DataFrame:
+    """percentiles() of values that each stand for `count` equal ones. Groups with few different values take one aggregate, else range partitions are summed up."""
+    small = SMALL if small is None else small
+    kept = rows.select(*by, F.col(value).cast("double").alias("v_"), F.col(count).alias("c_")).where("v_ is not null")
+    kept = stored(kept.groupBy(*by, "v_").agg(F.sum("c_").alias("c_")), "values")
+    if (kept.groupBy(*by).agg(F.count("*").alias("n_")).agg(F.max("n_")).first()[0] or 0) <= small:
+        all_ = kept.groupBy(*by).agg(F.percentile("v_", F.array(*(F.lit(float(q)) for q in shares.values())), F.col("c_")).alias("p_"))
+        return all_.select(*by, *(F.element_at("p_", i + 1).alias(k) for i, k in enumerate(shares)))
+    n, keys = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), list(by)
+    p = stored(kept.repartitionByRange(n, *keys, "v_").withColumn("part_", F.spark_partition_id()), "ranks")
+    sizes = p.groupBy(*keys, "part_").agg(F.sum("c_").alias("n_"))
+    w = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, "part_", F.coalesce(F.sum("n_").over(w), F.lit(0)).alias("before_"))
+    run = F.sum("c_").over(Window.partitionBy(*keys, "part_").orderBy("v_").rowsBetween(Window.unboundedPreceding, 0))
+    upto = matched(p.withColumn("own_", run), before, [*keys, "part_"]).select(*keys, "v_", "c_", (F.col("own_") + F.col("before_")).alias("upto_"))
+    whole = sizes.groupBy(*keys).agg(F.sum("n_").alias("all_"))
+    upto = matched(upto, whole, keys) if keys else upto.join(whole, F.lit(True))
+    rank = {k: float(q) * (F.col("all_") - 1) for k, q in shares.items()}
+    has = lambda r: (F.col("upto_") > r) & (F.col("upto_") - F.col("c_") <= r)
+    pick = lambda r: F.max(F.when(has(r), F.col("v_")))
+    ends = upto.groupBy(*keys, "all_").agg(*(pick(way(r)).alias(k + end) for k, r in rank.items() for end, way in (("_a", F.floor), ("_b", F.ceil))))
+    return ends.select(*keys, *((F.col(k + "_a") + (F.col(k + "_b") - F.col(k + "_a")) * (r - F.floor(r))).alias(k) for k, r in rank.items()))
+
+
 def bracketed(v: DataFrame, shares: dict[str, float], by: tuple[str, ...], small: int) -> DataFrame:
     """percentiles_of() for v(*by, v_) with groups of any size.
 
