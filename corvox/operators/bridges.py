@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvox.operators.boxes import BOX, SIDE, Box, dealt
+from corvox.operators.boxes import SIDE, Box, by_box, dealt
 from corvox.operators.voxels import KEY, SIDES, ranked_components
 from corvox.sources.scratch import stored
 
@@ -103,10 +103,10 @@ def gaps(parts: DataFrame, goals: DataFrame | None, limit: float, spacing: tuple
 
     schema = ", ".join([f"case_id {kind}, rank int, to int, line string, gap double", *(f"{e} long" for e in ENDS)])
     if goals is None:
-        met = dealt(parts.select(*KEY, "rank"), 2 * margin, margin).select(*BOX, "at", "rank").groupBy(*BOX).applyInArrow(among, schema)
+        met = by_box(dealt(parts.select(*KEY, "rank"), 2 * margin, margin), "at", "rank").applyInArrow(among, schema)
     else:
-        there = dealt(parts.select(*KEY, "rank"), 2 * margin, 0).select(*BOX, "at", "rank").groupBy(*BOX)
-        here = dealt(goals.select(*KEY, "to", "line"), 2 * margin, margin).select(*BOX, "at", "to", "line").groupBy(*BOX)
+        there = by_box(dealt(parts.select(*KEY, "rank"), 2 * margin, 0), "at", "rank")
+        here = by_box(dealt(goals.select(*KEY, "to", "line"), 2 * margin, margin), "at", "to", "line")
         met = there.cogroup(here).applyInArrow(to_goals, schema)
     least = met.groupBy("case_id", "rank", "to", "line").agg(F.min(F.struct("gap", *ENDS)).alias("m"))
     return least.select("case_id", "rank", "to", "line", "m.*")
